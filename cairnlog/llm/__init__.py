@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import bpe, packing, warc
 
-MODULES = (warc,)
+MODULES = (bpe, warc, packing)
 
 
 def queries() -> dict:
