@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, warc
+from . import bpe, embedding, packing, toxicity, warc
 
-MODULES = (bpe, warc, packing)
+MODULES = (embedding, bpe, warc, packing, toxicity)
 
 
 def queries() -> dict:

@@ -56,12 +56,12 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, Bin]]:
     return [(n, lengths) for groups in rooms.values() for n, lengths in groups if n]
 
 
-def completions(largest: int, counts: np.ndarray, size: int, width: int = 6, items: int = 4) -> list[tuple[int, Bin]]:
+def completions(largest: int, counts: np.ndarray, size: int, sign: int = 1, width: int = 12, items: int = 8) -> list[tuple[int, Bin]]:
     """Undominated fillings of the space beside `largest`: (waste, lengths), least waste first.
 
     A filling is dominated when one of its items, or two of them together, could be swapped for a
-    longer (or single) item that still fits; fillings are grown item by item from the longest, and
-    at each level the `width` choices that leave the least waste are followed."""
+    longer (or single) item that still fits; fillings are grown item by item, and of the first items
+    the `width` are followed that leave the least waste after the best next item."""
     have = counts.copy()
     have[largest] -= 1
     found: dict[Bin, int] = {}
@@ -77,7 +77,7 @@ def completions(largest: int, counts: np.ndarray, size: int, width: int = 6, ite
         rest = room - available
         at = np.searchsorted(available, np.minimum(rest, available), side="right") - 1
         waste = np.where(at >= 0, rest - available[np.maximum(at, 0)], rest)
-        order = np.lexsort((-available, waste))[:width] if len(chosen) < 2 else [len(available) - 1]
+        order = np.lexsort((-available, waste))[: (width, 2)[len(chosen)] if len(chosen) < 2 else 1]
         for k in order:
             grow(int(rest[k]), int(available[k]), (*chosen, int(available[k])))
 
@@ -92,7 +92,8 @@ def completions(largest: int, counts: np.ndarray, size: int, width: int = 6, ite
                 return True
         return False
 
-    best = sorted((waste, lengths) for lengths, waste in found.items())
+    # of equal waste, first the filling whose items are the shortest (sign 1) or longest (sign -1)
+    best = sorted(((waste, lengths) for lengths, waste in found.items()), key=lambda x: (x[0], [sign * n for n in x[1]]))
     kept = [x for x in best if x[0] == 0 or not dominated(x[1], x[0])]
     return (kept or best)[: 2 * width]
 
@@ -114,33 +115,34 @@ def bin_completion(histogram: dict[int, int], size: int = SIZE, nodes: int = 4_0
     start = np.zeros(size + 1, np.int64)
     for k, v in counts.items():
         start[k] = v
-    stack: list[tuple] = [(start, 0, None, 0)]  # counts left, waste, runs so far (linked), sequences
-    while stack and best_n > bound and nodes:
-        nodes -= 1
-        left, waste, runs, used = stack.pop()
-        if waste > (best_n - 1) * size - total:
-            continue
-        lengths = np.flatnonzero(left)
-        if not len(lengths):
-            if used < best_n:
-                best, best_n, run = [], used, runs
-                while run is not None:
-                    run, n, filled = run
-                    best.append((n, filled))
-            continue
-        largest = int(lengths[-1])
-        for lost, filling in reversed(completions(largest, left, size)):
-            filled = (largest, *filling)
-            kinds, need = np.unique(filled, return_counts=True)
-            times = int((left[kinds] // need).min())
-            if times and waste + lost <= (best_n - 1) * size - total:
-                if lost:  # a wasteful filling is taken once, so that the bound is not overrun
-                    times = min(times, max(1, ((best_n - 1) * size - total - waste) // lost))
-                after = left.copy()
-                after[kinds] -= need * times
-                stack.append((after, waste + lost * times, (runs, times, filled), used + times))
-        if len(stack) > 4000:
-            del stack[:2000]
+    for sign in (1, -1):
+        todo, stack = nodes // 2, [(start, 0, None, 0)]  # counts left, waste, runs so far (linked), sequences
+        while stack and best_n > bound and todo:
+            todo -= 1
+            left, waste, runs, used = stack.pop()
+            if waste > (best_n - 1) * size - total:
+                continue
+            lengths = np.flatnonzero(left)
+            if not len(lengths):
+                if used < best_n:
+                    best, best_n, run = [], used, runs
+                    while run is not None:
+                        run, n, filled = run
+                        best.append((n, filled))
+                continue
+            largest = int(lengths[-1])
+            for lost, filling in reversed(completions(largest, left, size, sign)):
+                filled = (largest, *filling)
+                kinds, need = np.unique(filled, return_counts=True)
+                times = int((left[kinds] // need).min())
+                spare = (best_n - 1) * size - total - waste
+                if times and lost <= spare:
+                    if lost:  # no oftener than the bound allows
+                        times = min(times, max(1, spare // lost))
+                    after = left.copy()
+                    after[kinds] -= need * times
+                    stack.append((after, waste + lost * times, (runs, times, filled), used + times))
+            del stack[: max(0, len(stack) - 4000)]
     return best
 
 
