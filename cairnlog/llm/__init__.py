@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding, packing, suffix, toxicity, warc
+from . import bpe, embedding, minhash, packing, suffix, toxicity, warc
 
-MODULES = (embedding, suffix, bpe, warc, packing, toxicity)
+MODULES = (minhash, embedding, suffix, bpe, warc, packing, toxicity)
 
 
 def queries() -> dict:
