@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding, lines, minhash, mixing, packing, suffix, toxicity, warc
+from . import bpe, embedding, lines, minhash, mixing, packing, spotsigs, suffix, toxicity, warc
 
-MODULES = (minhash, embedding, suffix, bpe, warc, lines, mixing, packing, toxicity)
+MODULES = (minhash, spotsigs, embedding, suffix, bpe, warc, lines, mixing, packing, toxicity)
 
 
 def queries() -> dict:

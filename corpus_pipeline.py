@@ -1,6 +1,64 @@
-STAGES = []
+"""A corpus pipeline of five stages over documents: toxicity, line dedup, near-dedup, mixing, packing.
+
+run() writes each stage's rows as Parquet in the shared folder and reads them again for the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairnlog.llm import lines, minhash, mixing, packing, toxicity
+from cairnlog.llm.shared import read_table, saved
+
+#: No SQL: a trained model, tokens and a packing decide.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays under the threshold of their language."""
+    model, thresholds = toxicity.fitted(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(docs, model)
+    return scored.where(F.col("score") < toxicity.threshold_of(thresholds)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; one of which nothing is left goes."""
+    left = lines.without_repeats(docs)
+    left = left.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near-duplicates."""
+    groups = minhash.near_duplicates(docs)
+    dropped = groups.where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(dropped, docs.doc_id == dropped.dropped_id, "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture at the default target weights: documents of sources under their weight are used
+    again until they reach it. Rows stand in the order of the slots."""
+    mixture = mixing.mixed(docs)
+    return mixture.repartitionByRange("mix_slot", "doc_id").sortWithinPartitions("mix_slot", "doc_id").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mixture and the sequences that hold them."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", dedup_lines),
+    ("near-dedup", dedup_documents),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents of sf_dir."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
