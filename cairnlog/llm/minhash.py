@@ -22,7 +22,7 @@ SIMILARITY = 75  # hundredths
 TOKENS = 64  # minwise tokens of a document
 TREES = 8
 BRANCHES = (2, 2)  # children per node below the root's TREES children
-SMALL = 24  # documents of a node that are compared exhaustively
+SMALL = 256  # documents of a node that are compared exhaustively
 LIKELY = 34  # agreeing tokens below which a pair is not looked up: 4 deviations under 0.75 * TOKENS
 BROADCAST_ROWS = 100_000  # documents (two longs each) that may go to every task
 SKETCH = "doc_id long, row_key long, n_shingles long, set_a long, set_b long, tokens binary"
@@ -111,9 +111,7 @@ def first_nodes(classes: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 4000):
                 part = batch.slice(k, 4000)
-                tokens = np.frombuffer(utf8(part.column(1))[0], np.uint32) if part.num_rows else np.zeros(0, np.uint32)
-                data, offsets = utf8(part.column(1))
-                tokens = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint32).reshape(-1, TOKENS)
+                tokens = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, TOKENS)
                 nodes = mix(np.zeros(len(tokens), np.uint64))
                 nodes, rows = _branch(nodes, tokens, TREES, 0)
                 for depth, children in enumerate(BRANCHES, 1):
@@ -124,21 +122,20 @@ def first_nodes(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "tokens").mapInArrow(walk, "node long, rep long")
 
 
-def deeper_nodes(nodes: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
-    """The children of (node, rep): one for two nodes of three, else two, so that of a pair at the
+def deeper_nodes(nodes: DataFrame, depth: int) -> DataFrame:
+    """The children of (node, rep, tokens): one for two nodes of three, else two, so that of a pair at the
     similarity 0.75 one child is expected to hold both, and of less similar pairs fewer."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            tokens = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint32).reshape(-1, TOKENS)
+            tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, TOKENS)
             nodes = batch.column(0).to_numpy().view(np.uint64)
             found, rows = _branch(nodes, tokens, 2, depth)
             keep = (np.arange(len(rows)) < len(nodes)) | (mix(nodes + np.uint64(depth))[rows] % np.uint64(3) == 0)
             found, rows = found[keep], rows[keep]
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(1).take(pa.array(rows))], ["node", "rep"])
 
-    return nodes.join(classes.select("rep", "tokens"), "rep").select("node", "rep", "tokens").mapInArrow(walk, "node long, rep long")
+    return nodes.select("node", "rep", "tokens").mapInArrow(walk, "node long, rep long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -171,6 +168,40 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(agree, "a long, b long")
 
 
+def compared(nodes: DataFrame) -> DataFrame:
+    """Likely pairs (a < b) within small nodes: nodes has node, rep, c and tokens, at most SMALL rows
+    of each node, which stand together in their partition and are compared with each other outright.
+    Pairs of one component are left out."""
+
+    def likely_within(reps: np.ndarray, c: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        equal = (tokens[:, None, :] == tokens[None, :, :]).sum(axis=2) >= LIKELY
+        i, j = np.nonzero(equal & (c[:, None] != c[None, :]) & (reps[:, None] < reps[None, :]))
+        return reps[i], reps[j]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
+            node, reps, c = (batch.column(k).to_numpy() for k in range(3))
+            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, TOKENS)
+            heads = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            found = [likely_within(reps[a:b], c[a:b], tokens[a:b]) for a, b in zip(heads, [*heads[1:], len(node)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            node = batch.column(0).to_numpy()
+            last = int(np.flatnonzero(node == node[-1])[0])  # the last node may go on
+            held = batch.slice(last)
+            if last:
+                yield pairs(batch.slice(0, last))
+        if held is not None:
+            yield pairs(held)
+
+    return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(walk, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
@@ -214,33 +245,39 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     live = saved(nodes.join(shared, "node").select("node", "rep", "pivot"), "minhash-live")
     drop_saved(nodes, shared)
     spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    tried, sets = links, spark.createDataFrame([], "rep long, shingles binary")
-    pairs = saved(live.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
-    live, depth = live.select("node", "rep"), len(BRANCHES) + 1
+    sets = spark.createDataFrame([], "rep long, shingles binary")
+    stars = saved(live.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
+    close = saved(likely(stars, reps), "minhash-close")
+    live, depth, links, groups, tried = live.select("node", "rep"), len(BRANCHES) + 1, None, None, close
     while True:
-        close = saved(likely(pairs, reps), "minhash-close")
         ends = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct()
         missing = saved(ends.join(sets.select("rep"), "rep", "left_anti").join(reps.select("rep", "row_key"), "rep"), "minhash-missing")
         if not missing.isEmpty():
             sets = sets.union(saved(full_sets(rows, missing), "minhash-sets"))
-        links = saved(links.union(confirmed(close, sets, similarity)), "minhash-links")
-        tried = tried.union(pairs)
-        groups = saved(components(links), "minhash-groups")
+        new = saved(confirmed(close, sets, similarity), "minhash-links")
+        if links is None or not new.isEmpty():
+            links = new if links is None else links.union(new)
+            groups = saved(components(links), "minhash-groups")
         # a node whose documents are all in one component is done
         placed = saved(live.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component_id", "rep").alias("c")), "minhash-placed")
         stats = placed.groupBy("node").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("node", "rep").alias("h"), "rep", "c")).alias("p"))
         mixed = saved(stats.where("lo < hi").select("node", "n", F.col("p.rep").alias("pivot"), F.col("p.c").alias("pc")), "minhash-mixed")
         if mixed.isEmpty():
             break
-        inside = saved(placed.join(mixed, "node"), "minhash-inside")
-        small = inside.where(F.col("n") <= SMALL).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rep", "c"))).alias("m"))
-        small = small.select(F.expr("explode(flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.c != x.c), y -> struct(x.rep as a, y.rep as b)))))").alias("p")).select("p.a", "p.b")
+        inside = saved(placed.join(mixed, "node").join(reps.select("rep", "tokens"), "rep"), "minhash-inside")
+        close = compared(inside.where(F.col("n") <= SMALL).select("node", "rep", "c", "tokens"))
         large = inside.where(F.col("n") > SMALL)
-        star = large.where("c != pc").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
-        pairs = saved(small.union(star).distinct().join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        live = saved(deeper_nodes(large.select("node", "rep"), reps, depth), "minhash-live")
-        depth += 1
+        if has_large := not large.isEmpty():
+            star = large.where("c != pc").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+            close = close.union(likely(star, reps)).distinct()
+            live = saved(deeper_nodes(large.select("node", "rep", "tokens"), depth), "minhash-live")
+            depth += 1
+        else:
+            live = live.limit(0)
+        close = saved(close.join(tried, ["a", "b"], "left_anti"), "minhash-close")
+        tried = tried.union(close)
+        if close.isEmpty() and not has_large:
+            break
     member = saved(classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("component_id", "rep").alias("component_id")), "minhash-members")
     met = sketch.join(member, (sketch.set_a == member.set_a) & (sketch.set_b == member.set_b) & (sketch.n_shingles == member.n), "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
