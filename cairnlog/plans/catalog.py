@@ -1,4 +1,557 @@
-"""The registered queries."""
+"""The registered queries over the given tables, each with DuckDB SQL where SQL can express it."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import decode, predicates, templates
+from ..operators import incidents, maintenance, outbox, routing, semantic
+from ..sources import tables as S
+from . import queries as Q
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+LOGS, DIMS = S.LOG_EVENTS_SQL, S.DIMENSIONS_SQL
+AS_OF = datetime(2024, 4, 20)
+SINCE, UNTIL = "2024-01-10T00:00:00Z", "2024-01-20T12:00:00Z"
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def logs(query: str) -> str:
+    return f"with {LOGS} {query}"
+
+
+# ------------------------------------------------------------------ decode (S, F1-F2)
+
+_SEV = "case severity when 17 then 3 when 10 then 5 when 9 then 6 else 7 end"
+RAW_SQL = f"""{LOGS}, raw_lines as (select id, ts as received_at, case id % 4
+  when 0 then concat('<', cast(8*4+{_SEV} as varchar), '>1 ', strftime(ts,'%Y-%m-%dT%H:%M:%SZ'), ' ', source, ' ', coalesce(program,'-'), ' ', cast(id as varchar), ' ID47 [ex@1 k="v', cast(id%10 as varchar), '"] ', body)
+  when 1 then concat('<', cast(8*16+{_SEV} as varchar), '>', strftime(ts,'%b %d %H:%M:%S'), ' ', source, ' ', case when program is null then '' else concat(replace(program,'%',''), '[', cast(id as varchar), ']: ') end, body)
+  when 2 then concat('<189>', cast(id as varchar), ': ', source, ': ', strftime(ts,'%b %d %H:%M:%S'), '.001 UTC: %LINK-', cast({_SEV} as varchar), '-UPDOWN: ', body)
+  else concat('undecodable ', body) end as raw from log_events),
+p as (select *, regexp_extract(raw, '^<(\\d{{1,3}})>', 1) as pri, regexp_replace(raw, '^<\\d{{1,3}}>', '') as text from raw_lines),
+k as (select *, case when regexp_matches(text, '%[A-Z0-9_]+-\\d-[A-Z0-9_]+: ') and text like '%UTC: %' then 'device' when text like '1 %' then 'rfc5424'
+  when regexp_matches(text, '^[A-Z][a-z][a-z] +\\d+ \\d\\d:\\d\\d:\\d\\d ') then 'rfc3164' else 'none' end as kind from p)"""
+
+
+def decoded(spark: SparkSession, d: str) -> DataFrame:
+    return decode.decode_lines(S.raw_lines(spark, d))
+
+
+@register("s03_decode_pri", f"""with {RAW_SQL} select id, kind, case when pri = '' then null else cast(pri as integer) // 8 end as facility_no,
+  case when pri = '' then null when cast(pri as integer) // 8 = 4 then 'auth' when cast(pri as integer) // 8 = 16 then 'local0' else 'local7' end as facility from k""")
+def s03(spark, d):
+    number = F.create_map(*(F.lit(x) for n, name in decode.FACILITIES.items() for x in (name, n)))
+    return decoded(spark, d).select("id", "kind", F.element_at(number, F.col("facility")).alias("facility_no"), "facility")
+
+
+@register("s04_severity", f"""with {RAW_SQL}, s as (select id, case when kind = 'device' then cast(regexp_extract(text, '%[A-Z0-9_]+-(\\d)-', 1) as integer)
+  when pri = '' then null else cast(pri as integer) % 8 end as s from k)
+  select id, ([24,21,19,17,13,10,9,5])[s + 1] as severity, (['emerg','alert','crit','err','warning','notice','info','debug'])[s + 1] as severity_text from s""")
+def s04(spark, d):
+    return decoded(spark, d).select("id", "severity", "severity_text")
+
+
+@register("s06_device_header", f"""with {RAW_SQL} select id, regexp_extract(text, '^\\d+: ([^:]+): ', 1) as source, received_at as ts,
+  regexp_extract(text, '(%[A-Z0-9_]+-\\d-[A-Z0-9_]+): ', 1) as program, regexp_replace(text, '^.*%[A-Z0-9_]+-\\d-[A-Z0-9_]+: ', '') as body,
+  regexp_extract(text, '^(\\d+): ', 1) as seq, regexp_extract(text, '^\\d+: [^:]+: (.* UTC): %', 1) as device_time from k where kind = 'device'""")
+def s06(spark, d):
+    rows = decoded(spark, d).where("kind = 'device'")
+    return rows.select("id", "source", "ts", "program", "body", F.col("attributes")["device_seq"].alias("seq"), F.col("attributes")["device_time"].alias("device_time"))
+
+
+@register("s07_rfc5424", f"""with {RAW_SQL} select id, split_part(text, ' ', 3) as source, nullif(split_part(text, ' ', 4), '-') as program, split_part(text, ' ', 5) as procid,
+  split_part(text, ' ', 6) as msgid, regexp_extract(text, 'k="([^"]*)"', 1) as sd_k, regexp_replace(text, '^.*?\\] ', '') as body from k where kind = 'rfc5424'""")
+def s07(spark, d):
+    rows = decoded(spark, d).where("kind = 'rfc5424'")
+    return rows.select("id", "source", "program", F.col("attributes")["procid"].alias("procid"), F.col("attributes")["msgid"].alias("msgid"), F.col("sd")["ex@1"]["k"].alias("sd_k"), "body")
+
+
+@register("s08_timestamps", f"with {RAW_SQL} select id, kind, case when kind in ('rfc5424', 'rfc3164') then date_trunc('second', received_at) else received_at end as ts from k")
+def s08(spark, d):
+    return decoded(spark, d).select("id", "kind", "ts")
+
+
+@register("s10_rfc3164", f"""with {RAW_SQL} select id, regexp_extract(text, '^\\S+ +\\d+ \\S+ (\\S+) ', 1) as source, nullif(regexp_extract(text, ' ([^\\s:\\[]+)\\[\\d+\\]: ', 1), '') as program,
+  nullif(regexp_extract(text, '\\[(\\d+)\\]: ', 1), '') as pid, regexp_extract(text, '(user \\d+ did .*)$', 1) as body from k where kind = 'rfc3164'""")
+def s10(spark, d):
+    rows = decoded(spark, d).where("kind = 'rfc3164'")
+    return rows.select("id", "source", "program", F.col("attributes")["pid"].alias("pid"), "body")
+
+
+@register("s12_fallback", f"with {RAW_SQL} select id, '10.9.0.7' as source, text as body, received_at as ts from k where kind = 'none'")
+def s12(spark, d):
+    return decoded(spark, d).where("kind = 'none'").select("id", "source", "body", "ts")
+
+
+def _duck_template(body: str) -> str:
+    out = f"coalesce({body}, '')"
+    for m in templates.MASKS:
+        out = f"regexp_replace({out}, '{m}', '<*>', 'g')"
+    return f"trim(regexp_replace({out}, '(<\\*>)(\\s+<\\*>)+', '\\1', 'g'))"
+
+
+TEMPLATES_SQL = f"{LOGS}, tp as (select *, {_duck_template('body')} as template from log_events), t as (select *, sha1(concat(coalesce(program, ''), chr(0), template)) as fp from tp)"
+
+
+@register("s13_mine_template", f"with {TEMPLATES_SQL} select id, template, fp from t")
+def s13(spark, d):
+    return templates.with_template(S.log_events(spark, d)).select("id", "template", "fp")
+
+
+@register("s13_document_templates", f"select doc_id, {_duck_template('text')} as template from documents")
+def s13b(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", templates.template(F.col("text")).alias("template"))
+
+
+_FIRST = "min(ts) as first_seen, max(ts) as last_seen, min(id) as first_id"
+
+
+@register("s16_template_upsert", f"with {TEMPLATES_SQL} select fp, arg_min(template, id) as template, count(*) as hits, {_FIRST} from t group by fp")
+def s16(spark, d):
+    rows = S.log_events(spark, d)
+    half = F.col("id") % 2 == 0
+    old, new = templates.template_delta(rows.where(half)), templates.template_delta(rows.where(~half))
+    return templates.merge_templates(old, new).select("fp", "template", F.col("hits").cast("long").alias("hits"), "first_seen", "last_seen", "first_id")
+
+
+@register("s17_source_upsert", logs("select source, count(*) as events, min(ts) as first_seen, max(ts) as last_seen, true as active from log_events group by source"))
+def s17(spark, d):
+    rows = S.log_events(spark, d)
+    half = F.col("id") % 2 == 0
+    return templates.merge_sources(templates.source_delta(rows.where(half)), templates.source_delta(rows.where(~half)))
+
+
+@register("a04_template_counts", f"with {TEMPLATES_SQL} select fp, count(*) as hits from t group by fp")
+def a04(spark, d):
+    return templates.template_delta(S.log_events(spark, d)).select("fp", "hits")
+
+
+@register("f01_iso_render", logs("select id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as iso, epoch_us(ts) // 1000 as ts_ms, strftime(ts, '%H:%M:%S') as clock from log_events"))
+def f01(spark, d):
+    return S.log_events(spark, d).select("id", predicates.iso(F.col("ts")).alias("iso"), predicates.epoch_ms(F.col("ts")).alias("ts_ms"), F.date_format("ts", "HH:mm:ss").alias("clock"))
+
+
+@register("f16_json_fields", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def f16(spark, d):
+    return S.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# ------------------------------------------------------------------ predicates and queries (P, T, Q)
+
+
+@register("p02_glob_route", logs("select id from log_events where regexp_matches(source, '^host-[01][^3-9]$')"))
+def p02(spark, d):
+    return S.log_events(spark, d).where(predicates.glob_route(F.col("source"), "host-[01][!3-9]")).select("id")
+
+
+@register("p03_glob_window", logs("select id from log_events where source like 'host_1%'"))
+def p03(spark, d):
+    return S.log_events(spark, d).where(predicates.glob_window(F.col("source"), "host_1*")).select("id")
+
+
+@register("p07_full_text", "select doc_id from documents where list_contains(string_split_regex(lower(text), '[^a-z0-9_]+'), 'from') and list_contains(string_split_regex(lower(text), '[^a-z0-9_]+'), 'nt')")
+def p07(spark, d):
+    return S.table(spark, d, "documents").where(predicates.contains_all(F.col("text"), "from the NT")).select("doc_id")
+
+
+@register("p12_like_any", logs("select id from log_events where body ilike '%amount 1_0%' or source ilike '%t-03%' or program ilike '%SSH%'"))
+def p12(spark, d):
+    rows = S.log_events(spark, d)
+    test = predicates.like_any([F.col("body")], "amount 1_0") | predicates.like_any([F.col("source")], "t-03") | predicates.like_any([F.col("program")], "SSH")
+    return rows.where(test).select("id")
+
+
+@register("p13_cursor", logs("select id, source from log_events where id > (select max(id) from log_events) // 2"))
+def p13(spark, d):
+    rows = S.log_events(spark, d)
+    top = rows.agg(F.max("id").alias("m")).first().m or 0
+    return rows.where(F.col("id") > top // 2).select("id", "source")
+
+
+_COLS = "id, ts, source, severity, severity_text, program, body"
+
+
+@register("q01_search_logs", logs(f"select {_COLS} from log_events where source like 'host-0_' and program = 'sshd' and regexp_matches(body, 'amount [0-9]{{4}} ') and severity >= 9 and ts between timestamp '2024-01-10 00:00:00' and timestamp '2024-01-20 12:00:00' order by ts desc, id desc limit 200"))
+def q01(spark, d):
+    return Q.search_logs(S.log_events(spark, d), source="host-0?", program="sshd", regex="amount [0-9]{4} ", severity_min=9, since=SINCE, until=UNTIL)
+
+
+_WINDOW = "ts between timestamp '2024-01-10 00:00:00' and timestamp '2024-01-20 12:00:00' and (source like 'host-0%' or source = 'host-15') and severity >= 9"
+
+
+@register("q02_timeline", logs(f"select {_COLS} from log_events where {_WINDOW} order by ts, id limit 500"))
+def q02(spark, d):
+    return Q.timeline(S.log_events(spark, d), SINCE, UNTIL, "host-0*, host-15", 9)
+
+
+@register("a01_source_summary", logs(f"select source, count(*) as n, max(severity) as worst from log_events where {_WINDOW} group by source"))
+def a01(spark, d):
+    return Q.timeline_summary(S.log_events(spark, d), SINCE, UNTIL, "host-0*, host-15", 9)
+
+
+@register("a03_high_water", logs("select count(*) as n, coalesce(max(id), 0) as top from log_events where source like 'host-1%' and severity >= 10"))
+def a03(spark, d):
+    rows = S.log_events(spark, d).where(predicates.glob_window(F.col("source"), "host-1*") & predicates.severity_at_least(F.col("severity"), 10))
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+
+
+_SOURCES = "s as (select source, count(*) as events, max(ts) as last_seen from log_events group by source)"
+
+
+@register("q03_list_sources", f"with {LOGS}, {_SOURCES} select source, events, last_seen, true as active from s where source like 'host-1_'")
+def q03(spark, d):
+    rows = templates.source_delta(S.log_events(spark, d)).select("source", "events", "last_seen", "active")
+    return Q.list_sources(rows, "host-1?")
+
+
+@register("m02_deactivate_quiet", f"with {LOGS}, {_SOURCES} select source, last_seen >= timestamp '2024-04-20' - interval 81 day as active from s")
+def m02(spark, d):
+    return maintenance.deactivate_quiet(templates.source_delta(S.log_events(spark, d)), AS_OF, 81).select("source", "active")
+
+
+@register("q06_backtest_rule", logs("select id, source, body from log_events where severity >= 9 and source like 'host-1%' and ts >= timestamp '2024-01-10' and regexp_matches(body, 'user 1[0-9] ') order by ts desc, id desc limit 200"))
+def q06(spark, d):
+    rows = Q.backtest_scope(S.log_events(spark, d), "user 1[0-9] ", "host-1*", 9, SINCE)
+    return rows.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(200).select("id", "source", "body")
+
+
+@register("a02_match_count", logs("select count(*) as n from log_events where severity >= 9 and source like 'host-1%' and ts >= timestamp '2024-01-10' and regexp_matches(body, 'user 1[0-9] ')"))
+def a02(spark, d):
+    return Q.backtest_scope(S.log_events(spark, d), "user 1[0-9] ", "host-1*", 9, SINCE).agg(F.count("*").alias("n"))
+
+
+@register("t03_latest", logs("select id, source from (select * from log_events order by id desc limit 500) order by id"))
+def t03(spark, d):
+    return S.log_events(spark, d).orderBy(F.col("id").desc()).limit(500).orderBy("id").select("id", "source")
+
+
+# ------------------------------------------------------------------ routing (J, W)
+
+ROUTE_SQL = f"""{LOGS}, {DIMS},
+m as (select e.*, r.rule_id, r.stop, row_number() over (partition by e.id order by r.rule_order, r.rule_id) as rk
+  from log_events e join rules r on (coalesce(r.min_severity, 0) = 0 or e.severity >= r.min_severity)
+  and (r.source_glob is null or e.source glob r.source_glob) and regexp_matches(concat(coalesce(e.program, ''), ' ', coalesce(e.body, '')), r.pattern)
+  where r.stop or r.rule_id in (select rule_id from binds)),
+c as (select *, min(case when stop then rk end) over (partition by id) as cut from m),
+routed as (select c.id, c.ts, c.source, c.severity, c.severity_text, c.program, c.body, c.rule_id, b.target_id from c join binds b using (rule_id) where rk <= coalesce(cut, rk)
+  qualify row_number() over (partition by c.id, b.target_id order by rk) = 1)"""
+
+
+def _compiled(spark):
+    return routing.compile_rules(S.rules(spark), S.bindings(spark))
+
+
+def routed(spark: SparkSession, d: str) -> DataFrame:
+    return routing.route(S.log_events(spark, d), _compiled(spark))
+
+
+@register("q12_route", f"with {ROUTE_SQL} select id, rule_id, target_id from routed")
+def q12(spark, d):
+    return routed(spark, d).select("id", "rule_id", "target_id")
+
+
+@register("j01_match_rules", f"with {ROUTE_SQL} select id, rule_id, cast(dense_rank() over (partition by id order by rk) as integer) as k from m")
+def j01(spark, d):
+    rows = routing.matches(S.log_events(spark, d), _compiled(spark))
+    return rows.select("id", F.posexplode("matched").alias("p", "m")).select("id", "m.rule_id", (F.col("p") + 1).alias("k"))
+
+
+@register("w02_stop_cut", f"with {ROUTE_SQL} select id, rule_id from c where rk <= coalesce(cut, rk)")
+def w02(spark, d):
+    rows = routing.matches(S.log_events(spark, d), _compiled(spark))
+    return rows.select("id", F.explode(routing.stop_cut(F.col("matched"))).alias("m")).select("id", "m.rule_id")
+
+
+@register("q07_backtest_ruleset", f"with {ROUTE_SQL} select rule_id, count(*) as n from m group by rule_id")
+def q07(spark, d):
+    return routing.backtest(S.log_events(spark, d), _compiled(spark))
+
+
+# ------------------------------------------------------------------ incidents (O)
+
+
+def _fold_sql(rows: str, ttl: int, feed: int) -> str:
+    """Incident numbers by gaps, then feeds by a recursive walk from one fed row to the next."""
+    return f"""f0 as ({rows}), f1 as (select *, epoch_us(ts) as us, row_number() over (partition by key order by ts, id) as rn,
+  epoch_us(ts) - lag(epoch_us(ts)) over (partition by key order by ts, id) as gap from f0),
+f2 as (select *, sum(case when gap is null or gap >= {ttl}000000 then 1 else 0 end) over (partition by key order by ts, id) as incident from f1),
+f3 as (select *, row_number() over (partition by key, incident order by ts, id) as pos from f2),
+walk(key, incident, pos, fed, what) as (
+  select key, incident, pos, us, 'opened' from f3 where pos = 1
+  union all select n.key, n.incident, n.pos, case when n.us - w.fed >= {feed}000000 then n.us else w.fed end,
+    case when n.us - w.fed >= {feed}000000 then 'fed' else 'throttled' end
+  from walk w join f3 n on n.key = w.key and n.incident = w.incident and n.pos = w.pos + 1),
+folded as (select f3.*, walk.what as disposition from f3 join walk on f3.key = walk.key and f3.incident = walk.incident and f3.pos = walk.pos)"""
+
+
+_BY_SOURCE = "select *, source as key from log_events where severity >= 17"
+FOLD_SQL = f"with recursive {LOGS}, {_fold_sql(_BY_SOURCE, 7200, 3600)}"
+_ROUTED_KEY = "select *, concat(cast(rule_id as varchar), ':', cast(target_id as varchar), ':', source) as key from routed"
+ROUTED_FOLD_SQL = f"with recursive {ROUTE_SQL}, {_fold_sql(_ROUTED_KEY, 7200, 3600)}"
+
+
+def _by_source(spark, d):
+    return S.log_events(spark, d).where("severity >= 17").withColumn("key", F.col("source"))
+
+
+def decided(spark: SparkSession, d: str) -> DataFrame:
+    return incidents.dispositions(routed(spark, d).withColumn("key", incidents.dedup_key()), 7200, 3600)
+
+
+@register("o01_incidents", f"{FOLD_SQL} select id, key, cast(incident as bigint) as incident from folded")
+def o01(spark, d):
+    return incidents.number_incidents(_by_source(spark, d), 7200).select("id", "key", F.col("incident").cast("long").alias("incident"))
+
+
+@register("o02_feed_throttle", f"{FOLD_SQL} select id, key, disposition from folded")
+def o02(spark, d):
+    return incidents.dispositions(_by_source(spark, d), 7200, 3600).select("id", "key", "disposition")
+
+
+@register("o02_array_fold", f"{FOLD_SQL} select id, key, disposition from folded")
+def o02b(spark, d):
+    return incidents.array_dispositions(_by_source(spark, d), 7200, 3600).select("id", "key", "disposition")
+
+
+@register("q13_incidents", f"{ROUTED_FOLD_SQL} select id, rule_id, target_id, key, disposition from folded")
+def q13(spark, d):
+    return decided(spark, d).select("id", "rule_id", "target_id", "key", "disposition")
+
+
+@register("a09_incident_counters", f"""{ROUTED_FOLD_SQL}, g as (select key, incident, count(*) as event_count, min(ts) as opened_at, max(ts) as last_event_at, max(case when disposition <> 'throttled' then ts end) as last_fed_at from folded group by key, incident)
+  select key, event_count, opened_at, last_event_at, last_fed_at from g qualify row_number() over (partition by key order by incident desc) = 1""")
+def a09(spark, d):
+    return incidents.current_incidents(decided(spark, d)).drop("incident")
+
+
+@register("a11_last_fired", f"{ROUTED_FOLD_SQL} select rule_id, max(ts) as last_fired from folded where disposition = 'opened' group by rule_id")
+def a11(spark, d):
+    return incidents.last_fired(decided(spark, d))
+
+
+@register("a12_disposition_rollup", f"""{ROUTED_FOLD_SQL} select rule_id, count(*) filter (disposition = 'opened') as opened, count(*) filter (disposition = 'fed') as fed, count(*) filter (disposition = 'throttled') as throttled from folded group by rule_id""")
+def a12(spark, d):
+    kinds = ["opened", "fed", "throttled"]
+    return decided(spark, d).groupBy("rule_id").pivot("disposition", kinds).count().select("rule_id", *(F.coalesce(k, F.lit(0)).alias(k) for k in kinds))
+
+
+@register("o14_event_windows", logs("select source, time_bucket(interval 1 hour, ts) as start, count(*) as n from log_events where severity >= 17 group by all having count(*) >= 2"))
+def o14(spark, d):
+    rows = S.log_events(spark, d).where("severity >= 17").groupBy("source", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("n"))
+    return rows.where("n >= 2")
+
+
+@register("o15_rule_cooldown", f"with recursive {LOGS}, {_fold_sql(_BY_SOURCE, 7200, 600)} select id, disposition from folded")
+def o15(spark, d):
+    rows = _by_source(spark, d).withColumn("cooldown_seconds", F.lit(600.0))
+    return incidents.dispositions(rows, 7200, "cooldown_seconds").select("id", "disposition")
+
+
+@register("w04_trailing_minute", f"""with {LOGS}, o as (select id, ts from log_events where severity >= 9)
+  select id, n as trailing from (select id, count(*) over (order by floor(epoch(ts)) range between 60 preceding and current row) - (count(*) over (partition by floor(epoch(ts))) - row_number() over (partition by floor(epoch(ts)) order by ts, id)) as n from o) where n > 1""")
+def w04(spark, d):
+    rows = S.log_events(spark, d).where("severity >= 9").select("id", "ts")
+    return incidents.over_ceiling(rows, 1).select("id", "trailing")
+
+
+@register("o04_rate_ceiling")
+def o04(spark, d):
+    rows = routed(spark, d).where("target_id in (11, 12)").withColumn("key", incidents.dedup_key())
+    return incidents.with_ceiling(rows, 1, 7200, 3600).select("id", "key", "disposition")
+
+
+@register("o05_fallback", f"{ROUTED_FOLD_SQL} select id, target_id, case when disposition in ('opened', 'fed') and (target_id = 12 or id % 5 = 0) then 'fallback' else disposition end as disposition from folded")
+def o05(spark, d):
+    kinds = F.when(F.col("target_id") == 12, "pager").when(F.col("target_id") == 11, "handoff").otherwise("push")
+    rows = decided(spark, d).withColumns({"type": kinds, "delivery_ok": F.col("id") % 5 != 0})
+    return incidents.with_delivery(rows).select("id", "target_id", "disposition")
+
+
+@register("s19_firing_ledger", f"""{ROUTED_FOLD_SQL} select f.id, f.rule_id, f.target_id, f.source, f.ts as fired_at, f.key as dedup_key, f.disposition,
+  concat(r.name, ': ', f.body)[1:500] as summary, concat('{{"disposition":"', f.disposition, '","line":"', f.body, '"}}') as sample, f.disposition in ('opened', 'fed') as notified
+  from folded f join rules r using (rule_id)""")
+def s19(spark, d):
+    return incidents.ledger(decided(spark, d), S.rules(spark))
+
+
+@register("s18_audit", f"""{ROUTED_FOLD_SQL} select id, 'dispatcher' as actor, 'dispatch.' || disposition as action,
+  concat('{{"rule_id":', cast(rule_id as varchar), ',"target_id":', cast(target_id as varchar), ',"source":"', source, '"}}') as detail, true as ok from folded""")
+def s18(spark, d):
+    return incidents.audit(decided(spark, d))
+
+
+@register("q08_alert_history", f"""{ROUTED_FOLD_SQL} select f.id, f.target_id, f.source, f.disposition, f.ts as fired_at, r.name as rule from folded f join rules r using (rule_id)
+  where f.rule_id = 3 and f.ts >= timestamp '2024-01-10' order by f.ts desc, f.id desc, f.target_id limit 100""")
+def q08(spark, d):
+    rows = incidents.ledger(decided(spark, d), S.rules(spark))
+    return Q.alert_history(rows, S.rules(spark), 3, SINCE).select("id", "target_id", "source", "disposition", "fired_at", "rule")
+
+
+# ------------------------------------------------------------------ outbox (F)
+
+
+def _named(spark, d):
+    return routed(spark, d).join(F.broadcast(S.rules(spark).select("rule_id", "name")), "rule_id")
+
+
+_NAMED_SQL = f"with {ROUTE_SQL}, n as (select r.*, u.name from routed r join rules u using (rule_id))"
+
+
+@register("f03_safe_summary", f"{_NAMED_SQL} select id, target_id, concat(name, ' matched on ', source, ' (severity ', severity_text, ')') as summary from n")
+def f03(spark, d):
+    return _named(spark, d).select("id", "target_id", outbox.safe_summary().alias("summary"))
+
+
+@register("f04_follow_up", f"{_NAMED_SQL} select id, target_id, concat('another match (untrusted log data): ', strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), ' ', source, ' [', severity_text, '] <', coalesce(program, ''), ': ', body, '>') as line from n")
+def f04(spark, d):
+    return _named(spark, d).select("id", "target_id", outbox.follow_up().alias("line"))
+
+
+@register("f07_push", f"{_NAMED_SQL} select id, target_id, concat('Alert: ', name, ' on ', source) as title, concat('[', severity_text, '] ', name, ' matched on ', source, ' (severity ', severity_text, ')') as body from n")
+def f07(spark, d):
+    return _named(spark, d).select("id", "target_id", outbox.push_title(F.lit(False)).alias("title"), outbox.push_body().alias("body"))
+
+
+@register("f09_handle_name", f"{_NAMED_SQL} select id, target_id, concat_ws('/', 'alerts', source, severity_text, name, strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) as handle from n")
+def f09(spark, d):
+    return _named(spark, d).select("id", "target_id", outbox.handle_name().alias("handle"))
+
+
+@register("q15_outbox", f"""{ROUTED_FOLD_SQL}, d as (select f.*, r.name, r.pattern, t.type from folded f join rules r using (rule_id) join targets t using (target_id) where disposition <> 'throttled')
+  select id, rule_id, target_id, disposition, type, concat(case when disposition = 'fed' then 'Still active: ' else 'Alert: ' end, name, ' on ', source) as title,
+  case when type = 'push' then 'ops' else concat_ws('/', 'alerts', source, severity_text, name, strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) end as destination from d""")
+def q15(spark, d):
+    return outbox.outbox(decided(spark, d), S.rules(spark), S.targets(spark)).drop("message", "options")
+
+
+@register("q09_live_feed", f"""{ROUTED_FOLD_SQL}, l as (select 'log' as kind, id, epoch_us(ts) // 1000 as ts_ms, source, body as text, severity_text as sev from log_events where body ilike '%amount 1%' and severity >= 9 order by id desc limit 300),
+  a as (select 'alert' as kind, f.id, epoch_us(f.ts) // 1000 as ts_ms, f.source, r.name as text, f.disposition as sev from folded f join rules r using (rule_id) where f.target_id = 10 order by f.id desc limit 300)
+  select * from l union all select * from a""")
+def q09(spark, d):
+    rows = S.log_events(spark, d).where(predicates.like_any([F.col("body")], "amount 1") & predicates.severity_at_least(F.col("severity"), 9))
+    fired = incidents.ledger(decided(spark, d), S.rules(spark)).where("target_id = 10").join(S.rules(spark).select("rule_id", F.col("name").alias("rule")), "rule_id")
+    return outbox.feed_rows(rows, fired, None)
+
+
+@register("a10_feed_counters", f"""{ROUTED_FOLD_SQL} select 'log' as kind, count(*) as n from log_events union all select 'alert', count(*) from folded""")
+def a10(spark, d):
+    kinds = S.log_events(spark, d).select(F.lit("log").alias("kind")).unionByName(decided(spark, d).select(F.lit("alert").alias("kind")))
+    return kinds.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@register("m08_page_hosts", "select page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host, case when lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) like '%.example.com' then null else 'host' end as reason from pages")
+def m08(spark, d):
+    host = F.try_parse_url("url", F.lit("HOST"))
+    return S.table(spark, d, "pages").select("page_id", host.alias("host"), F.when(~F.lower(host).like("%.example.com"), "host").alias("reason"))
+
+
+# ------------------------------------------------------------------ digest and gating (O6-O9, A6-A8)
+
+
+@register("a06_digest_groups", f"""with {TEMPLATES_SQL}, b as (select source, coalesce(program, '?') as prog, fp, body[1:200] as line, min(id) as first from t group by all),
+  k as (select *, row_number() over (partition by source, prog, fp order by first) as k from b),
+  l as (select source, prog, fp, string_agg(line, '|' order by first) as bodies from k where k <= 3 group by all),
+  g as (select source, coalesce(program, '?') as prog, fp, count(*) as n, max(coalesce(severity, 0)) as worst, arg_max(severity_text, (coalesce(severity, 0), -id)) as sev_text, min(id) as first_id from t group by all)
+  select g.*, l.bodies from g join l using (source, prog, fp)""")
+def a06(spark, d):
+    return semantic.digest_groups(S.log_events(spark, d)).withColumn("bodies", F.array_join("bodies", "|"))
+
+
+@register("a07_top_source", logs("select source, count(*) as n, min(id) as first_id from log_events where severity >= 17 group by source order by n desc, first_id limit 1"))
+def a07(spark, d):
+    return semantic.top_source(S.log_events(spark, d).where("severity >= 17"))
+
+
+@register("o09_window_read", logs("select id, source from log_events where id > 100 and source like 'host-0%' and severity >= 9 order by id desc limit 5000"))
+def o09(spark, d):
+    return semantic.window_read(S.log_events(spark, d), 100, "host-0*", 9).select("id", "source")
+
+
+@register("q14_digest")
+def q14(spark, d):
+    return semantic.digest(semantic.window_read(S.log_events(spark, d), 0, "host-0*", 9))
+
+
+@register("o06_semantic_gate")
+def o06(spark, d):
+    tick = (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 600) * 600).cast("long")
+    rows = S.log_events(spark, d).where("severity >= 9").groupBy((F.pmod(F.hash("source"), F.lit(4)) + 1).cast("long").alias("rule_id"), tick.alias("tick")).agg(F.count("*").alias("new_rows"))
+    return semantic.gate(rows, 3600, 20)
+
+
+@register("o10_judge")
+def o10(spark, d):
+    text = semantic.digest(semantic.window_read(S.log_events(spark, d), 0, "host-0*", 9))
+    return semantic.judge(text.select(F.lit(7).cast("long").alias("rule_id"), F.lit("link state changed or error").alias("condition"), "digest"))
+
+
+@register("w05_outages", f"""with {LOGS}, e as (select id, ts, event_type <> 'error' as ok from (select l.*, e.event_type from log_events l join events e on e.event_id = l.id)),
+  i as (select *, sum(ok::int) over (order by ts, id) as island from e),
+  f as (select island, min(ts) as began, max(ts) as last, count(*) as failures from i where not ok group by island having epoch_us(max(ts)) - epoch_us(min(ts)) >= 600000000),
+  n as (select i.island, min(i.ts) as notice_at from i join f using (island) where not ok and epoch_us(i.ts) - epoch_us(f.began) >= 600000000 group by i.island)
+  select f.began, f.failures, n.notice_at, r.ts as recovered_at from f join n using (island) left join (select island - 1 as island, ts from i where ok) r using (island)""")
+def w05(spark, d):
+    rows = S.table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", (F.col("event_type") != "error").alias("ok"))
+    return incidents.outages(rows, 600).drop("scope")
+
+
+# ------------------------------------------------------------------ maintenance (M)
+
+
+@register("m01_retention", logs("select id from log_events where date_trunc('week', ts) + interval 7 day > timestamp '2024-04-20' - interval 90 day"))
+def m01(spark, d):
+    return maintenance.kept_events(S.log_events(spark, d), AS_OF, 90).select("id")
+
+
+@register("m03_prune", logs("select id from log_events where ts >= timestamp '2024-04-20' - interval 95 day"))
+def m03(spark, d):
+    return maintenance.prune(S.log_events(spark, d), "ts", AS_OF, 95).select("id")
+
+
+@register("m05_apply_changes", """with ch as (select o_orderkey % 1000 as c_custkey, o_orderkey as seq, case when o_orderstatus = 'F' then 'delete' else 'upsert' end as op, o_totalprice as c_acctbal from orders),
+  l as (select * from ch qualify row_number() over (partition by c_custkey order by seq desc) = 1)
+  select c_custkey, c_acctbal from customer where c_custkey not in (select c_custkey from l) union all select c_custkey, c_acctbal from l where op = 'upsert'""")
+def m05(spark, d):
+    changes = S.table(spark, d, "orders").select((F.col("o_orderkey") % 1000).alias("c_custkey"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "delete").otherwise("upsert").alias("op"), F.col("o_totalprice").alias("c_acctbal"))
+    return maintenance.apply_changes(S.table(spark, d, "customer").select("c_custkey", "c_acctbal"), changes, ["c_custkey"])
+
+
+@register("j11_cascade", "select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal < 0)")
+def j11(spark, d):
+    gone = S.table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return maintenance.cascade(S.table(spark, d, "orders"), gone, "o_custkey").select("o_orderkey")
+
+
+_COS = "list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))"
+
+
+@register("m09_template_similarity", f"""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+  s as (select a.vec_id as query_id, b.vec_id, {_COS} as cosine from v a join v b on a.vec_id <> b.vec_id where a.vec_id < 5),
+  k as (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s) select query_id, vec_id, cast(rank as integer) as rank, round(cosine, 6) as cosine from k where rank <= 5""")
+def m09(spark, d):
+    v = S.table(spark, d, "embeddings")
+    return templates.nearest(v, v.where("vec_id < 5"), 5).select("query_id", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
+
+
+@register("s15_weeks", logs("select cast(date_trunc('week', ts) as varchar)[1:10] as week_start, count(*) as n from log_events group by 1"))
+def s15(spark, d):
+    return S.log_events(spark, d).groupBy(predicates.week_start(F.col("ts")).cast("string").alias("week_start")).agg(F.count("*").alias("n"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Events routed through the ruleset and folded into incidents, by rule and disposition."""
+    return QUERIES["a12_disposition_rollup"](spark, d)
