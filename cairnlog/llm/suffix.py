@@ -22,18 +22,20 @@ from .shared import _BYTE, _power, drop_saved, mix, read_table, saved, slices, s
 
 LENGTH = 200
 TRIGGER = 64
-SMALL = 512  # phrases of a trigger that one task compares; triggers with more are compared by Spark
+SMALL = 512  # phrases of a trigger that one task compares; triggers with more are parsed again, finer
+FINE = 16  # strings of a phrase in that second parse
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int, width: int):
-    """The phrases of the rows of data: row, first start, number of starts, trigger hash, phrase hash.
+    """The phrases of the rows of data: row, first start, number of starts, trigger hash, phrase hash,
+    and the place of the trigger after the first start.
 
     A phrase holds all strings data[s:s + length] whose leftmost smallest `width`-byte hash is at
     the same place; its text is data[start : start + count - 1 + length]."""
     n, span = len(data), length - width + 1  # a string holds so many places for a trigger
     if n < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power("up", n), out=sums[1:])
     rolling = mix((sums[width:] - sums[:-width]) * _power("down", n - width + 1))
@@ -56,7 +58,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, width: int):
     edge[1:] &= (anchor[1:] != anchor[:-1]) | ~inside[:-1]
     first = np.flatnonzero(edge)
     if not len(first):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
     # a run of starts ends before the next edge or the first start that does not count
     stop = np.r_[first[1:], starts]
     outside = np.flatnonzero(np.r_[~inside, True])
@@ -64,7 +66,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, width: int):
     at = anchor[first]
     whole = span_hashes(data, first, stop - 1 + length) ^ mix((at - first).astype(np.uint64))
     row = np.searchsorted(offsets, first, side="right") - 1
-    return row, first - offsets[row], stop - first, rolling[at], whole
+    return row, first - offsets[row], stop - first, rolling[at], whole, at - first
 
 
 def _sliced(column: pa.Array):
@@ -73,7 +75,7 @@ def _sliced(column: pa.Array):
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-PHRASES = "doc_id long, text_key long, start int, strings int, trigger long, phrase long"
+PHRASES = "doc_id long, text_key long, start int, strings int, trigger long, phrase long, at int"
 
 
 def corpus_phrases(docs: DataFrame, length: int, width: int) -> DataFrame:
@@ -83,10 +85,10 @@ def corpus_phrases(docs: DataFrame, length: int, width: int) -> DataFrame:
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
             for a, _, data, offsets in _sliced(batch.column(2)):
-                row, start, count, trigger, phrase = phrases(data, offsets, length, width)
+                row, start, count, trigger, phrase, inside = phrases(data, offsets, length, width)
                 at = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(at), keys.take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64))],
+                    [ids.take(at), keys.take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(inside.astype(np.int32))],
                     [x.split()[0] for x in PHRASES.split(", ")],
                 )
 
@@ -102,7 +104,7 @@ def string_hashes(text: np.ndarray, ends: np.ndarray, counts: np.ndarray, length
     return span_hashes(text, start, start + length), owner
 
 
-PIECES = "doc_id long, text_key long, start int, strings int, trigger long, phrase long, n long, hot boolean, text binary"
+PIECES = "doc_id long, text_key long, start int, strings int, trigger long, phrase long, n long, hot boolean, text binary, at int"
 SPANS = "doc_id long, text_key long, a int, b int"
 
 
@@ -113,7 +115,7 @@ def same_row(left: DataFrame, right: DataFrame):
 def phrase_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """wanted with the bytes of each phrase. The places wanted in a document are gathered first and
     meet its text in one join."""
-    places = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "strings", "trigger", "phrase", "n", "hot")).alias("places"))
+    places = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "strings", "trigger", "phrase", "n", "hot", "at")).alias("places"))
     met = docs.join(places, same_row(docs, places)).select(docs.doc_id, docs.text_key, "text", "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +130,7 @@ def phrase_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             texts = [data[x:y].tobytes() for x, y in zip(start, stop, strict=True)]
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), *(inner.field(k) for k in ("start", "strings", "trigger", "phrase", "n", "hot")), pa.array(texts, pa.binary())], names
+                [batch.column(0).take(at), batch.column(1).take(at), *(inner.field(k) for k in ("start", "strings", "trigger", "phrase", "n", "hot")), pa.array(texts, pa.binary()), inner.field("at")], names
             )
 
     return met.mapInArrow(cut, PIECES)
@@ -205,6 +207,52 @@ def compared_hot(pieces: DataFrame, length: int) -> DataFrame:
     return rows.where("single").join(again, "string").select("doc_id", "text_key", "a", (F.col("a") + length).alias("b"))
 
 
+def refined(pieces: DataFrame, length: int) -> DataFrame:
+    """Spans for triggers with very many phrases, by a second dictionary: each phrase is cut into
+    parts of up to FINE strings, aligned with the trigger. All strings of a part share its core (the
+    bytes that each of them holds), so parts meet only where trigger, alignment and core are equal."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                text, offsets = utf8(part.column(8))
+                counts, at = (part.column(c).to_numpy().astype(np.int64) for c in (3, 9))
+                owner = np.repeat(np.arange(len(counts)), counts)
+                inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                group = (at[owner] - inside) // FINE  # of each string: its distance to the trigger
+                head = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (group[1:] != group[:-1])])
+                size = np.diff(np.r_[head, len(owner)])
+                own, first = owner[head], inside[head]
+                lo, anchor = offsets[own] + first, offsets[own] + at[own]
+                # the core of the aligned part, whether or not the phrase has all its strings
+                core_from, core_to = anchor - group[head] * FINE, anchor - group[head] * FINE - (FINE - 1) + length
+                base = int(offsets[0])
+                data = text[base : int(offsets[-1])]
+                trigger = part.column(4).to_numpy().view(np.uint64)[own]
+                core = span_hashes(data, core_from - base, core_to - base)
+                key = mix(core ^ mix(trigger + group[head].astype(np.uint64)))
+                whole = span_hashes(data, lo - base, lo - base + size - 1 + length) ^ mix((anchor - lo).astype(np.uint64))
+                rows = pa.array(own)
+                texts = [text[x : x + y - 1 + length].tobytes() for x, y in zip(lo, size, strict=True)]
+                start = part.column(2).to_numpy()[own] + first
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), part.column(6).take(rows), part.column(7).take(rows), pa.array(texts, pa.binary()), pa.array((anchor - lo).astype(np.int32))],
+                    names,
+                )
+
+    parts = saved(pieces.mapInArrow(cut, PIECES), "pfp-parts")
+    place = F.struct("doc_id", "text_key", "start", "strings", "text", "at")
+    dictionary = saved(parts.groupBy("trigger", "phrase").agg(F.sum("n").alias("n"), F.min(place).alias("w")), "pfp-part-dictionary")
+    keys = dictionary.groupBy("trigger").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1")
+    left = dictionary.join(keys.select("trigger", (F.col("c") > SMALL).alias("hot")), "trigger")
+    left = saved(left.select("w.doc_id", "w.text_key", "w.start", "w.strings", "trigger", "phrase", "n", "hot", "w.text", "w.at"), "pfp-part-pieces")
+    twice = saved(dictionary.where("n > 1").select("trigger", "phrase"), "pfp-part-twice")
+    whole = parts.where("n = 1").join(twice, ["trigger", "phrase"]).select("doc_id", "text_key", F.col("start").alias("a"), (F.col("start") + F.col("strings") - 1 + length).alias("b"))
+    return whole.union(compared(left.where("not hot"), length)).union(compared_hot(left.where("hot"), length))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> DataFrame:
     """(doc_id, text_key, a, b): byte spans covered by strings of `length` bytes that start at
     another place too. docs has doc_id, text_key and text. Spans may overlap."""
@@ -212,16 +260,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER)
     shared = saved(parse.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger"), "pfp-triggers")
     again = saved(parse.join(shared, "trigger"), "pfp-again")
     drop_saved(parse, shared)
-    place = F.struct("doc_id", "text_key", "start", "strings")
+    place = F.struct("doc_id", "text_key", "start", "strings", "at")
     dictionary = saved(again.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(place).alias("w")), "pfp-dictionary")
     open_triggers = saved(
         dictionary.groupBy("trigger").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("trigger", (F.col("c") > SMALL).alias("hot")), "pfp-open"
     )
-    wanted = dictionary.join(open_triggers, "trigger").select("w.doc_id", "w.text_key", "w.start", "w.strings", "trigger", "phrase", "n", "hot")
+    wanted = dictionary.join(open_triggers, "trigger").select("w.doc_id", "w.text_key", "w.start", "w.strings", "w.at", "trigger", "phrase", "n", "hot")
     pieces = saved(phrase_texts(docs, wanted, length), "pfp-pieces")
     twice = saved(dictionary.where("n > 1").select("trigger", "phrase"), "pfp-twice")
     whole = again.join(twice, ["trigger", "phrase"]).select("doc_id", "text_key", F.col("start").alias("a"), (F.col("start") + F.col("strings") - 1 + length).alias("b"))
-    return whole.union(compared(pieces.where("not hot"), length)).union(compared_hot(pieces.where("hot"), length))
+    return whole.union(compared(pieces.where("not hot"), length)).union(refined(pieces.where("hot"), length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> DataFrame:
