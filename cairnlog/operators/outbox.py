@@ -128,5 +128,7 @@ def feed_rows(events: DataFrame | None, firings: DataFrame | None, evaluations:
 
 
 def latest_per_key(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The last change (by seq) of each key."""
-    return changes.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("seq").desc()))).where("k = 1").drop("k")
+    """The last change (by seq) of each key; a partial aggregate, so a key changed very often is no
+    single task's work."""
+    last = changes.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).agg(F.max_by(F.struct(*changes.columns), "seq").alias("_last"))
+    return last.select("_last.*")
