@@ -22,10 +22,11 @@ SIMILARITY = 75  # hundredths
 TOKENS = 64  # minwise tokens of a document
 TREES = 8
 BRANCHES = (2, 2)  # children per node below the root's TREES children
-SMALL = 256  # documents of a node that are compared exhaustively
+SMALL = 1024  # documents of a node that are compared exhaustively
+BOTTOM = 256  # least shingle hashes kept of a set: a set of no more is kept whole
 LIKELY = 34  # agreeing tokens below which a pair is not looked up: 4 deviations under 0.75 * TOKENS
 BROADCAST_ROWS = 100_000  # documents (two longs each) that may go to every task
-SKETCH = "doc_id long, row_key long, n_shingles long, set_a long, set_b long, tokens binary"
+SKETCH = "doc_id long, row_key long, n_shingles long, set_a long, set_b long, tokens binary, bottom binary"
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,7 +88,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     two = np.array([mix(s ^ _GOLDEN).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
                 tokens = minwise(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([x.tobytes() for x in tokens], pa.binary())],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([x.tobytes() for x in tokens], pa.binary()), pa.array([(x[:BOTTOM] >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets], pa.binary())],
                     [x.split()[0] for x in SKETCH.split(", ")],
                 )
 
@@ -156,37 +157,62 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.mapInArrow(build, "rep long, shingles binary").dropDuplicates(["rep"])
 
 
-def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that agree in enough minwise tokens to be worth a look at the full sets."""
+def may_link(x: bytes, y: bytes, similarity: int) -> bool:
+    """Whether two sets can reach the similarity, from their least hashes: exactly, up to the hashes'
+    32 bits, where both sets are kept whole, else unless the estimate lies 4 deviations below."""
+    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    union, times = np.unique(np.concatenate([a, b]), return_counts=True)
+    goal, whole = similarity / 100, len(a) < BOTTOM and len(b) < BOTTOM
+    slack = 0.01 if whole else 4 * (goal * (1 - goal) / BOTTOM) ** 0.5
+    if not whole:
+        union, times = union[:BOTTOM], times[:BOTTOM]
+    return bool((times > 1).sum() >= (goal - slack) * len(union))
+
+
+def likely(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose minwise tokens and least hashes allow a link."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, TOKENS) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LIKELY))
-
-    left, right = reps.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), reps.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(agree, "a long, b long")
-
-
-def compared(nodes: DataFrame) -> DataFrame:
-    """Likely pairs (a < b) within small nodes: nodes has node, rep, c and tokens, at most SMALL rows
-    of each node, which stand together in their partition and are compared with each other outright.
-    Pairs of one component are left out."""
-
-    def likely_within(reps: np.ndarray, c: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        equal = (tokens[:, None, :] == tokens[None, :, :]).sum(axis=2) >= LIKELY
-        i, j = np.nonzero(equal & (c[:, None] != c[None, :]) & (reps[:, None] < reps[None, :]))
-        return reps[i], reps[j]
+            good = (x == y).sum(axis=1) >= LIKELY
+            for i in np.flatnonzero(good):
+                good[i] = may_link(batch.column(4)[i].as_py(), batch.column(5)[i].as_py(), similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    left = reps.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"), F.col("bottom").alias("ba"))
+    right = reps.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"), F.col("bottom").alias("bb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "ba", "bb").mapInArrow(agree, "a long, b long")
+
+
+def compared(nodes: DataFrame, similarity: int) -> DataFrame:
+    """Likely pairs (a < b) within small nodes: nodes has node, rep, c, tokens and bottom, at most
+    SMALL rows of each node, which stand together in their partition and are compared with each
+    other outright. Pairs of one component are left out."""
+
+    def agreeing(reps: np.ndarray, c: np.ndarray, low: np.ndarray, at: int) -> np.ndarray:
+        """Positions (i, j) of the rows at..at + len(reps) whose tokens agree often enough; their
+        last bytes decide here."""
+        found = []
+        for k in range(0, len(reps), 128):  # so many rows at a time bound the comparison's memory
+            equal = np.count_nonzero(low[k : k + 128, None, :] == low[None, :, :], axis=2) >= LIKELY
+            i, j = np.nonzero(equal & (c[k : k + 128, None] != c[None, :]) & (reps[k : k + 128, None] < reps[None, :]))
+            found.append(np.stack([i + k + at, j + at]))
+        return np.concatenate(found, axis=1)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
             node, reps, c = (batch.column(k).to_numpy() for k in range(3))
-            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, TOKENS)
+            low = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, TOKENS).astype(np.uint8)
             heads = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            found = [likely_within(reps[a:b], c[a:b], tokens[a:b]) for a, b in zip(heads, [*heads[1:], len(node)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
+            met = np.concatenate([agreeing(reps[a:b], c[a:b], low[a:b], a) for a, b in zip(heads, [*heads[1:], len(node)], strict=True)], axis=1)
+            # one pair turns up in many nodes of a batch: its least hashes are looked at once
+            _, first = np.unique(np.stack([reps[met[0]], reps[met[1]]]), axis=1, return_index=True)
+            met, bottoms = met[:, first], batch.column(4)
+            good = np.array([may_link(bottoms[i].as_py(), bottoms[j].as_py(), similarity) for i, j in met.T.tolist()], bool)
+            return pa.RecordBatch.from_arrays([pa.array(reps[side[good]]) for side in met], ["a", "b"])
 
         for batch in batches:
             if held is not None:
@@ -235,10 +261,10 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sketch = saved(sketches(rows), "minhash-sketch")
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
-    first = F.min(F.struct("doc_id", "row_key", "tokens"))
-    classes = saved(usable.groupBy("set_a", "set_b", "n_shingles").agg(first.alias("f")).select("set_a", "set_b", "n_shingles", F.col("f.doc_id").alias("rep"), F.col("f.row_key").alias("row_key"), F.col("f.tokens").alias("tokens")), "minhash-classes")
+    first = F.min(F.struct("doc_id", "row_key", "tokens", "bottom"))
+    classes = saved(usable.groupBy("set_a", "set_b", "n_shingles").agg(first.alias("f")).select("set_a", "set_b", "n_shingles", F.col("f.doc_id").alias("rep"), F.col("f.row_key").alias("row_key"), F.col("f.tokens").alias("tokens"), F.col("f.bottom").alias("bottom")), "minhash-classes")
     # two classes may name the same doc_id where rows repeat an id with other texts: they are one
-    reps = saved(classes.groupBy("rep").agg(F.min(F.struct("row_key", "tokens")).alias("f")).select("rep", F.col("f.row_key").alias("row_key"), F.col("f.tokens").alias("tokens")), "minhash-reps")
+    reps = saved(classes.groupBy("rep").agg(F.min(F.struct("row_key", "tokens", "bottom")).alias("f")).select("rep", F.col("f.row_key").alias("row_key"), F.col("f.tokens").alias("tokens"), F.col("f.bottom").alias("bottom")), "minhash-reps")
 
     nodes = saved(first_nodes(reps), "minhash-nodes")
     shared = saved(nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1"), "minhash-shared")
@@ -247,7 +273,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     spark = docs.sparkSession
     sets = spark.createDataFrame([], "rep long, shingles binary")
     stars = saved(live.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
-    close = saved(likely(stars, reps), "minhash-close")
+    close = saved(likely(stars, reps, similarity), "minhash-close")
     live, depth, links, groups, tried = live.select("node", "rep"), len(BRANCHES) + 1, None, None, close
     while True:
         ends = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct()
@@ -264,12 +290,12 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         mixed = saved(stats.where("lo < hi").select("node", "n", F.col("p.rep").alias("pivot"), F.col("p.c").alias("pc")), "minhash-mixed")
         if mixed.isEmpty():
             break
-        inside = saved(placed.join(mixed, "node").join(reps.select("rep", "tokens"), "rep"), "minhash-inside")
-        close = compared(inside.where(F.col("n") <= SMALL).select("node", "rep", "c", "tokens"))
+        inside = saved(placed.join(mixed, "node").join(reps.select("rep", "tokens", "bottom"), "rep"), "minhash-inside")
+        close = compared(inside.where(F.col("n") <= SMALL).select("node", "rep", "c", "tokens", "bottom"), similarity)
         large = inside.where(F.col("n") > SMALL)
         if has_large := not large.isEmpty():
             star = large.where("c != pc").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-            close = close.union(likely(star, reps)).distinct()
+            close = close.union(likely(star, reps, similarity)).distinct()
             live = saved(deeper_nodes(large.select("node", "rep", "tokens"), depth), "minhash-live")
             depth += 1
         else:
