@@ -209,7 +209,8 @@ def compared(nodes: DataFrame, similarity: int) -> DataFrame:
             heads = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             met = np.concatenate([agreeing(reps[a:b], c[a:b], low[a:b], a) for a, b in zip(heads, [*heads[1:], len(node)], strict=True)], axis=1)
             # one pair turns up in many nodes of a batch: its least hashes are looked at once
-            _, first = np.unique(np.stack([reps[met[0]], reps[met[1]]]), axis=1, return_index=True)
+            _, number = np.unique(reps, return_inverse=True)
+            _, first = np.unique(number[met[0]] * len(reps) + number[met[1]], return_index=True)
             met, bottoms = met[:, first], batch.column(4)
             good = np.array([may_link(bottoms[i].as_py(), bottoms[j].as_py(), similarity) for i, j in met.T.tolist()], bool)
             return pa.RecordBatch.from_arrays([pa.array(reps[side[good]]) for side in met], ["a", "b"])
