@@ -126,7 +126,8 @@ def documents_alike(docs: DataFrame, least: float = LEAST) -> DataFrame:
     bound meet, and within a pair of partitions by the rarest spots of each set, of which two alike
     sets must share one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_spots(rows, "text", "spots").drop("text")
+    # written first: a condition on the spots must not move below the steps that make them
+    rows = saved(with_spots(rows, "text", "spots").drop("text"), "spots-rows")
     sets = saved(rows.where(F.size("spots") > 0).groupBy("spots").agg(F.min("doc_id").alias("id")), "spots-sets")
     counts = sets.select(F.explode("spots").alias("spot")).groupBy("spot").agg(F.count("*").alias("c"))
     ranked = sets.select("id", F.size("spots").alias("n"), F.explode("spots").alias("spot")).join(counts, "spot")
