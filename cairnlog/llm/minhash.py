@@ -22,7 +22,7 @@ SIMILARITY = 75  # hundredths
 TOKENS = 64  # minwise tokens of a document
 TREES = 8
 BRANCHES = (2, 2)  # children per node below the root's TREES children
-SMALL = 1024  # documents of a node that are compared exhaustively
+SMALL = 4096  # documents of a node that are compared exhaustively
 BOTTOM = 256  # least shingle hashes kept of a set: a set of no more is kept whole
 LIKELY = 34  # agreeing tokens below which a pair is not looked up: 4 deviations under 0.75 * TOKENS
 BROADCAST_ROWS = 100_000  # documents (two longs each) that may go to every task
