@@ -50,7 +50,9 @@ def digest_groups(events: DataFrame) -> DataFrame:
 def digest(events: DataFrame, groups: int = GROUPS, chars: int = DIGEST_CHARS) -> DataFrame:
     """One row with the digest text: a header, the worst and largest groups, what was left out."""
     found = digest_groups(events)
-    ranked = found.withColumn("k", F.row_number().over(W.orderBy(F.col("worst").desc(), F.col("n").desc(), "first_id"))).where(F.col("k") <= groups)
+    order = [F.col("worst").desc(), F.col("n").desc(), F.col("first_id")]
+    # the groups shown are picked by a top-n before they are numbered in one place
+    ranked = found.orderBy(*order).limit(groups).withColumn("k", F.row_number().over(W.orderBy(*order)))
     head = F.concat(F.col("source"), F.lit(" ["), F.col("sev_text"), F.lit("] "), F.col("prog"), F.lit(": "))
     lines = F.transform(F.col("bodies"), lambda b, i: F.concat(F.lit("  "), F.when(i == 0, F.concat(F.col("n").cast("string"), F.lit("x "))).otherwise("   "), head, b))
     text = ranked.select("k", F.array_join(lines, "\n").alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"]), "\n").alias("parts"))

@@ -552,6 +552,53 @@ def s15(spark, d):
     return S.log_events(spark, d).groupBy(predicates.week_start(F.col("ts")).cast("string").alias("week_start")).agg(F.count("*").alias("n"))
 
 
+# ------------------------------------------------------------------ joins with derived registries
+
+
+@register("j06_events_templates", f"with {TEMPLATES_SQL}, r as (select fp, arg_min(template, id) as template, min(id) as template_id from t group by fp) select t.id, r.template_id, r.template from t join r using (fp)")
+def j06(spark, d):
+    rows = S.log_events(spark, d)
+    registry = templates.template_delta(rows).select("fp", "template", F.col("first_id").alias("template_id"))
+    return templates.with_template(rows).select("id", "fp").join(registry, "fp").select("id", "template_id", "template")
+
+
+@register("j07_owner_resolution", "select c_custkey as target_id, case when c_custkey % 3 = 0 then null else c_custkey end as owner_id from customer")
+def j07(spark, d):
+    customers = S.table(spark, d, "customer")
+    # two of three names are known: one spelled in full, one by its local part
+    users = customers.where("c_custkey % 3 <> 0").select(F.when(F.col("c_custkey") % 3 == 1, F.col("c_name")).otherwise(F.regexp_replace("c_name", "[^A-Za-z0-9._-]", "")).alias("username"), F.col("c_custkey").alias("user_id"))
+    rows = customers.select(F.col("c_custkey").alias("target_id"), F.when(F.col("c_custkey") % 3 == 1, F.concat("c_name", F.lit("@example.com"))).otherwise(F.col("c_name")).alias("owner_upn"))
+    return outbox.resolve_owners(rows, users).select("target_id", "owner_id")
+
+
+@register("m06_source_activity", f"with {LOGS}, {_SOURCES} select source, events, source not in (select source from log_events where severity >= 17 group by source having count(*) >= 100) as active from s")
+def m06(spark, d):
+    rows = S.log_events(spark, d)
+    sources = templates.source_delta(rows).select("source", "events", "active")
+    loud = rows.where("severity >= 17").groupBy("source").count().where("count >= 100").select("source")
+    changes = sources.join(loud, "source").select(F.lit(1).alias("seq"), F.lit("upsert").alias("op"), "source", "events", F.lit(False).alias("active"))
+    return maintenance.apply_changes(sources, changes, ["source"])
+
+
+@register("f17_handoff_options", f"""{ROUTED_FOLD_SQL} select id, target_id, case when target_id = 11 then '{{"tools":"[\\"ping\\"]","skill":"triage","model":"m1","project":"p1"}}'
+  else '{{"skill":"night","project":"main"}}' end as options from folded where disposition <> 'throttled' and target_id <> 10""")
+def f17(spark, d):
+    return outbox.outbox(decided(spark, d), S.rules(spark), S.targets(spark)).where("type = 'handoff'").select("id", "target_id", "options")
+
+
+@register("f08_fallback_body", f"{_NAMED_SQL} select id, target_id, concat('[', severity_text, '] dispatch degraded: ', body[1:120], '. Source ', source) as body from n")
+def f08(spark, d):
+    return _named(spark, d).select("id", "target_id", outbox.fallback_body(F.col("body")).alias("body"))
+
+
+@register("u02_filtered_feed", f"""{ROUTED_FOLD_SQL}, l as (select 'log' as kind, id, source, body as text from log_events where severity >= 17 and source like 'host-0%' and (body ilike '%link%' or program ilike '%link%') order by id desc limit 50),
+  a as (select 'alert' as kind, f.id, f.source, r.name as text from folded f join rules r using (rule_id) where r.name ilike '%link%' and f.target_id = 11 order by f.id desc limit 50) select * from l union all select * from a""")
+def u02(spark, d):
+    rows = S.log_events(spark, d).where(predicates.severity_at_least(F.col("severity"), 17) & predicates.glob_query(F.col("source"), "host-0*") & predicates.like_any([F.col("body"), F.col("program")], "link"))
+    fired = incidents.ledger(decided(spark, d), S.rules(spark)).where("target_id = 11").join(S.rules(spark).select("rule_id", F.col("name").alias("rule")), "rule_id")
+    return outbox.feed_rows(rows, fired.where(predicates.like_any([F.col("rule")], "link")), None, 50).select("kind", "id", "source", "text")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Events routed through the ruleset and folded into incidents, by rule and disposition."""
     return QUERIES["a12_disposition_rollup"](spark, d)
