@@ -5,8 +5,10 @@ round k - 1; positions that share a rank form the intervals of the suffix order
 has at least 2^k lines, and positions in no such interval drop out, so that each round handles less.
 A run of any length n between two powers is named by the two 2^k-runs that cover it. A run weighs
 one more than the blanks in each of its lines; runs of weight MIN_WEIGHT and more that also start
-earlier in the corpus, in order of doc_id and line, are deleted. Longer repeated runs are the unions
-of the overlapping shortest ones, so whole maximal runs go."""
+earlier in the corpus, in order of doc_id and line, are deleted. Which runs are named decides what
+goes: the shortest run of the weight from each line alone leaves the light lines that end a repeated
+run. With the shortest run of the weight up to each line as well, each line of a longer repeated run
+is in one of the two, so whole maximal runs go (maximal=True)."""
 
 from __future__ import annotations
 
@@ -25,25 +27,30 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", text).withColumn("text_key", F.xxhash64("text"))
 
 
-def line_rows(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, i, id, n): each line's ID, and the number of lines of the shortest run
-    from here that has the weight, null where the text ends before."""
+def line_rows(rows: DataFrame, maximal: bool) -> DataFrame:
+    """(doc_id, text_key, i, id, n): each line's ID, and the numbers of lines of the runs to name
+    from here, n lines as bit n - 1: the shortest that has the weight, none where the text ends
+    before; if maximal, also those that are the shortest up to their last line."""
     lines = rows.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     lines = lines.select("doc_id", "text_key", "i", F.xxhash64("line", F.length("line")).alias("id"), (F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).alias("w"))
     own = W.partitionBy("doc_id", "text_key").orderBy("i")
-    n = F.lit(None).cast("int")
-    for k in range(MIN_WEIGHT, 0, -1):
-        ahead = F.sum("w").over(own.rangeBetween(0, k - 1))
+    n = F.lit(0)
+    ahead = F.lit(0)
+    for k in range(1, MIN_WEIGHT + 1):
+        before, ahead = ahead, F.sum("w").over(own.rangeBetween(0, k - 1))
         there = F.max("i").over(own.rangeBetween(k - 1, k - 1)).isNotNull()
-        n = F.when((ahead >= MIN_WEIGHT) & there, F.lit(k)).otherwise(n)
+        shortest = before < MIN_WEIGHT
+        if maximal:
+            shortest |= ahead - F.col("w") < MIN_WEIGHT
+        n = n + F.when((ahead >= MIN_WEIGHT) & there & shortest, F.lit(1 << (k - 1))).otherwise(0)
     return lines.select("doc_id", "text_key", "i", "id", n.alias("n"))
 
 
-def repeated_lines(rows: DataFrame) -> DataFrame:
+def repeated_lines(rows: DataFrame, maximal: bool = False) -> DataFrame:
     """(doc_id, text_key, i): the lines that belong to a later copy of a run."""
     own = W.partitionBy("doc_id", "text_key").orderBy("i")
     at = lambda column, k: F.max(column).over(own.rangeBetween(k, k))
-    level = saved(line_rows(rows.select("doc_id", "text_key", "text").distinct()), "lines")
+    level = saved(line_rows(rows.select("doc_id", "text_key", "text").distinct(), maximal), "lines")
     named, size, old = None, 1, []
     while size <= MIN_WEIGHT:
         # ranks that two positions share: the intervals of common prefix >= size
@@ -51,10 +58,12 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
         level = saved(level.join(shared, "id"), "lines-level")
         old += [shared]
         ranks = level.select("doc_id", "text_key", "i", "n", "id", *(at("id", k).alias(f"o{k}") for k in range(1, size)))
-        name = F.when(F.col("n") == size, F.col("id"))
-        for k in range(1, size):
-            name = F.when((F.col("n") == size + k) & F.col(f"o{k}").isNotNull(), F.xxhash64("id", f"o{k}", F.lit(k))).otherwise(name)
-        part = ranks.select("doc_id", "text_key", "i", "n", name.alias("name")).where("name is not null")
+        runs = []
+        for k in range(min(size, MIN_WEIGHT - size + 1)):
+            name = F.xxhash64("id", f"o{k}", F.lit(k)) if k else F.col("id")
+            asked = F.col("n").bitwiseAND(1 << (size + k - 1)) != 0
+            runs += [F.when(asked & F.col(f"o{k}").isNotNull() if k else asked, F.struct(F.lit(size + k).alias("n"), name.alias("name")))]
+        part = ranks.select("doc_id", "text_key", "i", F.explode(F.array_compact(F.array(*runs))).alias("run")).select("doc_id", "text_key", "i", "run.n", "run.name")
         named = part if named is None else named.union(part)
         level = level.withColumn("next", at("id", size)).where("next is not null").select("doc_id", "text_key", "i", F.xxhash64("id", "next").alias("id"), "n")
         size *= 2
@@ -67,14 +76,16 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     return gone
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, maximal: bool = False) -> DataFrame:
     """docs with the later copies of repeated line runs deleted from text, and n_lines, n_removed.
 
     Null text is empty and has one empty line. Rows that repeat both doc_id and text count as one
     document and are treated alike; rows without doc_id come first in the order. Text that no
-    repeated run touches stays as it is. Columns other than doc_id and text pass through."""
+    repeated run touches stays as it is. Columns other than doc_id and text pass through. Repeated
+    runs are the shortest of the weight from each line, the rule of op7_line_dedup's SQL, or whole
+    maximal runs."""
     rows = keyed(docs)
-    gone = repeated_lines(rows).groupBy("doc_id", "text_key").agg(F.collect_set("i").alias("gone"))
+    gone = repeated_lines(rows, maximal).groupBy("doc_id", "text_key").agg(F.collect_set("i").alias("gone"))
     gone = gone.withColumnsRenamed({"doc_id": "gone_id", "text_key": "gone_key"})
     met = rows.join(gone, rows.doc_id.eqNullSafe(gone.gone_id) & (rows.text_key == gone.gone_key), "left")
     # the split stays a column of its own: within a lambda it would be done for every line

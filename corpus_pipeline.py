@@ -22,11 +22,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; one of which no line is left goes.
+    """Documents without later copies of maximal repeated line runs; one of which no line is left goes.
 
     The condition uses the counts alone: one on the new text would be evaluated below the step that
     splits it into lines, once for every line."""
-    left = lines.without_repeats(docs).where("n_removed < n_lines")
+    left = lines.without_repeats(docs, maximal=True).where("n_removed < n_lines")
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

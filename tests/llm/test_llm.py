@@ -337,6 +337,29 @@ def test_lines(spark, docs):
     assert lines.without_repeats(docs).count() == docs.count()
 
 
+def test_maximal_lines(spark):
+    """Every run of the weight, of any length, against brute force; copies leave no tail."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.choice("ab") for _ in range(rng.choice([1, 1, 2, 3, 9])))
+    base = [[line() for _ in range(rng.randrange(1, 14))] for _ in range(12)]
+    texts = [b[rng.randrange(len(b)) :] + rng.choice(base)[: rng.randrange(1, 14)] for b in base * 3]
+    texts += [["long line of eight words or more now", "its tail."]] * 2 + [["r"] * 30, [""] * 12, ["x"] * 7, ["x"] * 7]
+    first, gone = {}, collections.defaultdict(set)
+    for i, ls in enumerate(texts):
+        for p in range(len(ls)):
+            for q in range(p + 1, len(ls) + 1):
+                if sum(x.count(" ") + 1 for x in ls[p:q]) >= 8 and first.setdefault(tuple(ls[p:q]), (i, p)) != (i, p):
+                    gone[i] |= set(range(p, q))
+    df = spark.createDataFrame([(i, "\n".join(ls), 0) for i, ls in enumerate(texts)], DOC + ", n_chars long").repartition(3)
+    got = {r.doc_id: r for r in lines.without_repeats(df, maximal=True).collect()}
+    for i, ls in enumerate(texts):
+        assert (got[i].n_removed, got[i].text) == (len(gone[i]), "\n".join(x for k, x in enumerate(ls) if k not in gone[i]))
+    kept = {r.doc_id for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
+    assert kept == {i for i, ls in enumerate(texts) if len(gone[i]) < len(ls)} and 37 not in kept
+
+
 # -- 8
 
 
