@@ -2,14 +2,18 @@
 
 Each source is cut into blocks of equal text size. Its target weight w gives its j-th block the
 release time j / w and the deadline (j + 1) / w, and each slot of the mixture goes to the released
-block whose deadline comes first. With weights that are fractions of one period this repeats period
-by period, so only one period is scheduled and every block finds its slot by arithmetic. After any
-number of slots every source has had its share to within less than one block."""
+block whose deadline comes first. Weights are exact fractions and every slot of the mixture is
+scheduled, so after any number of slots every source has had its share to within less than one
+block. The schedule has a row for each block; one task makes it, in memory for the sources alone."""
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,22 +45,63 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def pfair(slots: dict[str, int]) -> dict[str, list[int]]:
-    """One period by earliest deadline first among released blocks: the slots of each source.
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in the very proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if bad := [s for s, w in exact.items() if w <= 0]:
+        raise ValueError(f"no weight for {sorted(bad)}")
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
 
-    Block j of a source with a of P slots is released at floor(jP / a) and due at ceil((j + 1)P / a);
-    as the weights sum to one, every block runs in its window."""
-    period = sum(slots.values())
-    given: dict[str, list[int]] = {s: [] for s in slots}
-    for t in range(period):
-        ready = [(-(-(len(given[s]) + 1) * period // a), s) for s, a in slots.items() if len(given[s]) < a and len(given[s]) * period // a <= t]
-        due, source = min(ready)
+
+def schedule(weights: dict[str, int], length: int) -> Iterator[tuple[str, int]]:
+    """(source, block) of each slot by earliest deadline first among released blocks.
+
+    Block j of a source with a of P is released at floor(jP / a) and due at ceil((j + 1)P / a); as
+    the weights sum to one, every block runs in its window."""
+    total = sum(weights.values())
+    coming = [(0, s, 0) for s in weights]  # released at, source, block
+    heapq.heapify(coming)
+    ready: list[tuple[int, str, int]] = []  # due at, source, block
+    for t in range(length):
+        while coming and coming[0][0] <= t:
+            _, s, j = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), s, j))
+        due, s, j = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("a block missed its deadline")
-        given[source].append(t)
+        heapq.heappush(coming, ((j + 1) * total // weights[s], s, j + 1))
+        yield s, j
+
+
+def pfair(slots: dict[str, int]) -> dict[str, list[int]]:
+    """One period of sum(slots) slots: the slots of each source."""
+    given: dict[str, list[int]] = {s: [] for s in slots}
+    for t, (s, _) in enumerate(schedule(slots, sum(slots.values()))):
+        given[s].append(t)
     return given
 
 
+def slot_rows(spark: SparkSession, weights: dict[str, int], count: dict[str, int], length: int, batch: int = 1 << 16) -> DataFrame:
+    """(mix_of, mix_at, mix_epoch, mix_block, mix_slot): the source that each slot holds, and its block
+    within one use of the source."""
+    schema = "mix_of string, mix_at long, mix_epoch long, mix_block long, mix_slot long"
+    names = ["mix_of", "mix_at", "mix_epoch", "mix_block", "mix_slot"]
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for _ in frames:
+            for t, (s, j) in enumerate(schedule(weights, length)):
+                out.append((s, j % count[s], j // count[s], j, t))
+                if len(out) == batch:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return saved(spark.range(0, 1, 1, 1).mapInPandas(rows, schema), "mix-slots")
+
+
 def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with the source label, size and block of each row. A source's rows stand in the order of
     a hash of their id; sizes are summed within PARTS ranges of the hash and the ranges' sums are
@@ -95,29 +140,16 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars:
     weights = weights or default_weights(sizes)
     if missing := set(sizes) - set(weights):
         raise ValueError(f"no weight for {sorted(missing)}")
-    slots = shares({s: weights[s] for s in sizes})
-    period = sum(slots.values())
+    exact = whole({s: weights[s] for s in sizes})
+    total = sum(exact.values())
     count = {s: max(1, -(-n // block_chars)) for s, n in sizes.items()}
-    length = max(-(-count[s] * period // slots[s]) for s in sizes)
-    plan = []
-    for s, given in pfair(slots).items():
-        used = length // period * slots[s] + sum(t < length % period for t in given)
-        while used < count[s]:  # the last block of the richest source may fall on the next slots
-            used += 1
-        plan.append((s, count[s], used, given))
-    plan = spark.createDataFrame(plan, "s string, blocks long, used long, given array<long>")
-    rows = rows.join(F.broadcast(plan), F.col("mix_source") == F.col("s"))
-    last = F.expr("(used - 1 - block) div blocks")
-    rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    rows = rows.withColumn("mix_block", F.col("mix_epoch") * F.col("blocks") + F.col("block"))
-    a = F.size("given")
-    rows = rows.withColumns(
-        {
-            "mix_release": F.col("mix_block") * F.lit(float(period)) / a,
-            "mix_deadline": (F.col("mix_block") + 1) * F.lit(float(period)) / a,
-            "mix_slot": F.floor(F.col("mix_block") / a) * period + F.get("given", (F.col("mix_block") % a).cast("int")),
-        }
-    )
+    length = max(-(-count[s] * total // exact[s]) for s in sizes)  # the last first use is due by then
+    plan = spark.createDataFrame([(s, count[s], total / a) for s, a in exact.items()], "mix_s string, mix_blocks long, mix_width double")
+    rows = rows.join(F.broadcast(plan), F.col("mix_source") == F.col("mix_s"))
+    # empty texts behind a source's last full block belong to it
+    rows = rows.withColumn("mix_within", F.least("block", F.col("mix_blocks") - 1))
+    rows = rows.join(slot_rows(spark, exact, count, length), (F.col("mix_source") == F.col("mix_of")) & (F.col("mix_within") == F.col("mix_at")))
+    rows = rows.withColumns({"mix_release": F.col("mix_block") * F.col("mix_width"), "mix_deadline": (F.col("mix_block") + 1) * F.col("mix_width")})
     return rows.select(*docs.columns, *added)
 
 

@@ -388,6 +388,24 @@ def test_mixing(spark, docs):
     assert mixing.mixed(empty(spark, docs)).count() == 0
 
 
+@pytest.mark.parametrize("weights", [{"big": 1.0, "mid": 0.1, **{f"t{k}": 3.7e-4 for k in range(5)}}, {f"s{k}": 1.0 + (k % 7) ** 2 for k in range(1100)}])
+def test_mixing_exact_weights(spark, weights):
+    """Tiny and more than 1000 sources: under one block from the weights as they were given."""
+    rows = [(k, "x" * 10, s) for k, s in enumerate(weights)] + [(9000 + k, "y" * 10, next(iter(weights))) for k in range(40)]
+    rows += [(20_000 + k, "", next(iter(weights))) for k in range(40)]
+    df = spark.createDataFrame(rows, DOC + ", source string")
+    got = mixing.mixed(df, weights, block_chars=10).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}
+    slots = {r.mix_slot: r.source for r in got}
+    order = [slots[t] for t in range(len(slots))]
+    total, had = sum(weights.values()), collections.Counter()
+    for t, s in enumerate(order, 1):
+        had[s] += 1
+        assert abs(had[s] - weights[s] / total * t) < 1 + 1e-9
+        if t % 97 == 0 or t == len(order):
+            assert all(abs(had[x] - w / total * t) < 1 + 1e-9 for x, w in weights.items())
+
+
 # -- 10
 
 
