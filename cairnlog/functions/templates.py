@@ -59,13 +59,15 @@ def merge_sources(old: DataFrame, delta: DataFrame) -> DataFrame:
     return both.groupBy("source").agg(F.sum("events").alias("events"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max_by("active", "fresh").alias("active"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors (vec_id, embedding) to each query vector by cosine. Queries are a
-    stated small set; they go to every task and each partition keeps its own best k first."""
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+    """The k nearest vectors (vec_id, embedding) to each query vector by cosine. A task takes one
+    partition of the vectors and about `block` queries; nothing is broadcast. Spark's group limit
+    keeps each task's own best k before the rank."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("qn"))
     v = vectors.select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("n"))
-    pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
+    q = q.repartition(max(1, -(-queries.count() // block)), "query_id")
+    pairs = v.join(q.hint("shuffle_replicate_nl"), F.col("vec_id") != F.col("query_id"))
     scored = pairs.select("query_id", "vec_id", (dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("n"))).alias("cosine"))
     best = W.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -547,6 +547,14 @@ def m09(spark, d):
     return templates.nearest(v, v.where("vec_id < 5"), 5).select("query_id", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
+@register("m09_neighbours", f"""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+  s as (select a.vec_id as query_id, b.vec_id, {_COS} as cosine from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+  k as (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s) select query_id, vec_id, cast(rank as integer) as rank, round(cosine, 6) as cosine from k where rank <= 5""")
+def m09_neighbours(spark, d):
+    v = S.table(spark, d, "embeddings")
+    return templates.nearest(v, v.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
+
+
 @register("s15_weeks", logs("select cast(date_trunc('week', ts) as varchar)[1:10] as week_start, count(*) as n from log_events group by 1"))
 def s15(spark, d):
     return S.log_events(spark, d).groupBy(predicates.week_start(F.col("ts")).cast("string").alias("week_start")).agg(F.count("*").alias("n"))

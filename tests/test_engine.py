@@ -165,3 +165,27 @@ def test_unknown_globs(spark):
     r = spark.createDataFrame([rule(1, "x", glob="host-1"), rule(2, "x", glob="hots-1"), rule(3, "x", glob="z*")], RULE)
     s = spark.createDataFrame([("host-1", True), ("host-2", True), ("gone", False)], "source string, active boolean")
     assert [tuple(x) for x in routing.unknown_globs(r, s).collect()] == [(2, "hots-1", "host-1,host-2")]
+
+
+def test_neighbours(spark):
+    """Every row whose id is divisible by 50, in several blocks, against all rows; ties by id."""
+    import random
+
+    from cairnlog.functions import templates
+    from cairnlog.plans import catalog
+
+    rng = random.Random(2)
+    vecs = {i: [float(rng.randrange(1, 5)) for _ in range(3)] for i in range(400)}
+    v = spark.createDataFrame(list(vecs.items()), "vec_id long, embedding array<float>").repartition(3)
+    found = templates.nearest(v, v.where("vec_id % 50 = 0"), 5, block=3)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "WindowGroupLimit" in plan and "BroadcastNestedLoopJoin" not in plan
+    got = {(r.query_id, r["rank"]): r.vec_id for r in found.collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for q in range(0, 400, 50):
+        cos = lambda i: dot(vecs[q], vecs[i]) / (dot(vecs[q], vecs[q]) ** 0.5 * dot(vecs[i], vecs[i]) ** 0.5)  # noqa: E731, B023
+        best = sorted((i for i in vecs if i != q), key=lambda i: (-cos(i), i))[:5]
+        assert [got[q, k] for k in range(1, 6)] == best
+    rows = catalog.QUERIES["m09_neighbours"](spark, "/root/testdata/sf0.001").collect()
+    ids = [r.vec_id for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 50 = 0").collect()]
+    assert {(r.query_id, r["rank"]) for r in rows} == {(i, k) for i in ids for k in range(1, 6)}
