@@ -27,14 +27,14 @@ def window_read(events: DataFrame, after_id: int = 0, glob: str | None = None, l
     return scope.where(severity_at_least(F.col("severity"), least)).orderBy(F.col("id").desc()).limit(rows)
 
 
-def digest_groups(events: DataFrame) -> DataFrame:
-    """By source, program and template: events, worst severity (null is 0), the severity word of
+def digest_groups(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """By source, program and template (and the columns of `by`, not null): events, worst severity (null is 0), the severity word of
     the earliest worst event, first arrival, and the first three distinct bodies."""
     sev = F.coalesce("severity", F.lit(0))
     first = F.array_sort(F.collect_set(F.struct("first", "line")))
     rows = with_template(events).withColumns({"prog": F.coalesce("program", F.lit("?")), "line": F.substring(F.coalesce("body", F.lit("")), 1, 200)})
     # distinct bodies with their first arrival, three of which are kept before they are gathered
-    own = ["source", "prog", "fp"]
+    own = [*by, "source", "prog", "fp"]
     lines = rows.groupBy(*own, "line").agg(F.min("id").alias("first"))
     top = lines.withColumn("k", F.row_number().over(W.partitionBy(*own).orderBy("first"))).where("k <= 3")
     bodies = top.groupBy(*own).agg(F.transform(first, lambda x: x["line"]).alias("bodies"))
@@ -64,6 +64,30 @@ def digest(events: DataFrame, groups: int = GROUPS, chars: int = DIGEST_CHARS) -
     return facts.crossJoin(text).select(F.substring(F.concat(header, F.lit("\n"), F.coalesce("parts", F.lit("")), rest), 1, chars).alias("digest"), F.col("n").alias("event_count"))
 
 
+def window_digests(events: DataFrame, by: tuple[str, ...] = ("rule_id", "window"), groups: int = GROUPS, chars: int = DIGEST_CHARS) -> DataFrame:
+    """digest() of each window, from all of its rows: by, digest, event_count."""
+    order = [F.col("worst").desc(), F.col("n").desc(), F.col("first_id")]
+    found = digest_groups(events, by)
+    ranked = found.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("k") <= groups)
+    head = F.concat(F.col("source"), F.lit(" ["), F.col("sev_text"), F.lit("] "), F.col("prog"), F.lit(": "))
+    lines = F.transform(F.col("bodies"), lambda b, i: F.concat(F.lit("  "), F.when(i == 0, F.concat(F.col("n").cast("string"), F.lit("x "))).otherwise("   "), head, b))
+    parts = ranked.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.array_join(lines, "\n").alias("part")))), lambda x: x["part"]), "\n").alias("parts"))
+    clock = lambda c: F.date_format(c, "HH:mm:ss")
+    facts = events.groupBy(*by).agg(F.count("*").alias("n"), F.min_by("ts", "id").alias("a"), F.max_by("ts", "id").alias("b")).join(found.groupBy(*by).agg(F.count("*").alias("g")), list(by))
+    header = F.concat(F.col("n").cast("string"), F.lit(" events over "), clock("a"), F.lit("-"), clock("b"), F.lit("Z, "), F.col("g").cast("string"), F.lit(" message types, worst first:"))
+    rest = F.when(F.col("g") > groups, F.concat(F.lit("\n  ...(+"), (F.col("g") - groups).cast("string"), F.lit(" more types)"))).otherwise("")
+    return facts.join(parts, list(by)).select(*by, F.substring(F.concat(header, F.lit("\n"), "parts", rest), 1, chars).alias("digest"), F.col("n").alias("event_count"))
+
+
+def evaluated(rows: DataFrame, gated: DataFrame) -> DataFrame:
+    """rows (rule_id, tick, ...) with window, the tick of gate()'s evaluation that takes them. Rows of
+    a rule's first tick, the baseline, and rows that wait for an evaluation are in no window."""
+    ticks = rows.select("rule_id", "tick").distinct().join(gated.select("rule_id", "tick", F.col("tick").alias("at")), ["rule_id", "tick"], "left")
+    own = W.partitionBy("rule_id").orderBy("tick")
+    ticks = ticks.select("rule_id", "tick", F.row_number().over(own).alias("k"), F.min("at").over(own.rowsBetween(0, W.unboundedFollowing)).alias("window"))
+    return rows.join(ticks.where("k > 1 and window is not null").drop("k"), ["rule_id", "tick"])
+
+
 def top_source(events: DataFrame) -> DataFrame:
     return events.groupBy("source").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).orderBy(F.col("n").desc(), "first_id").limit(1)
 

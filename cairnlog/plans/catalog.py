@@ -481,22 +481,34 @@ def o09(spark, d):
     return semantic.window_read(S.log_events(spark, d), 100, "host-0*", 9).select("id", "source")
 
 
+def _ticked(spark, d):
+    tick = (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 600) * 600).cast("long")
+    return S.log_events(spark, d).where("severity >= 9").withColumns({"rule_id": (F.pmod(F.hash("source"), F.lit(4)) + 1).cast("long"), "tick": tick})
+
+
+def _gated(rows):
+    return semantic.gate(rows.groupBy("rule_id", "tick").agg(F.count("*").alias("new_rows")), 3600, 20)
+
+
+def _evaluated(spark, d):
+    rows = _ticked(spark, d)
+    return semantic.evaluated(rows, _gated(rows))
+
+
 @register("q14_digest")
 def q14(spark, d):
-    return semantic.digest(semantic.window_read(S.log_events(spark, d), 0, "host-0*", 9))
+    return semantic.window_digests(_evaluated(spark, d))
 
 
 @register("o06_semantic_gate")
 def o06(spark, d):
-    tick = (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 600) * 600).cast("long")
-    rows = S.log_events(spark, d).where("severity >= 9").groupBy((F.pmod(F.hash("source"), F.lit(4)) + 1).cast("long").alias("rule_id"), tick.alias("tick")).agg(F.count("*").alias("new_rows"))
-    return semantic.gate(rows, 3600, 20)
+    return _gated(_ticked(spark, d))
 
 
 @register("o10_judge")
 def o10(spark, d):
-    text = semantic.digest(semantic.window_read(S.log_events(spark, d), 0, "host-0*", 9))
-    return semantic.judge(text.select(F.lit(7).cast("long").alias("rule_id"), F.lit("link state changed or error").alias("condition"), "digest"))
+    text = semantic.window_digests(_evaluated(spark, d))
+    return semantic.judge(text.select("rule_id", "window", F.lit("link state changed or error").alias("condition"), "digest"))
 
 
 @register("w05_outages", f"""with {LOGS}, e as (select id, ts, event_type <> 'error' as ok from (select l.*, e.event_type from log_events l join events e on e.event_id = l.id)),

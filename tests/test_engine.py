@@ -189,3 +189,20 @@ def test_neighbours(spark):
     rows = catalog.QUERIES["m09_neighbours"](spark, "/root/testdata/sf0.001").collect()
     ids = [r.vec_id for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 50 = 0").collect()]
     assert {(r.query_id, r["rank"]) for r in rows} == {(i, k) for i in ids for k in range(1, 6)}
+
+
+def test_every_window_is_judged(spark):
+    """One digest and judgement for each evaluation of the gate, from all rows that it took."""
+    from cairnlog.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    gated = {(r.rule_id, r.tick): r.pending for r in catalog.QUERIES["o06_semantic_gate"](spark, d).collect()}
+    rows = catalog._evaluated(spark, d).cache()
+    found = {(r.rule_id, r.window): r for r in semantic.window_digests(rows).collect()}
+    assert len(gated) > 1 and {k: r.event_count for k, r in found.items()} == gated
+    for rule, window in sorted(found)[:3]:
+        alone = semantic.digest(rows.where((F.col("rule_id") == rule) & (F.col("window") == window))).collect()[0]
+        assert found[rule, window].digest == alone.digest
+    judged = catalog.QUERIES["o10_judge"](spark, d).collect()
+    assert sorted((r.rule_id, r.window) for r in judged) == sorted(gated) and all(r.fire is not None for r in judged)
+    print("windows judged:", len(judged))
