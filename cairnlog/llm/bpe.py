@@ -1,4 +1,4 @@
-"""Token counts by byte-level BPE with numpy.
+"""Token counts and ids by byte-level BPE with numpy.
 
 A batch's texts become one code-point array; pre-tokens are cut by comparing neighbouring character
 classes; distinct pre-tokens are held as one ragged array of symbol ids. In every round each
@@ -8,6 +8,7 @@ The symbols that survive are the tokens."""
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -70,10 +71,19 @@ class Vocabulary:
         made = np.array([ids[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
-        self.specials = [x["content"] for x in model["added_tokens"]]
+        self.specials = {x["content"]: x["id"] for x in model["added_tokens"]}
+        if any(x.get(k) for x in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip")) or model.get("normalizer"):
+            raise ValueError("added tokens that look at their surroundings, and normalizers, are not supported")
+        # of several at one place the longest counts
+        longest = sorted(self.specials, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.classes = CharClasses()
+        # pre-tokens seen so far: hash, number of tokens, and where their ids begin in `known_ids`
         self.cache_keys = np.zeros(0, np.uint64)
         self.cache_counts = np.zeros(0, np.int64)
+        self.cache_at = np.zeros(0, np.int64)
+        self.known_ids = np.zeros(1 << 16, np.uint32)
+        self.known = 0
 
     NONE = 1 << 60
 
@@ -82,10 +92,12 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, self.ranks[at], self.NONE)
 
-    def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Symbols left of each byte sequence after all merges, every sequence in step."""
+    def merged(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of symbols left of each byte sequence after all merges, every sequence in step,
+        and the symbols of all sequences one after another."""
         lengths = ends - starts
         out = lengths.copy()
+        left: list[tuple[np.ndarray, np.ndarray]] = []  # (sequences, symbols) that are done
         owner = np.repeat(np.arange(len(lengths)), lengths)
         first = np.cumsum(lengths) - lengths
         symbols = self.byte_ids[data[np.arange(len(owner)) - np.repeat(first - starts, lengths)]]
@@ -107,11 +119,14 @@ class Vocabulary:
                 at = at[(at - start) % 2 == 0]
                 symbols[at] = self.made[rank[at]]
             keep = np.repeat(~ended, sizes)
+            left.append((owner[~keep], symbols[~keep]))
             keep[at + 1] = False
             symbols, owner = symbols[keep], owner[keep]
         if len(symbols) == 1:
             out[owner[0]] = 1
-        return out
+        left.append((owner, symbols))
+        whose, ids = (np.concatenate(x) for x in zip(*left, strict=True))
+        return out, ids[np.argsort(whose, kind="stable")].astype(np.uint32)
 
     def pretokens(self, cps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Starts of the pre-tokens of the texts cps[bounds[i]:bounds[i + 1]], all texts at once.
@@ -152,49 +167,82 @@ class Vocabulary:
             start[rest[(kind[rest] == LETTER) & ~text_start[rest]]] = True
         return np.flatnonzero(start)
 
-    def count_texts(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text as the tokenizers library counts them, special strings included."""
-        extra = np.zeros(len(texts), np.int64)
-        parts, owner = [], []
+    def tokens_of(self, data: np.ndarray, byte_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pre-token data[byte_at[i]:byte_at[i + 1]] its number of tokens and where in
+        known_ids its ids begin. Each distinct pre-token is merged once and then remembered."""
+        keys = span_hashes(data, byte_at[:-1], byte_at[1:])
+        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        if self.known > 1 << 25:  # the memory only saves time: begin anew before it grows large
+            self.cache_keys, self.cache_counts, self.cache_at, self.known = self.cache_keys[:0], self.cache_counts[:0], self.cache_at[:0], 0
+        at = np.searchsorted(self.cache_keys, distinct)
+        seen = np.zeros(len(distinct), bool)
+        inside = at < len(self.cache_keys)
+        seen[inside] = self.cache_keys[at[inside]] == distinct[inside]
+        new = np.flatnonzero(~seen)
+        if len(new):
+            spot = first[new]
+            counts, ids = self.merged(data, byte_at[spot], byte_at[spot + 1])
+            if self.known + len(ids) > len(self.known_ids):
+                self.known_ids = np.concatenate([self.known_ids[: self.known], np.zeros(self.known + 2 * len(ids), np.uint32)])
+            self.known_ids[self.known : self.known + len(ids)] = ids
+            begin = self.known + np.cumsum(counts) - counts
+            self.known += len(ids)
+            self.cache_counts = np.insert(self.cache_counts, at[new], counts)
+            self.cache_at = np.insert(self.cache_at, at[new], begin)
+            self.cache_keys = np.insert(self.cache_keys, at[new], distinct[new])
+            at = np.searchsorted(self.cache_keys, distinct)
+        return self.cache_counts[at][back], self.cache_at[at][back]
+
+    def parts(self, texts: list[str]) -> tuple[list[str], list[int], list[int]]:
+        """The texts cut at added tokens: parts, the text of each, and the id of the added token
+        after it, or -1."""
+        parts, owner, after = [], [], []
         for i, text in enumerate(texts):
-            pieces = [text]
-            for special in self.specials:
-                if special in text:
-                    pieces = [y for x in pieces for y in x.split(special)]
-            extra[i] = len(pieces) - 1
-            parts += pieces
-            owner += [i] * len(pieces)
+            pieces = self.special.split(text) if self.special and any(x in text for x in self.specials) else [text]
+            parts += pieces[::2]
+            owner += [i] * len(pieces[::2])
+            after += [*(self.specials[x] for x in pieces[1::2]), -1]
+        return parts, owner, after
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As the tokenizers library does it, special strings included: of each piece (a pre-token or
+        an added token) its text, number of tokens and place in known_ids; pieces of a text stand in
+        order. Added tokens have place -1 and their id in the last array."""
+        parts, owner, after = self.parts(texts)
         sizes = np.fromiter((len(x) for x in parts), np.int64, len(parts))
         joined = "".join(parts)
         cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         data = np.frombuffer(joined.encode("utf-8"), np.uint8)
         bounds = np.r_[0, np.cumsum(sizes)]
         starts = self.pretokens(cps, bounds)
-        if not len(starts):
-            return extra
         if len(data) == len(cps):
             byte_at = np.r_[starts, len(cps)]
         else:
             width = 1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000)
             byte_at = np.r_[0, np.cumsum(width)][np.r_[starts, len(cps)]]
-        keys = span_hashes(data, byte_at[:-1], byte_at[1:])
-        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        counts = np.zeros(len(distinct), np.int64)
-        known = np.zeros(len(distinct), bool)
-        if len(self.cache_keys):
-            at = np.minimum(np.searchsorted(self.cache_keys, distinct), len(self.cache_keys) - 1)
-            known = self.cache_keys[at] == distinct
-            counts[known] = self.cache_counts[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            spot = first[new]
-            counts[new] = self.counts(data, byte_at[spot], byte_at[spot + 1])
-            if len(self.cache_keys) < 2_000_000:  # the cache only saves time
-                order = np.argsort(np.r_[self.cache_keys, distinct[new]])
-                self.cache_counts = np.r_[self.cache_counts, counts[new]][order]
-                self.cache_keys = np.r_[self.cache_keys, distinct[new]][order]
-        total = np.bincount(np.searchsorted(bounds, starts, side="right") - 1, weights=counts[back], minlength=len(parts))
-        return extra + np.bincount(np.asarray(owner, np.int64), weights=total, minlength=len(texts)).astype(np.int64)
+        counts, at = self.tokens_of(data, byte_at) if len(starts) else (np.zeros(0, np.int64),) * 2
+        part = np.searchsorted(bounds, starts, side="right") - 1
+        owner, after = np.asarray(owner, np.int64), np.asarray(after, np.int64)
+        extra = np.flatnonzero(after >= 0)
+        if len(extra):  # each added token follows the pre-tokens of its part
+            spot = np.searchsorted(part, extra, side="right")
+            counts, at, part = np.insert(counts, spot, 1), np.insert(at, spot, -1), np.insert(part, spot, extra)
+        return owner[part], counts, at, np.where(at < 0, after[part], 0)
+
+    def count_texts(self, texts: list[str]) -> np.ndarray:
+        """The number of tokens of each text."""
+        owner, counts, _, _ = self.encoded(texts)
+        return np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)
+
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and the n + 1 offsets of the texts in them."""
+        owner, counts, at, added = self.encoded(texts)
+        first = np.cumsum(counts) - counts
+        place = np.repeat(at - first, counts) + np.arange(counts.sum())
+        ids = self.known_ids[np.maximum(place, 0)]
+        special = np.flatnonzero(at < 0)
+        ids[first[special]] = added[special]
+        return ids, np.r_[0, np.cumsum(np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64))]
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:

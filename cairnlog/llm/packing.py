@@ -7,7 +7,7 @@ its rank among the pieces of its length, and the rank decides its sequence and o
 
 from __future__ import annotations
 
-import json
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary_path
-from .shared import read_table, saved
+from .bpe import Vocabulary, vocabulary_path
+from .shared import read_table, saved, slices, utf8
 
 SIZE = 2048
 END_ID = 0
@@ -56,93 +56,123 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, Bin]]:
     return [(n, lengths) for groups in rooms.values() for n, lengths in groups if n]
 
 
-def completions(largest: int, counts: np.ndarray, size: int, sign: int = 1, width: int = 12, items: int = 8) -> list[tuple[int, Bin]]:
-    """Undominated fillings of the space beside `largest`: (waste, lengths), least waste first.
+def fillings(counts: list[int], room: int, largest: int, waste: int, longest_first: bool) -> Iterator[tuple[int, Bin]]:
+    """The undominated fillings of `room` beside `largest` that waste at most `waste`, as (waste,
+    lengths), least waste first: multisets of the lengths that are left, of any number of items.
 
     A filling is dominated when one of its items, or two of them together, could be swapped for a
-    longer (or single) item that still fits; fillings are grown item by item, and of the first items
-    the `width` are followed that leave the least waste after the best next item."""
-    have = counts.copy()
-    have[largest] -= 1
-    found: dict[Bin, int] = {}
-
-    def grow(room: int, top: int, chosen: Bin) -> None:
-        available = np.flatnonzero(have[1 : min(room, top) + 1]) + 1
-        for x in set(chosen):  # copies that are used up
-            if x <= min(room, top) and chosen.count(x) >= have[x]:
-                available = available[available != x]
-        if not len(available) or len(chosen) == items:
-            found.setdefault(chosen, room)
-            return
-        rest = room - available
-        at = np.searchsorted(available, np.minimum(rest, available), side="right") - 1
-        waste = np.where(at >= 0, rest - available[np.maximum(at, 0)], rest)
-        order = np.lexsort((-available, waste))[: (width, 2)[len(chosen)] if len(chosen) < 2 else 1]
-        for k in order:
-            grow(int(rest[k]), int(available[k]), (*chosen, int(available[k])))
-
-    grow(size - largest, largest, ())
-    kinds = np.flatnonzero(have)
-
-    def dominated(lengths: Bin, waste: int) -> bool:
-        parts = [*lengths, *(a + b for i, a in enumerate(lengths) for b in lengths[i + 1 :])]
-        for part, single in zip(parts, [True] * len(lengths) + [False] * len(parts), strict=False):
-            at = np.searchsorted(kinds, part + (1 if single else 0))
-            if at < len(kinds) and kinds[at] <= part + waste:
+    longer (or single) item that is left and still fits. sums[i] has a bit for each total that the
+    i shortest lengths can make, so the walk never enters a branch without a filling."""
+    kinds = [x for x in range(1, min(largest, room) + 1) if counts[x]]
+    mask, made = (1 << (room + 1)) - 1, 1
+    sums = [made]
+    for x in kinds:
+        many, step = min(counts[x], room // x), 1
+        while many:  # copies in powers of two
+            step = min(step, many)
+            made |= (made << (step * x)) & mask
+            many -= step
+            step *= 2
+        sums.append(made)
+
+    def free(x: int, chosen: Bin) -> bool:
+        return counts[x] > chosen.count(x)
+
+    def dominated(chosen: Bin, lost: int) -> bool:
+        kept = sorted(set(chosen))
+        for i, x in enumerate(kept):
+            if any(free(y, chosen) for y in range(x + 1, min(x + lost, largest) + 1)):
                 return True
+            for y in kept[i:]:
+                if (x != y or chosen.count(x) > 1) and any(free(z, chosen) for z in range(x + y, min(x + y + lost, largest) + 1)):
+                    return True
         return False
 
-    # of equal waste, first the filling whose items are the shortest (sign 1) or longest (sign -1)
-    best = sorted(((waste, lengths) for lengths, waste in found.items()), key=lambda x: (x[0], [sign * n for n in x[1]]))
-    kept = [x for x in best if x[0] == 0 or not dominated(x[1], x[0])]
-    return (kept or best)[: 2 * width]
+    def walk(i: int, left: int, chosen: Bin) -> Iterator[Bin]:
+        if not left:
+            yield chosen
+            return
+        order = range(i, 0, -1) if longest_first else range(1, i + 1)
+        for k in order:
+            x = kinds[k - 1]
+            most = min(counts[x], left // x)
+            for n in range(most, 0, -1) if longest_first else range(1, most + 1):
+                if sums[k - 1] >> (left - n * x) & 1:
+                    yield from walk(k - 1, left - n * x, (*chosen, *[x] * n))
+
+    for lost in range(min(waste, room) + 1):
+        if made >> (room - lost) & 1:
+            for chosen in walk(len(kinds), room - lost, ()):
+                if not lost or not dominated(chosen, lost):
+                    yield lost, chosen
 
 
 def bin_completion(histogram: dict[int, int], size: int = SIZE, nodes: int = 4_000) -> list[tuple[int, Bin]]:
     """Patterns (number of sequences, lengths) that hold every piece of the histogram.
 
-    Best-fit decreasing is the first incumbent. The search always completes the largest length left,
-    takes a filling as often as the counts allow, and drops a branch whose waste already rules out
-    fewer sequences than the incumbent. It ends at the bound ceil(total / size), or after `nodes`
-    steps, a limit on effort alone: every result packs every piece."""
-    counts = {k: v for k, v in histogram.items() if v}
-    if not counts:
+    Best-fit decreasing is the first incumbent. The depth-first search always completes the largest
+    length left, takes a filling as often as the counts allow (and, after that, once), and leaves a
+    branch whose waste rules out fewer sequences than the incumbent. It is exact when it ends by
+    itself or at the bound ceil(total / size). `nodes` bounds the effort alone, half of it for
+    fillings of long items first and half for short ones: a search cut short by it keeps the best
+    packing found, which still holds every piece."""
+    counts = [0] * (size + 1)
+    for k, v in histogram.items():
+        counts[k] = v
+    total = sum(k * v for k, v in histogram.items())
+    if not total:
         return []
-    total = sum(k * v for k, v in counts.items())
     bound = -(-total // size)
-    best = best_fit(counts, size)
+    best = best_fit({k: v for k, v in histogram.items() if v}, size)
     best_n = sum(n for n, _ in best)
-    start = np.zeros(size + 1, np.int64)
-    for k, v in counts.items():
-        start[k] = v
-    for sign in (1, -1):
-        todo, stack = nodes // 2, [(start, 0, None, 0)]  # counts left, waste, runs so far (linked), sequences
-        while stack and best_n > bound and todo:
-            todo -= 1
-            left, waste, runs, used = stack.pop()
-            if waste > (best_n - 1) * size - total:
+
+    def spare() -> int:  # the waste that a packing better than the incumbent may have
+        return (best_n - 1) * size - total
+
+    def put(times: int, filled: Bin) -> None:
+        for x in filled:
+            counts[x] -= times
+
+    def options(longest: int, wasted: int, longest_first: bool) -> Iterator[tuple[int, int, Bin]]:
+        """(times, waste of one, lengths) for the sequences that hold the longest length left."""
+        rest = list(counts)
+        rest[longest] -= 1
+        for waste, others in fillings(rest, size - longest, longest, spare() - wasted, longest_first):
+            filled = (longest, *others)
+            times = min(counts[x] // filled.count(x) for x in set(filled))
+            if waste:  # no oftener than the bound allows
+                times = min(times, max(1, (spare() - wasted) // waste))
+            yield times, waste, filled
+            if times > 1:
+                yield 1, waste, filled
+
+    for longest_first in (True, False):
+        todo, lost, used = nodes // 2, 0, 0
+        open_nodes = [options(max(k for k in range(size + 1) if counts[k]), 0, longest_first)]
+        taken: list[tuple[int, int, Bin]] = []  # the step below each open node that is being followed
+        while open_nodes and best_n > bound and todo:
+            if len(taken) == len(open_nodes):  # back from below
+                times, waste, filled = taken.pop()
+                put(-times, filled)
+                lost, used = lost - times * waste, used - times
+            step = next(open_nodes[-1], None)
+            if step is None:
+                open_nodes.pop()
                 continue
-            lengths = np.flatnonzero(left)
-            if not len(lengths):
-                if used < best_n:
-                    best, best_n, run = [], used, runs
-                    while run is not None:
-                        run, n, filled = run
-                        best.append((n, filled))
+            times, waste, filled = step
+            if lost + times * waste > spare():  # the incumbent has become better since
                 continue
-            largest = int(lengths[-1])
-            for lost, filling in reversed(completions(largest, left, size, sign)):
-                filled = (largest, *filling)
-                kinds, need = np.unique(filled, return_counts=True)
-                times = int((left[kinds] // need).min())
-                spare = (best_n - 1) * size - total - waste
-                if times and lost <= spare:
-                    if lost:  # no oftener than the bound allows
-                        times = min(times, max(1, spare // lost))
-                    after = left.copy()
-                    after[kinds] -= need * times
-                    stack.append((after, waste + lost * times, (runs, times, filled), used + times))
-            del stack[: max(0, len(stack) - 4000)]
+            todo -= 1
+            put(times, filled)
+            taken.append(step)
+            lost, used = lost + times * waste, used + times
+            longest = next((k for k in range(filled[0], 0, -1) if counts[k]), 0)
+            if longest:
+                open_nodes.append(options(longest, lost, longest_first))
+            elif used < best_n:  # all is packed, in fewer sequences
+                best, best_n = [(n, x) for n, _, x in taken], used
+        for times, _, filled in taken:
+            put(-times, filled)
     return best
 
 
@@ -166,40 +196,33 @@ def placement(patterns: list[tuple[int, Bin]]) -> dict[str, np.ndarray]:
 # --------------------------------------------------------------------------- Spark
 
 
-def _encoder(path: str):
-    """tiktoken's encoder over the vocabulary of a byte-level BPE file of the tokenizers library;
-    both give the same ids (tests compare them), and this one takes a fifth of the time."""
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in shown)}
-    specials = {x["content"]: x["id"] for x in model["added_tokens"]}
-    ranks = {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in specials}
-    # fixed value: the pre-token pattern of byte-level BPE
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
-
-
 def token_pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of each whole text and an end id, cut
-    from the end into pieces of `size`, so that the first may be shorter. Null text is empty."""
+    from the end into pieces of `size`, so that the first may be shorter. Null text is empty. The ids
+    are those of the tokenizers library (bpe.Vocabulary), for texts of any kind and length."""
     path = vocabulary or vocabulary_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        vocab = Vocabulary(path)
+        names = [x.split()[0] for x in PIECES.split(", ")]
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encoder.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32(END_ID)).astype("<u4")
-                first = len(ids) % size or size
-                edges = [0, *range(min(first, len(ids)), len(ids) + 1, size)]
-                for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-            schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            column = batch.column(1)
+            _, offsets = utf8(column)
+            for a, b in slices(offsets, 2 << 20):
+                ids, at = vocab.encode_texts([x or "" for x in column.slice(a, b - a).to_pylist()])
+                n = np.diff(at)
+                total = n + 1  # with the end id
+                pieces = -(-total // size)
+                owner = np.repeat(np.arange(b - a), pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = total - (pieces - 1) * size
+                start = np.where(piece == 0, 0, first[owner] + (piece - 1) * size)
+                length = np.where(piece == 0, first[owner], size)
+                ended = np.insert(ids, at[1:], END_ID).astype("<u4")
+                begin = (at[:-1] + np.arange(b - a))[owner] + start
+                crc = [zlib.crc32(ended[x : x + y].tobytes()) for x, y in zip(begin.tolist(), length.tolist(), strict=True)]
+                doc = batch.column(0).take(pa.array(owner + a))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
@@ -209,10 +232,15 @@ def packed(pieces: DataFrame, size: int = SIZE, salts: int = 64, nodes: int = 4_
 
     Ranks within a length are counted in `salts` parts, so a length that very many pieces share is
     not gathered in one task. The plan that goes to the tasks has at most a few rows for each of the
-    `size` possible lengths."""
+    `size` possible lengths. Pieces of a length are ranked in the order of a hash and sequences of one
+    pattern are numbered far apart, so that every stretch of sequence numbers holds all lengths and
+    sources in their shares: a mixture keeps its weights through the packing."""
     spark = pieces.sparkSession
     lengths = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `size` rows
-    plan = placement(bin_completion({r.length: r.n for r in lengths}, size, nodes))
+    patterns = bin_completion({r.length: r.n for r in lengths}, size, nodes)
+    plan = placement(patterns)
+    sequences = max(1, sum(n for n, _ in patterns))
+    stride = next(k for k in range(int(sequences * 0.618) or 1, 2 * sequences + 1) if math.gcd(k, sequences) == 1)
     shared = spark.sparkContext.broadcast(plan)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
@@ -231,7 +259,7 @@ def packed(pieces: DataFrame, size: int = SIZE, salts: int = 64, nodes: int = 4_
             length, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 5))
             at = np.searchsorted(plan["length"] * step + plan["rank"], length * step + np.minimum(rank, step - 1), side="right") - 1
             local = rank - plan["rank"][at]
-            sequence = plan["base"][at] + local // plan["per"][at]
+            sequence = (plan["base"][at] + local // plan["per"][at]) * stride % sequences
             offset = plan["offset"][at] + local % plan["per"][at] * length
             columns = [*(batch.column(k) for k in range(5)), pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PACKED.split(", ")])

@@ -233,10 +233,25 @@ def test_tokens_equal_the_library():
     rng = random.Random(1)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", "a" * 5000, "aaa " * 999]
     library = Tokenizer.from_file(bpe.vocabulary_path())
+    texts += [" " * 1_000_000, "\n" * 200_000 + "x", "<|endoftext|>" * 3, "<|endoftext|>a<|endoftext|>"]
     ids = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
-    assert bpe.Vocabulary(bpe.vocabulary_path()).count_texts(texts).tolist() == [len(x) for x in ids]
-    encoder = packing._encoder(bpe.vocabulary_path())
-    assert [encoder.encode_to_numpy(t, allowed_special="all").tolist() for t in texts] == ids
+    vocab = bpe.Vocabulary(bpe.vocabulary_path())
+    for part in (slice(0, 1000), slice(None), slice(500, 2500)):  # with pre-tokens known from before
+        assert vocab.count_texts(texts[part]).tolist() == [len(x) for x in ids[part]]
+        found, at = vocab.encode_texts(texts[part])
+        assert [found[a:b].tolist() for a, b in zip(at, at[1:])] == ids[part]
+    assert vocab.encode_texts([])[0].tolist() == [] and vocab.encode_texts(["", ""])[1].tolist() == [0, 0, 0]
+
+
+def test_added_tokens_with_context_are_refused(tmp_path):
+    import json
+
+    with open(bpe.vocabulary_path(), encoding="utf-8") as f:
+        model = json.load(f)
+    model["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "v.json").write_text(json.dumps(model))
+    with pytest.raises(ValueError, match="added tokens"):
+        bpe.Vocabulary(str(tmp_path / "v.json"))
 
 
 def test_token_counts(spark, docs):
@@ -262,10 +277,46 @@ def test_bin_completion():
     assert packing.best_fit({60: 2, 40: 2}, 100) and sum(n for n, _ in packing.bin_completion({6: 1, 5: 2, 4: 1, 3: 2, 2: 2}, 10)) == 3
 
 
+@pytest.mark.parametrize("seed", [0, 3, 6])
+def test_bin_completion_finds_better_than_best_fit(seed):
+    """Triplets that fill their bins: the optimum is known, and best fit misses it."""
+    rng = random.Random(seed)
+    size, bins = 100, 12
+    counts = collections.Counter()
+    for _ in range(bins):
+        a, b = rng.randrange(26, 49), rng.randrange(26, 49)
+        counts.update([a, b, size - a - b])
+    assert sum(n for n, _ in packing.best_fit(dict(counts), size)) > bins
+    plan = packing.bin_completion(counts, size)
+    assert sum(n for n, _ in plan) == bins and all(sum(x) == size for _, x in plan)
+
+
+def test_bin_completion_is_exact():
+    """Small histograms against all packings; fillings of far more than eight items take part."""
+
+    def least(items, rooms):
+        if not items:
+            return len(rooms)
+        found = least(items[1:], (*rooms, 20 - items[0])) if len(rooms) < 9 else 99
+        for k in {r: i for i, r in enumerate(rooms) if r >= items[0]}.values():
+            found = min(found, least(items[1:], tuple(sorted((*rooms[:k], rooms[k] - items[0], *rooms[k + 1 :])))))
+        return found
+
+    rng = random.Random(3)
+    for _ in range(25):
+        items = sorted((rng.randrange(4, 14) for _ in range(9)), reverse=True)
+        plan = packing.bin_completion(collections.Counter(items), 20, nodes=100_000)
+        assert sum(n for n, _ in plan) == least(items, ())
+    assert packing.bin_completion({1: 2040, 8: 1}, 2048) == [(1, (8, *[1] * 2040))]
+    counts = {700: 300, 690: 200, 650: 400, 30: 50}
+    assert sum(n for n, _ in packing.bin_completion(counts, 2048)) < sum(n for n, _ in packing.best_fit(counts, 2048)) - 40
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(bpe.vocabulary_path())
+    docs = docs.union(spark.createDataFrame([(800, " " * 1_000_000, "en", "s", 1, 2, 3)], docs.schema))
     got = packing.pack_documents(docs).collect()
     want = collections.Counter()
     for i, t in rows_of(docs):
