@@ -342,26 +342,44 @@ def test_packing(spark, docs):
 # -- 6
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("members", [False, True])
+def test_warc_round_trip(spark, tmp_path, members):
+    """Null and long payloads, repeated page_ids with equal and other payloads, a null page_id."""
     rows = [(1, "http://a/1", "same"), (2, "http://a/2\r\nX: y", "same"), (3, None, None), (4, "", ""), (5, "u", "é" * 5000), (6, "u", "\r\n\r\nWARC/1.1\r\n"), (None, "n", "alone"), (7, "u", "same"), (8, "u", "solo")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    rows += [(20, "a", "X"), (20, "a", "Y"), (30, "b", "Y"), (40, "c", "twice"), (40, "c", "twice"), (41, "d", "long " * 400_000)]
+    pages = spark.createDataFrame([(*r, 0, "x") for r in rows], "page_id long, url string, html string, sha long, payload string").repartition(3)
     found = warc.with_digests(pages)
     links = warc.revisits(found)
     folder = f"file://{tmp_path}/warc"
-    index = warc.write_archives(found.join(links, "page_id", "left"), folder, target_bytes=300)
-    got = {r.page_id: r for r in warc.read_archives(index, folder).collect()}
+    index = warc.write_archives(found.join(links, ["page_id", "sha"], "left"), folder, target_bytes=300, members=members)
+    got = collections.defaultdict(list)
+    for r in warc.read_archives(index, folder).collect():
+        got[r.page_id, r.payload_digest].append(r)
+    assert sum(map(len, got.values())) == len(rows)
     for i, _, html in rows:
-        data, r = (html or "").encode(), got[i]
-        assert (r.payload_bytes, r.payload_digest) == (len(data), warc._digest(data))
-        assert bytes(r.payload) == (data if r.record_type == "response" else b"")
-    assert {i: r.refers_to for i, r in got.items() if r.refers_to} == {1: 7, 2: 7, 3: 4}
+        data = (html or "").encode()
+        for r in got[i, warc._digest(data)]:
+            assert r.payload_bytes == len(data) and bytes(r.payload) == (data if r.record_type == "response" else b"")
+    assert {i: r.refers_to for (i, _), rs in got.items() for r in rs if r.refers_to} == {1: 7, 2: 7, 3: 4, 20: 30}
+    assert [r.record_type for r in got[40, warc._digest(b"twice")]] == ["response"] * 2
     some = index.where("page_id in (5, 6)")
     assert {r.page_id for r in warc.read_archives(some, folder, gap=0).collect()} == {5, 6}
     assert warc.read_archives(index.limit(0), folder).count() == 0
+    assert warc.read_archives(index, folder).rdd.getNumPartitions() == 1
     assert [(a, b, m) for a, b, m in warc.coalesced([(0, 5), (5, 5), (30, 5)], 10, 100)] == [(0, 10, [0, 1]), (30, 35, [2])]
     assert not warc.revisits(found, min_bytes=1).where("page_id = 3").count()
 
 
+def test_warc_headers():
+    """The headers that WARC/1.1 asks of each record, and ids of their own for repeated page_ids."""
+    one = warc.record_bytes(7, "http://a", b"<p>", warc._digest(b"<p>"), None, date="2024-01-02T03:04:05Z").decode()
+    two = warc.record_bytes(7, "http://a", b"<q>", warc._digest(b"<q>"), 9, "http://b").decode()
+    for name in ("WARC-Type: ", "WARC-Record-ID: <", "WARC-Date: ", "Content-Type: application/http", "Content-Length: "):
+        assert f"\r\n{name}" in one and f"\r\n{name}" in two
+    assert one.endswith("\r\n\r\n<p>\r\n\r\n") and "<q>" not in two and f"WARC-Refers-To: {warc.record_id(9, warc._digest(b'<q>'), 'http://b')}" in two
+    assert one.split("Record-ID: ")[1].split("\r")[0] != two.split("Record-ID: ")[1].split("\r")[0]
+
+
 # -- 7
 
 
