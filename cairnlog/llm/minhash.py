@@ -2,9 +2,11 @@
 
 A document's shingle set is embedded as minwise tokens, one for each of many hash functions. Trees
 branch documents by some of these tokens: every node chooses the same coordinates for all documents
-in it, and a child holds those that agree there. Nodes that became small are compared exhaustively;
-larger ones are linked through a pivot and branch on while they hold documents that no link connects
-yet. Independent trees raise the recall; every link is confirmed on the full sets."""
+in it, none twice on a path, and a child holds those that agree there. Nodes that became small are
+compared exhaustively; larger ones are linked through a pivot and branch on while they hold documents
+that no link connects yet: over the cluster while a node is too large for a task, within the task from
+then on. A path that has used up its coordinates ends in an exhaustive comparison, in pairs of blocks
+over many tasks. Independent trees raise the recall; every link is confirmed on the full sets."""
 
 from __future__ import annotations
 
@@ -22,7 +24,10 @@ SIMILARITY = 75  # hundredths
 TOKENS = 64  # minwise tokens of a document
 TREES = 8
 BRANCHES = (2, 2)  # children per node below the root's TREES children
-SMALL = 4096  # documents of a node that are compared exhaustively
+SMALL = 256  # documents of a node that are compared exhaustively
+TASK = 8192  # documents of a node that one task branches further; larger nodes branch over the cluster
+LEVELS = 2  # levels that nodes larger than TASK branch at once
+DEEPEST = 40  # depth at which nodes still larger than TASK are compared exhaustively, in pairs of blocks
 BOTTOM = 256  # least shingle hashes kept of a set: a set of no more is kept whole
 LIKELY = 34  # agreeing tokens below which a pair is not looked up: 4 deviations under 0.75 * TOKENS
 BROADCAST_ROWS = 100_000  # documents (two longs each) that may go to every task
@@ -95,53 +100,83 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sketch, SKETCH)
 
 
-def _branch(nodes: np.ndarray, tokens: np.ndarray, children: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The children of each (node, document): node hashes and the rows they come from. Which
-    coordinates a node looks at depends on the node alone."""
+def _unused(used: np.ndarray, wish: np.ndarray) -> np.ndarray:
+    """The first coordinate from `wish` on (cyclically) whose bit in `used` is not set."""
+    pick = wish % np.uint64(TOKENS)
+    while (taken := (used >> pick) & np.uint64(1)).any():
+        pick = (pick + taken) % np.uint64(TOKENS)
+    return pick
+
+
+def _branch(nodes: np.ndarray, used: np.ndarray, tokens: np.ndarray, children: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The children of each (node, document): node hashes, coordinates used (bits) and the rows they
+    come from. Which coordinate a child looks at depends on the node alone; none comes twice."""
     rows = np.tile(np.arange(len(nodes)), children)
-    salt = np.repeat(np.arange(1, children + 1, dtype=np.uint64), len(nodes)) + np.uint64(depth << 8)
-    pick = mix(nodes[rows] + salt * _GOLDEN)
-    token = tokens[rows, (pick % np.uint64(TOKENS)).astype(np.int64)].astype(np.uint64)
-    return mix(pick ^ mix(token + _GOLDEN)), rows
+    used = used[rows]
+    salt = np.repeat(np.arange(1, children + 1, dtype=np.uint64), len(nodes))
+    pick = _unused(used, mix(nodes[rows] + salt * _GOLDEN))
+    token = tokens[rows, pick.astype(np.int64)].astype(np.uint64)
+    found = mix(mix(nodes[rows] + salt) ^ mix(token + (pick + np.uint64(1)) * _GOLDEN))
+    return found, used | (np.uint64(1) << pick), rows
+
+
+def _second_child(nodes: np.ndarray) -> np.ndarray:
+    """Whether a node has a second child: one of three has, so that of a pair at the similarity 0.75
+    one child is expected to hold both, and of less similar pairs fewer."""
+    return mix(nodes + np.uint64(7)) % np.uint64(3) == 0
+
+
+NODES = "node long, used long, rep long"
 
 
 def first_nodes(classes: DataFrame) -> DataFrame:
-    """(node, rep, depth) for the nodes of all trees at the depth where most have one document."""
+    """NODES for all trees at the depth where most nodes have one document."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 4000):
                 part = batch.slice(k, 4000)
                 tokens = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, TOKENS)
-                nodes = mix(np.zeros(len(tokens), np.uint64))
-                nodes, rows = _branch(nodes, tokens, TREES, 0)
-                for depth, children in enumerate(BRANCHES, 1):
-                    nodes, more = _branch(nodes, tokens[rows], children, depth)
+                rows = np.arange(len(tokens))
+                nodes, used = mix(np.zeros(len(tokens), np.uint64)), np.zeros(len(tokens), np.uint64)
+                for children in (TREES, *BRANCHES):
+                    nodes, used, more = _branch(nodes, used, tokens[rows], children)
                     rows = rows[more]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), part.column(0).take(pa.array(rows))], ["node", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(used.view(np.int64)), part.column(0).take(pa.array(rows))], ["node", "used", "rep"])
 
-    return classes.select("rep", "tokens").mapInArrow(walk, "node long, rep long")
+    return classes.select("rep", "tokens").mapInArrow(walk, NODES)
 
 
-def deeper_nodes(nodes: DataFrame, depth: int) -> DataFrame:
-    """The children of (node, rep, tokens): one for two nodes of three, else two, so that of a pair at the
-    similarity 0.75 one child is expected to hold both, and of less similar pairs fewer."""
+def deeper_nodes(nodes: DataFrame) -> DataFrame:
+    """The descendants, LEVELS down, of (node, used, rep, tokens)."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, TOKENS)
-            nodes = batch.column(0).to_numpy().view(np.uint64)
-            found, rows = _branch(nodes, tokens, 2, depth)
-            keep = (np.arange(len(rows)) < len(nodes)) | (mix(nodes + np.uint64(depth))[rows] % np.uint64(3) == 0)
-            found, rows = found[keep], rows[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(1).take(pa.array(rows))], ["node", "rep"])
+            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, TOKENS)
+            found, used = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            rows = np.arange(len(found))
+            for _ in range(LEVELS):
+                more, mask, back = _branch(found, used, tokens[rows], 2)
+                keep = (np.arange(len(back)) < len(found)) | _second_child(found)[back]
+                found, used, rows = more[keep], mask[keep], rows[back[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(used.view(np.int64)), batch.column(2).take(pa.array(rows))], ["node", "used", "rep"])
+
+    return nodes.select("node", "used", "rep", "tokens").mapInArrow(walk, NODES)
+
 
-    return nodes.select("node", "rep", "tokens").mapInArrow(walk, "node long, rep long")
+def block_pairs(nodes: DataFrame, size: int) -> DataFrame:
+    """(node, used, rep, ...) with each node dealt into pairs of blocks of about size / 2 documents, which are
+    nodes of their own with no coordinate left: every two documents of a node meet in one of them."""
+    blocks = F.ceil(F.col("n") * 2 / size).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    dealt = nodes.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.withColumns({"node": pair, "used": F.lit(-1).cast("long")}).drop("own", "other")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles): the full sets of the classes wanted (rep, row_key), from the texts. Few
-    enough of them are sent to the scan; more meet the texts in a shuffled join."""
+    """(rep, shingles): the full sets of the classes wanted (rep, first_id, first_key), from the texts.
+    Few enough of them are sent to the scan; more meet the texts in a shuffled join."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,21 +187,40 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    # a class may have several rows with its smallest id: any of them has the same set
-    met = docs.join(wanted, (docs.doc_id == wanted.rep) & (docs.row_key == wanted.row_key)).select("rep", "text")
+    # rows may repeat a class's first row: any of them has the same text
+    met = docs.join(wanted, (docs.doc_id == wanted.first_id) & (docs.row_key == wanted.first_key)).select("rep", "text")
     return met.mapInArrow(build, "rep long, shingles binary").dropDuplicates(["rep"])
 
 
-def may_link(x: bytes, y: bytes, similarity: int) -> bool:
-    """Whether two sets can reach the similarity, from their least hashes: exactly, up to the hashes'
+_PAD = np.uint32(0xFFFFFFFF)
+
+
+def least_hashes(column: pa.Array) -> np.ndarray:
+    """The least hashes of each row, BOTTOM places wide."""
+    data, offsets = utf8(column)
+    sizes = np.diff(offsets) // 4
+    out = np.full((len(column), BOTTOM), _PAD, np.uint32)
+    out[np.arange(BOTTOM) < sizes[:, None]] = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint32)
+    return out
+
+
+def may_link(x: np.ndarray, y: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether pairs of sets can reach the similarity, from their least hashes: exactly, up to the hashes'
     32 bits, where both sets are kept whole, else unless the estimate lies 4 deviations below."""
-    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-    union, times = np.unique(np.concatenate([a, b]), return_counts=True)
-    goal, whole = similarity / 100, len(a) < BOTTOM and len(b) < BOTTOM
-    slack = 0.01 if whole else 4 * (goal * (1 - goal) / BOTTOM) ** 0.5
-    if not whole:
-        union, times = union[:BOTTOM], times[:BOTTOM]
-    return bool((times > 1).sum() >= (goal - slack) * len(union))
+    goal = similarity / 100
+    out = [np.zeros(0, bool)]
+    for k in range(0, len(x), 2048):
+        a, b = x[k : k + 2048], y[k : k + 2048]
+        whole = (a[:, -1] == _PAD) & (b[:, -1] == _PAD)
+        both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+        equal = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _PAD)
+        place = np.cumsum(~equal, axis=1)  # distinct hashes before each
+        limit = np.where(whole, 2 * BOTTOM, BOTTOM)
+        common = (equal & (place < limit[:, None])).sum(axis=1)
+        union = np.minimum((both != _PAD).sum(axis=1) - equal.sum(axis=1), limit)
+        slack = np.where(whole, 0.01, 4 * (goal * (1 - goal) / BOTTOM) ** 0.5)
+        out.append(common >= (goal - slack) * union)
+    return np.concatenate(out)
 
 
 def likely(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
@@ -175,44 +229,63 @@ def likely(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, TOKENS) for k in (2, 3))
-            good = (x == y).sum(axis=1) >= LIKELY
-            for i in np.flatnonzero(good):
-                good[i] = may_link(batch.column(4)[i].as_py(), batch.column(5)[i].as_py(), similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            near = batch.filter(pa.array((x == y).sum(axis=1) >= LIKELY))
+            good = may_link(least_hashes(near.column(4)), least_hashes(near.column(5)), similarity)
+            yield near.select(["a", "b"]).filter(pa.array(good))
 
     left = reps.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"), F.col("bottom").alias("ba"))
     right = reps.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"), F.col("bottom").alias("bb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "ba", "bb").mapInArrow(agree, "a long, b long")
 
 
-def compared(nodes: DataFrame, similarity: int) -> DataFrame:
-    """Likely pairs (a < b) within small nodes: nodes has node, rep, c, tokens and bottom, at most
-    SMALL rows of each node, which stand together in their partition and are compared with each
-    other outright. Pairs of one component are left out."""
-
-    def agreeing(reps: np.ndarray, c: np.ndarray, low: np.ndarray, at: int) -> np.ndarray:
-        """Positions (i, j) of the rows at..at + len(reps) whose tokens agree often enough; their
-        last bytes decide here."""
-        found = []
-        for k in range(0, len(reps), 128):  # so many rows at a time bound the comparison's memory
-            equal = np.count_nonzero(low[k : k + 128, None, :] == low[None, :, :], axis=2) >= LIKELY
-            i, j = np.nonzero(equal & (c[k : k + 128, None] != c[None, :]) & (reps[k : k + 128, None] < reps[None, :]))
-            found.append(np.stack([i + k + at, j + at]))
-        return np.concatenate(found, axis=1)
+def node_pairs(node: int, used: int, reps: np.ndarray, c: np.ndarray, tokens: np.ndarray, small: int) -> np.ndarray:
+    """Positions (i, j) of documents of one node whose tokens agree often enough, of different
+    components c: the node branches until at most `small` documents are left or no coordinate is,
+    and those are compared with each other outright."""
+    low = tokens.astype(np.uint8)  # the tokens' last bytes decide here
+    found, todo = [np.zeros((2, 0), np.int64)], [(np.uint64(node), np.uint64(used), np.arange(len(reps)))]
+    while todo:
+        at, mask, rows = todo.pop()
+        if len(rows) < 2 or c[rows].min() == c[rows].max():
+            continue
+        if len(rows) <= small or mask == np.uint64((1 << 64) - 1):
+            part, own, ids = low[rows], c[rows], reps[rows]
+            for k in range(0, len(rows), 128):  # so many rows at a time bound the comparison's memory
+                equal = np.count_nonzero(part[k : k + 128, None, :] == part[None, :, :], axis=2) >= LIKELY
+                i, j = np.nonzero(equal & (own[k : k + 128, None] != own[None, :]) & (ids[k : k + 128, None] < ids[None, :]))
+                found.append(np.stack([rows[i + k], rows[j]]))
+            continue
+        children = 2 if _second_child(np.array([at]))[0] else 1
+        nodes, masks, back = _branch(np.full(len(rows), at), np.full(len(rows), mask), tokens[rows], children)
+        order = np.argsort(nodes, kind="stable")
+        heads = np.flatnonzero(np.r_[True, nodes[order][1:] != nodes[order][:-1]])
+        for a, b in zip(heads, [*heads[1:], len(order)], strict=True):
+            if b - a > 1:
+                todo.append((nodes[order[a]], masks[order[a]], rows[back[order[a:b]]]))
+    both = np.concatenate(found, axis=1)
+    _, first = np.unique(both[0] * len(reps) + both[1], return_index=True)
+    return both[:, first]
+
+
+def compared(nodes: DataFrame, similarity: int, small: int) -> DataFrame:
+    """Likely pairs (a < b) within nodes that fit a task: nodes has node, used, rep, c, tokens and
+    bottom; the rows of a node stand together in their partition. Pairs of one component are left out."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
-            node, reps, c = (batch.column(k).to_numpy() for k in range(3))
-            low = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, TOKENS).astype(np.uint8)
+            node, used = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            reps, c = (batch.column(k).to_numpy() for k in (2, 3))
+            tokens = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, TOKENS)
             heads = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            met = np.concatenate([agreeing(reps[a:b], c[a:b], low[a:b], a) for a, b in zip(heads, [*heads[1:], len(node)], strict=True)], axis=1)
+            met = np.concatenate([a + node_pairs(node[a], used[a], reps[a:b], c[a:b], tokens[a:b], small) for a, b in zip(heads, [*heads[1:], len(node)], strict=True)], axis=1)
             # one pair turns up in many nodes of a batch: its least hashes are looked at once
             _, number = np.unique(reps, return_inverse=True)
             _, first = np.unique(number[met[0]] * len(reps) + number[met[1]], return_index=True)
-            met, bottoms = met[:, first], batch.column(4)
-            good = np.array([may_link(bottoms[i].as_py(), bottoms[j].as_py(), similarity) for i, j in met.T.tolist()], bool)
+            met = met[:, first]
+            bottoms = least_hashes(batch.column(5)) if met.shape[1] else None
+            good = np.concatenate([np.zeros(0, bool), *(may_link(bottoms[met[0, k : k + 4096]], bottoms[met[1, k : k + 4096]], similarity) for k in range(0, met.shape[1], 4096))])
             return pa.RecordBatch.from_arrays([pa.array(reps[side[good]]) for side in met], ["a", "b"])
 
         for batch in batches:
@@ -226,7 +299,8 @@ def compared(nodes: DataFrame, similarity: int) -> DataFrame:
         if held is not None:
             yield pairs(held)
 
-    return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(walk, "a long, b long").distinct()
+    rows = nodes.select("node", "used", "rep", "c", "tokens", "bottom")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(walk, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -249,36 +323,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text), and row_key (a hash
+    of the text) and leads: whether (doc_id, row_key) is the least of its component.
 
-    Rows with equal sets form a class that goes through the join once. Null, blank and empty texts
-    have no shingles and link with nothing. Rows that repeat a doc_id are rows of their own under
-    one id. A row without doc_id links with nothing.
+    Rows with equal sets form a class that goes through the join once; sets count as equal when their
+    sizes and two independent 64-bit sums of their shingles' hashes are. Null, blank and empty texts
+    have no shingles and link with nothing. Rows that repeat a doc_id are rows of their own under one
+    id, linked only as their texts are; a repeated row shares its twin's result. A row without doc_id
+    links with nothing. Of a pair at just the similarity 0.75 in a crowd of about as similar
+    documents some are missed (the README gives the recall); ties need no rule, as every link counts.
+    Texts of any length are read whole; other columns are ignored.
 
     First every node links its documents to its smallest one. After that only documents that no
     confirmed link connects yet need comparing, so a large group of near copies costs a few
-    comparisons for each document, not all pairs: nodes within one component are done, small mixed
-    nodes are compared exhaustively, large ones meet a pivot and branch on until none is left."""
+    comparisons for each document, not all pairs: nodes within one component are done, mixed nodes
+    branch and are compared, those too large for a task also meet a pivot."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sketch = saved(sketches(rows), "minhash-sketch")
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
     first = F.min(F.struct("doc_id", "row_key", "tokens", "bottom"))
-    classes = saved(usable.groupBy("set_a", "set_b", "n_shingles").agg(first.alias("f")).select("set_a", "set_b", "n_shingles", F.col("f.doc_id").alias("rep"), F.col("f.row_key").alias("row_key"), F.col("f.tokens").alias("tokens"), F.col("f.bottom").alias("bottom")), "minhash-classes")
-    # two classes may name the same doc_id where rows repeat an id with other texts: they are one
-    reps = saved(classes.groupBy("rep").agg(F.min(F.struct("row_key", "tokens", "bottom")).alias("f")).select("rep", F.col("f.row_key").alias("row_key"), F.col("f.tokens").alias("tokens"), F.col("f.bottom").alias("bottom")), "minhash-reps")
+    classes = usable.groupBy("set_a", "set_b", "n_shingles").agg(first.alias("f"))
+    # numbered once and written: the number names the class, whatever ids its rows have
+    reps = saved(classes.select(F.monotonically_increasing_id().alias("rep"), "set_a", "set_b", "n_shingles", F.col("f.doc_id").alias("first_id"), F.col("f.row_key").alias("first_key"), F.col("f.tokens").alias("tokens"), F.col("f.bottom").alias("bottom")), "minhash-classes")
 
     nodes = saved(first_nodes(reps), "minhash-nodes")
     shared = saved(nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1"), "minhash-shared")
-    live = saved(nodes.join(shared, "node").select("node", "rep", "pivot"), "minhash-live")
+    live = saved(nodes.join(shared, "node").select("node", "used", "rep", "pivot"), "minhash-live")
     drop_saved(nodes, shared)
     spark = docs.sparkSession
     sets = spark.createDataFrame([], "rep long, shingles binary")
     stars = saved(live.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
     close = saved(likely(stars, reps, similarity), "minhash-close")
-    live, depth, links, groups, tried = live.select("node", "rep"), len(BRANCHES) + 1, None, None, close
+    live, depth, links, groups, tried = live.select("node", "used", "rep"), len(BRANCHES) + 1, None, None, close
     while True:
         ends = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct()
-        missing = saved(ends.join(sets.select("rep"), "rep", "left_anti").join(reps.select("rep", "row_key"), "rep"), "minhash-missing")
+        missing = saved(ends.join(sets.select("rep"), "rep", "left_anti").join(reps.select("rep", "first_id", "first_key"), "rep"), "minhash-missing")
         if not missing.isEmpty():
             sets = sets.union(saved(full_sets(rows, missing), "minhash-sets"))
         new = saved(confirmed(close, sets, similarity), "minhash-links")
@@ -286,34 +365,45 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
             links = new if links is None else links.union(new)
             groups = saved(components(links), "minhash-groups")
         # a node whose documents are all in one component is done
-        placed = saved(live.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component_id", "rep").alias("c")), "minhash-placed")
+        placed = saved(live.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("node", "used", "rep", F.coalesce("component_id", "rep").alias("c")), "minhash-placed")
         stats = placed.groupBy("node").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("node", "rep").alias("h"), "rep", "c")).alias("p"))
         mixed = saved(stats.where("lo < hi").select("node", "n", F.col("p.rep").alias("pivot"), F.col("p.c").alias("pc")), "minhash-mixed")
         if mixed.isEmpty():
             break
         inside = saved(placed.join(mixed, "node").join(reps.select("rep", "tokens", "bottom"), "rep"), "minhash-inside")
-        close = compared(inside.where(F.col("n") <= SMALL).select("node", "rep", "c", "tokens", "bottom"), similarity)
-        large = inside.where(F.col("n") > SMALL)
+        ready, large = inside.where(F.col("n") <= TASK), inside.where(F.col("n") > TASK)
         if has_large := not large.isEmpty():
-            star = large.where("c != pc").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-            close = close.union(likely(star, reps, similarity)).distinct()
-            live = saved(deeper_nodes(large.select("node", "rep", "tokens"), depth), "minhash-live")
-            depth += 1
+            if depth >= DEEPEST:
+                ready, has_large = ready.unionByName(block_pairs(large, TASK)), False
+            else:
+                star = large.where("c != pc").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+                star = likely(star, reps, similarity)
+        close = compared(ready, similarity, SMALL)
+        if has_large:
+            close = close.union(star).distinct()
+            live = saved(deeper_nodes(large), "minhash-live")
+            depth += LEVELS
         else:
             live = live.limit(0)
         close = saved(close.join(tried, ["a", "b"], "left_anti"), "minhash-close")
         tried = tried.union(close)
         if close.isEmpty() and not has_large:
             break
-    member = saved(classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("component_id", "rep").alias("component_id")), "minhash-members")
+    # a component has the least doc_id of its classes
+    linked = reps.select("rep", "set_a", "set_b", F.col("n_shingles").alias("n"), "first_id", "first_key").join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component_id", "rep")).drop("component_id")
+    heads = linked.groupBy("c").agg(F.min(F.struct("first_id", "first_key")).alias("head"))
+    member = saved(linked.join(heads, "c").select("set_a", "set_b", "n", "head"), "minhash-members")
     met = sketch.join(member, (sketch.set_a == member.set_a) & (sketch.set_b == member.set_b) & (sketch.n_shingles == member.n), "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return met.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    usable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(usable, F.col("head.first_id")).otherwise(F.col("doc_id"))
+    leads = ~usable | ((F.col("head.first_id") == F.col("doc_id")) & (F.col("head.first_key") == F.col("row_key")))
+    found = met.select("doc_id", "n_shingles", component.alias("component_id"), "row_key", leads.alias("leads"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key", "leads")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id, kept."""
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {"op1_minhash": op1_minhash}

@@ -74,34 +74,76 @@ def brute_groups(rows):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("small", [256, 2])
-def test_minhash(spark, docs, monkeypatch, small):
-    monkeypatch.setattr(minhash, "SMALL", small)
+@pytest.mark.parametrize("task, deepest", [(8192, 40), (4, 40), (4, 5)])
+def test_minhash(spark, docs, monkeypatch, task, deepest):
+    """Null, empty and long texts, ties, repeated rows, clashing columns; nodes that fit a task, nodes
+    that branch over the cluster, and nodes compared in pairs of blocks."""
+    monkeypatch.setattr(minhash, "TASK", task)
+    monkeypatch.setattr(minhash, "SMALL", min(task, 8))
+    monkeypatch.setattr(minhash, "DEEPEST", deepest)
     want = brute_groups([r for r in dict(rows_of(docs)).items() if r[0] is not None])
     got = minhash.near_duplicates(docs).collect()
     assert len(got) == docs.count()
     for r in got:
         if r.doc_id is None:
-            assert r.component_id is None and r.kept
+            assert r.component_id is None and r.kept and r.leads
         else:
-            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
-    assert minhash.near_duplicates(empty(spark, docs)).count() == 0
-
-
-def test_minhash_large_node(spark, monkeypatch):
-    """A group of near copies larger than SMALL is found whole through pivots and deeper nodes."""
-    monkeypatch.setattr(minhash, "SMALL", 8)
-    rng = random.Random(2)
-    base = prose(rng, 150, 5000).split(" ")
-    rows = []
-    for i in range(60):
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == r.leads == (r.doc_id == r.component_id)
+    if task > 4:
+        assert minhash.near_duplicates(empty(spark, docs)).count() == 0
+
+
+def test_minhash_repeated_ids(spark):
+    """Rows under one doc_id are linked as their texts are, in any order of the rows."""
+    far, near = "a b c d e f g h i j k l", "m n o p q r s t u v w x y z a1 b1 c1 d1 e1 f1"
+    rows = [(1, far), (1, near), (2, near + " g1"), (2, "own text of five words here"), (3, far + " new")]
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, DOC)).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.leads) for r in got) == [(1, 8, 1, True), (1, 16, 1, True), (2, 2, 2, True), (2, 17, 1, False), (3, 9, 1, False)]
+
+
+def test_minhash_crowd(spark, monkeypatch):
+    """Recall of the branching itself: 1,500 documents at similarities of about 0.58 to each other and
+    300 near copies at 0.75 to 0.8, in nodes that are far larger than a task takes, no pivot's help."""
+    rng = np.random.default_rng(4)
+    base = [f"b{k}" for k in range(400)]
+    rows, planted = [], []
+    for i in range(1500):
         w = list(base)
-        for _ in range(3):
-            w[rng.randrange(150)] = "e%d" % rng.randrange(10_000)
+        for k in rng.choice(400, 12, replace=False):  # two of them differ in about 24 places of 400
+            w[k] = f"x{i}-{k}"
         rows.append((i, " ".join(w)))
-    want = brute_groups(rows)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
-    assert got == want
+        if i < 300:
+            v = list(w)
+            for k in rng.choice(400, 11, replace=False):
+                v[k] = f"y{i}-{k}"
+            rows.append((10_000 + i, " ".join(v)))
+    sets = {i: shingles(t) for i, t in rows}
+    same = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    planted = [i for i in range(300) if same(i, 10_000 + i)]
+    assert len(planted) > 100
+    monkeypatch.setattr(minhash, "SMALL", 32)
+    monkeypatch.setattr(minhash, "TASK", 400)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    recall = np.mean([got[i] == got[10_000 + i] for i in planted])
+    print("recall in the crowd:", recall, "of", len(planted))
+    assert recall >= 0.9
+
+
+def test_may_link():
+    rng = random.Random(3)
+    sets = [np.array(sorted(rng.sample(range(600), rng.choice([3, 100, 255, 256, 400]))), np.uint32) for _ in range(40)]
+    import pyarrow as pa
+
+    x = minhash.least_hashes(pa.array([None, *(s[: minhash.BOTTOM].tobytes() for s in sets)], pa.binary()))[1:]
+    i, j = np.triu_indices(40, 1)
+    got = minhash.may_link(x[i], x[j], 40)
+    for a, b, g in zip(i, j, got, strict=True):
+        s, t = set(sets[a].tolist()), set(sets[b].tolist())
+        if len(s) < 256 and len(t) < 256:
+            assert g == (len(s & t) >= 0.39 * len(s | t))
+        elif len(s & t) >= 0.5 * len(s | t):
+            assert g
 
 
 def test_components(spark):
