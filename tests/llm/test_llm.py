@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairnlog.llm import bpe, embedding, lines, minhash, mixing, packing, shared, spotsigs, suffix, toxicity, warc
 
@@ -179,10 +180,16 @@ def brute_spots(text, chain=2):
             content.append((tied, w))
             tied = ""
     found = {(t + w, *(x for _, x in content[i + 1 : i + chain])) for i, (t, w) in enumerate(content) if t and i + chain - 1 < len(content)}
+    if not found and len(content) > chain:  # no anchor leads a chain: neighbouring words
+        found = {tuple(t + w for t, w in content[i : i + chain + 1]) for i in range(len(content) - chain)}
     return found or {("all", " ".join(words))}
 
 
-def test_spotsigs(spark, docs):
+@pytest.mark.parametrize("chars", [spotsigs.RANGE_CHARS, 20_000])
+def test_spotsigs(spark, docs, monkeypatch, chars):
+    """In one range of neighbours, and in many."""
+    monkeypatch.setattr(spotsigs.with_next, "__defaults__", (chars,))
+    docs = docs.union(spark.createDataFrame([(210 + k, f"kein anker hier wort{k} zwei drei vier", "xx", "s", 1, 2, 3) for k in range(3)], docs.schema))
     got = spotsigs.fingerprints(docs).collect()
     rows = sorted(((i, t or "") for i, t in rows_of(docs)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     edited = {}
@@ -425,75 +432,99 @@ def test_warc_headers():
 # -- 7
 
 
+def brute_lines(texts):
+    """Every run of the weight, of any length, that started earlier: the lines that go, by text."""
+    first, gone = {}, collections.defaultdict(set)
+    for i, ls in sorted(texts.items()):
+        for p in range(len(ls)):
+            for q in range(p + 1, min(len(ls), p + 40) + 1):
+                if sum(x.count(" ") + 1 for x in ls[p:q]) >= 8 and first.setdefault(tuple(ls[p:q]), (i, p)) != (i, p):
+                    gone[i] |= set(range(p, q))
+    return gone
+
+
 def test_lines(spark, docs):
+    """Null, empty and long texts, repeated rows, ties, columns named like those of the operator."""
     df = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     df = df.union(spark.createDataFrame([(300 + k, t, "en", "s", 1, 2, 3) for k, t in enumerate(["a b c d\nx\ne f g h", "q\na b c d\nx\ne f g h", "long line of eight words or more now\nz", "z\nlong line of eight words or more now\n\n", "r\n" * 30])], df.schema))
-    rows = sorted((i, (t or "").split("\n")) for i, t in rows_of(df))
-    first, gone = {}, collections.defaultdict(set)
-    for i, ls in rows:
-        for p in range(len(ls)):
-            weight = 0
-            for n in range(1, len(ls) - p + 1):
-                weight += ls[p + n - 1].count(" ") + 1
-                if weight >= 8:
-                    run = tuple(ls[p : p + n])
-                    if first.setdefault(run, (i, p)) != (i, p):
-                        gone[i] |= set(range(p, p + n))
-                    break
-    got = {r.doc_id: r for r in lines.without_repeats(df).collect()}
-    for i, ls in rows:
-        r = got[i]
-        assert (r.n_lines, r.n_removed) == (len(ls), len(gone[i])) and r.text == "\n".join(x for k, x in enumerate(ls) if k not in gone[i])
+    texts = {i: (t or "").split("\n") for i, t in rows_of(df)}
+    gone = brute_lines(texts)
+    for clash in ({}, {c: F.lit("mine") for c in ("gone", "gone_id", "text_key", "_lines", "lines", "row", "i", "r1", "n_lines", "n_removed", "need")}):
+        got = lines.without_repeats(df.withColumns(clash)).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            ls = texts[r.doc_id]
+            assert (r.n_lines, r.n_removed) == (len(ls), len(gone[r.doc_id])) and r.text == "\n".join(x for k, x in enumerate(ls) if k not in gone[r.doc_id])
+            assert r.lang == "en" and (not clash or r.gone == r.row == r._lines == "mine")
     assert lines.without_repeats(empty(spark, docs)).count() == 0
     assert lines.without_repeats(docs).count() == docs.count()
 
 
 def test_maximal_lines(spark):
-    """Every run of the weight, of any length, against brute force; copies leave no tail."""
+    """Runs of many lengths and weights against brute force; copies leave no tail."""
     import corpus_pipeline
 
     rng = random.Random(8)
     line = lambda: " ".join(rng.choice("ab") for _ in range(rng.choice([1, 1, 2, 3, 9])))
-    base = [[line() for _ in range(rng.randrange(1, 14))] for _ in range(12)]
+    base = [[line() for _ in range(rng.randrange(1, 24))] for _ in range(12)]
     texts = [b[rng.randrange(len(b)) :] + rng.choice(base)[: rng.randrange(1, 14)] for b in base * 3]
     texts += [["long line of eight words or more now", "its tail."]] * 2 + [["r"] * 30, [""] * 12, ["x"] * 7, ["x"] * 7]
-    first, gone = {}, collections.defaultdict(set)
-    for i, ls in enumerate(texts):
-        for p in range(len(ls)):
-            for q in range(p + 1, len(ls) + 1):
-                if sum(x.count(" ") + 1 for x in ls[p:q]) >= 8 and first.setdefault(tuple(ls[p:q]), (i, p)) != (i, p):
-                    gone[i] |= set(range(p, q))
+    texts += [[f"u{k}" for k in range(n)] for n in range(5, 14)] + [[f"v{n}", *(f"u{k}" for k in range(3, 3 + n))] for n in range(1, 10)]
+    gone = brute_lines(dict(enumerate(texts)))
     df = spark.createDataFrame([(i, "\n".join(ls), 0) for i, ls in enumerate(texts)], DOC + ", n_chars long").repartition(3)
-    got = {r.doc_id: r for r in lines.without_repeats(df, maximal=True).collect()}
+    got = {r.doc_id: r for r in lines.without_repeats(df).collect()}
     for i, ls in enumerate(texts):
         assert (got[i].n_removed, got[i].text) == (len(gone[i]), "\n".join(x for k, x in enumerate(ls) if k not in gone[i]))
     kept = {r.doc_id for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
     assert kept == {i for i, ls in enumerate(texts) if len(gone[i]) < len(ls)} and 37 not in kept
 
 
+def test_line_ranks_are_a_suffix_order(spark):
+    """Ranks of two lines grow with the suffixes' order and are equal only for equal pairs."""
+    rows = spark.createDataFrame([(i, k, j, c, 1) for i, (k, t) in enumerate([(1, "abcabd"), (2, "bcab"), (3, "abc")]) for j, c in enumerate(t)], "doc_id long, text_key long, i int, id string, need int")
+    one = rows.join(lines.intervals(rows, "id"), "id").select(*lines.PLACE, "need", "id", F.col("rank").alias("r1"))
+    two = lines.doubled(one.drop("id"), 1).where("r2 is not null").join(one.select(*lines.PLACE, "id"), list(lines.PLACE)).collect()
+    text = {0: "abcabd", 1: "bcab", 2: "abc"}
+    pairs = {(text[r.doc_id][r.i : r.i + 2], r.r2) for r in two}
+    assert {p for p, _ in pairs} == {"ab", "bc", "ca"} and len(pairs) == 3
+    assert [p for p, _ in sorted(pairs, key=lambda x: x[1])] == ["ab", "bc", "ca"]
+
+
 # -- 8
 
 
-def test_pfair_windows():
+def test_pfair_schedule():
+    """Against a plain simulation with fractions; every block in its window, under one block of lag."""
+    from fractions import Fraction
+
     rng = random.Random(4)
-    for _ in range(20):
+    for _ in range(15):
         weights = {f"s{k}": rng.random() ** 3 + 1e-4 for k in range(rng.randrange(1, 9))}
-        slots = mixing.shares(weights, 200)
-        assert sum(slots.values()) == 200
-        given = mixing.pfair(slots)
-        assert sorted(t for ts in given.values() for t in ts) == list(range(200))
-        for s, a in slots.items():
-            for t in range(201):
-                assert abs(sum(x < t for x in given[s]) - a * t / 200) < 1
+        exact = mixing.whole(weights)
+        total = sum(exact.values())
+        w = {s: Fraction(a, total) for s, a in exact.items()}
+        assert all(w[s] == Fraction(weights[s]) / sum(map(Fraction, weights.values())) for s in w)
+        had = dict.fromkeys(weights, 0)
+        for t, (s, j) in enumerate(mixing.schedule(exact, 300)):
+            released = {x: (-(-(had[x] + 1) // w[x]), x) for x in w if had[x] // w[x] <= t}  # deadline of the next block
+            assert (s, j) == (min(released.values())[1], had[min(released.values())[1]])
+            assert j / w[s] < t + 1 and t < (j + 1) / w[s]
+            had[s] += 1
+            assert all(abs(had[x] - w[x] * (t + 1)) < 1 for x in w)
 
 
 def test_mixing(spark, docs):
-    got = mixing.mixed(docs, {"s0": 1, "s1": 2, "s2": 1, "": 1}, block_chars=500).collect()
+    """Null sources, null and long texts, repeated rows; columns named like those of the operator."""
+    clash = {c: F.lit("mine") for c in ("s", "p", "given", "used", "within", "block", "row", "mix_source", "mix_part", "mix_slot", "part_start")}
+    got = mixing.mixed(docs.withColumns(clash), {"s0": 1, "s1": 2, "s2": 1, "": 1}, block_chars=500).collect()
     assert {r.doc_id for r in got} == {i for i, _ in rows_of(docs)}
     assert all(r.mix_release < r.mix_slot + 1 and r.mix_slot < r.mix_deadline + 1 for r in got)
+    assert all(r.block == r.s == r.within == r.row == r.mix_source == "mine" for r in got)
     slots = {}
     for r in got:
         assert slots.setdefault(r.mix_slot, (r.source, r.mix_block)) == (r.source, r.mix_block)
+    once = collections.Counter((r.doc_id, r.text) for r in got if r.mix_epoch == 0)
+    assert once == collections.Counter(rows_of(docs))  # the first epoch holds every row once
     with pytest.raises(ValueError):
         mixing.mixed(docs, {"s0": 1})
     assert mixing.mixed(empty(spark, docs)).count() == 0
@@ -535,6 +566,53 @@ def test_toxicity(spark, docs):
     assert np.array_equal(model.pooled(words, before), model.pooled(words, before, chunk=2))
 
 
+def test_toxicity_columns(spark, docs):
+    """An earlier score is replaced; null, empty and long texts and repeated rows have scores."""
+    d, lab = (shared.read_table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    model, _ = toxicity.fitted(d, lab)
+    got = toxicity.scored(docs.withColumn("score", F.lit("mine")), model)
+    assert got.columns == [*docs.columns, "score"]
+    rows = got.select("doc_id", "text", "score").collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.doc_id in (200, 201, 202)}) == 1 and len({r.score for r in rows if r.doc_id == 206}) == 1
+    few = toxicity.training_sample(d, lab, most_words=500)
+    words = collections.Counter()
+    for r in few:
+        words[r.toxic] += len(r.words) // 4
+    assert few and all(n <= 500 for n in words.values())
+
+
+def test_convolution_and_gradients():
+    """The table look-ups against plain loops, and the gradients against differences of the loss."""
+    rng = np.random.default_rng(5)
+    total = toxicity.FILTERS * len(toxicity.WIDTHS)
+    p = {"e": rng.normal(0, 0.5, (6, toxicity.DIM)), "b": rng.normal(0, 0.1, total), "w": rng.normal(0, 0.5, total), "o": rng.normal(0, 0.1, 1)}
+    p |= {f"f{w}": rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS}
+    p["e"][0] = 0
+    texts = [np.array([1, 2, 0, 3, 5]), np.array([4]), np.array([2, 2, 1])]
+    model = toxicity.Model(np.arange(6), p["e"], [p[f"f{w}"] for w in toxicity.WIDTHS], p["b"], p["w"], 0.0)
+    pooled = model.pooled(np.concatenate([*texts, []]).astype(np.int64), np.array([0, 5, 6, 9, 9]))
+    for t, got in zip([*texts, np.zeros(0, np.int64)], pooled, strict=True):
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                at = lambda i: p["e"][t[i]] if i < len(t) else np.zeros(toxicity.DIM)  # noqa: E731, B023
+                best = [sum(at(i + j) @ p[f"f{w}"][j][:, f] for j in range(w)) for i in range(len(t))]
+                column = k * toxicity.FILTERS + f
+                assert abs(got[column] - max([0, *(x + p["b"][column] for x in best)])) < 1e-4
+    labels, cost, keep = np.array([1.0, 0.0, 1.0]), np.array([0.7, 1.2, 0.7]), np.ones((3, total))
+    loss, g, hit, ge = toxicity.loss_and_gradients(p, texts, labels, cost, keep)
+    full = g | {"e": np.zeros_like(p["e"])}
+    full["e"][hit] = ge
+    for name, grad in full.items():
+        for spot in rng.choice(grad.size, min(grad.size, 12), replace=False):
+            place = np.unravel_index(spot, grad.shape)
+            if name == "e" and place[0] == 0:
+                continue
+            q = {k: v.copy() for k, v in p.items()}
+            q[name][place] += 1e-5
+            assert abs((toxicity.loss_and_gradients(q, texts, labels, cost, keep)[0] - loss) / 1e-5 - grad[place]) < 1e-3
+
+
 # -- the pipeline
 
 
