@@ -20,31 +20,12 @@ from pyspark.sql import functions as F
 
 from .shared import read_table, saved
 
-PERIOD = 1000
 BLOCK_CHARS = 1 << 16
 TEMPERATURE = 0.8
+BROADCAST_SOURCES = 100_000  # sources (a name and two numbers each) that may go to every task
 PARTS = 256  # ranges in which a source's documents are ordered and summed
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of a period for each source: largest remainders, and at least one."""
-    period = max(period, len(weights))
-    total = sum(weights.values())
-    free = period - len(weights)
-    exact = {s: Fraction(w) / Fraction(total) * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    while (rest := period - sum(out.values())) and free >= 0:
-        if rest > 0:
-            for s in order[:rest]:
-                out[s] += 1
-        else:
-            for s in sorted(out, key=lambda s: (float(exact[s]) - out[s], s))[:-rest]:
-                if out[s] > 1:
-                    out[s] -= 1
-    return out
-
-
 def whole(weights: dict[str, float]) -> dict[str, int]:
     """Integers in the very proportion of the weights."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -74,14 +55,6 @@ def schedule(weights: dict[str, int], length: int) -> Iterator[tuple[str, int]]:
         yield s, j
 
 
-def pfair(slots: dict[str, int]) -> dict[str, list[int]]:
-    """One period of sum(slots) slots: the slots of each source."""
-    given: dict[str, list[int]] = {s: [] for s in slots}
-    for t, (s, _) in enumerate(schedule(slots, sum(slots.values()))):
-        given[s].append(t)
-    return given
-
-
 def slot_rows(spark: SparkSession, weights: dict[str, int], count: dict[str, int], length: int, batch: int = 1 << 16) -> DataFrame:
     """(mix_of, mix_at, mix_epoch, mix_block, mix_slot): the source that each slot holds, and its block
     within one use of the source."""
@@ -102,12 +75,11 @@ def slot_rows(spark: SparkSession, weights: dict[str, int], count: dict[str, int
     return saved(spark.range(0, 1, 1, 1).mapInPandas(rows, schema), "mix-slots")
 
 
-def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with the source label, size and block of each row. A source's rows stand in the order of
-    a hash of their id; sizes are summed within PARTS ranges of the hash and the ranges' sums are
-    added up, so a source of any size is spread over tasks."""
-    size = F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long")
-    rows = docs.withColumns({"mix_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "mix_size": size, "mix_hash": F.xxhash64("doc_id", "text")})
+def blocks(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """rows (row, doc_id, text, mix_source, mix_size) with the block of each. A source's rows stand in
+    the order of a hash of their id; sizes are summed within PARTS ranges of the hash and the ranges'
+    sums are added up, so a source of any size is spread over tasks."""
+    rows = rows.withColumn("mix_hash", F.xxhash64("doc_id", "text")).drop("text")
     rows = rows.withColumn("mix_part", F.pmod(F.shiftright("mix_hash", 40), F.lit(PARTS)))
     sums = rows.groupBy("mix_source", "mix_part").agg(F.sum("mix_size").alias("part_size"))
     before = W.partitionBy("mix_source").orderBy("mix_part").rowsBetween(W.unboundedPreceding, -1)
@@ -115,7 +87,7 @@ def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     own = W.partitionBy("mix_source", "mix_part").orderBy("mix_hash", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("mix_size").over(own), F.lit(0)))
     rows = rows.join(starts, (F.col("mix_source") == F.col("s")) & (F.col("mix_part") == F.col("p")))
-    return rows.withColumn("block", F.floor((F.col("part_start") + F.col("within")) / block_chars)).drop("s", "p", "part_start", "within", "mix_part")
+    return rows.select("row", "mix_source", F.floor((F.col("part_start") + F.col("within")) / block_chars).alias("block"))
 
 
 def default_weights(sizes: dict[str, int], temperature: float = TEMPERATURE) -> dict[str, float]:
@@ -129,14 +101,21 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars:
 
     The mixture is as long as the source that is richest against its weight needs to be used once;
     other sources begin again until then, so every document is used and the weights hold to the end.
-    A source without a weight is an error; null sources are the source ''. Sources are few (the
-    weights are a parameter); their names and sizes are all that reaches the driver."""
+    A source without a weight is an error; null sources are the source ''. Null and empty texts take
+    no room and stand in the block they fall into; a text longer than a block is in the block where it
+    begins; repeated rows are rows of their own; rows that tie in the hash order stand by doc_id. Other
+    columns pass through whatever their names; earlier mix_* columns of the same names are replaced.
+    Sources are few (the weights are a parameter); their names and sizes are all that reaches the
+    driver."""
     spark = docs.sparkSession
-    rows = blocks(docs, block_chars)
-    sizes = {r.s: r.n for r in docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s")).agg(F.sum(F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long")).alias("n")).collect()}
     added = {"mix_epoch": "long", "mix_block": "long", "mix_release": "double", "mix_deadline": "double", "mix_slot": "long"}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    passed = [c for c in docs.columns if c not in added]
+    # the row is one column here, so that none of its names can clash
+    rows = docs.select(F.struct(*passed).alias("row"), "doc_id", F.col("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), F.length(text).cast("long").alias("mix_size"))
+    sizes = {r.mix_source: r.n for r in rows.groupBy("mix_source").agg(F.sum("mix_size").alias("n")).collect()}
     if not sizes:
-        return docs.select("*", *(F.lit(None).cast(t).alias(n) for n, t in added.items()))
+        return docs.select(*passed, *(F.lit(None).cast(t).alias(n) for n, t in added.items()))
     weights = weights or default_weights(sizes)
     if missing := set(sizes) - set(weights):
         raise ValueError(f"no weight for {sorted(missing)}")
@@ -145,12 +124,12 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars:
     count = {s: max(1, -(-n // block_chars)) for s, n in sizes.items()}
     length = max(-(-count[s] * total // exact[s]) for s in sizes)  # the last first use is due by then
     plan = spark.createDataFrame([(s, count[s], total / a) for s, a in exact.items()], "mix_s string, mix_blocks long, mix_width double")
-    rows = rows.join(F.broadcast(plan), F.col("mix_source") == F.col("mix_s"))
+    rows = blocks(rows, block_chars).join(F.broadcast(plan) if len(exact) <= BROADCAST_SOURCES else plan, F.col("mix_source") == F.col("mix_s"))
     # empty texts behind a source's last full block belong to it
     rows = rows.withColumn("mix_within", F.least("block", F.col("mix_blocks") - 1))
     rows = rows.join(slot_rows(spark, exact, count, length), (F.col("mix_source") == F.col("mix_of")) & (F.col("mix_within") == F.col("mix_at")))
     rows = rows.withColumns({"mix_release": F.col("mix_block") * F.col("mix_width"), "mix_deadline": (F.col("mix_block") + 1) * F.col("mix_width")})
-    return rows.select(*docs.columns, *added)
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in passed), *added)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
