@@ -1,13 +1,15 @@
 """Near-duplicate embeddings by an epsilon grid order join.
 
 Unit vectors are turned onto their principal axes, sorted by the grid cells (side epsilon) of the
-leading ones, and cut into sequence blocks. Pairs of blocks are joined by recursive halving of their
-intervals; two intervals whose bounding boxes lie farther apart than epsilon are skipped. Cosine >= c
-is a distance of at most sqrt(2 - 2c) between unit vectors, so skipping loses nothing."""
+leading ones, and cut into sequence blocks. Intervals of the sequence are joined recursively, first
+intervals of many blocks over the cluster, then halves of a block within a task; two intervals whose
+bounding boxes lie farther apart than epsilon are skipped. Cosine >= c is a distance of at most
+sqrt(2 - 2c) between unit vectors, so skipping loses nothing."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,7 @@ from .shared import components, read_table, saved
 MIN_COSINE = 0.9
 LEADING = 8  # axes of the grid and of the boxes that pair blocks
 BLOCK = 8192  # vectors in a block
+FAN = 16  # intervals that make one of the next level
 LEAF = 512  # vectors in an interval that is compared outright
 BOX = 16  # axes of the boxes within a task
 _SLACK = 1e-4  # float32 products this near the limit are taken again in double precision
@@ -38,9 +41,9 @@ def _units(vectors: np.ndarray) -> np.ndarray:
 
 
 def valid_classes(vectors: DataFrame) -> DataFrame:
-    """(v, members, rep): the distinct usable vectors as double arrays, with the number of rows that
-    hold each and the smallest id. Null, zero and non-finite vectors are left out. Exact copies meet
-    in a partial aggregate."""
+    """(v, members, first_id, rep): the distinct usable vectors as double arrays, with the number of
+    rows that hold each, the smallest id and a number of their own (kept once it is written). Null,
+    zero and non-finite vectors are left out. Exact copies meet in a partial aggregate."""
     v = F.col("v")
     usable = vectors.where(
         v.isNotNull()
@@ -48,7 +51,7 @@ def valid_classes(vectors: DataFrame) -> DataFrame:
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists(v, lambda x: x != 0)
     )
-    return usable.groupBy("v").agg(F.count("*").alias("members"), F.min("vec_id").alias("rep"))
+    return usable.groupBy("v").agg(F.count("*").alias("members"), F.min("vec_id").alias("first_id")).withColumn("rep", F.monotonically_increasing_id())
 
 
 def principal_axes(classes: DataFrame, dim: int) -> np.ndarray:
@@ -115,13 +118,29 @@ def sequence_blocks(classes: DataFrame, axes: np.ndarray, epsilon: float, block:
 
 
 def near_blocks(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """Pairs (x <= y) of blocks whose boxes come within epsilon: blocks that share or adjoin a cell
-    of the first axis meet in an equi-join, and the boxes on all leading axes then decide."""
-    boxes = blocks.select("block", "lo", "hi", F.floor(F.col("lo")[0] / epsilon).alias("first"), F.floor(F.col("hi")[0] / epsilon).alias("last"))
-    left = boxes.withColumn("cell", F.explode(F.sequence("first", "last"))).select(F.col("block").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), "cell")
-    right = boxes.withColumn("cell", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1))).select(F.col("block").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"), "cell")
+    """Pairs (x <= y) of blocks whose boxes come within epsilon. FAN neighbours of the sequence at a
+    time make an interval with a box of its own, level by level up to one interval; from there down
+    the halves of near pairs are paired, so that only near intervals ever meet."""
+    levels = [saved(blocks.select("block", F.col("block").alias("id"), "lo", "hi"), "ego-boxes")]
+    low, high = (F.array(*(f(F.col(c)[k]) for k in range(_axes(blocks)))) for f, c in ((F.min, "lo"), (F.max, "hi")))
+    while levels[-1].agg(F.count_distinct("id")).first()[0] > 1:
+        # ids hold the partition above and the place in it below; places run out first
+        inner = levels[-1].agg(F.max(F.col("id").bitwiseAND((1 << 32) - 1))).first()[0] > 0
+        parent = F.shiftleft(F.shiftright("id", 32), 32) + F.floor(F.col("id").bitwiseAND((1 << 32) - 1) / FAN) if inner else F.shiftleft(F.floor(F.shiftright("id", 32) / FAN), 32)
+        below = levels.pop().withColumn("parent", parent.cast("long"))
+        levels += [below, saved(below.groupBy(F.col("parent").alias("id")).agg(low.alias("lo"), high.alias("hi")), "ego-boxes")]
+    pairs = levels.pop().select(F.col("id").alias("x"), F.col("id").alias("y"))
     gap = F.expr("aggregate(arrays_zip(xlo, xhi, ylo, yhi), 0D, (s, z) -> s + pow(greatest(z.ylo - z.xhi, z.xlo - z.yhi, 0D), 2))")
-    return left.join(right, "cell").where("x <= y").where(gap <= epsilon * epsilon * (1 + 1e-9)).select("x", "y").distinct()
+    for level in reversed(levels):
+        left = level.select(F.col("parent").alias("x"), F.col("id").alias("cx"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
+        right = level.select(F.col("parent").alias("y"), F.col("id").alias("cy"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"))
+        met = pairs.join(left, "x").join(right, "y").where("cx <= cy").where(gap <= epsilon * epsilon * (1 + 1e-9))
+        pairs = saved(met.select(F.col("cx").alias("x"), F.col("cy").alias("y")), "ego-pairs")
+    return pairs
+
+
+def _axes(blocks: DataFrame) -> int:
+    return blocks.select(F.size("lo").alias("n")).first().n
 
 
 def links_between(a: tuple, b: tuple | None, axes: np.ndarray, cosine: float, leaf: int = LEAF):
@@ -184,20 +203,34 @@ def links_between(a: tuple, b: tuple | None, axes: np.ndarray, cosine: float, le
 def embedding_links(vectors: DataFrame, cosine: float = MIN_COSINE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors (vec_id, v array<double>).
 
-    All vectors must have one length. Copies of a vector link with each other; unusable vectors are
-    components of their own. Repeated vec_ids are rows of their own, each counted as a vector. Only
-    one row per link-bearing vector and task leaves a task: never the links themselves."""
-    spark = vectors.sparkSession
+    Copies of a vector link with each other; null, empty, zero and non-finite vectors are components
+    of their own, and so are those that no other comes near. Vectors of unequal lengths have no cosine
+    and never link: each length is joined by itself. Repeated vec_ids are rows of their own, each
+    counted as a vector. Ties need no rule, as every link counts; other columns are ignored; an
+    empty table gives no rows. Only one row per link-bearing vector and task leaves a task: never
+    the links themselves."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"))
     classes = saved(valid_classes(rows), "ego-classes")
-    some = classes.select(F.size("v").alias("d")).first()
-    if some is None:
+    lengths = sorted(r.d for r in classes.select(F.size("v").alias("d")).distinct().collect())  # a few
+    if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    axes = principal_axes(classes, some.d)
+    found = [linked_classes(classes.where(F.size("v") == d) if len(lengths) > 1 else classes, d, cosine, block) for d in lengths]
+    found = reduce(DataFrame.unionByName, found)
+    return rows.join(found, "v", "left").select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("component_id", "vec_id").alias("component_id"),
+        F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
+    )
+
+
+def linked_classes(classes: DataFrame, dim: int, cosine: float, block: int) -> DataFrame:
+    """(v, n_links, component_id) of the distinct vectors of one length."""
+    axes = principal_axes(classes, dim)
     epsilon = float(np.sqrt(2 - 2 * cosine))
     blocks = sequence_blocks(classes, axes, epsilon, block)
-    pairs = saved(near_blocks(blocks, epsilon), "ego-pairs")
-    shared, dim = spark.sparkContext.broadcast(axes), some.d
+    pairs = near_blocks(blocks, epsilon)
+    shared = classes.sparkSession.sparkContext.broadcast(axes)  # dim x dim numbers
 
     def unpack(batch: pa.RecordBatch, i: int, at: int) -> tuple:
         ids, members, v = (batch.column(at + k)[i].as_py() for k in range(3))
@@ -218,18 +251,14 @@ def embedding_links(vectors: DataFrame, cosine: float = MIN_COSINE, block: int =
     # one pair of blocks is work enough for a task's Arrow batch
     found = saved(met.repartition(F.col("x"), F.col("y")).mapInArrow(compare, "rep long, n long, root long"), "ego-found")
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    # a class is known by number: its smallest vec_id may be another class's too
     per_class = (
         classes.join(found.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left")
         .join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("v", (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    )
-    found_classes = saved(per_class, "ego-result")
-    return rows.join(found_classes, "v", "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
+        .withColumn("c", F.coalesce("component_id", "rep"))
     )
+    least = per_class.groupBy("c").agg(F.min("first_id").alias("least"))
+    return saved(per_class.join(least, "c").select("v", (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.col("least").alias("component_id")), "ego-result")
 
 
 def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:

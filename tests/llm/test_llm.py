@@ -243,6 +243,11 @@ def test_embedding(spark):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding.embedding_links(df, block=block).collect()}
         assert got == {i: (len(links.get(i, [])), reach(i), reach(i) == i) for i in range(len(v))}
     assert embedding.embedding_links(df.limit(0)).count() == 0
+    # vectors of other lengths among them, repeated ids of other vectors, a clashing column
+    more = df.union(spark.createDataFrame([(900, [1.0, 0.0]), (901, [1.0, 0.1]), (902, []), (900, [0.0, 1.0]), (903, [0.0, 2.0])], df.schema)).withColumn("rep", F.lit(1)).withColumn("first_id", F.lit(1))
+    rows = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding.embedding_links(more, block=32).collect())
+    assert [r for r in rows if r[0] >= 900] == [(900, 1, 900), (900, 1, 900), (901, 1, 900), (902, 0, 902), (903, 1, 900)]
+    assert [r for r in rows if r[0] < 900] == [(i, len(links.get(i, [])), reach(i)) for i in range(len(v))]
     ids, counts, roots = embedding.links_between((np.arange(3), np.ones(3, np.int64), np.eye(3)), None, np.eye(3), 0.9, leaf=1)
     assert counts.tolist() == [0, 0, 0] and roots.tolist() == [0, 1, 2]
 
