@@ -17,9 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.decode import decode_lines
 from ..functions.predicates import week_start
 from ..functions.templates import merge_sources, merge_templates, source_delta, template_delta
-from ..operators import incidents, outbox, routing
+from ..operators import incidents, outbox, routing, semantic
 
 STATE = "last long, fed long, incident long"
+IDLE = 7 * 86_400.0  # seconds without a firing after which a key is forgotten
 
 
 def decode_stream(lines: DataFrame) -> DataFrame:
@@ -38,14 +39,19 @@ def window_counts(events: DataFrame, size: str, slide: str | None = None, spike:
     return events.withWatermark("ts", late).groupBy(at.alias("w"), "source").agg(F.count("*").alias("n")).where(F.col("n") >= spike).select("source", F.col("w.start").alias("start"), "n")
 
 
-def stream_dispositions(firings: DataFrame, ttl: float = incidents.TTL, feed: float = incidents.FEED_INTERVAL) -> DataFrame:
+def stream_dispositions(firings: DataFrame, ttl: float = incidents.TTL, feed: float = incidents.FEED_INTERVAL, idle: float = IDLE) -> DataFrame:
     """The incident fold of operators.incidents over a stream of firings (key, id, ts, ...): rows of
-    one micro-batch are taken in order of (ts, id), and state carries over to the next."""
+    one micro-batch are taken in order of (ts, id), and state carries over to the next. A key without
+    firings for `idle` seconds of processing time, and never less than the TTL, is forgotten: its next
+    firing opens an incident anyway, and numbers begin again."""
     ttl_us, feed_us = int(ttl * 1e6), int(feed * 1e6)
-    names = firings.columns
+    names, wait = firings.columns, int(max(idle, ttl) * 1000)
     out = T.StructType([*firings.schema.fields, T.StructField("incident", T.LongType()), T.StructField("disposition", T.StringType())])
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, fed, incident = state.get if state.exists else (None, 0, 0)
         rows = pd.concat(list(pdfs)).sort_values(["ts", "id"])
         numbers, kinds = [], []
@@ -60,29 +66,61 @@ def stream_dispositions(firings: DataFrame, ttl: float = incidents.TTL, feed: fl
             numbers.append(incident)
             kinds.append(kind)
         state.update((int(last), int(fed), int(incident)))
+        state.setTimeoutDuration(wait)
         yield rows[names].assign(incident=numbers, disposition=kinds)
 
-    return firings.groupBy("key").applyInPandasWithState(fold, out, STATE, "append", GroupStateTimeout.NoTimeout)
+    return firings.groupBy("key").applyInPandasWithState(fold, out, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def stream_gate(ticks: DataFrame, window_seconds: int = 3600, spike_lines: int = 100) -> DataFrame:
+    """semantic.gate() over a stream of (rule_id, tick, new_rows), one row for each rule and tick; rules'
+    own settings come as columns window_seconds and spike_lines. State is two numbers for each rule."""
+    own = lambda k, default: F.coalesce(F.col(k).cast("long"), F.lit(default)) if k in ticks.columns else F.lit(default).cast("long")
+    rows = ticks.select("rule_id", "tick", "new_rows", own("window_seconds", window_seconds).alias("window"), own("spike_lines", spike_lines).alias("spike"))
+
+    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, pending = state.get if state.exists else (None, 0)
+        out = []
+        for tick, new, window, spike in pd.concat(list(pdfs)).sort_values("tick")[["tick", "new_rows", "window", "spike"]].itertuples(index=False):
+            if last is None:
+                last = tick
+                continue
+            pending, elapsed = pending + new, tick - last
+            if pending and elapsed >= semantic.FLOOR_SECONDS and (elapsed >= window or pending >= spike):
+                out.append((key[0], tick, pending, elapsed, "spike" if pending >= spike else "interval"))
+                last, pending = tick, 0
+        state.update((int(last), int(pending)))
+        yield pd.DataFrame(out, columns=["rule_id", "tick", "pending", "elapsed", "trigger"])
+
+    return rows.groupBy("rule_id").applyInPandasWithState(fold, semantic.GATED, "last long, pending long", "append", GroupStateTimeout.NoTimeout)
 
 
 def snapshot(spark: SparkSession, path: str, delta: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], batch_id: int) -> None:
     """Merge a batch's rows into a registry kept as numbered snapshots: the newest one below this
-    batch is read, a new one written. A batch that is replayed writes the same snapshot again."""
+    batch is read, a new one written, and that newest one kept, so that a batch that is replayed
+    writes the same snapshot again. Snapshots below it go."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    seen = [int(s.getPath().getName()[1:]) for s in store.listStatus(root)] if store.exists(root) else []
-    older = [n for n in seen if n < batch_id]
-    new = merge(spark.read.parquet(f"{path}/v{max(older)}"), delta) if older else delta
+    older = sorted(n for n in _snapshots(spark, path) if n < batch_id)
+    new = merge(spark.read.parquet(f"{path}/v{older[-1]}"), delta) if older else delta
     new.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-    for n in older[:-1] if len(older) > 1 else []:
+    for n in older[:-1]:
         store.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}"), True)
 
 
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+def _snapshots(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the snapshots that are written whole."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(f"{path}/v{max(int(s.getPath().getName()[1:]) for s in store.listStatus(root))}")
+    if not store.exists(root):
+        return []
+    whole = lambda s: store.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+    return [int(s.getPath().getName()[1:]) for s in store.listStatus(root) if whole(s)]
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/v{max(_snapshots(spark, path))}")
 
 
 def start(
@@ -110,7 +148,7 @@ def start(
             snapshot(spark, f"{out}/templates", template_delta(df), merge_templates, n)
             snapshot(spark, f"{out}/sources", source_delta(df), merge_sources, n)
             r, b, _ = rules()
-            fired = routing.route(df.select("id", "ts", "source", "severity", "severity_text", "program", "body"), routing.compile_rules(r, b))
+            fired = routing.route_any(df.select("id", "ts", "source", "severity", "severity_text", "program", "body"), routing.compile_rules(r, b))
             fired.withColumn("key", incidents.dedup_key()).write.mode("overwrite").parquet(f"{out}/firings/batch={n}")
         finally:
             df.unpersist()

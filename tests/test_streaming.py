@@ -41,3 +41,37 @@ def test_event_windows(spark, tmp_path):
     assert q.awaitTermination(120)
     want = rows.groupBy("source", F.date_trunc("day", "ts").alias("start")).count().where("count >= 2")
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_snapshots_survive_many_batches_and_replays(spark, tmp_path):
+    """Twelve batches, the last two of them replayed: hits are those of all rows, once."""
+    from cairnlog.functions.templates import merge_templates, template_delta
+
+    path = f"file://{tmp_path}/templates"
+    rows = tables.log_events(spark, SF)
+    part = lambda n: template_delta(rows.where(F.col("id") % 12 == n))
+    for n in [*range(12), 10, 11]:
+        pipeline.snapshot(spark, path, part(n), merge_templates, n)
+    hits = pipeline.latest_snapshot(spark, path).select("fp", "hits")
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, template_delta(rows).select("fp", "hits").collect()))
+    assert sorted(pipeline._snapshots(spark, path)) == [10, 11] or sorted(pipeline._snapshots(spark, path)) == [9, 10, 11]
+
+
+def test_forgotten_key(spark, tmp_path):
+    """State ends after the idle time; the stream gate gives what the batch gate gives."""
+    from cairnlog.operators import semantic
+
+    ticks = spark.createDataFrame([(r, t, n, 1800, 20) for r in (1, 2) for t, n in ((0, 50), (300, 0), (600, 5), (900, 20 * r), (4600, 1))], "rule_id long, tick long, new_rows long, window_seconds int, spike_lines int")
+    for k in range(2):
+        ticks.where((F.col("tick") >= 900) if k else (F.col("tick") < 900)).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/t")
+    s = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/t")
+    q = pipeline.stream_gate(s).writeStream.outputMode("append").format("memory").queryName("gated").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("gated").collect())) == sorted(map(tuple, semantic.gate(ticks).collect()))
+
+
+def test_raw_files(spark, tmp_path):
+    """Blank lines go, ids are unique and the same when a file is read again."""
+    (tmp_path / "a.log").write_bytes(b"one\r\n\r\ntwo\nthree\n")
+    read = lambda: {r.raw: r.id for r in tables.raw_files(spark, f"file://{tmp_path}/a.log", "p").collect()}
+    assert set(read()) == {"one", "two", "three"} and len(set(read().values())) == 3 and read() == read()
