@@ -5,15 +5,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TTL = 7200.0
 FEED_INTERVAL = 60.0
 OPEN_CEILING = 120
-#: One key's firings are folded in one array up to so many; larger keys are folded as a stream of rows.
-ARRAY_ROWS = 100_000
+#: Incidents of up to so many firings are folded in one array, whose result grows by copying.
+ARRAY_ROWS = 1_000
+#: Rows of a dimension (rules, targets) that may go to every task; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small(dimension: DataFrame) -> DataFrame:
+    """The dimension, marked for broadcast if it is small enough: for joins without an equality, where
+    Spark's own choice by size has no shuffled join to fall back on."""
+    few = dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(dimension) if few else dimension
 
 
 def dedup_key(rule="rule_id", target="target_id", source="source"):
@@ -57,24 +68,73 @@ def dispositions(firings: DataFrame, ttl: float = TTL, feed: float | str = FEED_
             pdf["disposition"] = out
             yield pdf.drop(columns=["_us", "_wait"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*numbered.schema.fields, T.StructField("disposition", T.StringType())])
     return rows.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(fold, schema)
 
 
+DELIVERY = {"stateful": True, "known_type": True, "delivery_ok": True, "gone": False}
+
+
+def delivered_dispositions(firings: DataFrame, ttl: float = TTL, feed: float | str = FEED_INTERVAL) -> DataFrame:
+    """dispositions() where deliveries may fail: firings may have the columns of DELIVERY, null or missing
+    being its default. Adds incident, disposition and counts_as_fed.
+
+    A target of an unknown type, or an open that fails, is a fallback and makes or touches no incident
+    (incident is null). A feed that fails is a fallback too: for a stateful target the incident is
+    bumped without counting as fed, so that the next firing feeds again; for a stateless one it counts.
+    A stateful feed whose handle is gone opens a new incident."""
+    wait = F.col(feed) if isinstance(feed, str) else F.lit(float(feed))
+    given = {k: F.coalesce(F.col(k), F.lit(v)) if k in firings.columns else F.lit(v) for k, v in DELIVERY.items()}
+    rows = firings.withColumns({"_us": F.unix_micros(F.col("ts").cast("timestamp")), "_wait": (wait * 1_000_000).cast("long"), **{f"_{k}": c for k, c in given.items()}})
+    ttl_us, names = int(ttl * 1e6), firings.columns
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = last = fed = None
+        n = 0
+        for pdf in batches:
+            out = []
+            for k, us, wait, stateful, known, ok, gone in zip(pdf.key, pdf._us, pdf._wait, pdf._stateful, pdf._known_type, pdf._delivery_ok, pdf._gone, strict=True):
+                if k != key:
+                    key, last, fed, n = k, None, None, 0
+                live = last is not None and us - last < ttl_us
+                due = live and us - fed >= wait
+                if not known:
+                    out.append((None, "fallback", False))
+                elif live and not due:
+                    last = us
+                    out.append((n, "throttled", False))
+                elif due and not (stateful and gone):
+                    counts = ok or not stateful
+                    last, fed = us, us if counts else fed
+                    out.append((n, "fed" if ok else "fallback", counts))
+                elif ok:
+                    last, fed, n = us, us, n + 1
+                    out.append((n, "opened", True))
+                else:
+                    out.append((None, "fallback", False))
+            added = pd.DataFrame(out, columns=["incident", "disposition", "counts_as_fed"], index=pdf.index).astype({"incident": "Int64"})
+            yield pd.concat([pdf[names], added], axis=1)
+
+    schema = T.StructType([*firings.schema.fields, T.StructField("incident", T.LongType()), T.StructField("disposition", T.StringType()), T.StructField("counts_as_fed", T.BooleanType())])
+    return rows.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(fold, schema)
+
+
 def array_dispositions(firings: DataFrame, ttl: float = TTL, feed: float = FEED_INTERVAL) -> DataFrame:
-    """The same as one SQL fold over an array per incident: no Python, for incidents whose firings
-    fit a row (ARRAY_ROWS)."""
-    numbered = number_incidents(firings, ttl).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    """The same as one SQL fold over an array per incident, without Python, for incidents of up to
+    ARRAY_ROWS firings; larger ones go through dispositions()."""
+    own = W.partitionBy("key", "incident")
+    numbered = number_incidents(firings, ttl).withColumn("size", F.count("*").over(own)).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     rest = [c for c in firings.columns if c not in ("key", "ts", "id")]
-    listed = numbered.groupBy("key", "incident").agg(F.array_sort(F.collect_list(F.struct("us", "id", "ts", *rest))).alias("m"))
+    listed = numbered.where(F.col("size") <= ARRAY_ROWS).groupBy("key", "incident").agg(F.array_sort(F.collect_list(F.struct("us", "id", "ts", *rest))).alias("m"))
     wait = int(feed * 1e6)
     fed_at = F.expr(f"""aggregate(m, named_struct('fed', m[0].us, 'out', cast(array() as array<string>)),
       (s, x) -> named_struct('fed', if(x.us - s.fed >= {wait}, x.us, s.fed),
         'out', concat(s.out, array(if(size(s.out) = 0, 'opened', if(x.us - s.fed >= {wait}, 'fed', 'throttled'))))), s -> s.out)""")
     rows = listed.withColumn("z", F.explode(F.arrays_zip(F.col("m").alias("m"), fed_at.alias("d"))))
-    return rows.select("key", "z.m.id", "z.m.ts", *(f"z.m.{c}" for c in rest), "incident", F.col("z.d").alias("disposition"))
+    rows = rows.select("key", "z.m.id", "z.m.ts", *(f"z.m.{c}" for c in rest), "incident", F.col("z.d").alias("disposition"))
+    large = numbered.where(F.col("size") > ARRAY_ROWS).select(*firings.columns, F.concat_ws("\0", "key", F.col("incident").cast("string")).alias("whole"), F.col("key").alias("own_key"), F.col("incident").alias("own_incident"))
+    folded = dispositions(large.withColumn("key", F.col("whole")), ttl, feed).select(F.col("own_key").alias("key"), "id", "ts", *rest, F.col("own_incident").alias("incident"), "disposition")
+    return rows.unionByName(folded)
 
 
 def over_ceiling(opens: DataFrame, ceiling: int = OPEN_CEILING) -> DataFrame:
@@ -95,12 +155,23 @@ def with_ceiling(firings: DataFrame, ceiling: int, ttl: float = TTL, feed: float
     rate_limited and makes no incident, so that the key's next firing tries again.
 
     Where no trailing minute of unconstrained opens exceeds the ceiling, the plain fold is exact and
-    is returned. Else later decisions depend on all earlier ones, and one ordered fold over the
-    firings' keys and times runs in a single task; its state is a key table and a minute of opens."""
-    plain = dispositions(firings, ttl, feed)
-    if over_ceiling(plain.where("disposition = 'opened'").select("id", "ts"), ceiling).isEmpty():
+    is returned. Else it is exact before the first such minute's last open, and from there on every
+    decision may depend on all earlier ones: one ordered fold, which starts from each key's state and
+    the minute of opens before, runs in a single task with one row of state for each key."""
+    plain = dispositions(firings, ttl, feed).persist(StorageLevel.DISK_ONLY)
+    opens = plain.where("disposition = 'opened'").select("id", "ts")
+    first = over_ceiling(opens, ceiling).agg(F.min("ts").alias("t")).first().t
+    if first is None:
         return plain
-    rows = firings.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    start = int(plain.select(F.unix_micros(F.lit(first).cast("timestamp")).alias("u")).first().u)
+    before = plain.where(us < start)
+    names = firings.columns
+    told = F.when(F.col("disposition") != "throttled", us)
+    states = before.groupBy("key").agg(F.max(us).alias("_us"), F.max(told).alias("_fed"), F.max("incident").alias("_n")).withColumn("_kind", F.lit(0))
+    recent = before.where((F.col("disposition") == "opened") & (us >= start - 60_000_000)).select("key", us.alias("_us"), F.lit(1).alias("_kind"))
+    rows = firings.where(us >= start).withColumns({"_us": us, "_kind": F.lit(2)})
+    rows = rows.unionByName(states, allowMissingColumns=True).unionByName(recent, allowMissingColumns=True)
     ttl_us, feed_us = int(ttl * 1e6), int(feed * 1e6)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +181,15 @@ def with_ceiling(firings: DataFrame, ceiling: int, ttl: float = TTL, feed: float
         recent: deque = deque()
         for pdf in batches:
             out, numbers = [], []
-            for key, us in zip(pdf.key, pdf._us, strict=True):
+            for kind, key, us, told, count in zip(pdf._kind, pdf.key, pdf._us, pdf._fed, pdf._n, strict=True):
+                if kind == 0:
+                    state[key] = (us, int(told), int(count))
+                elif kind == 1:
+                    recent.append(us)
+                if kind < 2:
+                    out.append(None)
+                    numbers.append(0)
+                    continue
                 last, fed, n = state.get(key, (None, 0, 0))
                 if last is not None and us - last < ttl_us:
                     what = "fed" if us - fed >= feed_us else "throttled"
@@ -128,12 +207,11 @@ def with_ceiling(firings: DataFrame, ceiling: int, ttl: float = TTL, feed: float
                 out.append(what)
                 numbers.append(n)
             pdf["incident"], pdf["disposition"] = numbers, out
-            yield pdf.drop(columns=["_us"])
-
-    from pyspark.sql import types as T
+            yield pdf.loc[pdf._kind == 2, [*names, "incident", "disposition"]]
 
     schema = T.StructType([*firings.schema.fields, T.StructField("incident", T.LongType()), T.StructField("disposition", T.StringType())])
-    return rows.repartition(1).sortWithinPartitions("_us", "id").mapInPandas(fold, schema)
+    later = rows.repartition(1).sortWithinPartitions("_kind", "_us", "id", "key").mapInPandas(fold, schema)
+    return before.select(*names, F.col("incident").cast("long"), "disposition").unionByName(later)
 
 
 def with_delivery(decided: DataFrame, known_types: tuple[str, ...] = ("push", "handoff")) -> DataFrame:
@@ -144,12 +222,14 @@ def with_delivery(decided: DataFrame, known_types: tuple[str, ...] = ("push", "h
 
 
 def current_incidents(decided: DataFrame) -> DataFrame:
-    """The latest incident of each key: event_count, opened_at, last_event_at, last_fed_at."""
-    each = decided.where("disposition <> 'rate_limited'").groupBy("key", "incident").agg(
+    """The latest incident of each key: event_count, opened_at, last_event_at, last_fed_at. Firings that
+    touched no incident (rate limited, or a failed open) count for none."""
+    fed = F.col("counts_as_fed") if "counts_as_fed" in decided.columns else F.col("disposition").isin("opened", "fed")
+    each = decided.where("disposition <> 'rate_limited' and incident is not null").groupBy("key", "incident").agg(
         F.count("*").alias("event_count"),
         F.min("ts").alias("opened_at"),
         F.max("ts").alias("last_event_at"),
-        F.max(F.when(F.col("disposition").isin("opened", "fed"), F.col("ts"))).alias("last_fed_at"),
+        F.max(F.when(fed, F.col("ts"))).alias("last_fed_at"),
     )
     return each.groupBy("key").agg(F.max_by(F.struct("incident", "event_count", "opened_at", "last_event_at", "last_fed_at"), "incident").alias("x")).select("key", "x.*")
 
@@ -160,7 +240,7 @@ def last_fired(decided: DataFrame) -> DataFrame:
 
 def ledger(decided: DataFrame, rules: DataFrame) -> DataFrame:
     """The firing ledger: one row per firing with its summary, sample and whether anyone was told."""
-    named = decided.join(F.broadcast(rules.select("rule_id", "name")), "rule_id", "left")
+    named = decided.join(rules.select("rule_id", "name"), "rule_id", "left")
     line = F.substring("body", 1, 500)
     return named.select(
         "id", "rule_id", "target_id", "source", F.col("ts").alias("fired_at"), F.col("key").alias("dedup_key"), "disposition",
@@ -179,15 +259,38 @@ def audit(decided: DataFrame) -> DataFrame:
     )
 
 
-def outages(evaluations: DataFrame, threshold_seconds: int = 86_400) -> DataFrame:
-    """evaluations (id, ts, ok): runs of failures, with the row at which each has lasted the
-    threshold (one notice) and the success that ends it. Runs are few; only changes are numbered."""
-    order = W.partitionBy("scope").orderBy("ts", "id")
+def audit_changes(changes: DataFrame, kind: str, key: str) -> DataFrame:
+    """One audit row per change of a rule or target: changes has seq, op, actor, reason (of a refusal,
+    else null) and the key column."""
+    return changes.select(
+        F.col("seq").alias("id"), "actor", F.concat(F.lit(f"{kind}."), F.col("op")).alias("action"),
+        F.to_json(F.struct(key, "reason")).alias("detail"), F.col("reason").isNull().alias("ok"),
+    )
+
+
+def outages(evaluations: DataFrame, threshold_seconds: int = 86_400, bucket: str = "day") -> DataFrame:
+    """evaluations (id, ts, ok, and scope if there are several): runs of failures that lasted the
+    threshold, with the row at which each did (one notice) and the success that ends it.
+
+    Runs are found within time buckets, in parallel. Only the first and the last run of a bucket can go
+    on in another: these, two rows a bucket, are numbered together, and the rest are whole."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     rows = evaluations if "scope" in evaluations.columns else evaluations.withColumn("scope", F.lit("all"))
-    island = rows.withColumn("island", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    failed = island.where("not ok").groupBy("scope", "island").agg(F.min("ts").alias("began"), F.max("ts").alias("last"), F.count("*").alias("failures"))
-    failed = failed.where(F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("began").cast("timestamp")) >= threshold_seconds * 1_000_000)
-    late = island.where("not ok").join(failed, ["scope", "island"]).where(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("began").cast("timestamp")) >= threshold_seconds * 1_000_000)
-    notice = late.groupBy("scope", "island").agg(F.min("ts").alias("notice_at"))
-    ended = island.where("ok").select("scope", (F.col("island") - 1).alias("island"), F.col("ts").alias("recovered_at"))
-    return failed.join(notice, ["scope", "island"]).join(ended, ["scope", "island"], "left").drop("island", "last")
+    rows = rows.withColumn("bucket", F.date_trunc(bucket, "ts"))
+    order = W.partitionBy("scope", "bucket").orderBy("ts", "id")
+    turned = F.coalesce(F.col("ok") != F.lag("ok").over(order), F.lit(True)).cast("int")
+    rows = rows.withColumn("turned", turned).withColumn("run", F.sum("turned").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    pieces = rows.groupBy("scope", "bucket", "run").agg(F.first("ok").alias("ok"), F.min("ts").alias("began"), F.max("ts").alias("last"), F.count("*").alias("failures"))
+    own = W.partitionBy("scope", "bucket")
+    pieces = pieces.withColumns({"next": F.lead("began").over(own.orderBy("run")), "edge": (F.col("run") == 1) | (F.col("run") == F.max("run").over(own))})
+    whole = pieces.where("not edge and not ok").select("scope", "bucket", "run", "began", "last", "failures", F.col("next").alias("recovered_at"), F.struct("bucket", "run").alias("outage"))
+    along = W.partitionBy("scope").orderBy("bucket", "run")
+    edges = pieces.where("edge")
+    goes_on = (F.col("ok") == F.lag("ok").over(along)) & ((F.col("bucket") != F.lag("bucket").over(along)))
+    edges = edges.withColumns({"new": F.when(goes_on, 0).otherwise(1), "next": F.coalesce("next", F.lead("began").over(along))})
+    edges = edges.withColumn("g", F.sum("new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    joint = W.partitionBy("scope", "g")
+    edges = edges.select("scope", "bucket", "run", "ok", F.min("began").over(joint).alias("began"), F.max("last").over(joint).alias("last"), F.sum("failures").over(joint).alias("failures"), F.max_by("next", F.struct("bucket", "run")).over(joint).alias("recovered_at"), F.min(F.struct("bucket", "run")).over(joint).alias("outage"))
+    found = whole.unionByName(edges.where("not ok").drop("ok")).where(us("last") - us("began") >= threshold_seconds * 1_000_000)
+    late = rows.where("not ok").select("scope", "bucket", "run", "ts").join(found, ["scope", "bucket", "run"]).where(us("ts") - us("began") >= threshold_seconds * 1_000_000)
+    return late.groupBy("scope", "outage").agg(F.first("began").alias("began"), F.first("failures").alias("failures"), F.min("ts").alias("notice_at"), F.first("recovered_at").alias("recovered_at")).drop("outage")

@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.predicates import glob_route, severity_at_least
+from ..functions.predicates import glob_regex, glob_route, severity_at_least
+from .incidents import small
 
 #: Above so many rules the compiled columns give way to a join with the rule table.
 COMPILED_RULES = 500
 
 
+def java_pattern(pattern: str) -> str:
+    return pattern.replace("(?P<", "(?<")
+
+
 def subject() -> Column:
     return F.concat(F.coalesce("program", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
 
 
 def usable_rules(rules: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Rules with a target, and stop rules even without one."""
+    """Enabled line rules with a target, and stop rules even without one."""
+    if "kind" in rules.columns:
+        rules = rules.where("kind = 'regex'")
+    if "enabled" in rules.columns:
+        rules = rules.where("enabled")
     bound = rules.join(bindings.select("rule_id").distinct(), "rule_id", "left_semi")
     return bound.union(rules.where("stop").join(bindings, "rule_id", "left_anti"))
 
@@ -32,7 +41,7 @@ def compile_rules(rules: DataFrame, bindings: DataFrame) -> list[dict]:
     spark = rules.sparkSession
     for r in ordered:
         try:
-            spark._jvm.java.util.regex.Pattern.compile(r.pattern)
+            spark._jvm.java.util.regex.Pattern.compile(java_pattern(r.pattern))
         except Exception as error:
             raise ValueError(f"rule {r.rule_id} has a bad pattern: {r.pattern!r}") from error
     return [r.asDict() | {"rank": k, "targets": targets.get(r.rule_id, [])} for k, r in enumerate(ordered, 1)]
@@ -43,7 +52,7 @@ def _test(rule: dict) -> Column:
     test = severity_at_least(F.col("severity"), rule["min_severity"])
     if rule["source_glob"]:
         test &= F.coalesce(glob_route(F.col("source"), rule["source_glob"]), F.lit(False))
-    return test & subject().rlike(rule["pattern"].replace("(?P<", "(?<"))
+    return test & subject().rlike(java_pattern(rule["pattern"]))
 
 
 def matches(events: DataFrame, compiled: list[dict]) -> DataFrame:
@@ -56,15 +65,25 @@ def matches(events: DataFrame, compiled: list[dict]) -> DataFrame:
     return events.withColumn("matched", found).where(F.size("matched") > 0)
 
 
-def joined_matches(events: DataFrame, rules: DataFrame, bindings: DataFrame) -> DataFrame:
-    """The same for very large rulesets: (id, rank, rule_id, stop) through a join with the rules.
-    Globs here are turned into patterns by the caller: source_glob holds a regular expression."""
-    order = W.orderBy("rule_order", "rule_id")
-    ranked = usable_rules(rules, bindings).withColumn("rank", F.row_number().over(order))
-    test = (
-        (F.coalesce(F.col("min_severity"), F.lit(0)) == 0) | (F.col("severity") >= F.col("min_severity"))
-    ) & (F.col("source_glob").isNull() | F.expr("source rlike source_glob")) & F.expr("concat(coalesce(program,''), ' ', coalesce(body,'')) rlike pattern")
-    return events.join(F.broadcast(ranked), test).select("id", "rank", "rule_id", "stop")
+def joined_route(events: DataFrame, compiled: list[dict]) -> DataFrame:
+    """route() for rulesets too large for columns: the rules are a table that meets the events in one
+    join, and the events' matches are ranked, cut and bound to targets by their id. Events are dealt
+    out by id, so a hot source is no hot key; an event has at most as many matches as there are rules."""
+    spark = events.sparkSession
+    rows = [(r["rank"], r["rule_id"], java_pattern(r["pattern"]), glob_regex(r["source_glob"]) if r["source_glob"] else None, r["min_severity"] or 0, r["stop"]) for r in compiled]
+    rules = spark.createDataFrame(rows, "rank int, rule_id long, rule_pattern string, rule_glob string, least int, stop boolean")
+    bound = spark.createDataFrame([(r["rule_id"], t) for r in compiled for _, t in r["targets"]], "rule_id long, target_id long")
+    test = ((F.col("least") == 0) | (F.col("severity") >= F.col("least"))) & (F.col("rule_glob").isNull() | F.expr("source rlike rule_glob")) & F.expr("concat(coalesce(program,''), ' ', coalesce(body,'')) rlike rule_pattern")
+    met = events.join(small(rules), test).select(*events.columns, "rank", "rule_id", "stop")
+    own = W.partitionBy("id")
+    kept = met.withColumn("cut", F.min(F.when(F.col("stop"), F.col("rank"))).over(own)).where(F.col("cut").isNull() | (F.col("rank") <= F.col("cut")))
+    fired = kept.join(bound, "rule_id").withColumn("k", F.row_number().over(W.partitionBy("id", "target_id").orderBy("rank"))).where("k = 1")
+    return fired.select(*events.columns, "target_id", "rule_id", "rank")
+
+
+def route_any(events: DataFrame, compiled: list[dict]) -> DataFrame:
+    """route(), through columns or a join as the size of the ruleset asks."""
+    return route(events, compiled) if len(compiled) <= COMPILED_RULES else joined_route(events, compiled)
 
 
 def stop_cut(matched: Column) -> Column:
@@ -101,21 +120,25 @@ def backtest(events: DataFrame, compiled: list[dict]) -> DataFrame:
 
 
 def unknown_globs(rules: DataFrame, sources: DataFrame, near: int = 3) -> DataFrame:
-    """Rules whose wildcard-free glob is no active source, with up to `near` similar names."""
+    """Rules whose wildcard-free glob is no active source, with up to `near` similar names: all
+    active sources are looked at, each task ranks its own first."""
     plain = rules.where(F.col("source_glob").isNotNull() & (F.col("source_glob") != "") & ~F.col("source_glob").rlike(r"[*?\[]"))
     active = sources.where("active").select("source")
     missing = plain.join(active, plain.source_glob == active.source, "left_anti").select("rule_id", "source_glob")
     ratio = 1 - F.levenshtein("source_glob", "source") / F.greatest(F.length("source_glob"), F.length("source"))
-    close = missing.join(F.broadcast(active.limit(500)), ratio >= 0.5).withColumn("k", F.row_number().over(W.partitionBy("rule_id").orderBy(ratio.desc(), "source")))
+    # the rules are the small side; sources of a very different length are no neighbours
+    close = active.join(small(missing), ratio >= 0.5).withColumn("k", F.row_number().over(W.partitionBy("rule_id").orderBy(ratio.desc(), "source")))
     names = close.where(F.col("k") <= near).groupBy("rule_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "source"))), lambda x: x["source"]), ",").alias("near"))
     return missing.join(names, "rule_id", "left").select("rule_id", "source_glob", F.coalesce("near", F.lit("")).alias("near"))
 
 
 def quarantine_rules(rules: DataFrame) -> DataFrame:
     """rules (name, kind, pattern, window_kind, source_glob) with a reason, null where accepted."""
-    nested = r"\([^()]*[+*][^()]*\)\s*[*+]|\([^()]*[+*][^()]*\)\s*\{\d*,?\d*\}"
-    repeats = F.regexp_extract_all("pattern", F.lit(r"\{\s*\d+\s*(?:,\s*\d+\s*)?\}"), 0)
-    big = F.exists(repeats, lambda x: F.exists(F.regexp_extract_all(F.element_at(F.split(x, ","), -1), F.lit(r"(\d+)"), 1), lambda n: n.cast("decimal(38,0)") > 1000))
+    # what stands in the innermost groups that repeat without bound, or a counted number of times
+    repeated = F.regexp_extract_all("pattern", F.lit(r"\(([^()]*)\)\s*(?:[*+]|\{[\d,]*\})"), 1)
+    nested = F.exists(repeated, lambda x: F.contains(x, F.lit("*")) | F.contains(x, F.lit("+")))
+    counts = F.regexp_extract_all("pattern", F.lit(r"\{([\d,\s]+)\}"), 1)
+    big = F.exists(counts, lambda x: F.coalesce(F.trim(F.element_at(F.split(x, ","), -1)).try_cast("decimal(38,0)") > 1000, F.lit(False)))
     glob = F.trim(F.coalesce("source_glob", F.lit("")))
     regex = F.col("kind") == "regex"
     return rules.withColumn(
@@ -124,7 +147,7 @@ def quarantine_rules(rules: DataFrame) -> DataFrame:
         .when((F.coalesce("name", F.lit("")) == "") | (F.coalesce("pattern", F.lit("")) == ""), "empty")
         .when(~F.coalesce(F.col("window_kind").isin("sliding", "tumbling"), F.lit(False)), "window_kind")
         .when(regex & (F.length("pattern") > 512), "too long")
-        .when(regex & F.col("pattern").rlike(nested), "nested quantifier")
+        .when(regex & nested, "nested quantifier")
         .when(regex & big, "repetition")
         .when(F.contains(glob, F.lit(",")), "glob list")
         .when(glob.rlike(r"\s"), "glob blank"),
