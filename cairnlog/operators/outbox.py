@@ -70,6 +70,13 @@ def destination(default_topic: str):
     return F.coalesce(F.nullif(F.get_json_object("config", "$.topic"), F.lit("")), F.lit(default_topic))
 
 
+def push_address(default_url: str, default_topic: str, default_token: str = ""):
+    """Where a push goes: the target's own url (without its last slash), topic and token, else the
+    defaults."""
+    own = lambda k, default: F.coalesce(F.nullif(F.get_json_object("config", f"$.{k}"), F.lit("")), F.lit(default))
+    return F.struct(F.regexp_replace(own("url", default_url), "/+$", "").alias("url"), own("topic", default_topic).alias("topic"), own("token", default_token).alias("token"))
+
+
 def options(default_project: str):
     """What a hand-off carries of its target's config: tools that need no approval, skill, model and
     project; blanket approval never."""
@@ -77,9 +84,11 @@ def options(default_project: str):
     return F.to_json(F.struct(get("auto_approve_tools").alias("tools"), get("skill").alias("skill"), get("model").alias("model"), first_filled(F.col("project"), F.lit(default_project)).alias("project")))
 
 
-def redacted(viewer_oid: str, operator: bool = False):
-    """A target's config for its owner or an operator, else a marker."""
-    return F.when(F.lit(operator) | F.coalesce(F.col("owner_oid") == viewer_oid, F.lit(False)), F.col("config")).otherwise("(hidden)")
+def redacted(viewer_oid: str, viewer_bot: str = "", operator: bool = False):
+    """A target's config for its owner (both the person and the bot must match) or an operator, else a
+    marker."""
+    owns = (F.coalesce("owner_oid", F.lit("")) == viewer_oid) & (F.coalesce("owner_bot", F.lit("")) == viewer_bot)
+    return F.when(F.lit(operator) | owns, F.col("config")).otherwise("(hidden)")
 
 
 def resolve_owners(rows: DataFrame, users: DataFrame, upn: str = "owner_upn") -> DataFrame:
@@ -93,9 +102,12 @@ def resolve_owners(rows: DataFrame, users: DataFrame, upn: str = "owner_upn") ->
 
 
 def outbox(decided: DataFrame, rules: DataFrame, targets: DataFrame, default_topic: str = "alerts", default_project: str = "main") -> DataFrame:
-    """One message per firing that is delivered (opened, fed, fallback)."""
-    rows = decided.where("disposition in ('opened', 'fed', 'fallback')").join(F.broadcast(rules.select("rule_id", "name", "pattern")), "rule_id").join(F.broadcast(targets.select("target_id", "type", "config", "project")), "target_id")
-    rows = rows.withColumn("instructions", F.lit(None).cast("string"))
+    """One message per firing that is delivered (opened, fed, fallback). A rule's instructions, where
+    the rules have any, go into the private brief."""
+    told = [c for c in ("instructions",) if c in rules.columns]
+    rows = decided.where("disposition in ('opened', 'fed', 'fallback')").join(rules.select("rule_id", "name", "pattern", *told), "rule_id").join(targets.select("target_id", "type", "config", "project"), "target_id")
+    if not told:
+        rows = rows.withColumn("instructions", F.lit(None).cast("string"))
     public = F.col("type") == "push"
     repeat = F.col("disposition") == "fed"
     return rows.select(
@@ -107,9 +119,20 @@ def outbox(decided: DataFrame, rules: DataFrame, targets: DataFrame, default_top
     )
 
 
+def fallback_pushes(decided: DataFrame, rules: DataFrame, topic: str | None) -> DataFrame:
+    """The push to people that follows each firing no target took (fallback, rate limited), public-safe;
+    without a topic there is none. decided may have a reason."""
+    reason = F.col("reason") if "reason" in decided.columns else F.when(F.col("disposition") == "rate_limited", "too many opens").otherwise("delivery failed")
+    rows = decided.where("disposition in ('fallback', 'rate_limited')").join(rules.select("rule_id", "name"), "rule_id")
+    rows = rows if topic else rows.where("false")
+    title = ascii_only(F.concat(F.lit("Alert (no agent): "), _or(F.col("name")), F.lit(" on "), _or(F.col("source"))))
+    return rows.select("id", "rule_id", "target_id", "disposition", F.lit("push").alias("type"), title.alias("title"), fallback_body(reason).alias("message"), F.lit(topic).alias("destination"))
+
+
 def feed_rows(events: DataFrame | None, firings: DataFrame | None, evaluations: DataFrame | None, limit: int = 300) -> DataFrame:
     """The merged feed, newest first: each kind that is given contributes its latest `limit` rows in
-    one shape; a kind left out is not read."""
+    one shape; a kind left out is not read. Evaluations are those of
+    semantic.evaluations()."""
     limit = min(max(limit, 1), 2000)
     shape = lambda df, kind, at, **cols: df.orderBy(F.col("id").desc()).limit(limit).select(F.lit(kind).alias("kind"), "id", F.unix_millis(F.col(at).cast("timestamp")).alias("ts_ms"), "source", *(c.alias(n) for n, c in cols.items()))
     parts = []
@@ -118,7 +141,7 @@ def feed_rows(events: DataFrame | None, firings: DataFrame | None, evaluations:
     if firings is not None:
         parts.append(shape(firings, "alert", "fired_at", text=F.col("rule"), sev=F.col("disposition")))
     if evaluations is not None:
-        parts.append(shape(evaluations, "eval", "evaluated_at", text=F.col("why"), sev=F.col("trigger")))
+        parts.append(shape(evaluations, "eval", "evaluated_at", text=F.col("why"), sev=F.col("trigger_kind")))
     if not parts:
         raise ValueError("no kind of row was asked for")
     out = parts[0]

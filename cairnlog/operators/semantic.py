@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.decode import verdict_severity
 from ..functions.predicates import glob_window, severity_at_least
@@ -101,29 +103,62 @@ def extract_verdict(reply):
     return F.from_json(chosen, "fire boolean, severity string, why string")
 
 
-def gate(ticks: DataFrame, window_seconds: int | None, spike_lines: int | None) -> DataFrame:
-    """Which ticks of each rule evaluate: ticks has rule_id, tick (epoch seconds) and new_rows, the
-    rows that arrived since the tick before. The first tick only sets the baseline; then one
-    evaluates when there are new rows, 300 s have passed, and the window's time or the spike's
-    number of rows is reached. Rows gather until an evaluation takes them."""
-    window, spike = window_seconds or 3600, 100 if spike_lines is None else spike_lines
-    schema = "rule_id long, tick long, pending long, trigger string"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last, pending = [], None, 0
-        for tick, new in pdf.sort_values("tick")[["tick", "new_rows"]].itertuples(index=False):
-            if last is None:
-                last = tick
-                continue
-            pending += new
-            elapsed = tick - last
-            if not pending or elapsed < FLOOR_SECONDS or (elapsed < window and pending < spike):
-                continue
-            out.append((pdf.rule_id.iloc[0], tick, pending, "spike" if pending >= spike else "interval"))
-            last, pending = tick, 0
-        return pd.DataFrame(out, columns=["rule_id", "tick", "pending", "trigger"])
-
-    return ticks.groupBy("rule_id").applyInPandas(fold, schema)
+GATED = "rule_id long, tick long, pending long, elapsed long, trigger string"
+EVALUATIONS_PER_MINUTE = 20
+
+
+def gate(ticks: DataFrame, window_seconds: int | None = None, spike_lines: int | None = None, ceiling: int = 0) -> DataFrame:
+    """Which ticks of each rule evaluate: ticks has rule_id, tick (epoch seconds), new_rows (the rows that
+    arrived since the tick before) and, for a rule's own settings, window_seconds and spike_lines. The
+    first tick only sets the baseline; then one evaluates when there are new rows, 300 s have passed,
+    and the window's time or the spike's number of rows is reached. Rows gather until an evaluation
+    takes them. Adds the seconds since the rule's evaluation before and what triggered this one.
+
+    With a ceiling, at most so many evaluations of all rules run in a trailing minute; more are
+    deferred to the rule's next tick. Where the rules by themselves stay under it, the fold of each
+    rule is exact; else one task folds the ticks (not the rows) of all rules in order."""
+    own = {"window_seconds": window_seconds, "spike_lines": spike_lines}
+    set_by = {k: F.coalesce(F.nullif(F.col(k).cast("long"), F.lit(0)) if k == "window_seconds" else F.col(k).cast("long"), F.lit(v)) if k in ticks.columns else F.lit(v) for k, v in own.items()}
+    rows = ticks.select("rule_id", "tick", "new_rows", F.coalesce(set_by["window_seconds"], F.lit(3600)).cast("long").alias("window"), F.coalesce(set_by["spike_lines"], F.lit(100)).cast("long").alias("spike"))
+
+    def folded(limit: int):
+        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            state: dict = {}
+            recent: deque = deque()
+            for pdf in batches:
+                out = []
+                for rule, tick, new, window, spike in pdf[["rule_id", "tick", "new_rows", "window", "spike"]].itertuples(index=False):
+                    if rule not in state:
+                        if not limit:
+                            state.clear()  # rules come one after another
+                        state[rule] = (tick, 0)
+                        continue
+                    last, pending = state[rule]
+                    pending, elapsed = pending + new, tick - last
+                    due = pending and elapsed >= FLOOR_SECONDS and (elapsed >= window or pending >= spike)
+                    if due and limit:
+                        while recent and tick - recent[0] > 60:
+                            recent.popleft()
+                        due = len(recent) < limit
+                    if not due:
+                        state[rule] = (last, pending)
+                        continue
+                    if limit:
+                        recent.append(tick)
+                    out.append((rule, tick, pending, elapsed, "spike" if pending >= spike else "interval"))
+                    state[rule] = (tick, 0)
+                yield pd.DataFrame(out, columns=["rule_id", "tick", "pending", "elapsed", "trigger"])
+
+        return fold
+
+    plain = rows.repartition("rule_id").sortWithinPartitions("rule_id", "tick").mapInPandas(folded(0), GATED)
+    if ceiling <= 0:
+        return plain
+    per = plain.groupBy("tick").agg(F.count("*").alias("c"))
+    trailing = F.sum("c").over(W.orderBy("tick").rangeBetween(-60, 0))  # a row for each tick
+    if per.withColumn("n", trailing).where(F.col("n") > ceiling).isEmpty():
+        return plain
+    return rows.repartition(1).sortWithinPartitions("tick", "rule_id").mapInPandas(folded(ceiling), GATED)
 
 
 def keyword_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -143,14 +178,34 @@ def judge(windows: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame] = k
             except Exception as error:  # a model that fails must not stop the others
                 yield pdf.assign(fire=False, verdict=None, why=str(error)[:200])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*windows.schema.fields, T.StructField("fire", T.BooleanType()), T.StructField("verdict", T.StringType()), T.StructField("why", T.StringType())])
     return windows.mapInPandas(score, schema).withColumn("severity", verdict_severity(F.coalesce("verdict", F.lit(""))))
 
 
-def semantic_firings(judged: DataFrame, targets: DataFrame) -> DataFrame:
-    """Fired windows as firings, straight into the incident fold: rule_id, target_id, ts, key."""
-    fired = judged.where("fire").join(F.broadcast(targets), "rule_id")
+def evaluations(rows: DataFrame, gated: DataFrame, judged: DataFrame) -> DataFrame:
+    """The trace of every evaluation, fired or not. rows are evaluated() rows with id, source and tick
+    and those of each rule's first tick; gated is gate()'s result; judged has rule_id, window, fire,
+    verdict, why and the digest that was judged. Texts are cut to 64,000 characters."""
+    first = rows.groupBy("rule_id").agg(F.min_by(F.col("id"), F.struct(F.col("tick"), -F.col("id"))).alias("baseline"))
+    taken = evaluated(rows, gated)
+    top = taken.groupBy("rule_id", "window", "source").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    top = top.groupBy("rule_id", "window").agg(F.max_by("source", F.struct("n", -F.col("first_id"))).alias("source"))
+    spans = taken.groupBy("rule_id", "window").agg(F.max("id").alias("window_to_id"), F.count("*").alias("event_count"))
+    own = W.partitionBy("rule_id").orderBy("window")
+    spans = spans.join(first, "rule_id").withColumn("window_from_id", F.coalesce(F.lag("window_to_id").over(own), F.col("baseline"))).drop("baseline")
+    met = spans.join(top, ["rule_id", "window"]).join(gated.select("rule_id", F.col("tick").alias("window"), "elapsed", "trigger"), ["rule_id", "window"]).join(judged, ["rule_id", "window"])
+    fired = F.coalesce("fire", F.lit(False))
+    return met.select(
+        (F.col("window") * 100_000 + F.col("rule_id")).alias("id"), "rule_id", "source", F.timestamp_seconds("window").cast("timestamp_ntz").alias("evaluated_at"),
+        F.col("trigger").alias("trigger_kind"), "window_from_id", "window_to_id", "event_count", F.col("elapsed").cast("double").alias("elapsed_s"), fired.alias("fired"),
+        F.when(fired, F.coalesce("verdict", F.lit("warn"))).alias("severity"), "why", F.col("fire").isNotNull().alias("llm_ok"), F.substring("digest", 1, 64_000).alias("summary_sent"),
+    )
+
+
+def semantic_firings(traced: DataFrame, rules: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Fired evaluations as firings, straight into the incident fold, one for each target of the rule:
+    their source is the window's top source, their program the rule's name, their body the verdict's
+    reason, and all sources of a rule share one key."""
+    fired = traced.where("fired").join(rules.select("rule_id", "name"), "rule_id").join(bindings.select("rule_id", "target_id"), "rule_id")
     key = F.concat_ws(":", F.col("rule_id").cast("string"), F.col("target_id").cast("string"), F.lit("semantic"))
-    return fired.select(F.col("id"), "rule_id", "target_id", "source", F.col("rule_name").alias("program"), F.col("why").alias("body"), "severity", "ts", key.alias("key"))
+    return fired.select("id", "rule_id", "target_id", "source", verdict_severity(F.coalesce("severity", F.lit(""))).alias("severity"), F.col("severity").alias("severity_text"), F.col("name").alias("program"), F.coalesce("why", F.lit("(semantic match)")).alias("body"), F.col("evaluated_at").alias("ts"), key.alias("key"))

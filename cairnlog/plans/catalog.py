@@ -241,16 +241,21 @@ def t03(spark, d):
 
 # ------------------------------------------------------------------ routing (J, W)
 
-ROUTE_SQL = f"""{LOGS}, {DIMS},
+
+def _route_sql(dims: str, rules: str, binds: str) -> str:
+    return f"""{LOGS}, {dims},
 m as (select e.*, r.rule_id, r.stop, row_number() over (partition by e.id order by r.rule_order, r.rule_id) as rk
-  from log_events e join rules r on (coalesce(r.min_severity, 0) = 0 or e.severity >= r.min_severity)
-  and (r.source_glob is null or e.source glob r.source_glob) and regexp_matches(concat(coalesce(e.program, ''), ' ', coalesce(e.body, '')), r.pattern)
-  where r.stop or r.rule_id in (select rule_id from binds)),
+  from log_events e join {rules} r on r.kind = 'regex' and r.enabled and (coalesce(r.min_severity, 0) = 0 or e.severity >= r.min_severity)
+  and (coalesce(r.source_glob, '') = '' or e.source glob r.source_glob) and regexp_matches(concat(coalesce(e.program, ''), ' ', coalesce(e.body, '')), r.pattern)
+  where r.stop or r.rule_id in (select rule_id from {binds})),
 c as (select *, min(case when stop then rk end) over (partition by id) as cut from m),
-routed as (select c.id, c.ts, c.source, c.severity, c.severity_text, c.program, c.body, c.rule_id, b.target_id from c join binds b using (rule_id) where rk <= coalesce(cut, rk)
+routed as (select c.id, c.ts, c.source, c.severity, c.severity_text, c.program, c.body, c.rule_id, b.target_id from c join {binds} b using (rule_id) where rk <= coalesce(cut, rk)
   qualify row_number() over (partition by c.id, b.target_id order by rk) = 1)"""
 
 
+ROUTE_SQL = _route_sql(DIMS, "rules", "binds")
+
+
 def _compiled(spark):
     return routing.compile_rules(S.rules(spark), S.bindings(spark))
 
@@ -284,16 +289,17 @@ def q07(spark, d):
 # ------------------------------------------------------------------ incidents (O)
 
 
-def _fold_sql(rows: str, ttl: int, feed: int) -> str:
-    """Incident numbers by gaps, then feeds by a recursive walk from one fed row to the next."""
+def _fold_sql(rows: str, ttl: int, feed: int | str) -> str:
+    """Incident numbers by gaps, then feeds by a recursive walk from one row to the next; feed is a
+    number of seconds or an expression over the row n."""
     return f"""f0 as ({rows}), f1 as (select *, epoch_us(ts) as us, row_number() over (partition by key order by ts, id) as rn,
   epoch_us(ts) - lag(epoch_us(ts)) over (partition by key order by ts, id) as gap from f0),
 f2 as (select *, sum(case when gap is null or gap >= {ttl}000000 then 1 else 0 end) over (partition by key order by ts, id) as incident from f1),
 f3 as (select *, row_number() over (partition by key, incident order by ts, id) as pos from f2),
 walk(key, incident, pos, fed, what) as (
   select key, incident, pos, us, 'opened' from f3 where pos = 1
-  union all select n.key, n.incident, n.pos, case when n.us - w.fed >= {feed}000000 then n.us else w.fed end,
-    case when n.us - w.fed >= {feed}000000 then 'fed' else 'throttled' end
+  union all select n.key, n.incident, n.pos, case when n.us - w.fed >= ({feed}) * 1000000::bigint then n.us else w.fed end,
+    case when n.us - w.fed >= ({feed}) * 1000000::bigint then 'fed' else 'throttled' end
   from walk w join f3 n on n.key = w.key and n.incident = w.incident and n.pos = w.pos + 1),
 folded as (select f3.*, walk.what as disposition from f3 join walk on f3.key = walk.key and f3.incident = walk.incident and f3.pos = walk.pos)"""
 
@@ -355,10 +361,10 @@ def o14(spark, d):
     return rows.where("n >= 2")
 
 
-@register("o15_rule_cooldown", f"with recursive {LOGS}, {_fold_sql(_BY_SOURCE, 7200, 600)} select id, disposition from folded")
+@register("o15_rule_cooldown", f"with recursive {ROUTE_SQL}, {_fold_sql(_ROUTED_KEY, 7200, 'n.rule_id * 900')} select id, rule_id, target_id, disposition from folded")
 def o15(spark, d):
-    rows = _by_source(spark, d).withColumn("cooldown_seconds", F.lit(600.0))
-    return incidents.dispositions(rows, 7200, "cooldown_seconds").select("id", "disposition")
+    rows = routed(spark, d).withColumns({"key": incidents.dedup_key(), "cooldown_seconds": F.col("rule_id") * 900.0})
+    return incidents.dispositions(rows, 7200, "cooldown_seconds").select("id", "rule_id", "target_id", "disposition")
 
 
 @register("w04_trailing_minute", f"""with {LOGS}, o as (select id, ts from log_events where severity >= 9)
@@ -368,12 +374,64 @@ def w04(spark, d):
     return incidents.over_ceiling(rows, 1).select("id", "trailing")
 
 
-@register("o04_rate_ceiling")
+#: Row by row over all keys: st holds last event, last feed of each key, recent the opens of the last minute.
+_CEILING_SQL = f"""with recursive {ROUTE_SQL}, k as (select *, concat(cast(rule_id as varchar), ':', cast(target_id as varchar), ':', source) as key, epoch_us(ts) as us from routed where target_id in (11, 12)),
+  f as materialized (select *, row_number() over (order by us, id, key) as rn from k),
+  walk(rn, id, key, disposition, st, recent) as (
+    select 0::bigint, 0::bigint, '', '', map(['']::varchar[], [[0, 0]]::bigint[][]), []::bigint[]
+    union all select rn, id, key, what, case when what = 'rate_limited' then st else map_concat(st, map([key], [[us, case when what in ('opened', 'fed') then us else s[2] end]])) end,
+      case when what = 'opened' then list_append(near, us) else near end
+    from (select *, case when s is not null and us - s[1] < 7200000000 then case when us - s[2] >= 3600000000 then 'fed' else 'throttled' end
+        when len(near) >= 1 then 'rate_limited' else 'opened' end as what
+      from (select f.rn, f.id, f.key, f.us, w.st, w.st[f.key] as s, list_filter(w.recent, lambda x: f.us - x <= 60000000) as near from walk w join f on f.rn = w.rn + 1)))
+  select id, key, disposition from walk where rn > 0"""
+
+
+@register("o04_rate_ceiling", _CEILING_SQL)
 def o04(spark, d):
     rows = routed(spark, d).where("target_id in (11, 12)").withColumn("key", incidents.dedup_key())
     return incidents.with_ceiling(rows, 1, 7200, 3600).select("id", "key", "disposition")
 
 
+#: The fold with failing deliveries, row by row within each key.
+_DELIVERY_SQL = f"""with recursive {ROUTE_SQL}, k as ({_ROUTED_KEY}),
+  f as materialized (select *, epoch_us(ts) as us, target_id <> 10 as stateful, target_id <> 12 or id % 11 <> 0 as known, id % 5 <> 0 as ok, id % 7 = 0 as gone, row_number() over (partition by key order by ts, id) as rn from k),
+  walk(key, rn, last, fed, n, id, rule_id, target_id, ts, incident, disposition, counts_as_fed) as (
+    select distinct key, 0::bigint, null::bigint, null::bigint, 0::bigint, null::bigint, null::bigint, null::bigint, null::timestamp, null::bigint, null::varchar, false from f
+    union all select key, rn, case when what in ('none', 'failed') then last else us end, case when what = 'feed' and (ok or not stateful) or what = 'open' then us else fed end,
+      case when what = 'open' then n + 1 else n end, id, rule_id, target_id, ts,
+      case what when 'open' then n + 1 when 'wait' then n when 'feed' then n end,
+      case what when 'wait' then 'throttled' when 'open' then 'opened' when 'feed' then case when ok then 'fed' else 'fallback' end else 'fallback' end,
+      what = 'open' or (what = 'feed' and (ok or not stateful))
+    from (select *, case when not known then 'none' when live and not due then 'wait' when due and not (stateful and gone) then 'feed' when ok then 'open' else 'failed' end as what
+      from (select f.*, w.last, w.fed, w.n, coalesce(f.us - w.last < 7200000000, false) as live, coalesce(f.us - w.last < 7200000000 and f.us - w.fed >= 3600000000, false) as due
+        from walk w join f on f.key = w.key and f.rn = w.rn + 1))),
+  delivered as (select * from walk where rn > 0)"""
+
+
+def delivered(spark: SparkSession, d: str) -> DataFrame:
+    rows = routed(spark, d).withColumns({"key": incidents.dedup_key(), "stateful": F.col("target_id") != 10, "known_type": (F.col("target_id") != 12) | (F.col("id") % 11 != 0), "delivery_ok": F.col("id") % 5 != 0, "gone": F.col("id") % 7 == 0})
+    return incidents.delivered_dispositions(rows, 7200, 3600)
+
+
+@register("o03_delivery", f"{_DELIVERY_SQL} select id, key, incident, disposition, counts_as_fed from delivered")
+def o03(spark, d):
+    return delivered(spark, d).select("id", "key", "incident", "disposition", "counts_as_fed")
+
+
+@register("o03_incident_counters", f"""{_DELIVERY_SQL}, g as (select key, incident, count(*) as event_count, min(ts) as opened_at, max(ts) as last_event_at, max(case when counts_as_fed then ts end) as last_fed_at from delivered where incident is not null group by key, incident)
+  select key, event_count, opened_at, last_event_at, last_fed_at from g qualify row_number() over (partition by key order by incident desc) = 1""")
+def o03_counters(spark, d):
+    return incidents.current_incidents(delivered(spark, d)).drop("incident")
+
+
+@register("o05_fallback_push", f"""{_DELIVERY_SQL} select v.id, v.rule_id, v.target_id, v.disposition, 'push' as type, concat('Alert (no agent): ', r.name, ' on ', e.source) as title,
+  concat('[', e.severity_text, '] dispatch degraded: delivery failed. Source ', e.source) as message, 'fallback' as destination
+  from delivered v join rules r using (rule_id) join log_events e using (id) where v.disposition = 'fallback'""")
+def o05_push(spark, d):
+    return outbox.fallback_pushes(delivered(spark, d), S.rules(spark), "fallback")
+
+
 @register("o05_fallback", f"{ROUTED_FOLD_SQL} select id, target_id, case when disposition in ('opened', 'fed') and (target_id = 12 or id % 5 = 0) then 'fallback' else disposition end as disposition from folded")
 def o05(spark, d):
     kinds = F.when(F.col("target_id") == 12, "pager").when(F.col("target_id") == 11, "handoff").otherwise("push")
@@ -405,7 +463,7 @@ def q08(spark, d):
 
 
 def _named(spark, d):
-    return routed(spark, d).join(F.broadcast(S.rules(spark).select("rule_id", "name")), "rule_id")
+    return routed(spark, d).join(S.rules(spark).select("rule_id", "name"), "rule_id")
 
 
 _NAMED_SQL = f"with {ROUTE_SQL}, n as (select r.*, u.name from routed r join rules u using (rule_id))"
@@ -431,11 +489,21 @@ def f09(spark, d):
     return _named(spark, d).select("id", "target_id", outbox.handle_name().alias("handle"))
 
 
-@register("q15_outbox", f"""{ROUTED_FOLD_SQL}, d as (select f.*, r.name, r.pattern, t.type from folded f join rules r using (rule_id) join targets t using (target_id) where disposition <> 'throttled')
+_FENCE = outbox.FENCE.replace("\n", "")
+_ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
+_SAFE = "concat('[', severity_text, '] ', name, ' matched on ', source, ' (severity ', severity_text, ')')"
+_FOLLOW = f"concat('another match (untrusted log data): ', {_ISO}, ' ', source, ' [', severity_text, '] <', coalesce(program, ''), ': ', body, '>')"
+_BRIEF = f"""concat('A monitoring rule matched; find out whether it matters.', chr(10), 'Rule: ', name, ' /', pattern, '/', chr(10), 'Source: ', source, chr(10), 'Severity: ', severity_text, chr(10), 'At: ', {_ISO}, chr(10),
+  '{_FENCE}', chr(10), '  ', coalesce(program, ''), ': ', body, chr(10), '{_FENCE}', chr(10), case when trim(coalesce(instructions, '')) <> '' then concat('Instructions from the rule''s owner:', chr(10), '  ', trim(instructions), chr(10)) else '' end,
+  'Look at the source''s log around that time first. Propose changes and wait for approval unless the instructions allow them. Keep details out of public messages.')"""
+
+
+@register("q15_outbox", f"""{ROUTED_FOLD_SQL}, d as (select f.*, r.name, r.pattern, r.instructions, t.type from folded f join rules r using (rule_id) join targets t using (target_id) where disposition <> 'throttled')
   select id, rule_id, target_id, disposition, type, concat(case when disposition = 'fed' then 'Still active: ' else 'Alert: ' end, name, ' on ', source) as title,
-  case when type = 'push' then 'ops' else concat_ws('/', 'alerts', source, severity_text, name, strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) end as destination from d""")
+  case when type = 'push' then {_SAFE} when disposition = 'fed' then {_FOLLOW} else {_BRIEF} end as message,
+  case when type = 'push' then 'ops' else concat_ws('/', 'alerts', source, severity_text, name, {_ISO}) end as destination from d""")
 def q15(spark, d):
-    return outbox.outbox(decided(spark, d), S.rules(spark), S.targets(spark)).drop("message", "options")
+    return outbox.outbox(decided(spark, d), S.rules(spark), S.targets(spark)).drop("options")
 
 
 @register("q09_live_feed", f"""{ROUTED_FOLD_SQL}, l as (select 'log' as kind, id, epoch_us(ts) // 1000 as ts_ms, source, body as text, severity_text as sev from log_events where body ilike '%amount 1%' and severity >= 9 order by id desc limit 300),
@@ -481,34 +549,173 @@ def o09(spark, d):
     return semantic.window_read(S.log_events(spark, d), 100, "host-0*", 9).select("id", "source")
 
 
-def _ticked(spark, d):
-    tick = (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 600) * 600).cast("long")
-    return S.log_events(spark, d).where("severity >= 9").withColumns({"rule_id": (F.pmod(F.hash("source"), F.lit(4)) + 1).cast("long"), "tick": tick})
+#: A window rule for each region; events belong to the rule of their host's number.
+_REGION_RULES = "select r_regionkey as rule_id, r_name as name, (r_regionkey + 1) * 1800 as window_seconds, (r_regionkey + 1) * 10 as spike_lines, concat('link error near ', lower(r_name)) as pattern from region"
+
+
+def _gate_sql(grid: int) -> str:
+    return f"""{LOGS}, rg as ({_REGION_RULES}),
+  ev as (select *, cast(right(source, 2) as bigint) % 5 as rule_id, cast(floor(epoch(ts) / {grid}) * {grid} as bigint) as tick from log_events where severity >= 9),
+  tk as materialized (select rule_id, tick, count(*) as new_rows, row_number() over (partition by rule_id order by tick) as k from ev group by rule_id, tick)"""
+
+
+GATE_SQL = f"""with recursive {_gate_sql(600)},
+  gw(rule_id, k, tick, last, pending, took, elapsed, fired) as (
+    select rule_id, k, tick, tick, 0::bigint, 0::bigint, 0::bigint, false from tk where k = 1
+    union all select rule_id, k, tick, case when due then tick else last end, case when due then 0 else took end, took, elapsed, due
+    from (select *, elapsed >= 300 and (elapsed >= window_seconds or took >= spike_lines) as due
+      from (select t.rule_id, t.k, t.tick, w.last, w.pending + t.new_rows as took, t.tick - w.last as elapsed, g.window_seconds, g.spike_lines
+        from gw w join tk t on t.rule_id = w.rule_id and t.k = w.k + 1 join rg g on g.rule_id = t.rule_id))),
+  gated as (select rule_id, tick, took as pending, elapsed, case when took >= spike_lines then 'spike' else 'interval' end as trigger from gw join rg using (rule_id) where fired),
+  wn as (select t.rule_id, t.tick, t.k, min(g.tick) over (partition by t.rule_id order by t.tick rows between current row and unbounded following) as win from tk t left join gated g using (rule_id, tick)),
+  tev as (select ev.*, wn.win from ev join wn using (rule_id, tick) where wn.k > 1 and wn.win is not null)"""
+DIGEST_SQL = f"""{GATE_SQL}, dt as (select *, {_duck_template('body')} as template from tev), df as (select *, sha1(concat(coalesce(program, ''), chr(0), template)) as fp from dt),
+  lb as (select rule_id, win, source, coalesce(program, '?') as prog, fp, coalesce(body, '')[1:200] as line, min(id) as first from df group by all),
+  lk as (select *, row_number() over (partition by rule_id, win, source, prog, fp order by first) as k from lb),
+  gr as (select rule_id, win, source, coalesce(program, '?') as prog, fp, count(*) as n, max(coalesce(severity, 0)) as worst, arg_max(coalesce(severity_text, '?'), (coalesce(severity, 0), -id)) as sev_text, min(id) as first_id from df group by all),
+  gk as (select *, row_number() over (partition by rule_id, win order by worst desc, n desc, first_id) as gk from gr),
+  pt as (select rule_id, win, gk, string_agg(concat('  ', case when k = 1 then concat(cast(n as varchar), 'x ') else '   ' end, source, ' [', sev_text, '] ', prog, ': ', line), chr(10) order by k) as part
+    from gk join lk using (rule_id, win, source, prog, fp) where k <= 3 and gk <= 50 group by rule_id, win, gk),
+  ps as (select rule_id, win, string_agg(part, chr(10) order by gk) as parts from pt group by rule_id, win),
+  fa as (select rule_id, win, count(*) as n, arg_min(ts, id) as a, arg_max(ts, id) as b from tev group by rule_id, win), gc as (select rule_id, win, count(*) as g from gr group by rule_id, win),
+  dg as (select rule_id, win as "window", concat(cast(n as varchar), ' events over ', strftime(a, '%H:%M:%S'), '-', strftime(b, '%H:%M:%S'), 'Z, ', cast(g as varchar), ' message types, worst first:', chr(10), parts,
+    case when g > 50 then concat(chr(10), '  ...(+', cast(g - 50 as varchar), ' more types)') else '' end)[1:8000] as digest, n as event_count from fa join gc using (rule_id, win) join ps using (rule_id, win))"""
+JUDGE_SQL = f"""{DIGEST_SQL}, hs as (select dg.*, pattern as condition, list_filter(string_split(pattern, ' '), lambda x: length(x) > 3 and contains(lower(digest), x)) as hits from dg join rg using (rule_id)),
+  jd as (select rule_id, "window", condition, digest, len(hits) > 0 as fire, case when len(hits) > 0 then 'error' else 'info' end as verdict, array_to_string(hits, ', ') as why, case when len(hits) > 0 then 17 else 9 end as severity from hs)"""
+TRACE_SQL = f"""{JUDGE_SQL}, bl as (select rule_id, max(id) as baseline from ev join tk using (rule_id, tick) where k = 1 group by rule_id),
+  tp2 as (select rule_id, win, source, count(*) as n, min(id) as first_id from tev group by rule_id, win, source), tops as (select rule_id, win, arg_max(source, (n, -first_id)) as source from tp2 group by rule_id, win),
+  sp as (select rule_id, win, max(id) as window_to_id, count(*) as event_count from tev group by rule_id, win),
+  se as (select sp.win * 100000 + sp.rule_id as id, sp.rule_id, tops.source, make_timestamp(sp.win * 1000000) as evaluated_at, g.trigger as trigger_kind,
+    coalesce(lag(window_to_id) over (partition by sp.rule_id order by sp.win), baseline) as window_from_id, window_to_id, event_count, cast(g.elapsed as double) as elapsed_s,
+    jd.fire as fired, case when jd.fire then jd.verdict end as severity, jd.why, true as llm_ok, jd.digest as summary_sent
+    from sp join tops using (rule_id, win) join bl using (rule_id) join gated g on g.rule_id = sp.rule_id and g.tick = sp.win join jd on jd.rule_id = sp.rule_id and jd."window" = sp.win)"""
+
 
+def _window_rules(spark, d):
+    S.table(spark, d, "region").createOrReplaceTempView("window_rule_regions")
+    return spark.sql(_REGION_RULES.replace("from region", "from window_rule_regions")).withColumn("rule_id", F.col("rule_id").cast("long"))
 
-def _gated(rows):
-    return semantic.gate(rows.groupBy("rule_id", "tick").agg(F.count("*").alias("new_rows")), 3600, 20)
 
+def _ticked(spark, d, grid: int = 600):
+    tick = (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / grid) * grid).cast("long")
+    return S.log_events(spark, d).where("severity >= 9").withColumns({"rule_id": F.right("source", F.lit(2)).cast("long") % 5, "tick": tick})
 
-def _evaluated(spark, d):
+
+def _gated(spark, d, rows, ceiling: int = 0):
+    ticks = rows.groupBy("rule_id", "tick").agg(F.count("*").alias("new_rows"))
+    return semantic.gate(ticks.join(_window_rules(spark, d).select("rule_id", "window_seconds", "spike_lines"), "rule_id"), ceiling=ceiling)
+
+
+def _judged(spark, d, rows, gated):
+    text = semantic.window_digests(semantic.evaluated(rows, gated)).join(_window_rules(spark, d).select("rule_id", F.col("pattern").alias("condition")), "rule_id")
+    return semantic.judge(text.select("rule_id", "window", "condition", "digest"))
+
+
+def _evaluations(spark, d):
     rows = _ticked(spark, d)
-    return semantic.evaluated(rows, _gated(rows))
+    gated = _gated(spark, d, rows)
+    return semantic.evaluations(rows, gated, _judged(spark, d, rows, gated).drop("severity"))
 
 
-@register("q14_digest")
+@register("q14_digest", f"{DIGEST_SQL} select rule_id, \"window\", digest, event_count from dg")
 def q14(spark, d):
-    return semantic.window_digests(_evaluated(spark, d))
+    rows = _ticked(spark, d)
+    return semantic.window_digests(semantic.evaluated(rows, _gated(spark, d, rows)))
 
 
-@register("o06_semantic_gate")
+@register("o06_semantic_gate", f"{GATE_SQL} select rule_id, tick, pending, elapsed, trigger from gated")
 def o06(spark, d):
-    return _gated(_ticked(spark, d))
+    return _gated(spark, d, _ticked(spark, d))
 
 
-@register("o10_judge")
+#: Row by row over the ticks of all rules: st holds each rule's last evaluation and waiting rows.
+_EVALUATION_CEILING_SQL = f"""with recursive {_gate_sql(3600)}, f as materialized (select *, row_number() over (order by tick, rule_id) as rn from tk),
+  walk(rn, rule_id, tick, took, elapsed, due, st, recent) as (
+    select 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, false, map([-1]::bigint[], [[0, 0]]::bigint[][]), []::bigint[]
+    union all select rn, rule_id, tick, took, elapsed, runs, map_concat(st, map([rule_id], [case when runs or s is null then [tick, 0] else [s[1], took] end])), case when runs then list_append(near, tick) else near end
+    from (select *, coalesce(took > 0 and elapsed >= 300 and (elapsed >= window_seconds or took >= spike_lines), false) and len(near) < 2 as runs
+      from (select f.rn, f.rule_id, f.tick, w.st, w.st[f.rule_id] as s, w.st[f.rule_id][2] + f.new_rows as took, f.tick - w.st[f.rule_id][1] as elapsed, g.window_seconds, g.spike_lines, list_filter(w.recent, lambda x: f.tick - x <= 60) as near
+        from walk w join f on f.rn = w.rn + 1 join rg g on g.rule_id = f.rule_id)))
+  select rule_id, tick, took as pending, elapsed, case when took >= spike_lines then 'spike' else 'interval' end as trigger from walk join rg using (rule_id) where due"""
+
+
+@register("o08_evaluation_ceiling", _EVALUATION_CEILING_SQL)
+def o08(spark, d):
+    return _gated(spark, d, _ticked(spark, d, 3600), ceiling=2)
+
+
+@register("o10_judge", f"{JUDGE_SQL} select rule_id, \"window\", condition, digest, fire, verdict, why, severity from jd")
 def o10(spark, d):
-    text = semantic.window_digests(_evaluated(spark, d))
-    return semantic.judge(text.select("rule_id", "window", F.lit("link state changed or error").alias("condition"), "digest"))
+    rows = _ticked(spark, d)
+    return _judged(spark, d, rows, _gated(spark, d, rows))
+
+
+@register("s20_evaluation_trace", f"{TRACE_SQL} select * from se")
+def s20(spark, d):
+    return _evaluations(spark, d)
+
+
+@register("j04_evaluations_rules", f"{TRACE_SQL} select se.id, se.rule_id, se.fired, r.name as rule, r.pattern as condition from se left join (select * from rg where rule_id <> 4) r using (rule_id)")
+def j04(spark, d):
+    left = _window_rules(spark, d).where("rule_id <> 4")  # a rule that was deleted leaves its evaluations
+    return Q.evaluation_detail(_evaluations(spark, d), left).select("id", "rule_id", "fired", "rule", "condition")
+
+
+@register("q11_evaluation_detail", f"{TRACE_SQL} select se.*, r.name as rule, r.pattern as condition from se left join rg r using (rule_id) where se.id = (select max(id) from se)")
+def q11(spark, d):
+    found = _evaluations(spark, d)
+    newest = found.agg(F.max("id").alias("m")).first().m or 0
+    return Q.evaluation_detail(found, _window_rules(spark, d), newest)
+
+
+_SEMANTIC_FIRINGS_SQL = """select se.id, se.rule_id, n.n_nationkey as target_id, se.source, se.evaluated_at as ts, se.why, rg.name,
+  concat(cast(se.rule_id as varchar), ':', cast(n.n_nationkey as varchar), ':semantic') as key from se join rg using (rule_id) join nation n on n.n_regionkey = se.rule_id where fired"""
+
+
+def _semantic_firings(spark, d):
+    bindings = S.table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("rule_id"), F.col("n_nationkey").cast("long").alias("target_id"))
+    return semantic.semantic_firings(_evaluations(spark, d), _window_rules(spark, d), bindings)
+
+
+@register("o11_semantic_incidents", f"{TRACE_SQL}, {_fold_sql(_SEMANTIC_FIRINGS_SQL, 7200, 3600)} select id, target_id, source, key, why as body, name as program, cast(incident as bigint) as incident, disposition from folded")
+def o11(spark, d):
+    rows = incidents.dispositions(_semantic_firings(spark, d), 7200, 3600)
+    return rows.select("id", F.col("target_id").cast("int").alias("target_id"), "source", "key", "body", "program", F.col("incident").cast("long").alias("incident"), "disposition")
+
+
+@register("f06_window_brief", f"""{TRACE_SQL} select se.id, concat('A window rule fired: ', rg.name, chr(10), 'Verdict: ', se.severity, chr(10), '{_FENCE}', chr(10), se.why, chr(10), se.summary_sent, chr(10), '{_FENCE}', chr(10)) as brief from se join rg using (rule_id) where fired""")
+def f06(spark, d):
+    rows = _evaluations(spark, d).where("fired").join(_window_rules(spark, d).select("rule_id", "name"), "rule_id")
+    return rows.select("id", outbox.window_brief().alias("brief")) if "verdict" in rows.columns else rows.withColumns({"verdict": F.col("severity"), "digest": F.col("summary_sent")}).select("id", outbox.window_brief().alias("brief"))
+
+
+@register("u01_merged_feed", f"""{TRACE_SQL}, {_fold_sql(_SEMANTIC_FIRINGS_SQL, 7200, 3600)},
+  l as (select 'log' as kind, id, epoch_us(ts) // 1000 as ts_ms, source, body as text, severity_text as sev from log_events order by id desc limit 50),
+  a as (select 'alert' as kind, id, epoch_us(ts) // 1000 as ts_ms, source, name as text, disposition as sev from folded where target_id % 5 = 0 order by id desc limit 50),
+  v as (select 'eval' as kind, id, epoch_us(evaluated_at) // 1000 as ts_ms, source, why as text, trigger_kind as sev from se order by id desc limit 50)
+  select * from l union all select * from a union all select * from v""")
+def u01(spark, d):
+    fired = incidents.dispositions(_semantic_firings(spark, d), 7200, 3600).where("target_id % 5 = 0").select("id", F.col("ts").alias("fired_at"), "source", F.col("program").alias("rule"), "disposition")
+    return outbox.feed_rows(S.log_events(spark, d), fired, _evaluations(spark, d), 50)
+
+
+@register("u03_kinds", f"""{TRACE_SQL} select 'eval' as kind, id, epoch_us(evaluated_at) // 1000 as ts_ms, source, why as text, trigger_kind as sev from se order by id desc limit 40""")
+def u03(spark, d):
+    return outbox.feed_rows(None, None, _evaluations(spark, d), 40)
+
+
+@register("f12_verdict_severity", logs("select id, case when sev = 'crit' then 18 when sev = 'err' then 17 when sev = 'info' then 9 when sev = 'warn' then 13 else 13 end as severity from (select id, case id % 5 when 0 then 'crit' when 1 then 'err' when 2 then 'info' when 3 then 'warn' else body end as sev from log_events)"))
+def f12(spark, d):
+    word = F.when(F.col("id") % 5 == 0, "CRIT").when(F.col("id") % 5 == 1, "err").when(F.col("id") % 5 == 2, "Info").when(F.col("id") % 5 == 3, "warn").otherwise(F.col("body"))
+    return S.log_events(spark, d).select("id", decode.verdict_severity(word).alias("severity"))
+
+
+@register("f13_verdict", logs("select id, case when id % 4 = 3 then null else id % 2 = 0 end as fire, case when id % 4 = 3 then null else severity_text end as severity, case when id % 4 = 3 then null else body end as why from log_events"))
+def f13(spark, d):
+    answer = F.concat(F.lit('{"fire": '), (F.col("id") % 2 == 0).cast("string"), F.lit(', "severity": "'), "severity_text", F.lit('", "why": "'), "body", F.lit('"}'))
+    reply = F.when(F.col("id") % 4 == 3, F.concat(F.lit("no {verdict: "), "body")).when(F.col("id") % 4 == 2, F.concat(F.lit('<think>{"fire": 1} or {not}</think>'), answer, F.lit(" done {}"))).otherwise(answer)
+    v = semantic.extract_verdict(reply)
+    return S.log_events(spark, d).select("id", v["fire"].alias("fire"), v["severity"].alias("severity"), v["why"].alias("why"))
 
 
 @register("w05_outages", f"""with {LOGS}, e as (select id, ts, event_type <> 'error' as ok from (select l.*, e.event_type from log_events l join events e on e.event_id = l.id)),
@@ -552,11 +759,11 @@ _COS = "list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(li
 
 
 @register("m09_template_similarity", f"""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
-  s as (select a.vec_id as query_id, b.vec_id, {_COS} as cosine from v a join v b on a.vec_id <> b.vec_id where a.vec_id < 5),
-  k as (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s) select query_id, vec_id, cast(rank as integer) as rank, round(cosine, 6) as cosine from k where rank <= 5""")
+  s as (select a.vec_id as query_id, b.vec_id, {_COS} as cosine from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+  k as (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s) select query_id, vec_id, cast(rank as integer) as rank, round(cosine, 6) as cosine from k where rank <= 3""")
 def m09(spark, d):
     v = S.table(spark, d, "embeddings")
-    return templates.nearest(v, v.where("vec_id < 5"), 5).select("query_id", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
+    return templates.nearest(v, v.where("vec_id % 50 = 0"), 3).select("query_id", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
 @register("m09_neighbours", f"""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
@@ -619,6 +826,101 @@ def u02(spark, d):
     return outbox.feed_rows(rows, fired.where(predicates.like_any([F.col("rule")], "link")), None, 50).select("kind", "id", "source", "text")
 
 
+# ------------------------------------------------------------------ rules and targets that grow with the tables
+
+_duck = lambda sql: sql.replace("as text)", "as varchar)")
+_REASON = r"""case when kind not in ('regex', 'semantic') then 'kind' when name = '' or pattern = '' then 'empty' when window_kind not in ('sliding', 'tumbling') then 'window_kind'
+  when kind = 'regex' and length(pattern) > 512 then 'too long' when kind = 'regex' and regexp_matches(pattern, '\([^()]*[+*][^()]*\)[*+]') then 'nested quantifier'
+  when kind = 'regex' and contains(pattern, '{1,2000}') then 'repetition' when contains(source_glob, ',') then 'glob list' when contains(trim(source_glob), ' ') then 'glob blank' end"""
+GROWING_SQL = f"gr0 as ({_duck(S.GROWING_RULES)}), gbinds as ({_duck(S.GROWING_BINDINGS)}), grules as materialized (select * from gr0 where ({_REASON}) is null)"
+GROWING_ROUTE_SQL = _route_sql(GROWING_SQL, "grules", "gbinds")
+
+
+def _growing_compiled(spark, d):
+    accepted = routing.quarantine_rules(S.growing(spark, d, S.GROWING_RULES)).where("reason is null").drop("reason")
+    return routing.compile_rules(accepted, S.growing(spark, d, S.GROWING_BINDINGS))
+
+
+@register("q12_route_growing", f"with {GROWING_ROUTE_SQL} select id, rule_id, target_id from routed")
+def q12_growing(spark, d):
+    return routing.route_any(S.log_events(spark, d), _growing_compiled(spark, d)).select("id", "rule_id", "target_id")
+
+
+@register("j01_joined_route", f"with {GROWING_ROUTE_SQL} select id, rule_id, target_id from routed")
+def j01_joined(spark, d):
+    return routing.joined_route(S.log_events(spark, d), _growing_compiled(spark, d)).select("id", "rule_id", "target_id")
+
+
+@register("m07_rule_quarantine", f"with {GROWING_SQL} select rule_id, {_REASON} as reason from gr0")
+def m07(spark, d):
+    return routing.quarantine_rules(S.growing(spark, d, S.GROWING_RULES)).select("rule_id", "reason")
+
+
+_HOST = "lower(regexp_extract(json_extract_string(config, '$.url'), '^[a-z]+://([^/:?#]+)', 1))"
+
+
+@register("m08_target_quarantine", f"""with t as ({_duck(S.GROWING_TARGETS)}) select target_id, case when type not in ('push', 'handoff') then 'type' when identity_policy = 'me' then 'identity' when type = 'handoff' and trim(project) = '' then 'project'
+  when type = 'push' and {_HOST} not in ('building.example.com', 'machinery.example.com') then 'host' when type = 'push' and json_extract_string(config, '$.token') = 't' and json_extract_string(config, '$.url') not like 'https://%' then 'token'
+  when type = 'handoff' and config like '%auto_approve":true%' then 'auto_approve' end as reason from t""")
+def m08_targets(spark, d):
+    return routing.quarantine_targets(S.growing(spark, d, S.GROWING_TARGETS), ["Building.example.com", "machinery.example.com"]).select("target_id", "reason")
+
+
+@register("q04_list_rules", f"""with {GROWING_SQL}, b as (select rule_id, string_agg(cast(target_id as varchar), ',' order by target_id) as target_ids from gbinds group by rule_id)
+  select rule_id, name, kind, coalesce(target_ids, '') as target_ids from gr0 left join b using (rule_id) where enabled and owner_oid = 'o2' and owner_bot = 'bot'""")
+def q04(spark, d):
+    rows = Q.list_rules(S.growing(spark, d, S.GROWING_RULES), S.growing(spark, d, S.GROWING_BINDINGS), owner=("o2", "bot"))
+    return rows.select("rule_id", "name", "kind", F.array_join("target_ids", ",").alias("target_ids"))
+
+
+@register("j05_rules_targets", f"""with {GROWING_SQL}, b as (select rule_id, string_agg(cast(target_id as varchar), ',' order by target_id) as target_ids from gbinds where rule_id % 4 <> 1 group by rule_id)
+  select rule_id, enabled, coalesce(target_ids, '') as target_ids from gr0 left join b using (rule_id)""")
+def j05(spark, d):
+    rows = Q.list_rules(S.growing(spark, d, S.GROWING_RULES), S.growing(spark, d, S.GROWING_BINDINGS).where("rule_id % 4 <> 1"), include_disabled=True)
+    return rows.select("rule_id", "enabled", F.array_join("target_ids", ",").alias("target_ids"))
+
+
+@register("q05_list_targets", f"with t as ({_duck(S.GROWING_TARGETS)}) select target_id, name, type, case when owner_oid = 'o3' and owner_bot = 'bot' then config else '(hidden)' end as config from t")
+def q05(spark, d):
+    return Q.list_targets(S.growing(spark, d, S.GROWING_TARGETS), "o3", "bot").select("target_id", "name", "type", "config")
+
+
+@register("f18_push_address", f"""with t as ({_duck(S.GROWING_TARGETS)}) select target_id, regexp_replace(coalesce(json_extract_string(config, '$.url'), 'https://push.example.com'), '/+$', '') as url,
+  coalesce(nullif(json_extract_string(config, '$.topic'), ''), 'alerts') as topic, coalesce(json_extract_string(config, '$.token'), '') as token from t where type = 'push'""")
+def f18(spark, d):
+    rows = S.growing(spark, d, S.GROWING_TARGETS).where("type = 'push'").withColumn("a", outbox.push_address("https://push.example.com", "alerts"))
+    return rows.select("target_id", "a.url", "a.topic", "a.token")
+
+
+@register("j09_unknown_globs", f"""with {LOGS}, {GROWING_SQL}, a as (select distinct source from log_events), miss as (select rule_id, source_glob from gr0 where source_glob <> '' and not regexp_matches(source_glob, '[*?[]') and source_glob not in (select source from a)),
+  c as (select rule_id, source, 1 - levenshtein(source_glob, source) / greatest(length(source_glob), length(source)) as ratio from miss, a),
+  k as (select *, row_number() over (partition by rule_id order by ratio desc, source) as k from c where ratio >= 0.5)
+  select rule_id, source_glob, coalesce((select string_agg(source, ',' order by k) from k where k.rule_id = miss.rule_id and k <= 3), '') as near from miss""")
+def j09(spark, d):
+    return routing.unknown_globs(S.growing(spark, d, S.GROWING_RULES), templates.source_delta(S.log_events(spark, d)).select("source", "active"))
+
+
+@register("s18_rule_audit", f"""with {GROWING_SQL} select rule_id as id, owner_oid as actor, case when enabled then 'rule.create' else 'rule.disable' end as action,
+  case when ({_REASON}) is null then concat('{{"rule_id":', cast(rule_id as varchar), '}}') else concat('{{"rule_id":', cast(rule_id as varchar), ',"reason":"', {_REASON}, '"}}') end as detail, ({_REASON}) is null as ok from gr0""")
+def s18_rules(spark, d):
+    rows = routing.quarantine_rules(S.growing(spark, d, S.GROWING_RULES))
+    return incidents.audit_changes(rows.select(F.col("rule_id").alias("seq"), F.when(F.col("enabled"), "create").otherwise("disable").alias("op"), F.col("owner_oid").alias("actor"), "reason", "rule_id"), "rule", "rule_id")
+
+
+@register("m05_rule_changes", f"""with {GROWING_SQL}, ch as (select o_orderkey % 40 as rule_id, o_orderkey as seq, o_orderstatus = 'F' as gone, cast(o_orderkey % 9 as bigint) as rule_order from orders),
+  l as (select * from ch qualify row_number() over (partition by rule_id order by seq desc) = 1) select rule_id, rule_order from gr0 where rule_id not in (select rule_id from l) union all select rule_id, rule_order from l where not gone""")
+def m05_rules(spark, d):
+    changes = S.table(spark, d, "orders").select((F.col("o_orderkey") % 40).alias("rule_id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "delete").otherwise("upsert").alias("op"), (F.col("o_orderkey") % 9).alias("rule_order"))
+    return maintenance.apply_changes(S.growing(spark, d, S.GROWING_RULES).select("rule_id", "rule_order"), changes, ["rule_id"])
+
+
+@register("s11_year_inference", logs("""select id, case when t > r + interval 1 day then t - interval 1 year else t end as ts from (select id, ts + to_days(cast(id % 700 as integer)) as r,
+  make_timestamp(year(ts + to_days(cast(id % 700 as integer))), month(ts), day(ts), hour(ts), minute(ts), floor(second(ts))) as t from log_events where id % 4 = 1)"""))
+def s11(spark, d):
+    rows = S.raw_lines(spark, d).where("id % 4 = 1").withColumn("received_at", F.expr("received_at + make_interval(0, 0, 0, cast(id % 700 as int))"))
+    return decode.decode_lines(rows).select("id", "ts")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Events routed through the ruleset and folded into incidents, by rule and disposition."""
     return QUERIES["a12_disposition_rollup"](spark, d)

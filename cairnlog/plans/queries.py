@@ -50,13 +50,25 @@ def list_sources(sources: DataFrame, glob: str | None = None, include_hidden: bo
     return rows.orderBy(F.col("active").desc(), F.col("last_seen").desc(), "source")
 
 
-def list_rules(rules: DataFrame, bindings: DataFrame) -> DataFrame:
+def list_rules(rules: DataFrame, bindings: DataFrame, include_disabled: bool = False, owner: tuple[str, str] | None = None) -> DataFrame:
+    """Rules with their bound target ids, in rule order; owner is the pair (oid, bot) that made them."""
     ids = bindings.groupBy("rule_id").agg(F.array_sort(F.collect_list("target_id")).alias("target_ids"))
-    return rules.join(ids, "rule_id", "left").withColumn("target_ids", F.coalesce("target_ids", F.array().cast("array<bigint>")))
+    rows = rules if include_disabled else rules.where("enabled")
+    if owner:
+        rows = rows.where((F.col("owner_oid") == owner[0]) & (F.col("owner_bot") == owner[1]))
+    rows = rows.join(ids, "rule_id", "left").withColumn("target_ids", F.coalesce("target_ids", F.array().cast("array<bigint>")))
+    return rows.orderBy("rule_order", "rule_id")
 
 
-def list_targets(targets: DataFrame, viewer_oid: str, operator: bool = False) -> DataFrame:
-    return targets.withColumn("config", redacted(viewer_oid, operator)).orderBy("target_id")
+def list_targets(targets: DataFrame, viewer_oid: str, viewer_bot: str = "", operator: bool = False) -> DataFrame:
+    """Targets with their config for the owner pair or an operator only."""
+    return targets.withColumn("config", redacted(viewer_oid, viewer_bot, operator)).orderBy("target_id")
+
+
+def evaluation_detail(evaluations: DataFrame, rules: DataFrame, evaluation_id: int | None = None) -> DataFrame:
+    """Evaluations (one, if an id is given) with the name and condition of their rule, where it still is."""
+    rows = evaluations if evaluation_id is None else evaluations.where(F.col("id") == evaluation_id)
+    return rows.join(rules.select("rule_id", F.col("name").alias("rule"), F.col("pattern").alias("condition")), "rule_id", "left")
 
 
 def backtest_scope(events: DataFrame, pattern: str, glob: str | None = None, severity_min: int | None = None, since: str | None = None) -> DataFrame:
@@ -68,5 +80,5 @@ def backtest_scope(events: DataFrame, pattern: str, glob: str | None = None, sev
 
 def alert_history(ledger: DataFrame, rules: DataFrame, rule_id: int | None = None, since: str | None = None, limit: int = 100) -> DataFrame:
     rows = ledger.where(F.col("rule_id") == rule_id) if rule_id is not None else ledger
-    rows = rows.where(P.between(F.col("fired_at"), since, None)).join(F.broadcast(rules.select("rule_id", F.col("name").alias("rule"))), "rule_id", "left")
+    rows = rows.where(P.between(F.col("fired_at"), since, None)).join(rules.select("rule_id", F.col("name").alias("rule")), "rule_id", "left")
     return rows.orderBy(F.col("fired_at").desc(), F.col("id").desc(), "target_id").limit(min(limit, 2000))

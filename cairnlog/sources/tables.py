@@ -24,11 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_files(spark: SparkSession, path: str, peer: str = "unknown", stream: bool = False) -> DataFrame:
-    """Raw lines (raw, received_at, peer) from text files: carriage returns trimmed, empty lines
-    dropped. Streaming reads take new files as they arrive."""
+    """Raw lines (id, raw, received_at, peer) from text files: carriage returns trimmed, empty lines
+    dropped. Streaming reads take new files as they arrive. The id grows with the second in which the
+    file was written; within it a 32-bit hash of place and line tells lines apart, so that reading a
+    file again gives the same ids."""
     reader = (spark.readStream.option("maxFilesPerTrigger", 64) if stream else spark.read).format("text")
-    lines = reader.load(path).select(F.rtrim(F.regexp_replace("value", r"[\r\n]+$", "")).alias("raw"))
-    return lines.where("raw != ''").select("raw", F.current_timestamp().alias("received_at"), F.lit(peer).alias("peer"))
+    lines = reader.load(path).select(F.rtrim(F.regexp_replace("value", r"[\r\n]+$", "")).alias("raw"), "_metadata")
+    at = F.unix_seconds("_metadata.file_modification_time") * (1 << 32)
+    own = F.xxhash64("raw", "_metadata.file_path", "_metadata.file_block_start").bitwiseAND((1 << 32) - 1)
+    return lines.where("raw != ''").select((at + own).alias("id"), "raw", F.current_timestamp().cast("timestamp_ntz").alias("received_at"), F.lit(peer).alias("peer"))
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +75,11 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = """values
- (1L,'link','changed|error','host-0*',17,10L,false), (2L,'quiet','did view',cast(null as string),0,20L,true),
- (3L,'all','user 1[0-9]',cast(null as string),0,100L,false), (4L,'big','amount [0-9]{4,}','host-1?',9,100L,false)
- as rules(rule_id, name, pattern, source_glob, min_severity, rule_order, stop)"""
-BINDINGS = "values (1L,10L,100L),(1L,11L,50L),(3L,10L,100L),(4L,11L,100L),(4L,12L,100L) as binds(rule_id, target_id, target_order)"
+ (1L,'link','changed|error','host-0*',17,10L,false,'regex',true,'check the uplink first'), (2L,'quiet','did view',cast(null as string),0,20L,true,'regex',true,cast(null as string)),
+ (3L,'all','user 1[0-9]',cast(null as string),0,100L,false,'regex',true,' '), (4L,'big','amount [0-9]{4,}','host-1?',9,100L,false,'regex',true,'ask billing'),
+ (5L,'off','did','',0,1L,true,'regex',false,cast(null as string)), (6L,'storm','many links flap','',0,1L,true,'semantic',true,cast(null as string))
+ as rules(rule_id, name, pattern, source_glob, min_severity, rule_order, stop, kind, enabled, instructions)"""
+BINDINGS = "values (1L,10L,100L),(1L,11L,50L),(3L,10L,100L),(4L,11L,100L),(4L,12L,100L),(5L,10L,1L),(6L,12L,1L) as binds(rule_id, target_id, target_order)"
 TARGETS = """values
  (10L,'phones','push','{"topic":"ops"}','none',cast(null as string),cast(null as string),cast(null as string)),
  (11L,'triage','handoff','{"skill":"triage","model":"m1","auto_approve_tools":["ping"]}','run-as-owner','o1','alice@example.com','p1'),
@@ -86,6 +91,34 @@ _duck = lambda s: re.sub(r"\b(\d+)L\b", r"\1::bigint", s).replace("as string", "
 DIMENSIONS_SQL = ", ".join(f"{v.rpartition(' as ')[2]} as ({_duck(v.rpartition(' as ')[0])})" for v in (RULES, BINDINGS, TARGETS))
 
 
+#: A ruleset that grows with the tables: a rule for each supplier, bound to the targets of two nations.
+#: Its lines are valid in both engines ("text" stands for the string type).
+GROWING_RULES = """select s_suppkey as rule_id, s_name as name, case when s_suppkey % 10 = 9 then 'semantic' else 'regex' end as kind,
+  case when s_suppkey % 10 = 1 then concat('user ', cast(s_suppkey % 150 as text), ' did (view|click)') when s_suppkey % 10 = 2 then 'amount [0-9]{4,} '
+    when s_suppkey % 10 = 3 then concat('sshd user ', cast(s_suppkey % 50 as text), ' ') when s_suppkey % 50 = 4 then 'did (e+)+rror' when s_suppkey % 50 = 14 then 'x{1,2000}'
+    else concat('user ', cast(s_suppkey % 150 as text), ' did error') end as pattern,
+  case when s_suppkey % 3 = 0 then concat('host-', cast(s_suppkey % 2 as text), '*') when s_suppkey % 20 = 5 then 'host-1,host-2' when s_suppkey % 20 = 7 then concat('hots-0', cast(s_suppkey % 10 as text)) else '' end as source_glob,
+  cast(case when s_suppkey % 4 = 0 then 9 else 0 end as int) as min_severity, s_suppkey % 7 as rule_order, s_suppkey % 29 = 3 as stop,
+  s_suppkey % 6 <> 5 as enabled, concat('o', cast(s_suppkey % 5 as text)) as owner_oid, case when s_suppkey % 2 = 0 then 'bot' else '' end as owner_bot,
+  case when s_suppkey % 8 = 0 then 'daily' else 'sliding' end as window_kind, 300.0 * (s_suppkey % 9) as cooldown_seconds,
+  case when s_suppkey % 2 = 0 then concat('call team ', cast(s_nationkey as text)) else '  ' end as instructions from supplier"""
+GROWING_BINDINGS = "select s_suppkey as rule_id, s_nationkey as target_id, 1 as target_order from supplier union select s_suppkey, s_suppkey * 7 % 25, 2 from supplier where s_suppkey * 7 % 25 <> s_nationkey"
+#: A target for each customer.
+GROWING_TARGETS = """select c_custkey as target_id, c_name as name, case when c_custkey % 11 = 0 then 'pager' when c_custkey % 2 = 0 then 'push' else 'handoff' end as type,
+  case when c_custkey % 2 = 0 then concat('{"url":"', case when c_custkey % 3 = 0 then 'http' else 'https' end, '://', lower(trim(c_mktsegment)), '.example.com/x/","topic":"', case when c_custkey % 5 = 0 then '' else 'ops' end, '"', case when c_custkey % 7 = 0 then ',"token":"t"' else '' end, '}')
+    when c_custkey % 13 = 0 then '{"auto_approve":true}' else '{"skill":"triage"}' end as config,
+  case when c_custkey % 17 = 0 then 'me' when c_custkey % 2 = 0 then 'none' else 'run-as-owner' end as identity_policy,
+  concat('o', cast(c_custkey % 5 as text)) as owner_oid, case when c_custkey % 3 = 0 then 'bot' else '' end as owner_bot, case when c_custkey % 4 = 1 then ' ' else 'p1' end as project from customer"""
+
+
+def growing(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """One of the tables above, over the given supplier or customer table."""
+    name = "customer" if "from customer" in sql else "supplier"
+    view = f"growing_{name}_{abs(hash(sf_dir))}"
+    table(spark, sf_dir, name).createOrReplaceTempView(view)
+    return spark.sql(sql.replace("as text)", "as string)").replace(f"from {name}", f"from {view}"))
+
+
 def rules(spark: SparkSession) -> DataFrame:
     return spark.sql(f"select * from {RULES}")
 

@@ -163,10 +163,88 @@ def test_retention_and_changes(spark, tmp_path):
 
 def test_unknown_globs(spark):
     r = spark.createDataFrame([rule(1, "x", glob="host-1"), rule(2, "x", glob="hots-1"), rule(3, "x", glob="z*")], RULE)
-    s = spark.createDataFrame([("host-1", True), ("host-2", True), ("gone", False)], "source string, active boolean")
+    s = spark.createDataFrame([("host-1", True), ("host-2", True), ("gone", False), *((f"other-name-{k}", True) for k in range(600))], "source string, active boolean")
     assert [tuple(x) for x in routing.unknown_globs(r, s).collect()] == [(2, "hots-1", "host-1,host-2")]
 
 
+def test_joined_route_equals_columns(spark):
+    from cairnlog.sources import tables
+
+    d = "/root/testdata/sf0.001"
+    compiled = routing.compile_rules(tables.rules(spark), tables.bindings(spark))
+    one, two = (sorted(map(tuple, f(tables.log_events(spark, d), compiled).select("id", "target_id", "rule_id", "rank").collect())) for f in (routing.route, routing.joined_route))
+    assert one == two and len(one) > 100
+
+
+def test_deliveries(spark):
+    """Failing and vanished targets: what opens, feeds and falls back, and what the incident keeps."""
+    rows = [(0, True, True, True, False), (100, True, True, False, False), (101, True, True, True, False), (300, True, True, True, True), (310, False, True, False, False), (9000, True, True, False, False), (9001, True, True, True, False), (9100, True, False, True, False)]
+    df = spark.createDataFrame([("k", i, datetime.fromtimestamp(s), st, kn, ok, g) for i, (s, st, kn, ok, g) in enumerate(rows)], "key string, id long, ts timestamp_ntz, stateful boolean, known_type boolean, delivery_ok boolean, gone boolean")
+    got = [(r.disposition, r.incident, r.counts_as_fed) for r in incidents.delivered_dispositions(df, 7200, 60).orderBy("id").collect()]
+    assert got == [("opened", 1, True), ("fallback", 1, False), ("fed", 1, True), ("opened", 2, True), ("throttled", 2, False), ("fallback", None, False), ("opened", 3, True), ("fallback", None, False)]
+    once = spark.createDataFrame([("k", 0, datetime.fromtimestamp(0), False, True), ("k", 1, datetime.fromtimestamp(100), False, False), ("k", 2, datetime.fromtimestamp(130), False, True)], "key string, id long, ts timestamp_ntz, stateful boolean, delivery_ok boolean")
+    assert [(r.disposition, r.counts_as_fed) for r in incidents.delivered_dispositions(once, 7200, 60).orderBy("id").collect()] == [("opened", True), ("fallback", True), ("throttled", False)]
+
+
+def test_ceiling_from_the_first_violation(spark):
+    """The serial fold takes over late, with the state of the fold before it."""
+    quiet = [("a", 0), ("a", 200), ("b", 1000), ("a", 1100), ("b", 1190)]
+    loud = [("c", 1200), ("d", 1201), ("e", 1210), ("a", 1220), ("c", 1225), ("d", 1270), ("d", 1290), ("b", 9000)]
+    df = spark.createDataFrame([(k, i, datetime.fromtimestamp(s)) for i, (k, s) in enumerate(quiet + loud)], "key string, id long, ts timestamp_ntz")
+    got = [r.disposition for r in incidents.with_ceiling(df, 2, 7200, 60).orderBy("id").collect()]
+    assert got == ["opened", "fed", "opened", "fed", "fed", "opened", "opened", "rate_limited", "fed", "throttled", "fed", "throttled", "opened"]
+
+
+def test_large_incidents_leave_the_array(spark, monkeypatch):
+    monkeypatch.setattr(incidents, "ARRAY_ROWS", 3)
+    df = firings(spark, 0, 30, 60, 100, 7299, 7300, 14500, 14500)
+    got = incidents.array_dispositions(df, 7200, 60).orderBy("id").collect()
+    assert [r.disposition for r in got] == ["opened", "throttled", "fed", "throttled", "fed", "throttled", "opened", "throttled"] and {r.key for r in got} == {"k"}
+
+
+def test_outages_across_buckets(spark):
+    """Runs that go over several days, end at a day's edge, or alternate, against a plain walk."""
+    import random
+
+    rng = random.Random(6)
+    rows, t = [], 0
+    for i in range(400):
+        t += rng.choice([60, 600, 7200, 40_000])
+        rows.append((i, datetime.fromtimestamp(t), rng.random() < 0.3 if (i // 40) % 2 else False if i % 97 else True))
+    want, run = set(), []
+    for i, at, ok in [*rows, (None, None, True)]:
+        if not ok:
+            run.append(at)
+        elif run:
+            late = [x for x in run if (x - run[0]).total_seconds() >= 86_400]
+            if late:
+                want.add((run[0], len(run), late[0], at))
+            run = []
+    got = incidents.outages(spark.createDataFrame(rows, "id long, ts timestamp_ntz, ok boolean")).drop("scope").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 3
+
+
+def test_redaction_and_fallback_pushes(spark):
+    from cairnlog.plans import queries
+
+    t = spark.createDataFrame([(1, "c1", "o1", "b"), (2, "c2", "o1", None), (3, "c3", None, "")], "target_id long, config string, owner_oid string, owner_bot string")
+    assert [r.config for r in queries.list_targets(t, "o1", "b").collect()] == ["c1", "(hidden)", "(hidden)"]
+    assert [r.config for r in queries.list_targets(t, "o1").collect()] == ["(hidden)", "c2", "(hidden)"]
+    assert [r.config for r in queries.list_targets(t, "x", operator=True).collect()] == ["c1", "c2", "c3"]
+    d = spark.createDataFrame([(1, 1, 1, "s", "err", "secret body", "fallback"), (2, 1, 1, "s", "err", "x", "opened"), (3, 1, 1, "s", "err", "x", "rate_limited")], "id long, rule_id long, target_id long, source string, severity_text string, body string, disposition string")
+    r = spark.createDataFrame([(1, "leak")], "rule_id long, name string")
+    got = outbox.fallback_pushes(d, r, "people").orderBy("id").collect()
+    assert [(x.id, x.destination) for x in got] == [(1, "people"), (3, "people")] and "secret" not in got[0].message
+    assert outbox.fallback_pushes(d, r, None).count() == 0
+
+
+def test_evaluation_ceiling(spark):
+    ticks = spark.createDataFrame([(r, t, 50) for r in (1, 2, 3) for t in (0, 4000, 4030, 4100)], "rule_id long, tick long, new_rows long")
+    run = lambda ceiling: sorted((r.tick, r.rule_id) for r in semantic.gate(ticks, ceiling=ceiling).collect())
+    assert run(0) == run(3) == [(4000, 1), (4000, 2), (4000, 3)]
+    assert run(2) == [(4000, 1), (4000, 2), (4100, 3)]
+
+
 def test_neighbours(spark):
     """Every row whose id is divisible by 50, in several blocks, against all rows; ties by id."""
     import random
@@ -197,7 +275,8 @@ def test_every_window_is_judged(spark):
 
     d = "/root/testdata/sf0.001"
     gated = {(r.rule_id, r.tick): r.pending for r in catalog.QUERIES["o06_semantic_gate"](spark, d).collect()}
-    rows = catalog._evaluated(spark, d).cache()
+    ticked = catalog._ticked(spark, d)
+    rows = semantic.evaluated(ticked, catalog._gated(spark, d, ticked)).cache()
     found = {(r.rule_id, r.window): r for r in semantic.window_digests(rows).collect()}
     assert len(gated) > 1 and {k: r.event_count for k, r in found.items()} == gated
     for rule, window in sorted(found)[:3]:
