@@ -2,11 +2,17 @@
 
 A rolling hash over every 64 bytes sets the triggers: in each string of `length` bytes the smallest
 hash inside it is its trigger, so equal strings have the same trigger at the same place and no string
-is without one. The strings (suffixes, as far as they matter) that one trigger serves start next to
-each other; together they span one phrase. The dictionary holds each distinct phrase once with the
-number of its occurrences: strings of a phrase that occurs twice are repeated without another look,
-which is what makes highly repetitive text cheap. Only phrases that occur once but share their trigger
-with another phrase are compared string by string, in the order of trigger and string."""
+is without one. The strings that one trigger serves start next to each other; together they span one
+phrase. The dictionary holds each distinct phrase once, with the number of its occurrences in the
+parse: strings of a phrase that occurs twice are repeated without another look, which is what makes
+highly repetitive text cheap.
+
+The rest of the dictionary goes into suffix order in ranges of triggers: a task ranks the suffixes of
+its phrases by prefix doubling on their bytes, up to `length` of them, and equal ranks are equal
+strings. Phrases of one trigger stand in one range, and no string equals one of another trigger, so
+the ranges together are the order of the corpus as far as it decides. As each phrase reaches `length`
+bytes past its last string, what follows it in the parse never decides, and the parse needs no suffix
+array of its own. Phrases are told apart by their trigger's and their own 64-bit hash together."""
 
 from __future__ import annotations
 
@@ -40,7 +46,9 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, width: int):
     np.cumsum(_BYTE[data] * _power("up", n), out=sums[1:])
     rolling = mix((sums[width:] - sums[:-width]) * _power("down", n - width + 1))
     del sums
-    bits = np.uint64(28)
+    # the hash's upper bits decide and then the place, for which 40 bits are enough for any text;
+    # equal strings break ties alike
+    bits = np.uint64(40)
     keys = (rolling >> bits << bits) | np.arange(len(rolling), dtype=np.uint64)
     padded = np.full(-(-len(keys) // span) * span, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(keys)] = keys
@@ -49,7 +57,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, width: int):
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = n - length + 1
     least = np.minimum(behind[:starts], ahead[span - 1 : span - 1 + starts])
-    anchor = (least & np.uint64((1 << 28) - 1)).astype(np.int64)
+    anchor = (least & np.uint64((1 << 40) - 1)).astype(np.int64)
     # strings that reach past the end of their row do not count
     inside = np.ones(starts, bool)
     for end in offsets[1:]:
@@ -144,21 +152,41 @@ def _strings(batch: pa.RecordBatch, length: int):
     return mix(hashes ^ mix(batch.column(4).to_numpy().view(np.uint64))[owner]), owner
 
 
-def compared(pieces: DataFrame, length: int) -> DataFrame:
+def string_ranks(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the strings text[s:s + length] in the order of their bytes, equal only for equal ones:
+    the suffixes of the text by prefix doubling, from 8 bytes on (length is at least 8)."""
+    n, size = len(text), 8
+    wide = np.r_[text, np.zeros(8, np.uint8)].astype(np.uint64)
+    words = np.zeros(n, np.uint64)
+    for k in range(8):
+        words = (words << np.uint64(8)) | wide[k : k + n]
+    ranks = np.unique(words, return_inverse=True)[1]
+    while 2 * size <= length:
+        after = np.r_[ranks[size:], np.zeros(min(size, n), np.int64)]  # strings end before the filling
+        ranks = np.unique((ranks << 32) | after, return_inverse=True)[1]
+        size *= 2
+    return np.unique((ranks[starts] << 32) | ranks[starts + length - size], return_inverse=True)[1]
+
+
+def compared(pieces: DataFrame, length: int, step: int = 4_000) -> DataFrame:
     """Spans of the repeated strings in phrases that occur once. The phrases of one trigger, at
-    most SMALL, stand together in their partition; their strings are put in order and neighbours
-    that are equal are repeated."""
+    most SMALL, stand together in their partition; their strings are put in order, about `step`
+    phrases at a time, and neighbours that are equal are repeated."""
 
     def spans(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, owner = _strings(batch, length)
+        text, offsets = utf8(batch.column(8))
+        text, offsets = text[offsets[0] : offsets[-1]], offsets - offsets[0]
+        counts = batch.column(3).to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        keys = string_ranks(text, offsets[:-1][owner] + inside, length)
         order = np.argsort(keys, kind="stable")
         equal = keys[order][1:] == keys[order][:-1]
         repeated = np.zeros(len(keys), bool)
         repeated[order[1:][equal]] = True
         repeated[order[:-1][equal]] = True
         repeated &= (batch.column(6).to_numpy() == 1)[owner]
-        counts = batch.column(3).to_numpy().astype(np.int64)
-        start = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts) + batch.column(2).to_numpy()[owner]
+        start = inside + batch.column(2).to_numpy()[owner]
         new = np.r_[True, owner[1:] != owner[:-1]]
         heads = np.flatnonzero(repeated & (new | ~np.r_[False, repeated[:-1]]))
         tails = np.flatnonzero(repeated & (np.r_[new[1:], True] | ~np.r_[repeated[1:], False]))
@@ -176,9 +204,11 @@ def compared(pieces: DataFrame, length: int) -> DataFrame:
                 continue
             trigger = batch.column(4).to_numpy()
             last = int(np.searchsorted(trigger, trigger[-1]))  # the last group may go on
-            held = batch.slice(last)
-            if last:
-                yield spans(batch.slice(0, last))
+            held, at = batch.slice(last), 0
+            while at < last:  # whole groups, about `step` phrases of them
+                end = last if last - at <= step else max(int(np.searchsorted(trigger, trigger[at + step])), int(np.searchsorted(trigger, trigger[at], side="right")))
+                yield spans(batch.slice(at, end - at))
+                at = end
         if held is not None:
             yield spans(held)
 
@@ -275,7 +305,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER)
 def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes for each row of docs
     (doc_id, text): every byte that lies in a string of `length` bytes which also starts elsewhere,
-    in the same text or another, goes. Null text is empty; a repeated row is a second place."""
+    in the same text or another, goes. Null text is empty; a repeated row is a second place, and so
+    are texts that repeat under one id or without one; texts shorter than a string keep all bytes;
+    texts may be as long as a string of Spark's can; other columns are ignored; ties need no rule, as
+    all places of a string are alike."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # spans of one row come together at last, joined before they leave their partition
     spans = repeated_spans(keyed, length, width).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))

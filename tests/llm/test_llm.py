@@ -255,9 +255,11 @@ def test_embedding(spark):
 # -- 4
 
 
-@pytest.mark.parametrize("small", [512, 1])
-def test_suffix(spark, docs, monkeypatch, small):
+@pytest.mark.parametrize("small, step", [(512, 4000), (512, 2), (1, 4000)])
+def test_suffix(spark, docs, monkeypatch, small, step):
+    """Null, empty and long texts, repeated rows, a null id, clashing columns; hot and cut groups."""
     monkeypatch.setattr(suffix, "SMALL", small)
+    monkeypatch.setattr(suffix.compared, "__defaults__", (step,))
     texts = [(i, (t or "").encode()) for i, t in rows_of(docs)]
     n = 200
     seen = collections.Counter(b[s : s + n] for _, b in texts for s in range(len(b) - n + 1))
@@ -275,6 +277,18 @@ def test_suffix(spark, docs, monkeypatch, small):
     assert suffix.remove_repeats(empty(spark, docs)).count() == 0
 
 
+def test_string_ranks():
+    """Ranks against the sorted strings; groups of triggers that end anywhere in a batch."""
+    rng = np.random.default_rng(2)
+    for length in (8, 13, 200):
+        text = rng.integers(97, 99, 900, dtype=np.uint8)
+        text[400:700] = text[100:400]
+        starts = np.sort(rng.choice(900 - length, 300, replace=False))
+        strings = [text[k : k + length].tobytes() for k in starts]
+        order = {x: i for i, x in enumerate(sorted(set(strings)))}
+        assert suffix.string_ranks(text, starts, length).tolist() == [order[x] for x in strings]
+
+
 # -- 5 and 9
 
 
