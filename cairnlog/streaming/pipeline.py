@@ -39,13 +39,14 @@ def window_counts(events: DataFrame, size: str, slide: str | None = None, spike:
     return events.withWatermark("ts", late).groupBy(at.alias("w"), "source").agg(F.count("*").alias("n")).where(F.col("n") >= spike).select("source", F.col("w.start").alias("start"), "n")
 
 
-def stream_dispositions(firings: DataFrame, ttl: float = incidents.TTL, feed: float = incidents.FEED_INTERVAL, idle: float = IDLE) -> DataFrame:
+def stream_dispositions(firings: DataFrame, ttl: float = incidents.TTL, feed: float = incidents.FEED_INTERVAL, idle: float | None = None) -> DataFrame:
     """The incident fold of operators.incidents over a stream of firings (key, id, ts, ...): rows of
-    one micro-batch are taken in order of (ts, id), and state carries over to the next. A key without
-    firings for `idle` seconds of processing time, and never less than the TTL, is forgotten: its next
-    firing opens an incident anyway, and numbers begin again."""
+    one micro-batch are taken in order of (ts, id), and state carries over to the next. With `idle`, a
+    key without firings for so many seconds of processing time, and never less than the TTL, is
+    forgotten: its next firing opens an incident anyway, and numbers begin again. Such a stream never
+    ends by itself, so runs over what is available take no `idle`."""
     ttl_us, feed_us = int(ttl * 1e6), int(feed * 1e6)
-    names, wait = firings.columns, int(max(idle, ttl) * 1000)
+    names, wait = firings.columns, int(max(idle or 0, ttl) * 1000)
     out = T.StructType([*firings.schema.fields, T.StructField("incident", T.LongType()), T.StructField("disposition", T.StringType())])
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,10 +67,11 @@ def stream_dispositions(firings: DataFrame, ttl: float = incidents.TTL, feed: fl
             numbers.append(incident)
             kinds.append(kind)
         state.update((int(last), int(fed), int(incident)))
-        state.setTimeoutDuration(wait)
+        if idle:
+            state.setTimeoutDuration(wait)
         yield rows[names].assign(incident=numbers, disposition=kinds)
 
-    return firings.groupBy("key").applyInPandasWithState(fold, out, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return firings.groupBy("key").applyInPandasWithState(fold, out, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def stream_gate(ticks: DataFrame, window_seconds: int = 3600, spike_lines: int = 100) -> DataFrame:
@@ -173,6 +175,7 @@ def start(
             finally:
                 df.unpersist()
 
-        return stream_dispositions(fired, ttl, feed).writeStream.foreachBatch(record).option("checkpointLocation", f"{out}/_incidents").trigger(**trigger).start()
+        idle = None if {"availableNow", "once"} & set(trigger) else IDLE
+        return stream_dispositions(fired, ttl, feed, idle).writeStream.foreachBatch(record).option("checkpointLocation", f"{out}/_incidents").trigger(**trigger).start()
 
     return events, incident_query
