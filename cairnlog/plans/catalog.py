@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import decode, predicates, templates
 from ..operators import incidents, maintenance, outbox, routing, semantic
 from ..sources import tables as S
+from ..streaming import pipeline
 from . import queries as Q
 
 QUERIES: dict = {}
@@ -357,8 +358,8 @@ def a12(spark, d):
 
 @register("o14_event_windows", logs("select source, time_bucket(interval 1 hour, ts) as start, count(*) as n from log_events where severity >= 17 group by all having count(*) >= 2"))
 def o14(spark, d):
-    rows = S.log_events(spark, d).where("severity >= 17").groupBy("source", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("n"))
-    return rows.where("n >= 2")
+    rows = S.log_events(spark, d).where("severity >= 17").withColumn("ts", F.col("ts").cast("timestamp"))
+    return pipeline.window_counts(rows, "1 hour", spike=2).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @register("o15_rule_cooldown", f"with recursive {ROUTE_SQL}, {_fold_sql(_ROUTED_KEY, 7200, 'n.rule_id * 900')} select id, rule_id, target_id, disposition from folded")
@@ -686,7 +687,7 @@ def o11(spark, d):
 @register("f06_window_brief", f"""{TRACE_SQL} select se.id, concat('A window rule fired: ', rg.name, chr(10), 'Verdict: ', se.severity, chr(10), '{_FENCE}', chr(10), se.why, chr(10), se.summary_sent, chr(10), '{_FENCE}', chr(10)) as brief from se join rg using (rule_id) where fired""")
 def f06(spark, d):
     rows = _evaluations(spark, d).where("fired").join(_window_rules(spark, d).select("rule_id", "name"), "rule_id")
-    return rows.select("id", outbox.window_brief().alias("brief")) if "verdict" in rows.columns else rows.withColumns({"verdict": F.col("severity"), "digest": F.col("summary_sent")}).select("id", outbox.window_brief().alias("brief"))
+    return rows.withColumns({"verdict": F.col("severity"), "digest": F.col("summary_sent")}).select("id", outbox.window_brief().alias("brief"))
 
 
 @register("u01_merged_feed", f"""{TRACE_SQL}, {_fold_sql(_SEMANTIC_FIRINGS_SQL, 7200, 3600)},
