@@ -6,8 +6,6 @@ Jaccard coefficient. Anchors are fixed, so that fingerprints of different runs c
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +21,8 @@ ANCHORS = (
 ).split()
 CHAIN = 2  # content words in a spot
 LEAST = 0.5  # likeness from which documents_alike() looks for pairs
+RANGE_CHARS = 1 << 20  # of text in one range of neighbours
+MOST_RANGES = 1 << 14  # beyond, ranges grow; their bounds are a constant of the plan
 
 
 def _trie(words: list[str]) -> str:
@@ -37,13 +37,14 @@ def _trie(words: list[str]) -> str:
 
 
 def with_spots(df: DataFrame, text: str, out: str, anchors=ANCHORS, chain: int = CHAIN) -> DataFrame:
-    """df with the sorted distinct spot hashes (int) of a text column.
+    """df with the sorted distinct spot hashes (long) of a text column.
 
     Words are runs of letters and digits in lower case. Anchor words are tied to the word after
     them, so that one split leaves content words that carry the anchors before them; where there
     are some, the word and the next chain - 1 content words are a spot. A chain that the text's end
-    cuts short does not count; a text with words but no spot has one spot of all its words, so that
-    equal short texts are alike; without words there is none."""
+    cuts short does not count. A text with no such spot, as in a language without anchors here, has
+    the chains of chain + 1 neighbouring content words as spots; one too short for that has one spot
+    of all its words, so that equal short texts are alike; without words there is none."""
     words = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "))
     df = df.withColumn("_words", F.regexp_replace(words, rf"(?<![^ ])({_trie(list(anchors))}) ", "$1\u0001"))
     df = df.withColumn("_content", F.split("_words", " "))
@@ -51,18 +52,22 @@ def with_spots(df: DataFrame, text: str, out: str, anchors=ANCHORS, chain: int =
 
     def spot(x, i):
         parts = [x, *(F.substring_index(F.get(content, i + k), "\u0001", -1) for k in range(1, chain))]
-        return F.when(F.contains(x, mark) & (i + (chain - 1) < F.size(content)), F.hash(*parts))
+        return F.when(F.contains(x, mark) & (i + (chain - 1) < F.size(content)), F.xxhash64(*parts))
+
+    def plain(x, i):
+        return F.when(i + chain < F.size(content), F.xxhash64(x, *(F.get(content, i + k) for k in range(1, chain + 1))))
 
-    df = df.withColumn("_found", F.array_sort(F.array_distinct(F.filter(F.transform(content, spot), lambda h: h.isNotNull()))))
+    df = df.withColumn("_found", F.array_sort(F.array_distinct(F.array_compact(F.transform(content, spot)))))
     found = F.col("_found")
-    none = F.array().cast("array<int>")
-    column = F.when(F.col("_words") == "", none).when(F.size(found) == 0, F.array(F.hash("_words", F.lit(0)))).otherwise(found)
+    none = F.array().cast("array<long>")
+    other = F.when(F.size(content) > chain, F.array_sort(F.array_distinct(F.array_compact(F.transform(content, plain))))).otherwise(F.array(F.xxhash64("_words", F.lit(0))))
+    column = F.when(F.col("_words") == "", none).when(F.size(found) == 0, other).otherwise(found)
     return df.withColumn(out, column).drop("_words", "_content", "_found")
 
 
 def fingerprint(spots_column):
     """The set as text: hexadecimal spots, in order."""
-    return F.array_join(F.transform(spots_column, lambda h: F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))), ",")
+    return F.array_join(F.transform(spots_column, lambda h: F.lower(F.hex(h))), ",")
 
 
 def likeness(a, b, least: float = 0.0):
@@ -73,26 +78,36 @@ def likeness(a, b, least: float = 0.0):
     return F.when(large == 0, F.lit(1.0)).when(small <= large * F.lit(least), F.lit(0.0)).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
-def with_next(docs: DataFrame, ranges: int = 128) -> DataFrame:
-    """docs (doc_id, text, spots) with the next row's text and spots by doc_id (ties by text), the
-    last row's next being the first. Rows are dealt out by ranges of doc_id between percentiles;
-    a copy of each range's first row stands at the end of the range before, so that no task needs
-    another's rows. Only the ranges' bounds (at most `ranges` ids) reach the driver."""
-    bounds = docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("b")).first().b or []
-    edges = F.array(*(F.lit(b).cast("long") for b in sorted(set(bounds))))
-    if not bounds:
-        place = F.lit(0)
-    else:
-        place = F.size(F.filter(edges, lambda e: F.col("doc_id") >= e))
+def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
+    """docs (doc_id, text) with spots and the next row's text and spots by doc_id (ties by text), the
+    last row's next being the first. Rows are dealt out by ranges of doc_id between percentiles, as
+    many as the texts' total length asks for; a copy of each range's first row stands at the end of
+    the range before, so that no task needs another's rows. Only the bounds (at most MOST_RANGES ids)
+    reach the driver. The spots of a row are made once, before it is dealt out."""
+    chars = docs.agg(F.sum(F.length("text").cast("long")).alias("n")).first().n or 0
+    ranges = min(-(-chars // range_chars), MOST_RANGES)
+    bounds = docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("b")).first().b if ranges > 1 else []
+    bounds = sorted(set(bounds or []))
+    # the range of an id in two steps over the bounds: blocks of about the square root of their number
+    step = max(1, int(len(bounds) ** 0.5))
+    blocks = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    place = F.lit(0)
+    if bounds:
+        longs = lambda xs: F.lit(xs).cast("array<long>")
+        at_least = lambda xs: F.size(F.filter(xs, lambda e: F.col("doc_id") >= e))
+        block = at_least(longs([x[0] for x in blocks]))
+        inside = F.element_at(F.lit(blocks).cast("array<array<long>>"), block)
+        place = F.when(block == 0, 0).otherwise((block - 1) * step + at_least(inside))
     rows = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place))
-    order = ["doc_id", F.col("text")]
-    firsts = saved(rows.groupBy("part").agg(F.min_by(F.struct("doc_id", "text", "spots"), F.struct("doc_id", "text")).alias("f")), "spots-firsts")
-    parts = [r.part for r in firsts.select("part").orderBy("part").collect()]  # at most `ranges` + 1
-    before = {p: parts[k - 1] for k, p in enumerate(parts)}  # the first range's row also ends the last
-    to = functools.reduce(lambda c, p: F.when(F.col("part") == p, F.lit(before[p])).otherwise(c), parts, F.lit(None).cast("int"))
-    guard = firsts.select("f.doc_id", "f.text", "f.spots", to.alias("part"), F.lit(1).alias("guard"))
-    both = rows.select("doc_id", "text", "spots", "part", F.lit(0).alias("guard")).union(guard)
-    own = W.partitionBy("part").orderBy("guard", *order)
+    # the first row of each range: its id from the ids alone, then its text
+    least = rows.groupBy("part").agg(F.min("doc_id").alias("least"))
+    before = F.coalesce(F.lag("part").over(W.orderBy("part")), F.max("part").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    least = saved(least.select(F.col("part").alias("own"), "least", before.alias("to")), "spots-ranges")  # a row for each range
+    heads = rows.join(F.broadcast(least), (F.col("part") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    heads = saved(heads.groupBy("own", "to").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id")), "spots-heads")
+    guard = with_spots(heads, "text", "spots").select("doc_id", "text", "spots", F.col("to").alias("part"), F.lit(1).alias("guard"))
+    both = with_spots(rows, "text", "spots").select("doc_id", "text", "spots", "part", F.lit(0).alias("guard")).union(guard)
+    own = W.partitionBy("part").orderBy("guard", "doc_id", "text")
     return both.select("*", F.lead("text").over(own).alias("next_text"), F.lead("spots").over(own).alias("next_spots")).where("guard = 0").drop("part", "guard")
 
 
@@ -101,9 +116,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text swaps the last floor(n / 2) code points for the first ones of the next document.
     Null text is empty; rows that repeat a doc_id follow each other by text; the only row is its own
-    next; a null doc_id comes first."""
+    next; a null doc_id comes first; an empty table gives no rows; other columns are ignored. Texts
+    of any length are taken whole. Two texts without words are wholly alike."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    met = with_next(with_spots(rows, "text", "spots"))
+    met = with_next(rows)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
