@@ -692,11 +692,11 @@ def f06(spark, d):
 
 @register("u01_merged_feed", f"""{TRACE_SQL}, {_fold_sql(_SEMANTIC_FIRINGS_SQL, 7200, 3600)},
   l as (select 'log' as kind, id, epoch_us(ts) // 1000 as ts_ms, source, body as text, severity_text as sev from log_events order by id desc limit 50),
-  a as (select 'alert' as kind, id, epoch_us(ts) // 1000 as ts_ms, source, name as text, disposition as sev from folded where target_id % 5 = 0 order by id desc limit 50),
+  a as (select 'alert' as kind, id * 100 + target_id as id, epoch_us(ts) // 1000 as ts_ms, source, name as text, disposition as sev from folded order by 2 desc limit 50),
   v as (select 'eval' as kind, id, epoch_us(evaluated_at) // 1000 as ts_ms, source, why as text, trigger_kind as sev from se order by id desc limit 50)
   select * from l union all select * from a union all select * from v""")
 def u01(spark, d):
-    fired = incidents.dispositions(_semantic_firings(spark, d), 7200, 3600).where("target_id % 5 = 0").select("id", F.col("ts").alias("fired_at"), "source", F.col("program").alias("rule"), "disposition")
+    fired = incidents.dispositions(_semantic_firings(spark, d), 7200, 3600).select((F.col("id") * 100 + F.col("target_id")).alias("id"), F.col("ts").alias("fired_at"), "source", F.col("program").alias("rule"), "disposition")
     return outbox.feed_rows(S.log_events(spark, d), fired, _evaluations(spark, d), 50)
 
 
@@ -874,10 +874,10 @@ def q04(spark, d):
     return rows.select("rule_id", "name", "kind", F.array_join("target_ids", ",").alias("target_ids"))
 
 
-@register("j05_rules_targets", f"""with {GROWING_SQL}, b as (select rule_id, string_agg(cast(target_id as varchar), ',' order by target_id) as target_ids from gbinds where rule_id % 4 <> 1 group by rule_id)
+@register("j05_rules_targets", f"""with {GROWING_SQL}, b as (select rule_id, string_agg(cast(target_id as varchar), ',' order by target_id) as target_ids from gbinds group by rule_id)
   select rule_id, enabled, coalesce(target_ids, '') as target_ids from gr0 left join b using (rule_id)""")
 def j05(spark, d):
-    rows = Q.list_rules(S.growing(spark, d, S.GROWING_RULES), S.growing(spark, d, S.GROWING_BINDINGS).where("rule_id % 4 <> 1"), include_disabled=True)
+    rows = Q.list_rules(S.growing(spark, d, S.GROWING_RULES), S.growing(spark, d, S.GROWING_BINDINGS), include_disabled=True)
     return rows.select("rule_id", "enabled", F.array_join("target_ids", ",").alias("target_ids"))
 
 
@@ -918,8 +918,8 @@ def m05_rules(spark, d):
 @register("s11_year_inference", logs("""select id, case when t > r + interval 1 day then t - interval 1 year else t end as ts from (select id, ts + to_days(cast(id % 700 as integer)) as r,
   make_timestamp(year(ts + to_days(cast(id % 700 as integer))), month(ts), day(ts), hour(ts), minute(ts), floor(second(ts))) as t from log_events where id % 4 = 1)"""))
 def s11(spark, d):
-    rows = S.raw_lines(spark, d).where("id % 4 = 1").withColumn("received_at", F.expr("received_at + make_interval(0, 0, 0, cast(id % 700 as int))"))
-    return decode.decode_lines(rows).select("id", "ts")
+    rows = S.raw_lines(spark, d).withColumn("received_at", F.expr("received_at + make_interval(0, 0, 0, cast(id % 700 as int))"))
+    return decode.decode_lines(rows).where("kind = 'rfc3164'").select("id", "ts")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -91,7 +91,8 @@ _duck = lambda s: re.sub(r"\b(\d+)L\b", r"\1::bigint", s).replace("as string", "
 DIMENSIONS_SQL = ", ".join(f"{v.rpartition(' as ')[2]} as ({_duck(v.rpartition(' as ')[0])})" for v in (RULES, BINDINGS, TARGETS))
 
 
-#: A ruleset that grows with the tables: a rule for each supplier, bound to the targets of two nations.
+#: A ruleset that grows with the tables: a rule for each supplier, bound to the targets of two nations unless the
+#: supplier is in debt.
 #: Its lines are valid in both engines ("text" stands for the string type).
 GROWING_RULES = """select s_suppkey as rule_id, s_name as name, case when s_suppkey % 10 = 9 then 'semantic' else 'regex' end as kind,
   case when s_suppkey % 10 = 1 then concat('user ', cast(s_suppkey % 150 as text), ' did (view|click)') when s_suppkey % 10 = 2 then 'amount [0-9]{4,} '
@@ -102,7 +103,7 @@ GROWING_RULES = """select s_suppkey as rule_id, s_name as name, case when s_supp
   s_suppkey % 6 <> 5 as enabled, concat('o', cast(s_suppkey % 5 as text)) as owner_oid, case when s_suppkey % 2 = 0 then 'bot' else '' end as owner_bot,
   case when s_suppkey % 8 = 0 then 'daily' else 'sliding' end as window_kind, 300.0 * (s_suppkey % 9) as cooldown_seconds,
   case when s_suppkey % 2 = 0 then concat('call team ', cast(s_nationkey as text)) else '  ' end as instructions from supplier"""
-GROWING_BINDINGS = "select s_suppkey as rule_id, s_nationkey as target_id, 1 as target_order from supplier union select s_suppkey, s_suppkey * 7 % 25, 2 from supplier where s_suppkey * 7 % 25 <> s_nationkey"
+GROWING_BINDINGS = "select s_suppkey as rule_id, s_nationkey as target_id, 1 as target_order from supplier where s_acctbal > 0 union select s_suppkey, s_suppkey * 7 % 25, 2 from supplier where s_acctbal > 0 and s_suppkey * 7 % 25 <> s_nationkey"
 #: A target for each customer.
 GROWING_TARGETS = """select c_custkey as target_id, c_name as name, case when c_custkey % 11 = 0 then 'pager' when c_custkey % 2 = 0 then 'push' else 'handoff' end as type,
   case when c_custkey % 2 = 0 then concat('{"url":"', case when c_custkey % 3 = 0 then 'http' else 'https' end, '://', lower(trim(c_mktsegment)), '.example.com/x/","topic":"', case when c_custkey % 5 = 0 then '' else 'ops' end, '"', case when c_custkey % 7 = 0 then ',"token":"t"' else '' end, '}')
