@@ -22,6 +22,7 @@ from .shared import read_table, saved, slices, utf8
 
 SIZE = 2048
 END_ID = 0
+KEPT = 32  # open nodes of the search whose options stay in memory
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -146,20 +147,33 @@ def bin_completion(histogram: dict[int, int], size: int = SIZE, nodes: int = 4_0
             if times > 1:
                 yield 1, waste, filled
 
+    def resumed(longest: int, wasted: int, longest_first: bool, last: tuple | None) -> Iterator[tuple[int, int, Bin]]:
+        """The options after `last`, which the node had tried before."""
+        found = options(longest, wasted, longest_first)
+        for step in found if last else ():
+            if step[2] == last[2] and step[0] in (last[0], 1):
+                break
+        return found
+
     for longest_first in (True, False):
         todo, lost, used = nodes // 2, 0, 0
-        open_nodes = [options(max(k for k in range(size + 1) if counts[k]), 0, longest_first)]
+        # an open node: its options, or None where they are made again on return, and how it was opened
+        longest = max(k for k in range(size + 1) if counts[k])
+        open_nodes = [[options(longest, 0, longest_first), longest, 0, None]]
         taken: list[tuple[int, int, Bin]] = []  # the step below each open node that is being followed
         while open_nodes and best_n > bound and todo:
             if len(taken) == len(open_nodes):  # back from below
                 times, waste, filled = taken.pop()
                 put(-times, filled)
                 lost, used = lost - times * waste, used - times
-            step = next(open_nodes[-1], None)
+            node = open_nodes[-1]
+            if node[0] is None:
+                node[0] = resumed(node[1], node[2], longest_first, node[3])
+            step = next(node[0], None)
             if step is None:
                 open_nodes.pop()
                 continue
-            times, waste, filled = step
+            times, waste, filled = node[3] = step
             if lost + times * waste > spare():  # the incumbent has become better since
                 continue
             todo -= 1
@@ -168,7 +182,9 @@ def bin_completion(histogram: dict[int, int], size: int = SIZE, nodes: int = 4_0
             lost, used = lost + times * waste, used + times
             longest = next((k for k in range(filled[0], 0, -1) if counts[k]), 0)
             if longest:
-                open_nodes.append(options(longest, lost, longest_first))
+                open_nodes.append([options(longest, lost, longest_first), longest, lost, None])
+                if len(open_nodes) > KEPT:  # the options of a node take half a megabyte
+                    open_nodes[-KEPT - 1][0] = None
             elif used < best_n:  # all is packed, in fewer sequences
                 best, best_n = [(n, x) for n, _, x in taken], used
         for times, _, filled in taken:
