@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding, lines, minhash, mixing, packing, spotsigs, suffix, toxicity, warc
+from . import bpe, conversations, embedding, lines, minhash, mixing, packing, spelling, spotsigs, suffix, toxicity, urls, warc
 
-MODULES = (minhash, spotsigs, embedding, suffix, bpe, warc, lines, mixing, packing, toxicity)
+MODULES = (minhash, spotsigs, embedding, suffix, bpe, warc, lines, mixing, packing, toxicity, spelling, conversations, urls)
 
 
 def queries() -> dict:
