@@ -3,7 +3,7 @@
 A unigram model is counted over the words of all pages. Names of host and path are split into the words
 that are likeliest under it (Viterbi), so "freecasino" is "free casino". URLs with a word of MARKS teach
 multinomial naive Bayes what unwanted URLs look like, all others what wanted ones do; every URL's words
-are then scored. Both models hold what has at least one of 2^18 of all counts, and one share for the rest,
+are then scored. A word counts once in a URL, so that no long URL outweighs the rest. Both models hold what has at least one of 2^18 of all counts, and one share for the rest,
 so neither has more than 2^18 entries whatever the corpus."""
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ def bayes(rows: DataFrame) -> tuple[float, dict[str, float], float]:
     word of MARKS are the unwanted ones; one is added to every count."""
     marked = F.arrays_overlap("tokens", F.array(*map(F.lit, MARKS)))
     urls = rows.agg(F.count_if(marked).alias("bad"), F.count_if(~marked).alias("good")).first()
-    words = rows.select(marked.alias("marked"), F.explode("tokens").alias("word"))
+    words = rows.select(marked.alias("marked"), F.explode(F.array_distinct("tokens")).alias("word"))
     counts = saved(words.groupBy("word").agg(F.count_if("marked").alias("bad"), F.count_if(~F.col("marked")).alias("good")), "url-tokens")
     found, (bad, good) = common(counts, "bad", "good")
     drop_saved(counts)
@@ -138,7 +138,7 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFr
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prior, odds, rest = model.value
         for batch in batches:
-            scores = [math.fsum([prior, *(odds.get(w, rest) for w in tokens)]) for tokens in batch.column(at).to_pylist()]
+            scores = [math.fsum([prior, *(odds.get(w, rest) for w in set(tokens))]) for tokens in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
