@@ -22,7 +22,8 @@ from .shared import read_table, saved, slices, utf8
 
 SIZE = 2048
 END_ID = 0
-KEPT = 32  # open nodes of the search whose options stay in memory
+KEPT = 16  # open nodes of the search whose options stay in memory
+STEPS = 500  # of the search for each node of its effort
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -57,14 +58,34 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, Bin]]:
     return [(n, lengths) for groups in rooms.values() for n, lengths in groups if n]
 
 
-def fillings(counts: list[int], room: int, largest: int, waste: int, longest_first: bool) -> Iterator[tuple[int, Bin]]:
+class Spent(Exception):
+    """The search has used up its effort."""
+
+
+class Effort:
+    """Steps left to a search. Every length looked at, filling drawn, option passed over or made again
+    costs one, so that nothing in the search goes on uncounted."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def use(self, steps: int = 1) -> None:
+        self.left -= steps
+        if self.left < 0:
+            raise Spent
+
+
+def fillings(counts: list[int], room: int, largest: int, waste: int, longest_first: bool, effort: Effort) -> Iterator[tuple[int, Bin]]:
     """The undominated fillings of `room` beside `largest` that waste at most `waste`, as (waste,
     lengths), least waste first: multisets of the lengths that are left, of any number of items.
 
     A filling is dominated when one of its items, or two of them together, could be swapped for a
-    longer (or single) item that is left and still fits. sums[i] has a bit for each total that the
-    i shortest lengths can make, so the walk never enters a branch without a filling."""
+    longer (or single) item that is left and still fits. Lengths are chosen from the longest on, so
+    whether a longer one is left is known when a shorter one is chosen, and dominated branches end
+    there. sums[i] has a bit for each total that the i shortest lengths can make, so the walk never
+    enters a branch without a filling."""
     kinds = [x for x in range(1, min(largest, room) + 1) if counts[x]]
+    effort.use(1 + len(kinds))
     mask, made = (1 << (room + 1)) - 1, 1
     sums = [made]
     for x in kinds:
@@ -76,36 +97,36 @@ def fillings(counts: list[int], room: int, largest: int, waste: int, longest_fir
             step *= 2
         sums.append(made)
 
-    def free(x: int, chosen: Bin) -> bool:
-        return counts[x] > chosen.count(x)
-
-    def dominated(chosen: Bin, lost: int) -> bool:
-        kept = sorted(set(chosen))
-        for i, x in enumerate(kept):
-            if any(free(y, chosen) for y in range(x + 1, min(x + lost, largest) + 1)):
+    def free(first: int, last: int, chosen: dict[int, int]) -> bool:
+        """Whether a length from first to last is left."""
+        for y in range(first, min(last, largest) + 1):
+            effort.use()
+            if counts[y] > chosen.get(y, 0):
                 return True
-            for y in kept[i:]:
-                if (x != y or chosen.count(x) > 1) and any(free(z, chosen) for z in range(x + y, min(x + y + lost, largest) + 1)):
-                    return True
         return False
 
-    def walk(i: int, left: int, chosen: Bin) -> Iterator[Bin]:
+    def dominated(x: int, n: int, chosen: dict[int, int], lost: int) -> bool:
+        """Whether n more of x, shorter than all chosen, could be swapped, alone or with one of those."""
+        return free(x + 1, x + lost, chosen) or n > 1 and free(2 * x, 2 * x + lost, chosen) or any(free(x + y, x + y + lost, chosen) for y in chosen)
+
+    def walk(i: int, left: int, chosen: dict[int, int], lost: int) -> Iterator[Bin]:
         if not left:
-            yield chosen
+            yield tuple(x for x, n in chosen.items() for _ in range(n))
             return
-        order = range(i, 0, -1) if longest_first else range(1, i + 1)
-        for k in order:
+        for k in range(i, 0, -1) if longest_first else range(1, i + 1):
+            effort.use()
             x = kinds[k - 1]
             most = min(counts[x], left // x)
             for n in range(most, 0, -1) if longest_first else range(1, most + 1):
-                if sums[k - 1] >> (left - n * x) & 1:
-                    yield from walk(k - 1, left - n * x, (*chosen, *[x] * n))
+                effort.use()
+                if sums[k - 1] >> (left - n * x) & 1 and not (lost and dominated(x, n, chosen, lost)):
+                    yield from walk(k - 1, left - n * x, {**chosen, x: n}, lost)
 
     for lost in range(min(waste, room) + 1):
+        effort.use()
         if made >> (room - lost) & 1:
-            for chosen in walk(len(kinds), room - lost, ()):
-                if not lost or not dominated(chosen, lost):
-                    yield lost, chosen
+            for chosen in walk(len(kinds), room - lost, {}, lost):
+                yield lost, chosen
 
 
 def bin_completion(histogram: dict[int, int], size: int = SIZE, nodes: int = 4_000) -> list[tuple[int, Bin]]:
@@ -114,18 +135,27 @@ def bin_completion(histogram: dict[int, int], size: int = SIZE, nodes: int = 4_0
     Best-fit decreasing is the first incumbent. The depth-first search always completes the largest
     length left, takes a filling as often as the counts allow (and, after that, once), and leaves a
     branch whose waste rules out fewer sequences than the incumbent. It is exact when it ends by
-    itself or at the bound ceil(total / size). `nodes` bounds the effort alone, half of it for
-    fillings of long items first and half for short ones: a search cut short by it keeps the best
-    packing found, which still holds every piece."""
-    counts = [0] * (size + 1)
-    for k, v in histogram.items():
-        counts[k] = v
+    itself or at the bound ceil(total / size). `nodes` bounds the effort alone, at STEPS steps a node,
+    half of it for fillings of long items first and half for short ones: a search cut short by it keeps
+    the best packing found, which still holds every piece."""
     total = sum(k * v for k, v in histogram.items())
     if not total:
         return []
     bound = -(-total // size)
     best = best_fit({k: v for k, v in histogram.items() if v}, size)
-    best_n = sum(n for n, _ in best)
+    for longest_first in (True, False):
+        if sum(n for n, _ in best) > bound:
+            best = searched(histogram, size, best, longest_first, Effort(nodes // 2 * STEPS))
+    return best
+
+
+def searched(histogram: dict[int, int], size: int, best: list[tuple[int, Bin]], longest_first: bool, effort: Effort) -> list[tuple[int, Bin]]:
+    """The best packing that a search with this effort finds, or else the incumbent `best`."""
+    counts = [0] * (size + 1)
+    for k, v in histogram.items():
+        counts[k] = v
+    total = sum(k * v for k, v in histogram.items())
+    bound, best_n = -(-total // size), sum(n for n, _ in best)
 
     def spare() -> int:  # the waste that a packing better than the incumbent may have
         return (best_n - 1) * size - total
@@ -134,11 +164,11 @@ def bin_completion(histogram: dict[int, int], size: int = SIZE, nodes: int = 4_0
         for x in filled:
             counts[x] -= times
 
-    def options(longest: int, wasted: int, longest_first: bool) -> Iterator[tuple[int, int, Bin]]:
+    def options(longest: int, wasted: int) -> Iterator[tuple[int, int, Bin]]:
         """(times, waste of one, lengths) for the sequences that hold the longest length left."""
         rest = list(counts)
         rest[longest] -= 1
-        for waste, others in fillings(rest, size - longest, longest, spare() - wasted, longest_first):
+        for waste, others in fillings(rest, size - longest, longest, spare() - wasted, longest_first, effort):
             filled = (longest, *others)
             times = min(counts[x] // filled.count(x) for x in set(filled))
             if waste:  # no oftener than the bound allows
@@ -147,28 +177,30 @@ def bin_completion(histogram: dict[int, int], size: int = SIZE, nodes: int = 4_0
             if times > 1:
                 yield 1, waste, filled
 
-    def resumed(longest: int, wasted: int, longest_first: bool, last: tuple | None) -> Iterator[tuple[int, int, Bin]]:
+    def resumed(longest: int, wasted: int, last: tuple | None) -> Iterator[tuple[int, int, Bin]]:
         """The options after `last`, which the node had tried before."""
-        found = options(longest, wasted, longest_first)
+        found = options(longest, wasted)
         for step in found if last else ():
+            effort.use()
             if step[2] == last[2] and step[0] in (last[0], 1):
                 break
         return found
 
-    for longest_first in (True, False):
-        todo, lost, used = nodes // 2, 0, 0
-        # an open node: its options, or None where they are made again on return, and how it was opened
-        longest = max(k for k in range(size + 1) if counts[k])
-        open_nodes = [[options(longest, 0, longest_first), longest, 0, None]]
-        taken: list[tuple[int, int, Bin]] = []  # the step below each open node that is being followed
-        while open_nodes and best_n > bound and todo:
+    lost, used = 0, 0
+    # an open node: its options, or None where they are made again on return, and how it was opened
+    longest = max(k for k in range(size + 1) if counts[k])
+    open_nodes = [[options(longest, 0), longest, 0, None]]
+    taken: list[tuple[int, int, Bin]] = []  # the step below each open node that is being followed
+    try:
+        while open_nodes and best_n > bound:
+            effort.use()
             if len(taken) == len(open_nodes):  # back from below
                 times, waste, filled = taken.pop()
                 put(-times, filled)
                 lost, used = lost - times * waste, used - times
             node = open_nodes[-1]
             if node[0] is None:
-                node[0] = resumed(node[1], node[2], longest_first, node[3])
+                node[0] = resumed(node[1], node[2], node[3])
             step = next(node[0], None)
             if step is None:
                 open_nodes.pop()
@@ -176,19 +208,18 @@ def bin_completion(histogram: dict[int, int], size: int = SIZE, nodes: int = 4_0
             times, waste, filled = node[3] = step
             if lost + times * waste > spare():  # the incumbent has become better since
                 continue
-            todo -= 1
             put(times, filled)
             taken.append(step)
             lost, used = lost + times * waste, used + times
             longest = next((k for k in range(filled[0], 0, -1) if counts[k]), 0)
             if longest:
-                open_nodes.append([options(longest, lost, longest_first), longest, lost, None])
-                if len(open_nodes) > KEPT:  # the options of a node take half a megabyte
+                open_nodes.append([options(longest, lost), longest, lost, None])
+                if len(open_nodes) > KEPT:  # the options of a node take up to half a megabyte
                     open_nodes[-KEPT - 1][0] = None
             elif used < best_n:  # all is packed, in fewer sequences
                 best, best_n = [(n, x) for n, _, x in taken], used
-        for times, _, filled in taken:
-            put(-times, filled)
+    except Spent:
+        pass
     return best
 
 

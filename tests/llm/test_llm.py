@@ -651,3 +651,19 @@ def test_pipeline_stages(spark):
     assert {i for i, _ in rows_of(kept["mixing"])} == set(clean)
     packed = corpus_pipeline.pack(spark, df, SF)
     assert packed.where("piece = 0").count() == df.count() and not df.select("doc_id").exceptAll(packed.where("piece = 0").select("doc_id")).count()
+
+
+def test_bin_completion_ends():
+    """A histogram on which the search has very many fillings and skipped steps: all effort counts."""
+    counts = {k: 200 for k in range(2, 1023, 2)} | {1025: 5000}
+    effort = packing.Effort(200_000)
+    incumbent = packing.best_fit(dict(counts), 2048)
+    found = packing.searched(counts, 2048, incumbent, False, effort)
+    assert effort.left < 0 and sum(n for n, _ in found) <= sum(n for n, _ in incumbent)
+    plan = packing.bin_completion(counts, 2048, nodes=1_000)
+    held = collections.Counter()
+    for times, lengths in plan:
+        assert sum(lengths) <= 2048
+        for x in lengths:
+            held[x] += times
+    assert held == counts and sum(n for n, _ in plan) < sum(n for n, _ in incumbent)
