@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.patterns import facts, folded, required
 from ..functions.predicates import glob_regex, glob_route, severity_at_least
 from .incidents import small
 
-#: Above so many rules the compiled columns give way to a join with the rule table.
-COMPILED_RULES = 500
+#: Above so many rules the compiled columns give way to the index of literals.
+COMPILED_RULES = 50
+MOST_CHARS, MOST_COUNT = 512, 1000  # of a rule's pattern and of a counted repetition in it
 
 
 def java_pattern(pattern: str) -> str:
@@ -65,25 +74,87 @@ def matches(events: DataFrame, compiled: list[dict]) -> DataFrame:
     return events.withColumn("matched", found).where(F.size("matched") > 0)
 
 
-def joined_route(events: DataFrame, compiled: list[dict]) -> DataFrame:
-    """route() for rulesets too large for columns: the rules are a table that meets the events in one
-    join, and the events' matches are ranked, cut and bound to targets by their id. Events are dealt
-    out by id, so a hot source is no hot key; an event has at most as many matches as there are rules."""
-    spark = events.sparkSession
-    rows = [(r["rank"], r["rule_id"], java_pattern(r["pattern"]), glob_regex(r["source_glob"]) if r["source_glob"] else None, r["min_severity"] or 0, r["stop"]) for r in compiled]
-    rules = spark.createDataFrame(rows, "rank int, rule_id long, rule_pattern string, rule_glob string, least int, stop boolean")
-    bound = spark.createDataFrame([(r["rule_id"], t) for r in compiled for _, t in r["targets"]], "rule_id long, target_id long")
-    test = ((F.col("least") == 0) | (F.col("severity") >= F.col("least"))) & (F.col("rule_glob").isNull() | F.expr("source rlike rule_glob")) & F.expr("concat(coalesce(program,''), ' ', coalesce(body,'')) rlike rule_pattern")
-    met = events.join(small(rules), test).select(*events.columns, "rank", "rule_id", "stop")
-    own = W.partitionBy("id")
-    kept = met.withColumn("cut", F.min(F.when(F.col("stop"), F.col("rank"))).over(own)).where(F.col("cut").isNull() | (F.col("rank") <= F.col("cut")))
-    fired = kept.join(bound, "rule_id").withColumn("k", F.row_number().over(W.partitionBy("id", "target_id").orderBy("rank"))).where("k = 1")
-    return fired.select(*events.columns, "target_id", "rule_id", "rank")
+def literal_index(compiled: list[dict]) -> tuple[dict[str, list[int]], list[int]]:
+    """The places in `compiled` of the rules that each literal may fire, and of those rules that no
+    literal announces."""
+    found: dict[str, list[int]] = {}
+    rest = []
+    for k, r in enumerate(compiled):
+        needs = required(r["pattern"])
+        for literal in needs or ():
+            found.setdefault(literal, []).append(k)
+        if not needs:
+            rest.append(k)
+    return found, rest
+
+
+CANDIDATE = "struct<rank:int,rule_id:bigint,stop:boolean,pattern:string,targets:array<bigint>>"
+
+
+def candidates(events: DataFrame, compiled: list[dict]) -> DataFrame:
+    """events with an array of the rules that may match, in rule order: those of which the subject
+    holds a literal that every match needs, or that need none, and whose severity and source gates are
+    open. One automaton of all literals runs over a line once, however many rules there are. Gates by
+    source are kept for each source of a task's rows; a glob without wildcards is an equality."""
+    shared = events.sparkSession.sparkContext.broadcast((compiled, *literal_index(compiled)))
+    subject_at, given = len(events.columns), events.columns
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        rules, literals, rest = shared.value
+        automaton = ahocorasick.Automaton()
+        for literal, places in literals.items():
+            automaton.add_word(literal, places)
+        if literals:
+            automaton.make_automaton()
+        globs = [r["source_glob"] or None for r in rules]
+        tests = {g: re.compile(glob_regex(g).replace(r"\z", r"\Z"), re.ASCII) if set(g) & set("*?[") else None for g in set(globs) - {None}}
+
+        @lru_cache(1 << 16)
+        def open_globs(source: str | None) -> frozenset:
+            return frozenset(g for g, test in tests.items() if source is not None and (g == source if test is None else test.search(source)))
+
+        entries = [{"rank": r["rank"], "rule_id": r["rule_id"], "stop": r["stop"], "pattern": java_pattern(r["pattern"]), "targets": [t for _, t in r["targets"]]} for r in rules]
+        kind = pa.list_(pa.struct([("rank", pa.int32()), ("rule_id", pa.int64()), ("stop", pa.bool_()), ("pattern", pa.string()), ("targets", pa.list_(pa.int64()))]))
+        severity_at, source_at = given.index("severity"), given.index("source")
+        for batch in batches:
+            found = []
+            for subject, severity, source in zip(*(batch.column(k).to_pylist() for k in (subject_at, severity_at, source_at)), strict=True):
+                hit = set(rest)
+                if literals:
+                    for _, places in automaton.iter(folded(subject)):
+                        hit.update(places)
+                globs_open = open_globs(source) if hit else ()
+                found.append([entries[k] for k in sorted(hit) if (globs[k] is None or globs[k] in globs_open) and (not rules[k]["min_severity"] or (severity is not None and severity >= rules[k]["min_severity"]))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:subject_at], pa.array(found, kind)], [*given, "matched"])
+
+    schema = T.StructType([*events.schema.fields, T.StructField("matched", T._parse_datatype_string(f"array<{CANDIDATE}>"))])
+    return events.withColumn("_subject", subject()).mapInArrow(find, schema)
+
+
+def indexed_matches(events: DataFrame, compiled: list[dict]) -> DataFrame:
+    """matches() for large rulesets: the patterns of the few candidates decide. Also has each match's
+    targets."""
+    found = F.filter("matched", lambda m: F.regexp_like(subject(), m["pattern"]))
+    rows = candidates(events, compiled).where(F.size("matched") > 0).withColumn("matched", found).where(F.size("matched") > 0)
+    return rows.withColumn("matched", F.transform("matched", lambda m: F.struct(m["rank"].alias("rank"), m["rule_id"].alias("rule_id"), m["stop"].alias("stop"), m["targets"].alias("targets"))))
+
+
+def indexed_route(events: DataFrame, compiled: list[dict]) -> DataFrame:
+    """route() for large rulesets, through the literal index. All within the event's row: no shuffle, and
+    rows that repeat an id fire each."""
+    found = indexed_matches(events, compiled).withColumn("matched", stop_cut(F.col("matched")))
+    pairs = F.flatten(F.transform("matched", lambda m: F.transform(m["targets"], lambda t: F.struct(t.alias("target_id"), m["rank"].alias("rank"), m["rule_id"].alias("rule_id")))))
+    ordered = found.withColumn("_pairs", F.array_sort(pairs))
+    first = F.filter("_pairs", lambda p, i: (i == 0) | (F.get("_pairs", i - 1)["target_id"] != p["target_id"]))
+    fired = ordered.withColumn("f", F.explode(first))
+    return fired.select(*events.columns, "f.target_id", "f.rule_id", "f.rank")
 
 
 def route_any(events: DataFrame, compiled: list[dict]) -> DataFrame:
-    """route(), through columns or a join as the size of the ruleset asks."""
-    return route(events, compiled) if len(compiled) <= COMPILED_RULES else joined_route(events, compiled)
+    """route(), through columns or the index as the size of the ruleset asks."""
+    return route(events, compiled) if len(compiled) <= COMPILED_RULES else indexed_route(events, compiled)
 
 
 def stop_cut(matched: Column) -> Column:
@@ -132,23 +203,30 @@ def unknown_globs(rules: DataFrame, sources: DataFrame, near: int = 3) -> DataFr
     return missing.join(names, "rule_id", "left").select("rule_id", "source_glob", F.coalesce("near", F.lit("")).alias("near"))
 
 
+@F.pandas_udf(T.StringType())
+def _risk(patterns: pd.Series) -> pd.Series:
+    """Why a pattern may take very long: a part that repeats without bound within one that repeats, at
+    any depth, or a large counted repetition; else null."""
+
+    def why(pattern: str | None) -> str | None:
+        found = facts(pattern) if pattern and len(pattern) <= MOST_CHARS else None
+        return found and ("nested quantifier" if found.nested else "repetition" if found.most > MOST_COUNT else None)
+
+    return patterns.map(why)
+
+
 def quarantine_rules(rules: DataFrame) -> DataFrame:
     """rules (name, kind, pattern, window_kind, source_glob) with a reason, null where accepted."""
-    # what stands in the innermost groups that repeat without bound, or a counted number of times
-    repeated = F.regexp_extract_all("pattern", F.lit(r"\(([^()]*)\)\s*(?:[*+]|\{[\d,]*\})"), 1)
-    nested = F.exists(repeated, lambda x: F.contains(x, F.lit("*")) | F.contains(x, F.lit("+")))
-    counts = F.regexp_extract_all("pattern", F.lit(r"\{([\d,\s]+)\}"), 1)
-    big = F.exists(counts, lambda x: F.coalesce(F.trim(F.element_at(F.split(x, ","), -1)).try_cast("decimal(38,0)") > 1000, F.lit(False)))
-    glob = F.trim(F.coalesce("source_glob", F.lit("")))
     regex = F.col("kind") == "regex"
+    checked = _risk(F.when(regex, F.col("pattern")))
+    glob = F.trim(F.coalesce("source_glob", F.lit("")))
     return rules.withColumn(
         "reason",
         F.when(~F.coalesce(F.col("kind").isin("regex", "semantic"), F.lit(False)), "kind")
         .when((F.coalesce("name", F.lit("")) == "") | (F.coalesce("pattern", F.lit("")) == ""), "empty")
         .when(~F.coalesce(F.col("window_kind").isin("sliding", "tumbling"), F.lit(False)), "window_kind")
-        .when(regex & (F.length("pattern") > 512), "too long")
-        .when(regex & nested, "nested quantifier")
-        .when(regex & big, "repetition")
+        .when(regex & (F.length("pattern") > MOST_CHARS), "too long")
+        .when(checked.isNotNull(), checked)
         .when(F.contains(glob, F.lit(",")), "glob list")
         .when(glob.rlike(r"\s"), "glob blank"),
     )

@@ -849,7 +849,7 @@ def q12_growing(spark, d):
 
 @register("j01_joined_route", f"with {GROWING_ROUTE_SQL} select id, rule_id, target_id from routed")
 def j01_joined(spark, d):
-    return routing.joined_route(S.log_events(spark, d), _growing_compiled(spark, d)).select("id", "rule_id", "target_id")
+    return routing.indexed_route(S.log_events(spark, d), _growing_compiled(spark, d)).select("id", "rule_id", "target_id")
 
 
 @register("m07_rule_quarantine", f"with {GROWING_SQL} select rule_id, {_REASON} as reason from gr0")

@@ -1,11 +1,14 @@
 """Decode, template, routing, incident, outbox and maintenance cases."""
 
+import re
 from datetime import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairnlog.functions import decode, predicates, templates
+from cairnlog.functions import decode, patterns, predicates, templates
 from cairnlog.operators import incidents, maintenance, outbox, routing, semantic
 
 NOW = datetime(2026, 7, 1, 12)
@@ -167,13 +170,56 @@ def test_unknown_globs(spark):
     assert [tuple(x) for x in routing.unknown_globs(r, s).collect()] == [(2, "hots-1", "host-1,host-2")]
 
 
-def test_joined_route_equals_columns(spark):
+def test_indexed_route_equals_columns(spark):
     from cairnlog.sources import tables
 
     d = "/root/testdata/sf0.001"
-    compiled = routing.compile_rules(tables.rules(spark), tables.bindings(spark))
-    one, two = (sorted(map(tuple, f(tables.log_events(spark, d), compiled).select("id", "target_id", "rule_id", "rank").collect())) for f in (routing.route, routing.joined_route))
-    assert one == two and len(one) > 100
+    rows = tables.log_events(spark, d)
+    odd = spark.createDataFrame([(1, NOW, s, v, "x", p, b) for s in ("host-01", None) for v in (None, 17) for p in ("A", None) for b in (None, "user 1", "USER 1 did x")], "id long, ts timestamp_ntz, source string, severity int, severity_text string, program string, body string")
+    own = [rule(11, "(?i)user 1 did", 0), rule(12, "", 9), rule(13, "[A-Z] ", 0, glob="host-0?"), rule(14, "did (view|click)|no such", 0, glob="host-01"), rule(15, "^A ", 17), rule(16, "x$|^ $", 0)]
+    small = routing.compile_rules(tables.rules(spark), tables.bindings(spark))
+    odd_rules = routing.compile_rules(spark.createDataFrame(own, RULE), spark.createDataFrame([(10 + k, 70 + k % 3, 1) for k in range(1, 7)], "rule_id long, target_id long, target_order long"))
+    rows = rows.union(odd).union(odd)  # repeated rows fire each
+    for compiled in (small, odd_rules, []):
+        one, two = (sorted(map(repr, f(rows, compiled).select("id", "source", "severity", "program", "body", "target_id", "rule_id", "rank").collect())) for f in (routing.route, routing.indexed_route))
+        assert one == two and (len(one) > 100 or not compiled)
+    assert routing.indexed_route(rows.limit(0), small).count() == 0
+
+
+@pytest.mark.parametrize("pattern, needs", [
+    ("user 7 did (view|click)", {"user 7 did "}), ("changed|Error", {"changed", "error"}), ("(?i)Foo.*BAR+", {"foo", "bar"}), (r"a\.b\d+cc", {"a.b"}), ("(ab|cd)e", {"ab", "cd"}),
+    ("x{,3}yy", {"yy"}), ("(ab){2}c", {"ab"}), ("abc?d", {"ab"}), (r"a\12b", {"a", "b"}), ("[[:x]]yz", {"yz"}), ("(?<!no)yes", {"yes"}), ("", None), ("a|", None), ("a*", None), (r"\Qa.b\E", None), ("(?x)a b", None), ("(?iu)k", None),
+])
+def test_required_literals(pattern, needs):
+    found = patterns.required(pattern)
+    assert found == (needs and frozenset(needs)) or (found and needs and found < frozenset(needs))
+
+
+PIECES = st.recursive(
+    st.sampled_from(["a", "b", "ab", ".", "[ab]", "[^a]", r"\d", r"\.", "^", "$", "é", "B"]),
+    lambda inner: st.one_of(
+        st.lists(inner, min_size=1, max_size=3).map("".join),
+        st.lists(inner, min_size=2, max_size=3).map(lambda x: "(" + "|".join(x) + ")"),
+        st.tuples(inner, st.sampled_from(["?", "*", "+", "{2}", "{0,1}", "{1,}", "+?"])).map(lambda x: f"(?:{x[0]}){x[1]}"),
+        inner.map(lambda x: f"(?={x})"),
+    ),
+    max_leaves=6,
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(PIECES, st.lists(st.text("abBé.1", max_size=9), min_size=8, max_size=8))
+def test_every_match_has_a_required_literal(pattern, texts):
+    needs = patterns.required(pattern)
+    for text in texts:
+        if needs and re.search(pattern, text):
+            assert any(n in patterns.folded(text) for n in needs)
+
+
+def test_risky_patterns():
+    risky = {"(a+)+b": True, "((a+)b)+": True, "((a+)+b)+": True, "(a*){2}": True, "(a*)?z": False, "(ab)+": False, "[(a+)+]": False, r"\(a+\)+": False, "((?:x|y*)z)*": True, "(a{2,}b)*": True, "(a{2}b)*": False}
+    assert {p: patterns.facts(p).nested for p in risky} == risky
+    assert [patterns.facts(p).most for p in ("x{1,2000}", "(x{3}){ 1001 }", "x{5,}", "x{a}")] == [2000, 1001, 5, 0]
 
 
 def test_deliveries(spark):
