@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import written
+from .ranges import ceiling_decisions, hot_dispositions
+
 TTL = 7200.0
 FEED_INTERVAL = 60.0
 OPEN_CEILING = 120
 #: Incidents of up to so many firings are folded in one array, whose result grows by copying.
 ARRAY_ROWS = 1_000
+#: Firings of a key beyond which it is folded in ranges of time.
+HOT_ROWS = 1_000_000
 #: Rows of a dimension (rules, targets) that may go to every task; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -48,7 +52,11 @@ def dispositions(firings: DataFrame, ttl: float = TTL, feed: float | str = FEED_
 
     The fold runs within incidents, in Arrow batches sorted by incident: state is three numbers, so
     a key with any number of firings needs no more memory than one batch."""
-    numbered = number_incidents(firings, ttl)
+    return folded_feeds(number_incidents(firings, ttl), feed)
+
+
+def folded_feeds(numbered: DataFrame, feed: float | str = FEED_INTERVAL) -> DataFrame:
+    """numbered firings (key, incident, id, ts) with their disposition."""
     wait = F.col(feed) if isinstance(feed, str) else F.lit(float(feed))
     rows = numbered.withColumns({"_us": F.unix_micros(F.col("ts").cast("timestamp")), "_wait": (wait * 1_000_000).cast("long")})
 
@@ -72,6 +80,22 @@ def dispositions(firings: DataFrame, ttl: float = TTL, feed: float | str = FEED_
     return rows.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(fold, schema)
 
 
+def split_dispositions(firings: DataFrame, ttl: float = TTL, feed: float | str = FEED_INTERVAL, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """dispositions() where one key may hold any share of the firings: keys of more than hot_rows are
+    folded in ranges of time, in as many tasks as they need, the others as ever. The firings are written
+    first, as they are read again. A hot key whose rows have different cooldowns stays one task's work."""
+    rows = written(firings, "firings")
+    wait = F.col(feed) if isinstance(feed, str) else F.lit(float(feed))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct(wait).alias("waits"))
+    hot = [r.key for r in counts.where((F.col("n") > hot_rows) & (F.col("waits") == 1)).select("key").collect()]  # at most one in hot_rows rows
+    if not hot:
+        return dispositions(rows, ttl, feed)
+    keys = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], "key string"))
+    timed = rows.join(keys, "key").select(*rows.columns).withColumns({"_us": F.unix_micros(F.col("ts").cast("timestamp")), "_wait": (wait * 1_000_000).cast("long")})
+    rest = dispositions(rows.join(keys, "key", "left_anti"), ttl, feed)
+    return rest.withColumn("incident", F.col("incident").cast("long")).unionByName(hot_dispositions(timed, int(ttl * 1e6)))
+
+
 DELIVERY = {"stateful": True, "known_type": True, "delivery_ok": True, "gone": False}
 
 
@@ -150,68 +174,33 @@ def over_ceiling(opens: DataFrame, ceiling: int = OPEN_CEILING) -> DataFrame:
     return rows.withColumn("trailing", F.col("upto") - F.col("after")).where(F.col("trailing") > ceiling).select("id", "ts", "trailing")
 
 
-def with_ceiling(firings: DataFrame, ceiling: int, ttl: float = TTL, feed: float = FEED_INTERVAL) -> DataFrame:
+def with_ceiling(firings: DataFrame, ceiling: int, ttl: float = TTL, feed: float = FEED_INTERVAL, ranges: int | None = None) -> DataFrame:
     """Dispositions under a ceiling on opens per trailing 60 s over all keys; an open over it is
     rate_limited and makes no incident, so that the key's next firing tries again.
 
-    Where no trailing minute of unconstrained opens exceeds the ceiling, the plain fold is exact and
-    is returned. Else it is exact before the first such minute's last open, and from there on every
-    decision may depend on all earlier ones: one ordered fold, which starts from each key's state and
-    the minute of opens before, runs in a single task with one row of state for each key."""
-    plain = dispositions(firings, ttl, feed).persist(StorageLevel.DISK_ONLY)
-    opens = plain.where("disposition = 'opened'").select("id", "ts")
-    first = over_ceiling(opens, ceiling).agg(F.min("ts").alias("t")).first().t
-    if first is None:
-        return plain
+    Where no trailing minute of unconstrained opens exceeds the ceiling, the plain fold is exact. Else
+    it is exact before the first such minute's last open; from there on ceiling_decisions() tells which
+    firings open, in ranges of time that are folded in parallel. Feeds depend on the own key alone and
+    are folded by key after that."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    start = int(plain.select(F.unix_micros(F.lit(first).cast("timestamp")).alias("u")).first().u)
-    before = plain.where(us < start)
     names = firings.columns
-    told = F.when(F.col("disposition") != "throttled", us)
-    states = before.groupBy("key").agg(F.max(us).alias("_us"), F.max(told).alias("_fed"), F.max("incident").alias("_n")).withColumn("_kind", F.lit(0))
-    recent = before.where((F.col("disposition") == "opened") & (us >= start - 60_000_000)).select("key", us.alias("_us"), F.lit(1).alias("_kind"))
-    rows = firings.where(us >= start).withColumns({"_us": us, "_kind": F.lit(2)})
-    rows = rows.unionByName(states, allowMissingColumns=True).unionByName(recent, allowMissingColumns=True)
-    ttl_us, feed_us = int(ttl * 1e6), int(feed * 1e6)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import deque
-
-        state: dict = {}
-        recent: deque = deque()
-        for pdf in batches:
-            out, numbers = [], []
-            for kind, key, us, told, count in zip(pdf._kind, pdf.key, pdf._us, pdf._fed, pdf._n, strict=True):
-                if kind == 0:
-                    state[key] = (us, int(told), int(count))
-                elif kind == 1:
-                    recent.append(us)
-                if kind < 2:
-                    out.append(None)
-                    numbers.append(0)
-                    continue
-                last, fed, n = state.get(key, (None, 0, 0))
-                if last is not None and us - last < ttl_us:
-                    what = "fed" if us - fed >= feed_us else "throttled"
-                    state[key] = (us, us if what == "fed" else fed, n)
-                else:
-                    while recent and us - recent[0] > 60_000_000:
-                        recent.popleft()
-                    if len(recent) >= ceiling:
-                        what = "rate_limited"
-                    else:
-                        what = "opened"
-                        recent.append(us)
-                        n += 1
-                        state[key] = (us, us, n)
-                out.append(what)
-                numbers.append(n)
-            pdf["incident"], pdf["disposition"] = numbers, out
-            yield pdf.loc[pdf._kind == 2, [*names, "incident", "disposition"]]
-
-    schema = T.StructType([*firings.schema.fields, T.StructField("incident", T.LongType()), T.StructField("disposition", T.StringType())])
-    later = rows.repartition(1).sortWithinPartitions("_kind", "_us", "id", "key").mapInPandas(fold, schema)
-    return before.select(*names, F.col("incident").cast("long"), "disposition").unionByName(later)
+    numbered = number_incidents(firings, ttl).withColumnRenamed("incident", "_session").withColumns({"_us": us, "_row": F.monotonically_increasing_id()})
+    head = F.row_number().over(W.partitionBy("key", "_session").orderBy("_us", "id")) == 1
+    plain = written(numbered.withColumn("_head", head), "ceiling-firings")
+    first = over_ceiling(plain.where("_head").select("id", "ts"), ceiling).agg(F.min(us).alias("u")).first().u
+    if first is None:
+        return folded_feeds(plain.select(*names, F.col("_session").cast("long").alias("incident")), feed)
+    before, later = plain.where(F.col("_us") < first), plain.where(F.col("_us") >= first)
+    opens = before.where(F.col("_head") & (F.col("_us") >= first - 60_000_000)).select(F.lit(1).alias("kind"), F.lit("").alias("key"), F.col("_row").alias("session"), F.col("_us").alias("us"))
+    live = later.select("key", "_session").distinct().join(before.select("key", "_session").distinct(), ["key", "_session"], "left_semi")
+    state = opens.unionByName(live.select(F.lit(0).alias("kind"), "key", F.col("_session").cast("long").alias("session"), F.lit(-1).cast("long").alias("us")))
+    rows = later.select(F.col("_row").alias("row"), "key", F.col("_session").cast("long").alias("session"), F.col("_us").alias("us"), "id")
+    what, _, _ = ceiling_decisions(rows, state, ceiling, ranges)
+    told = later.join(what.withColumnRenamed("row", "_row"), "_row").unionByName(before.withColumn("what", F.when(F.col("_head"), "opened").otherwise("on")))
+    upto = W.partitionBy("key").orderBy("_us", "id").rowsBetween(W.unboundedPreceding, 0)
+    told = told.withColumn("incident", F.sum(F.when(F.col("what") == "opened", 1).otherwise(0)).over(upto))
+    limited = told.where("what = 'rate_limited'").select(*names, "incident", F.lit("rate_limited").alias("disposition"))
+    return folded_feeds(told.where("what <> 'rate_limited'").select(*names, "incident"), feed).unionByName(limited)
 
 
 def with_delivery(decided: DataFrame, known_types: tuple[str, ...] = ("push", "handoff")) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.patterns import facts, folded, required
 from ..functions.predicates import glob_regex, glob_route, severity_at_least
@@ -74,13 +75,12 @@ def matches(events: DataFrame, compiled: list[dict]) -> DataFrame:
     return events.withColumn("matched", found).where(F.size("matched") > 0)
 
 
-def literal_index(compiled: list[dict]) -> tuple[dict[str, list[int]], list[int]]:
-    """The places in `compiled` of the rules that each literal may fire, and of those rules that no
-    literal announces."""
+def literal_index(patterns: list[str]) -> tuple[dict[str, list[int]], list[int]]:
+    """The places of the patterns that each literal may announce, and of those that none does."""
     found: dict[str, list[int]] = {}
     rest = []
-    for k, r in enumerate(compiled):
-        needs = required(r["pattern"])
+    for k, pattern in enumerate(patterns):
+        needs = required(pattern)
         for literal in needs or ():
             found.setdefault(literal, []).append(k)
         if not needs:
@@ -88,68 +88,108 @@ def literal_index(compiled: list[dict]) -> tuple[dict[str, list[int]], list[int]
     return found, rest
 
 
-CANDIDATE = "struct<rank:int,rule_id:bigint,stop:boolean,pattern:string,targets:array<bigint>>"
+class Gates:
+    """The rules of each distinct pattern whose severity and source gates are open, in rule order."""
 
+    def __init__(self, compiled: list[dict]):
+        self.patterns = list(dict.fromkeys(r["pattern"] for r in compiled))
+        at = {p: k for k, p in enumerate(self.patterns)}
+        self.rules: list[list[dict]] = [[] for _ in self.patterns]
+        for r in compiled:
+            self.rules[at[r["pattern"]]].append(r)
+        self.tests: dict = {}  # of a task's own
+        self.open = lru_cache(1 << 17)(self._open)
 
-def candidates(events: DataFrame, compiled: list[dict]) -> DataFrame:
-    """events with an array of the rules that may match, in rule order: those of which the subject
-    holds a literal that every match needs, or that need none, and whose severity and source gates are
-    open. One automaton of all literals runs over a line once, however many rules there are. Gates by
-    source are kept for each source of a task's rows; a glob without wildcards is an equality."""
-    shared = events.sparkSession.sparkContext.broadcast((compiled, *literal_index(compiled)))
-    subject_at, given = len(events.columns), events.columns
+    def __getstate__(self) -> dict:
+        return {"patterns": self.patterns, "rules": self.rules}
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, tests={})
+        self.open = lru_cache(1 << 17)(self._open)
+
+    def _fits(self, glob: str, source: str | None) -> bool:
+        if source is None or not set(glob) & set("*?["):  # without wildcards an equality
+            return source == glob
+        if glob not in self.tests:
+            self.tests[glob] = re.compile(glob_regex(glob).replace(r"\z", r"\Z"), re.ASCII)
+        return bool(self.tests[glob].search(source))
+
+    def _open(self, pattern: int, source: str | None, severity: int | None) -> tuple:
+        return tuple(
+            (r["rank"], r["rule_id"], r["stop"], tuple(t for _, t in r["targets"]))
+            for r in self.rules[pattern]
+            if (not r["min_severity"] or (severity is not None and severity >= r["min_severity"])) and (not r["source_glob"] or self._fits(r["source_glob"], source))
+        )
+
+
+def indexed(events: DataFrame, compiled: list[dict], made: str, make: Callable) -> DataFrame:
+    """events with an array `made` of what make(matching rules of a row, in rule order) returns.
+
+    One automaton of the literals that patterns need runs over a line once and names the few patterns
+    that may match; each distinct pattern with an open gate is then tested once, by the same regular
+    expressions as anywhere else. Everything is done within the row, so there is no shuffle."""
+    shared = events.sparkSession.sparkContext.broadcast(Gates(compiled))
+    names, n = events.columns, len(events.columns)
+    severity_at, source_at = names.index("severity"), names.index("source")
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        rules, literals, rest = shared.value
+        gates = shared.value
+        literals, rest = literal_index(gates.patterns)
         automaton = ahocorasick.Automaton()
         for literal, places in literals.items():
             automaton.add_word(literal, places)
         if literals:
             automaton.make_automaton()
-        globs = [r["source_glob"] or None for r in rules]
-        tests = {g: re.compile(glob_regex(g).replace(r"\z", r"\Z"), re.ASCII) if set(g) & set("*?[") else None for g in set(globs) - {None}}
-
-        @lru_cache(1 << 16)
-        def open_globs(source: str | None) -> frozenset:
-            return frozenset(g for g, test in tests.items() if source is not None and (g == source if test is None else test.search(source)))
-
-        entries = [{"rank": r["rank"], "rule_id": r["rule_id"], "stop": r["stop"], "pattern": java_pattern(r["pattern"]), "targets": [t for _, t in r["targets"]]} for r in rules]
-        kind = pa.list_(pa.struct([("rank", pa.int32()), ("rule_id", pa.int64()), ("stop", pa.bool_()), ("pattern", pa.string()), ("targets", pa.list_(pa.int64()))]))
-        severity_at, source_at = given.index("severity"), given.index("source")
+        entries = [{"k": k, "pattern": java_pattern(p)} for k, p in enumerate(gates.patterns)]
         for batch in batches:
             found = []
-            for subject, severity, source in zip(*(batch.column(k).to_pylist() for k in (subject_at, severity_at, source_at)), strict=True):
+            for subject, severity, source in zip(*(batch.column(k).to_pylist() for k in (n, severity_at, source_at)), strict=True):
                 hit = set(rest)
                 if literals:
                     for _, places in automaton.iter(folded(subject)):
                         hit.update(places)
-                globs_open = open_globs(source) if hit else ()
-                found.append([entries[k] for k in sorted(hit) if (globs[k] is None or globs[k] in globs_open) and (not rules[k]["min_severity"] or (severity is not None and severity >= rules[k]["min_severity"]))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:subject_at], pa.array(found, kind)], [*given, "matched"])
+                found.append([entries[k] for k in hit if gates.open(k, source, severity)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.list_(pa.struct([("k", pa.int32()), ("pattern", pa.string())])))], [*names, "_found"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gates = shared.value
+        for batch in batches:
+            out = []
+            for matched, severity, source in zip(*(batch.column(k).to_pylist() for k in (n, severity_at, source_at)), strict=True):
+                out.append(make(sorted(r for k in matched for r in gates.open(k, source, severity))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, arrow)], [*names, "_made"])
 
-    schema = T.StructType([*events.schema.fields, T.StructField("matched", T._parse_datatype_string(f"array<{CANDIDATE}>"))])
-    return events.withColumn("_subject", subject()).mapInArrow(find, schema)
+    kind = T._parse_datatype_string(f"array<{made}>")
+    arrow = to_arrow_type(kind)
+    rows = events.withColumn("_subject", subject()).mapInArrow(candidates, T.StructType([*events.schema.fields, T.StructField("_found", T._parse_datatype_string("array<struct<k:int,pattern:string>>"))]))
+    matched = F.transform(F.filter("_found", lambda c: F.regexp_like(subject(), c["pattern"])), lambda c: c["k"])
+    rows = rows.where(F.size("_found") > 0).select(*names, matched.alias("_matched")).where(F.size("_matched") > 0)
+    return rows.mapInArrow(decide, T.StructType([*events.schema.fields, T.StructField("_made", kind)]))
 
 
 def indexed_matches(events: DataFrame, compiled: list[dict]) -> DataFrame:
-    """matches() for large rulesets: the patterns of the few candidates decide. Also has each match's
-    targets."""
-    found = F.filter("matched", lambda m: F.regexp_like(subject(), m["pattern"]))
-    rows = candidates(events, compiled).where(F.size("matched") > 0).withColumn("matched", found).where(F.size("matched") > 0)
-    return rows.withColumn("matched", F.transform("matched", lambda m: F.struct(m["rank"].alias("rank"), m["rule_id"].alias("rule_id"), m["stop"].alias("stop"), m["targets"].alias("targets"))))
+    """matches() for large rulesets."""
+    rows = indexed(events, compiled, "struct<rank:int,rule_id:bigint,stop:boolean>", lambda rules: [{"rank": rank, "rule_id": rule, "stop": stop} for rank, rule, stop, _ in rules])
+    return rows.withColumnRenamed("_made", "matched")
+
+
+def first_firings(rules: list[tuple]) -> list[dict]:
+    """Of matching rules in order, up to the first stop rule: the first one for each target."""
+    fired: dict[int, tuple] = {}
+    for rank, rule, stop, targets in rules:
+        for target in targets:
+            fired.setdefault(target, (rule, rank))
+        if stop:
+            break
+    return [{"target_id": t, "rule_id": rule, "rank": rank} for t, (rule, rank) in sorted(fired.items())]
 
 
 def indexed_route(events: DataFrame, compiled: list[dict]) -> DataFrame:
-    """route() for large rulesets, through the literal index. All within the event's row: no shuffle, and
-    rows that repeat an id fire each."""
-    found = indexed_matches(events, compiled).withColumn("matched", stop_cut(F.col("matched")))
-    pairs = F.flatten(F.transform("matched", lambda m: F.transform(m["targets"], lambda t: F.struct(t.alias("target_id"), m["rank"].alias("rank"), m["rule_id"].alias("rule_id")))))
-    ordered = found.withColumn("_pairs", F.array_sort(pairs))
-    first = F.filter("_pairs", lambda p, i: (i == 0) | (F.get("_pairs", i - 1)["target_id"] != p["target_id"]))
-    fired = ordered.withColumn("f", F.explode(first))
-    return fired.select(*events.columns, "f.target_id", "f.rule_id", "f.rank")
+    """route() for large rulesets, through the literal index; rows that repeat an id fire each."""
+    rows = indexed(events, compiled, "struct<target_id:bigint,rule_id:bigint,rank:int>", first_firings)
+    return rows.select(*events.columns, F.inline("_made"))
 
 
 def route_any(events: DataFrame, compiled: list[dict]) -> DataFrame:
@@ -186,7 +226,8 @@ def route(events: DataFrame, compiled: list[dict]) -> DataFrame:
 
 def backtest(events: DataFrame, compiled: list[dict]) -> DataFrame:
     """Matches per rule over history in one pass, without order or stop rules."""
-    rows = matches(events, compiled).select(F.explode("matched").alias("m"))
+    found = matches if len(compiled) <= COMPILED_RULES else indexed_matches
+    rows = found(events, compiled).select(F.explode("matched").alias("m"))
     return rows.groupBy(F.col("m.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
 
 

@@ -108,6 +108,29 @@ def _duck_template(body: str) -> str:
 TEMPLATES_SQL = f"{LOGS}, tp as (select *, {_duck_template('body')} as template from log_events), t as (select *, sha1(concat(coalesce(program, ''), chr(0), template)) as fp from tp)"
 
 
+_TWICE = f"with {RAW_SQL}, t as (select raw from raw_lines union all select raw from raw_lines where id % 3 = 0)"
+
+
+@register("s01_raw_files", f"{_TWICE} select raw, count(*) as n, count(*) as n_ids, 1::bigint as n_readings from t group by raw")
+def s01(spark, d):
+    """Lines of files, of which some are equal: each has an id of its own, and the same one when the
+    files are read again in other splits."""
+    lines = S.raw_lines(spark, d).select("raw", "id")
+    path = S.shared_folder(spark, "lines")
+    lines.union(lines.where("id % 3 = 0")).repartition(8, "raw").select("raw").write.text(path)
+    once = S.raw_files(spark, path)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        again = S.written(S.raw_files(spark, path).select("id", "raw"), "lines-again")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    both = once.select("id", "raw", F.lit(1).alias("k")).union(again.select("id", "raw", F.lit(2)))
+    ids = both.groupBy("raw", "id").agg(F.count_if("k = 1").alias("first"), F.count_if("k = 2").alias("second"))
+    same = F.when(F.count_if((F.col("first") != 1) | (F.col("second") != 1)) == 0, 1).otherwise(2).cast("long")
+    return ids.groupBy("raw").agg(F.sum("first").alias("n"), F.count_if("first > 0").alias("n_ids"), same.alias("n_readings"))
+
+
 @register("s13_mine_template", f"with {TEMPLATES_SQL} select id, template, fp from t")
 def s13(spark, d):
     return templates.with_template(S.log_events(spark, d)).select("id", "template", "fp")
@@ -316,7 +339,7 @@ def _by_source(spark, d):
 
 
 def decided(spark: SparkSession, d: str) -> DataFrame:
-    return incidents.dispositions(routed(spark, d).withColumn("key", incidents.dedup_key()), 7200, 3600)
+    return incidents.split_dispositions(routed(spark, d).withColumn("key", incidents.dedup_key()), 7200, 3600)
 
 
 @register("o01_incidents", f"{FOLD_SQL} select id, key, cast(incident as bigint) as incident from folded")
@@ -329,6 +352,17 @@ def o02(spark, d):
     return incidents.dispositions(_by_source(spark, d), 7200, 3600).select("id", "key", "disposition")
 
 
+_ONE_KEY = "select *, 'all' as key from log_events where severity >= 17 union all select *, source from log_events where severity >= 17"
+
+
+@register("o02_hot_key", f"with recursive {LOGS}, {_fold_sql(_ONE_KEY, 7200, 3600)} select id, key, incident::bigint as incident, disposition from folded")
+def o02_hot(spark, d):
+    """Half of all firings under one key, which is folded in ranges of time."""
+    rows = _by_source(spark, d)
+    rows = rows.withColumn("key", F.lit("all")).union(rows)
+    return incidents.split_dispositions(rows, 7200, 3600, hot_rows=rows.count() // 4).select("id", "key", F.col("incident").cast("long").alias("incident"), "disposition")
+
+
 @register("o02_array_fold", f"{FOLD_SQL} select id, key, disposition from folded")
 def o02b(spark, d):
     return incidents.array_dispositions(_by_source(spark, d), 7200, 3600).select("id", "key", "disposition")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -23,16 +26,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or where the
+    session has none and runs on this machine alone, a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: later plans start from there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def raw_files(spark: SparkSession, path: str, peer: str = "unknown", stream: bool = False) -> DataFrame:
-    """Raw lines (id, raw, received_at, peer) from text files: carriage returns trimmed, empty lines
-    dropped. Streaming reads take new files as they arrive. The id grows with the second in which the
-    file was written; within it a 32-bit hash of place and line tells lines apart, so that reading a
-    file again gives the same ids."""
+    """Raw lines from text files: carriage returns trimmed, empty lines dropped. A batch has (id, raw,
+    received_at, peer), a stream the columns that number_lines() turns into ids, batch by batch; it takes
+    new files as they arrive."""
     reader = (spark.readStream.option("maxFilesPerTrigger", 64) if stream else spark.read).format("text")
-    lines = reader.load(path).select(F.rtrim(F.regexp_replace("value", r"[\r\n]+$", "")).alias("raw"), "_metadata")
-    at = F.unix_seconds("_metadata.file_modification_time") * (1 << 32)
-    own = F.xxhash64("raw", "_metadata.file_path", "_metadata.file_block_start").bitwiseAND((1 << 32) - 1)
-    return lines.where("raw != ''").select((at + own).alias("id"), "raw", F.current_timestamp().cast("timestamp_ntz").alias("received_at"), F.lit(peer).alias("peer"))
+    at = [F.col(f"_metadata.{c}").alias(f"_{c}") for c in ("file_modification_time", "file_path", "file_block_start")]
+    rows = reader.load(path).select("value", *at).select(F.rtrim(F.regexp_replace("value", r"[\r\n]+$", "")).alias("raw"), F.current_timestamp().cast("timestamp_ntz").alias("received_at"), F.lit(peer).alias("peer"), "_file_modification_time", "_file_path", "_file_block_start")
+    return rows if stream else number_lines(rows)
+
+
+def number_lines(rows: DataFrame, first: int = 0) -> DataFrame:
+    """(id, raw, received_at, peer): ids count the lines of all files from `first` on, files in order of
+    their time and path, lines in order of their place. Equal lines so have ids of their own; files
+    that are read again, alone with earlier ones or together with later ones, in splits of any size,
+    have the same ids. Only where each split of a file begins is numbered in one place."""
+    own = ["_file_modification_time", "_file_path", "_file_block_start"]
+    rows = rows.withColumn("_place", F.monotonically_increasing_id())
+    splits = rows.groupBy(*own).agg(F.min("_place").alias("begins"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.orderBy(*own).rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select(*own, (F.coalesce(before, F.lit(0)) - F.col("begins") + F.lit(first)).alias("shift"))
+    numbered = rows.join(splits, own).where("raw != ''")
+    return numbered.select((F.col("_place") + F.col("shift")).alias("id"), "raw", "received_at", "peer")
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,9 @@ from ..functions.decode import decode_lines
 from ..functions.predicates import week_start
 from ..functions.templates import merge_sources, merge_templates, source_delta, template_delta
 from ..operators import incidents, outbox, routing, semantic
+from ..sources.tables import number_lines
 
+BATCH_LINES = 1 << 40  # ids of one micro-batch
 STATE = "last long, fed long, incident long"
 IDLE = 7 * 86_400.0  # seconds without a firing after which a key is forgotten
 
@@ -144,6 +146,8 @@ def start(
     trigger = trigger or {"processingTime": "1 second"}
 
     def batch(df: DataFrame, n: int) -> None:
+        if "id" not in df.columns:  # lines of files, which are numbered within their batch
+            df = decode_stream(number_lines(df, n * BATCH_LINES))
         df = df.persist()
         try:
             df.withColumn("week_start", week_start(F.col("ts"))).withColumn("batch", F.lit(n)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "week_start").parquet(f"{out}/events")
@@ -155,7 +159,7 @@ def start(
         finally:
             df.unpersist()
 
-    events = decode_stream(lines).writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/_events").trigger(**trigger).start()
+    events = (decode_stream(lines) if "id" in lines.columns else lines).writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/_events").trigger(**trigger).start()
 
     def incident_query() -> StreamingQuery:
         schema = spark.read.parquet(f"{out}/firings").drop("batch").schema

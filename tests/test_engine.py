@@ -331,3 +331,90 @@ def test_every_window_is_judged(spark):
     judged = catalog.QUERIES["o10_judge"](spark, d).collect()
     assert sorted((r.rule_id, r.window) for r in judged) == sorted(gated) and all(r.fire is not None for r in judged)
     print("windows judged:", len(judged))
+
+
+def bursts(spark, seed, n, keys=12):
+    """Random bursts of firings in many keys, with ties in time."""
+    import random
+
+    rng = random.Random(seed)
+    rows, at = [], 0
+    for i in range(n):
+        at += rng.choice([0, 0, 0, 1, 2, 5, 20, 70, 400]) if rng.random() < 0.97 else 8000
+        rows.append((f"k{int(keys * rng.random() ** 2)}", i, datetime.fromtimestamp(at), 1, 1, "s"))
+    rng.shuffle(rows)
+    return rows, spark.createDataFrame(rows, "key string, id long, ts timestamp_ntz, rule_id long, target_id long, source string")
+
+
+def serial_ceiling(rows, ceiling, ttl, feed):
+    state, recent, out = {}, [], {}
+    for key, i, ts, *_ in sorted(rows, key=lambda r: (r[2], r[1], r[0])):
+        at = ts.timestamp()
+        last, fed, n = state.get(key, (None, 0, 0))
+        if last is not None and at - last < ttl:
+            what = "fed" if at - fed >= feed else "throttled"
+            state[key] = (at, at if what == "fed" else fed, n)
+        else:
+            recent = [x for x in recent if at - x <= 60]
+            what = "rate_limited" if len(recent) >= ceiling else "opened"
+            if what == "opened":
+                recent.append(at)
+                n += 1
+                state[key] = (at, at, n)
+        out[i] = (what, n)
+    return out
+
+
+@pytest.mark.parametrize("seed, ceiling, ttl, ranges", [(1, 1, 300, 7), (2, 2, 60, 5), (3, 1, 7200, 6), (4, 3, 30, 9), (5, 100, 300, 4), (6, 1, 300, 1)])
+def test_ceiling_in_ranges(spark, seed, ceiling, ttl, ranges):
+    rows, df = bursts(spark, seed, 700)
+    got = incidents.with_ceiling(df, ceiling, ttl, 100, ranges).collect()
+    assert {r.id: (r.disposition, r.incident) for r in got} == serial_ceiling(rows, ceiling, ttl, 100) and len(got) == len(rows)
+
+
+def test_ceiling_takes_several_ranges(spark):
+    """More than one task folds, and fewer rounds than ranges are needed."""
+    from cairnlog.operators.ranges import ceiling_decisions
+
+    _, df = bursts(spark, 7, 900)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    numbered = incidents.number_incidents(df, 300).select(F.monotonically_increasing_id().alias("row"), "key", F.col("incident").cast("long").alias("session"), us.alias("us"), "id")
+    none = spark.createDataFrame([], "kind int, key string, session long, us long")
+    what, ranges, rounds = ceiling_decisions(numbered, none, 1, 8)
+    assert ranges == 8 and rounds < 8 and what.count() == 900 and {r.what for r in what.collect()} == {"opened", "rate_limited", "on"}
+
+
+@pytest.mark.parametrize("seed, ttl, feed", [(1, 300, 100), (2, 60, 60), (3, 7200, 3600), (4, 10, 500), (5, 9000, 30)])
+def test_one_key_holds_all_rows(spark, seed, ttl, feed):
+    """A key in many ranges equals the fold in one task, also beside other keys."""
+    _, df = bursts(spark, seed, 600, keys=1)
+    one = df.withColumn("key", F.when(F.col("id") % 9 == 0, F.concat(F.lit("x"), (F.col("id") % 27).cast("string"))).otherwise("hot"))
+    for rows in (df, one):
+        columns = ["key", "id", "incident", "disposition"]
+        want = incidents.dispositions(rows, ttl, feed).select(*columns).collect()
+        got = incidents.split_dispositions(rows, ttl, feed, hot_rows=100).select(*columns).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_hot_keys_span_partitions(spark, monkeypatch):
+    """The ranges of a hot key really are several."""
+    from cairnlog.operators import ranges
+
+    seen = []
+    keep = ranges.written
+    monkeypatch.setattr(ranges, "written", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+    _, df = bursts(spark, 8, 600, keys=1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        incidents.split_dispositions(df, 300, 100, hot_rows=100).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen[0].select("_part").distinct().count() == 4
+
+
+def test_segment_steps():
+    from cairnlog.operators.ranges import segment_steps
+
+    assert segment_steps([0, 5, 10], 100, 5) == (1, 0, 10, None, [(5, 10)])
+    assert segment_steps([0, 4, 9, 12], 100, 9)[4] == [(0, 9), (4, 4), (9, 9)]
+    assert segment_steps([0, 200, 210], 100, 50) == (2, 1, 200, 200, [])

@@ -1,5 +1,7 @@
 """The stream gives what the batch gives."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from cairnlog.operators import incidents, routing
@@ -95,7 +97,40 @@ def test_stream_gate(spark, tmp_path):
 
 
 def test_raw_files(spark, tmp_path):
-    """Blank lines go, ids are unique and the same when a file is read again."""
-    (tmp_path / "a.log").write_bytes(b"one\r\n\r\ntwo\nthree\n")
-    read = lambda: {r.raw: r.id for r in tables.raw_files(spark, f"file://{tmp_path}/a.log", "p").collect()}
-    assert set(read()) == {"one", "two", "three"} and len(set(read().values())) == 3 and read() == read()
+    """Blank lines go; equal lines have ids of their own, the same in splits of any size and when later
+    files are read with them; they grow with time and place."""
+    (tmp_path / "in").mkdir()
+    text = b"one\r\n\r\ntwo\nthree\n" + b"same line\n" * 5000
+    (tmp_path / "in" / "b.log").write_bytes(text)
+    (tmp_path / "in" / "a.log").write_bytes(b"same line\nlast")
+    os.utime(tmp_path / "in" / "b.log", (1000, 1000))
+    os.utime(tmp_path / "in" / "a.log", (2000, 2000))
+    read = lambda at: sorted((r.id, r.raw) for r in tables.raw_files(spark, f"file://{tmp_path}/{at}", "p").collect())
+    whole = read("in")
+    assert [x for _, x in whole] == ["one", "two", "three", *["same line"] * 5001, "last"] and len({i for i, _ in whole}) == len(whole)
+    assert read("in/b.log") == whole[:5003]
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    try:
+        assert read("in") == whole and tables.raw_files(spark, f"file://{tmp_path}/in", "p").rdd.getNumPartitions() > 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+
+
+def test_equal_lines_fire_each(spark, tmp_path, monkeypatch):
+    """A file of equal lines, through the stream: as many events, firings and ledger rows as lines, by
+    columns and by the index."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.log").write_bytes(b"<13>Jun 30 14:03:11 web-3 sshd[1]: user 12 failed\n" * 40 + b"<13>Jun 30 14:03:11 web-3 sshd[1]: fine\n")
+    rules = lambda: (tables.rules(spark), tables.bindings(spark), tables.targets(spark))
+    for few in (50, 0):
+        monkeypatch.setattr(routing, "COMPILED_RULES", few)
+        out = f"file://{tmp_path}/out{few}"
+        told = []
+        events, incident_query = pipeline.start(tables.raw_files(spark, f"file://{tmp_path}/in", stream=True), out, rules, deliver=lambda df, n: told.append((n, df.count())), availableNow=True)
+        assert events.awaitTermination(120)
+        assert incident_query().awaitTermination(120)
+        read = lambda name: spark.read.parquet(f"{out}/{name}")
+        assert read("events").select("id").distinct().count() == 41
+        assert read("firings").count() == read("firings").select("id").distinct().count() == read("ledger").count() == 40
+        assert [n for _, n in told] == [read("outbox").count()] and told[0][1] > 0
