@@ -99,6 +99,24 @@ def split_dispositions(firings: DataFrame, ttl: float = TTL, feed: float | str =
 DELIVERY = {"stateful": True, "known_type": True, "delivery_ok": True, "gone": False}
 
 
+def delivery_step(state: tuple, us: int, wait: int, ttl: int, stateful: bool, known: bool, ok: bool, gone: bool) -> tuple:
+    """(state, incident, disposition, counts_as_fed) of a key's next firing; state is its last firing and
+    last feed that touched an incident, and the number of that."""
+    last, fed, n = state
+    live = last is not None and us - last < ttl
+    due = live and us - fed >= wait
+    if not known:
+        return state, None, "fallback", False
+    if live and not due:
+        return (us, fed, n), n, "throttled", False
+    if due and not (stateful and gone):
+        counts = bool(ok or not stateful)
+        return (us, us if counts else fed, n), n, "fed" if ok else "fallback", counts
+    if ok:
+        return (us, us, n + 1), n + 1, "opened", True
+    return state, None, "fallback", False
+
+
 def delivered_dispositions(firings: DataFrame, ttl: float = TTL, feed: float | str = FEED_INTERVAL) -> DataFrame:
     """dispositions() where deliveries may fail: firings may have the columns of DELIVERY, null or missing
     being its default. Adds incident, disposition and counts_as_fed.
@@ -113,29 +131,14 @@ def delivered_dispositions(firings: DataFrame, ttl: float = TTL, feed: float | s
     ttl_us, names = int(ttl * 1e6), firings.columns
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = last = fed = None
-        n = 0
+        key, state = None, (None, None, 0)
         for pdf in batches:
             out = []
             for k, us, wait, stateful, known, ok, gone in zip(pdf.key, pdf._us, pdf._wait, pdf._stateful, pdf._known_type, pdf._delivery_ok, pdf._gone, strict=True):
                 if k != key:
-                    key, last, fed, n = k, None, None, 0
-                live = last is not None and us - last < ttl_us
-                due = live and us - fed >= wait
-                if not known:
-                    out.append((None, "fallback", False))
-                elif live and not due:
-                    last = us
-                    out.append((n, "throttled", False))
-                elif due and not (stateful and gone):
-                    counts = ok or not stateful
-                    last, fed = us, us if counts else fed
-                    out.append((n, "fed" if ok else "fallback", counts))
-                elif ok:
-                    last, fed, n = us, us, n + 1
-                    out.append((n, "opened", True))
-                else:
-                    out.append((None, "fallback", False))
+                    key, state = k, (None, None, 0)
+                state, *told = delivery_step(state, us, wait, ttl_us, stateful, known, ok, gone)
+                out.append(told)
             added = pd.DataFrame(out, columns=["incident", "disposition", "counts_as_fed"], index=pdf.index).astype({"incident": "Int64"})
             yield pd.concat([pdf[names], added], axis=1)
 

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -194,9 +194,18 @@ def evaluations(rows: DataFrame, gated: DataFrame, judged: DataFrame) -> DataFra
     own = W.partitionBy("rule_id").orderBy("window")
     spans = spans.join(first, "rule_id").withColumn("window_from_id", F.coalesce(F.lag("window_to_id").over(own), F.col("baseline"))).drop("baseline")
     met = spans.join(top, ["rule_id", "window"]).join(gated.select("rule_id", F.col("tick").alias("window"), "elapsed", "trigger"), ["rule_id", "window"]).join(judged, ["rule_id", "window"])
+    return trace_columns(met)
+
+
+def evaluation_id() -> Column:
+    """One number of window and rule: rules below a thousand million keep apart."""
+    return F.col("window") * 1_000_000_000 + F.col("rule_id")
+
+
+def trace_columns(met: DataFrame) -> DataFrame:
     fired = F.coalesce("fire", F.lit(False))
     return met.select(
-        (F.col("window") * 100_000 + F.col("rule_id")).alias("id"), "rule_id", "source", F.timestamp_seconds("window").cast("timestamp_ntz").alias("evaluated_at"),
+        evaluation_id().alias("id"), "rule_id", "source", F.timestamp_seconds("window").cast("timestamp_ntz").alias("evaluated_at"),
         F.col("trigger").alias("trigger_kind"), "window_from_id", "window_to_id", "event_count", F.col("elapsed").cast("double").alias("elapsed_s"), fired.alias("fired"),
         F.when(fired, F.coalesce("verdict", F.lit("warn"))).alias("severity"), "why", F.col("fire").isNotNull().alias("llm_ok"), F.substring("digest", 1, 64_000).alias("summary_sent"),
     )

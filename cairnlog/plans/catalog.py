@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import decode, predicates, templates
-from ..operators import incidents, maintenance, outbox, routing, semantic
+from ..operators import clock, incidents, maintenance, outbox, routing, semantic
 from ..sources import tables as S
 from ..streaming import pipeline
 from . import queries as Q
@@ -126,9 +126,9 @@ def s01(spark, d):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     both = once.select("id", "raw", F.lit(1).alias("k")).union(again.select("id", "raw", F.lit(2)))
-    ids = both.groupBy("raw", "id").agg(F.count_if("k = 1").alias("first"), F.count_if("k = 2").alias("second"))
+    ids = both.groupBy("raw", "id").agg(F.count_if(F.col("k") == 1).alias("first"), F.count_if(F.col("k") == 2).alias("second"))
     same = F.when(F.count_if((F.col("first") != 1) | (F.col("second") != 1)) == 0, 1).otherwise(2).cast("long")
-    return ids.groupBy("raw").agg(F.sum("first").alias("n"), F.count_if("first > 0").alias("n_ids"), same.alias("n_readings"))
+    return ids.groupBy("raw").agg(F.sum("first").alias("n"), F.count_if(F.col("first") > 0).alias("n_ids"), same.alias("n_readings"))
 
 
 @register("s13_mine_template", f"with {TEMPLATES_SQL} select id, template, fp from t")
@@ -620,12 +620,51 @@ JUDGE_SQL = f"""{DIGEST_SQL}, hs as (select dg.*, pattern as condition, list_fil
 TRACE_SQL = f"""{JUDGE_SQL}, bl as (select rule_id, max(id) as baseline from ev join tk using (rule_id, tick) where k = 1 group by rule_id),
   tp2 as (select rule_id, win, source, count(*) as n, min(id) as first_id from tev group by rule_id, win, source), tops as (select rule_id, win, arg_max(source, (n, -first_id)) as source from tp2 group by rule_id, win),
   sp as (select rule_id, win, max(id) as window_to_id, count(*) as event_count from tev group by rule_id, win),
-  se as (select sp.win * 100000 + sp.rule_id as id, sp.rule_id, tops.source, make_timestamp(sp.win * 1000000) as evaluated_at, g.trigger as trigger_kind,
+  se as (select sp.win * 1000000000 + sp.rule_id as id, sp.rule_id, tops.source, make_timestamp(sp.win * 1000000) as evaluated_at, g.trigger as trigger_kind,
     coalesce(lag(window_to_id) over (partition by sp.rule_id order by sp.win), baseline) as window_from_id, window_to_id, event_count, cast(g.elapsed as double) as elapsed_s,
     jd.fire as fired, case when jd.fire then jd.verdict end as severity, jd.why, true as llm_ok, jd.digest as summary_sent
     from sp join tops using (rule_id, win) join bl using (rule_id) join gated g on g.rule_id = sp.rule_id and g.tick = sp.win join jd on jd.rule_id = sp.rule_id and jd."window" = sp.win)"""
 
 
+#: The same on a clock: before a rule's next rows, what waits is evaluated when its time has come.
+_CLOCK_SQL = f"""with recursive {_gate_sql(600)}, top as (select max(tick) as until from tk),
+  gw(rule_id, k, tick, last, pending, b_tick, b_took, b_elapsed, a_took, a_elapsed) as (
+    select rule_id, k, tick, tick, 0::bigint, null::bigint, null::bigint, null::bigint, null::bigint, null::bigint from tk where k = 1
+    union all select rule_id, k, tick, case when due then tick else last2 end, case when due then 0 else took end, b_tick, b_took, b_elapsed, case when due then took end, case when due then tick - last2 end
+    from (select *, tick - last2 >= 300 and (tick - last2 >= window_seconds or took >= spike_lines) as due
+      from (select *, coalesce(b_tick, last) as last2, case when b_tick is null then pending else 0 end + new_rows as took
+        from (select *, case when d < tick then d end as b_tick, case when d < tick then pending end as b_took, case when d < tick then d - last end as b_elapsed
+          from (select t.rule_id, t.k, t.tick, t.new_rows, w.last, w.pending, g.window_seconds, g.spike_lines,
+              case when w.pending > 0 then cast(ceil(greatest(w.last + 300, w.tick, case when w.pending >= g.spike_lines then 0 else w.last + g.window_seconds end) / 600.0) * 600 as bigint) end as d
+            from gw w join tk t on t.rule_id = w.rule_id and t.k = w.k + 1 join rg g on g.rule_id = t.rule_id))))),
+  lastly as (select *, cast(ceil(greatest(last + 300, tick, case when pending >= spike_lines then 0 else last + window_seconds end) / 600.0) * 600 as bigint) as d from gw join rg using (rule_id)
+    where pending > 0 and k = (select max(k) from tk where tk.rule_id = gw.rule_id)),
+  ge as (select rule_id, b_tick as tick, b_took as took, b_elapsed as elapsed from gw where b_tick is not null union all select rule_id, tick, a_took, a_elapsed from gw where a_took is not null
+    union all select rule_id, d, pending, d - last from lastly, top where d <= until),
+  gated as (select rule_id, tick, took as pending, elapsed, case when took >= spike_lines then 'spike' else 'interval' end as trigger from ge join rg using (rule_id)),
+  wn as (select t.rule_id, t.tick, t.k, (select min(g.tick) from gated g where g.rule_id = t.rule_id and g.tick >= t.tick) as win from tk t),
+  tev as (select ev.*, wn.win from ev join wn using (rule_id, tick) where wn.k > 1 and wn.win is not null)"""
+
+
+def _clocked(spark, d, ceiling: int = 0):
+    rows = _ticked(spark, d).join(_window_rules(spark, d).select("rule_id", "window_seconds", "spike_lines"), "rule_id")
+    until = rows.agg(F.max("tick")).first()[0] or 0
+    return rows, clock.clocked_gate(rows, until, 600, ceiling)
+
+
+@register("o06_clocked_gate", f"{_CLOCK_SQL} select rule_id, tick, pending, elapsed, trigger from gated")
+def o06_clocked(spark, d):
+    return _clocked(spark, d)[1].select("rule_id", "tick", "pending", "elapsed", "trigger")
+
+
+@register("s20_clocked_trace", f"{_CLOCK_SQL}{TRACE_SQL.removeprefix(GATE_SQL)} select * from se")
+def s20_clocked(spark, d):
+    """Digest, judgement and trace of every evaluation on the clock."""
+    rows, gated = _clocked(spark, d)
+    gated = S.written(gated, "evaluations")
+    return clock.trace(clock.windows(rows, gated), gated, _window_rules(spark, d))
+
+
 def _window_rules(spark, d):
     S.table(spark, d, "region").createOrReplaceTempView("window_rule_regions")
     return spark.sql(_REGION_RULES.replace("from region", "from window_rule_regions")).withColumn("rule_id", F.col("rule_id").cast("long"))

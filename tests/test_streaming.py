@@ -1,12 +1,17 @@
 """The stream gives what the batch gives."""
 
+import collections
 import os
+import time
 
+import numpy as np
+import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnlog.operators import incidents, routing
+from cairnlog.operators import clock, incidents, routing
 from cairnlog.sources import tables
-from cairnlog.streaming import pipeline
+from cairnlog.streaming import pipeline, stateful
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +139,79 @@ def test_equal_lines_fire_each(spark, tmp_path, monkeypatch):
         assert read("events").select("id").distinct().count() == 41
         assert read("firings").count() == read("firings").select("id").distinct().count() == read("ledger").count() == 40
         assert [n for _, n in told] == [read("outbox").count()] and told[0][1] > 0
+
+
+@pytest.fixture
+def rocks(spark):
+    """Stateful processors need the store that keeps state on disk."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+def in_files(df, path, n):
+    """df in n files, in order of id."""
+    for k, part in enumerate(np.array_split(np.array(sorted(r.id for r in df.select("id").distinct().collect())), n)):
+        df.where(F.col("id").between(int(part[0]), int(part[-1]))).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+
+
+def routed_firings(spark):
+    rows = tables.log_events(spark, SF)
+    fired = routing.route(rows, routing.compile_rules(tables.rules(spark), tables.bindings(spark)))
+    return fired.withColumns({"key": incidents.dedup_key(), "stateful": F.col("target_id") != 10, "known_type": (F.col("target_id") != 12) | (F.col("id") % 11 != 0), "delivery_ok": F.col("id") % 5 != 0, "gone": F.col("id") % 7 == 0})
+
+
+def by_time(df):
+    """ids in order of time, as a stream's arrival gives them."""
+    return df.withColumn("id", F.dense_rank().over(W.orderBy("ts", "id")).cast("long"))
+
+
+def test_stream_deliveries_equal_batch(spark, tmp_path, rocks):
+    firings = by_time(routed_firings(spark))
+    in_files(firings, f"file://{tmp_path}/in", 4)
+    s = spark.readStream.schema(firings.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    q = stateful.stream_deliveries(s, 7200, 3600).writeStream.format("memory").queryName("delivered").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(200)
+    columns = ["id", "key", "incident", "disposition", "counts_as_fed"]
+    want = incidents.delivered_dispositions(firings, 7200, 3600).select(*columns)
+    assert sorted(map(repr, spark.table("delivered").select(*columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_stream_ceiling_equals_batch(spark, tmp_path, rocks):
+    firings = by_time(routed_firings(spark).where("target_id in (11, 12)").drop("stateful", "known_type", "delivery_ok", "gone"))
+    in_files(firings, f"file://{tmp_path}/in", 3)
+    s = spark.readStream.schema(firings.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    q = stateful.stream_ceiling(s, 1, 7200, 3600).writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(200)
+    columns = ["id", "key", "incident", "disposition"]
+    want = incidents.with_ceiling(firings, 1, 7200, 3600, 4).select(*columns).collect()
+    assert sorted(map(repr, spark.table("limited").select(*columns).collect())) == sorted(map(repr, want)) and any(r.disposition == "rate_limited" for r in want)
+
+
+@pytest.mark.parametrize("ceiling", [0, 2])
+def test_stream_rules_equal_batch(spark, tmp_path, rocks, ceiling):
+    """Evaluations and trace of a stream that is stopped and started again, on a clock of an hour."""
+    every = 3600
+    tick = (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / every) * every).cast("long")
+    rows = by_time(tables.log_events(spark, SF)).withColumns({"rule_id": F.right("source", F.lit(2)).cast("long") % 5, "tick": tick, "window_seconds": F.lit(7200), "spike_lines": F.lit(3)})
+    rules = spark.createDataFrame([(k, f"user {k} did error") for k in range(5)], "rule_id long, pattern string")
+    src, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    halves = [rows.where("id <= 500"), rows.where("id > 500")]
+    for half in halves:
+        in_files(half, src, 2)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        kept, judging = stateful.start_rules(stream, out, lambda: rules, every, ceiling, availableNow=True)
+        assert kept.awaitTermination(200)
+        assert judging().awaitTermination(200)
+    last = rows.agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()[0]
+    until = last // every * every - every
+    gated = clock.clocked_gate(rows, until, every, ceiling)
+    want = clock.trace(clock.windows(rows, gated), gated, rules).collect()
+    got = spark.read.parquet(f"{out}/trace").drop("batch").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) > 50
+    with_rows = {(r.rule_id, r.tick) for r in rows.select("rule_id", "tick").distinct().collect()}
+    assert any((r.rule_id, r.tick) not in with_rows for r in gated.collect())  # evaluated though no row came
+    assert not ceiling or max(collections.Counter(r.tick for r in gated.collect()).values()) <= ceiling
