@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import decode, predicates, templates
-from ..operators import clock, incidents, maintenance, outbox, routing, semantic
+from ..functions import decode, predicates, stems, templates
+from ..operators import clock, incidents, maintenance, outbox, postings, routing, semantic
 from ..sources import tables as S
 from ..streaming import pipeline
 from . import queries as Q
@@ -192,6 +192,24 @@ def p07(spark, d):
     return S.table(spark, d, "documents").where(predicates.contains_all(F.col("text"), "from the NT")).select("doc_id")
 
 
+def _stems_sql(words: str) -> str:
+    """(doc_id, w): the stems of the words (doc_id, w) of a query."""
+    for expression in stems.stem_sql("w"):
+        words = f"select doc_id, o, {expression} as w from ({words})"
+    return f"select doc_id, case when length(o) <= 2 then o else w end as w from ({words})"
+
+
+_DOC_WORDS = "select distinct doc_id, w as o, w from (select doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9_]+')) as w from documents) where w <> ''"
+
+
+@register("p07_postings", f"select doc_id as id from ({_stems_sql(_DOC_WORDS)}) where w in ('from', 'thing', 're') group by doc_id having count(distinct w) = 3")
+def p07_postings(spark, d):
+    """Stemmed search of whole texts through a written posting table."""
+    path = S.shared_folder(spark, "postings")
+    postings.write_postings(S.table(spark, d, "documents"), path, "doc_id", "text")
+    return postings.search_postings(spark, path, "the THINGS from reing")
+
+
 @register("p12_like_any", logs("select id from log_events where body ilike '%amount 1_0%' or source ilike '%t-03%' or program ilike '%SSH%'"))
 def p12(spark, d):
     rows = S.log_events(spark, d)

@@ -19,6 +19,7 @@ from ..functions.predicates import week_start
 from ..functions.templates import merge_sources, merge_templates, source_delta, template_delta
 from ..operators import incidents, outbox, routing, semantic
 from ..sources.tables import number_lines
+from .registry import merge_batch
 
 BATCH_LINES = 1 << 40  # ids of one micro-batch
 STATE = "last long, fed long, incident long"
@@ -139,7 +140,7 @@ def start(
     """Run the pipeline on a stream of raw lines; returns the event query and a function that starts
     the incident query over the firings written so far.
 
-    Under `out`: events by week, templates and sources as snapshots, firings, and after the second
+    Under `out`: events by week, templates and sources as registries, firings, and after the second
     query decided, ledger, audit and outbox. Batches are written under their number, so a replayed
     batch replaces its own files. `rules` gives (rules, bindings, targets), asked anew each batch."""
     spark = lines.sparkSession
@@ -151,8 +152,8 @@ def start(
         df = df.persist()
         try:
             df.withColumn("week_start", week_start(F.col("ts"))).withColumn("batch", F.lit(n)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "week_start").parquet(f"{out}/events")
-            snapshot(spark, f"{out}/templates", template_delta(df), merge_templates, n)
-            snapshot(spark, f"{out}/sources", source_delta(df), merge_sources, n)
+            merge_batch(spark, f"{out}/templates", template_delta(df), "fp", merge_templates, n)
+            merge_batch(spark, f"{out}/sources", source_delta(df), "source", merge_sources, n)
             r, b, _ = rules()
             fired = routing.route_any(df.select("id", "ts", "source", "severity", "severity_text", "program", "body"), routing.compile_rules(r, b))
             fired.withColumn("key", incidents.dedup_key()).write.mode("overwrite").parquet(f"{out}/firings/batch={n}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairnlog.operators import clock, incidents, routing
 from cairnlog.sources import tables
-from cairnlog.streaming import pipeline, stateful
+from cairnlog.streaming import pipeline, registry, stateful
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,7 +35,7 @@ def test_stream_equals_batch(spark, tmp_path):
     want = incidents.dispositions(fired, 7200, 3600).select("id", "target_id", "disposition")
     got = spark.read.parquet(f"{out}/decided").select("id", "target_id", "disposition")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    hits = pipeline.latest_snapshot(spark, f"{out}/templates").select("fp", "hits")
+    hits = registry.registry(spark, f"{out}/templates").select("fp", "hits")
     assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, template_delta(decoded).select("fp", "hits").collect()))
     assert spark.read.parquet(f"{out}/outbox").count() == got.where("disposition <> 'throttled'").count()
 
@@ -215,3 +215,28 @@ def test_stream_rules_equal_batch(spark, tmp_path, rocks, ceiling):
     with_rows = {(r.rule_id, r.tick) for r in rows.select("rule_id", "tick").distinct().collect()}
     assert any((r.rule_id, r.tick) not in with_rows for r in gated.collect())  # evaluated though no row came
     assert not ceiling or max(collections.Counter(r.tick for r in gated.collect()).values()) <= ceiling
+
+
+def test_registry_writes_what_a_batch_touches(spark, tmp_path):
+    """A batch of one key writes one bucket; replayed and interrupted batches change nothing."""
+    from cairnlog.functions.templates import merge_templates, template_delta
+
+    path = f"file://{tmp_path}/templates"
+    rows = tables.log_events(spark, SF).withColumn("body", F.concat("body", F.lit(" at "), F.translate((F.col("id") % 60).cast("string"), "0123456789", "abcdefghij")))
+    part = lambda n: template_delta(rows.where(F.col("id") % 6 == n))
+    for n in [0, 1, 1, 2, 3, 3, 4, 5, 5]:
+        registry.merge_batch(spark, path, part(n), "fp", merge_templates, n)
+    read = lambda: sorted(map(tuple, registry.registry(spark, path).select("fp", "hits", "first_id").collect()))
+    assert read() == sorted(map(tuple, template_delta(rows).select("fp", "hits", "first_id").collect())) and len(read()) > 100
+    one = part(0).orderBy("fp").limit(1)
+    registry.merge_batch(spark, path, one, "fp", merge_templates, 6)
+    assert len(os.listdir(tmp_path / "templates" / "v=6")) == 3  # one bucket, and the mark that it is whole with its checksum
+    size = lambda v: sum(f.stat().st_size for f in (tmp_path / "templates" / f"v={v}").rglob("*.parquet"))
+    assert size(6) * 5 < size(5)
+    whole = read()
+    os.remove(tmp_path / "templates" / "v=6" / "_SUCCESS")  # the batch did not come to its end
+    assert read() != whole
+    registry.merge_batch(spark, path, one, "fp", merge_templates, 6)
+    assert read() == whole
+    registry.merge_batch(spark, path, one.limit(0), "fp", merge_templates, 7)
+    assert read() == whole and all(len(v) <= 2 for v in registry.versions(spark, path).values())
