@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import decode, predicates, stems, templates
-from ..operators import clock, incidents, maintenance, outbox, postings, routing, semantic
+from ..operators import clock, incidents, maintenance, outbox, panes, postings, routing, semantic
 from ..sources import tables as S
 from ..streaming import pipeline
 from . import queries as Q
@@ -414,6 +414,21 @@ def o14(spark, d):
     return pipeline.window_counts(rows, "1 hour", spike=2).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+#: A window rule for each region: the odd ones slide by a third of their size.
+_PANE_RULES = "select r_regionkey as rule_id, case when r_regionkey % 2 = 0 then 'tumbling' else 'sliding' end as window_kind, (r_regionkey + 1) * 5400 as window_seconds, case when r_regionkey % 2 = 0 then 0 else (r_regionkey + 1) * 1800 end as slide_seconds, r_regionkey % 3 + 2 as spike_lines, case when r_regionkey = 3 then 'host-1*' else '' end as source_glob, case when r_regionkey = 4 then 0 else 9 end as min_severity from region"
+
+
+@register("o14_rule_windows", f"""with {LOGS}, r as ({_PANE_RULES}), e as (select l.source, cast(floor(epoch(ts)) as bigint) as es, r.*, case when slide_seconds = 0 then window_seconds else slide_seconds end as step
+    from log_events l join r on (min_severity = 0 or severity >= min_severity) and (source_glob = '' or source glob source_glob)),
+  w as (select rule_id, source, spike_lines, unnest(range(es // step * step - window_seconds + step, es // step * step + 1, step)) as start from e)
+  select rule_id, source, make_timestamp(start * 1000000) as start, count(*) as n from w group by rule_id, source, start, spike_lines having count(*) >= spike_lines""")
+def o14_rules(spark, d):
+    """Tumbling and sliding windows with a spike threshold for each rule, from shared panes."""
+    S.table(spark, d, "region").createOrReplaceTempView("pane_rule_regions")
+    rules = spark.sql(_PANE_RULES.replace("from region", "from pane_rule_regions")).collect()
+    return panes.rule_windows(S.log_events(spark, d), rules).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @register("o15_rule_cooldown", f"with recursive {ROUTE_SQL}, {_fold_sql(_ROUTED_KEY, 7200, 'n.rule_id * 900')} select id, rule_id, target_id, disposition from folded")
 def o15(spark, d):
     rows = routed(spark, d).withColumns({"key": incidents.dedup_key(), "cooldown_seconds": F.col("rule_id") * 900.0})

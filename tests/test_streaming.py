@@ -1,6 +1,7 @@
 """The stream gives what the batch gives."""
 
 import collections
+import datetime
 import os
 import time
 
@@ -240,3 +241,27 @@ def test_registry_writes_what_a_batch_touches(spark, tmp_path):
     assert read() == whole
     registry.merge_batch(spark, path, one.limit(0), "fp", merge_templates, 7)
     assert read() == whole and all(len(v) <= 2 for v in registry.versions(spark, path).values())
+
+
+def test_rule_windows_of_a_stream(spark, tmp_path):
+    """Sliding and tumbling windows of a stream, from panes, equal those of the table once they are over."""
+    from pyspark.sql import Row
+
+    from cairnlog.operators import panes
+
+    names = [x.split()[0] for x in panes.RULE.split(", ")]
+    rules = [Row(**dict(zip(names, r, strict=True))) for r in [(1, "tumbling", 7200, None, 2, None, 9), (2, "sliding", 10800, 3600, 3, "host-0*", None), (3, "sliding", 10800, 3600, 1, None, 17)]]
+    rows = by_time(tables.log_events(spark, SF)).select("id", F.col("ts").cast("timestamp").alias("ts"), "source", "severity")
+    in_files(rows, f"file://{tmp_path}/in", 3)
+    s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    q = panes.rule_windows(s, rules, "0 seconds").writeStream.format("memory").outputMode("append").queryName("rule_windows").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(250)
+    got = {tuple(r) for r in spark.table("rule_windows").collect()}
+    want = {tuple(r) for r in panes.rule_windows(rows, rules).collect()}
+    newest = rows.agg(F.max("ts")).first()[0]
+    size = {1: 7200, 2: 10800, 3: 10800}
+    over = {w for w in want if w[2] + datetime.timedelta(seconds=size[w[0]]) <= newest - datetime.timedelta(seconds=7200)}
+    assert over and over <= got <= want
+    with pytest.raises(ValueError):
+        panes.rule_windows(rows, [Row(**dict(zip(names, (4, "sliding", 100, 30, 1, None, None), strict=True)))])
+    assert panes.rule_windows(rows, []).count() == 0
