@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import warnings
+from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.predicates import week_start
 from .outbox import latest_per_key
 
 
+BLOOM = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("source", "program")}
+
+
 def _at(when: datetime):
     return F.lit(when.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def write_weeks(events: DataFrame, path: str) -> None:
-    """Append to the weekly partitions; within a file rows are sorted so that statistics skip."""
+    """Append to the weekly partitions; within a file rows are sorted so that statistics skip, and Bloom
+    filters tell which files have a source or program at all."""
     rows = events.withColumn("week_start", week_start(F.col("ts")))
-    rows.repartition("week_start", F.pmod(F.hash("source"), F.lit(16))).sortWithinPartitions("week_start", "source", "ts").write.mode("append").partitionBy("week_start").parquet(path)
+    rows.repartition("week_start", F.pmod(F.hash("source"), F.lit(16))).sortWithinPartitions("week_start", "source", "ts").write.mode("append").options(**BLOOM).partitionBy("week_start").parquet(path)
 
 
 def expired_weeks(weeks: DataFrame, as_of: datetime, keep_days: int = 90) -> DataFrame:
@@ -49,6 +56,20 @@ def drop_expired(spark: SparkSession, path: str, as_of: datetime, keep_days: int
     return gone
 
 
+def start_retention(spark: SparkSession, path: str, keep_days: int = 90, every: str = "1 day", now: Callable[[], datetime] = lambda: datetime.now(timezone.utc).replace(tzinfo=None)) -> StreamingQuery:
+    """A job that drops expired partitions of a table written by write_weeks, now and then every so often,
+    until it is stopped. A pass that fails is tried again with the next one."""
+
+    def sweep(_: DataFrame, n: int) -> None:
+        try:
+            drop_expired(spark, path, now(), keep_days)
+        except Exception as error:  # the store may be away for a while
+            warnings.warn(f"retention pass {n} failed: {error}", stacklevel=2)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(sweep).trigger(processingTime=every).start()
+
+
 def deactivate_quiet(sources: DataFrame, as_of: datetime, quiet_days: int) -> DataFrame:
     quiet = F.col("last_seen") < _at(as_of) - F.expr(f"interval {quiet_days} days")
     return sources.withColumn("active", F.col("active") & ~quiet)

@@ -210,6 +210,28 @@ def p07_postings(spark, d):
     return postings.search_postings(spark, path, "the THINGS from reing")
 
 
+def _written_weeks(spark, d) -> str:
+    path = S.shared_folder(spark, "weeks")
+    maintenance.write_weeks(S.log_events(spark, d), path)
+    return path
+
+
+@register("q01_written_weeks", logs("select id, ts, source, program from log_events where source = 'host-07' and program = 'sshd' and ts between timestamp '2024-01-10 00:00:00' and timestamp '2024-01-20 12:00:00' order by ts desc, id desc limit 200"))
+def q01_weeks(spark, d):
+    """A search over the written weekly partitions."""
+    rows = spark.read.parquet(_written_weeks(spark, d))
+    return Q.search_logs(rows, source="host-07", program="sshd", since=SINCE, until=UNTIL).select("id", "ts", "source", "program")
+
+
+@register("m01_written_weeks", logs("select cast(date_trunc('week', ts) as date) as week_start, count(*) as n from log_events where date_trunc('week', ts) + interval 7 day > timestamp '2024-04-20' - interval 81 day group by 1"))
+def m01_weeks(spark, d):
+    """What retention leaves of the written weekly partitions."""
+    path = _written_weeks(spark, d)
+    schema = spark.read.parquet(path).schema
+    maintenance.drop_expired(spark, path, AS_OF, 81)
+    return spark.read.schema(schema).parquet(path).groupBy("week_start").agg(F.count("*").alias("n"))
+
+
 @register("p12_like_any", logs("select id from log_events where body ilike '%amount 1_0%' or source ilike '%t-03%' or program ilike '%SSH%'"))
 def p12(spark, d):
     rows = S.log_events(spark, d)

@@ -36,6 +36,27 @@ def live_tail(events: DataFrame, test) -> DataFrame:
     return events.where(test)
 
 
+def feed(spark: SparkSession, path: str, schema: T.StructType, test, deliver: Callable[[DataFrame, int], None], checkpoint: str, backfill: int = 200, **trigger) -> StreamingQuery:
+    """A live feed: the newest `backfill` events of the table at `path` that pass the test, then new ones
+    as they are written.
+
+    The highest id at the start is where one hands over to the other: the backfill takes events up to
+    it, the stream those above, so none is missing or comes twice while the table is written to; ids
+    grow in order of arrival. The place is kept beside the checkpoint, so a feed that starts again goes
+    on from it. deliver gets the backfill as batch -1."""
+    store = spark._jvm.org.apache.hadoop.fs
+    mark = store.Path(f"{checkpoint}-handover")
+    if store.Path(str(mark)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(store.Path(mark, "_SUCCESS")):
+        top = spark.read.parquet(mark.toString()).first().top
+    else:
+        events = spark.read.schema(schema).parquet(path)
+        top = events.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+        deliver(events.where(test & (F.col("id") <= top)).orderBy(F.col("id").desc()).limit(backfill).orderBy("id"), -1)
+        spark.createDataFrame([(top,)], "top long").write.mode("overwrite").parquet(mark.toString())
+    fresh = live_tail(spark.readStream.schema(schema).parquet(path), test & (F.col("id") > top))
+    return fresh.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
 def window_counts(events: DataFrame, size: str, slide: str | None = None, spike: int = 1, late: str = "10 minutes") -> DataFrame:
     """Event-time windows per source with at least `spike` events; ts must be a timestamp."""
     at = F.window("ts", size, slide) if slide else F.window("ts", size)

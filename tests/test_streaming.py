@@ -3,6 +3,7 @@
 import collections
 import datetime
 import os
+import re
 import time
 
 import numpy as np
@@ -265,3 +266,63 @@ def test_rule_windows_of_a_stream(spark, tmp_path):
     with pytest.raises(ValueError):
         panes.rule_windows(rows, [Row(**dict(zip(names, (4, "sliding", 100, 30, 1, None, None), strict=True)))])
     assert panes.rule_windows(rows, []).count() == 0
+
+
+def test_feed_hands_over_while_the_table_grows(spark, tmp_path):
+    """Backfill and tail together have each event once, also when the feed starts again."""
+    rows = by_time(tables.log_events(spark, SF)).select("id", "source", "severity")
+    src, seen = f"file://{tmp_path}/in", []
+    deliver = lambda df, n: seen.append((n, [r.id for r in df.collect()]))
+    test = F.col("severity") >= 9
+    in_files(rows.where("id <= 300"), src, 2)
+    q = pipeline.feed(spark, src, rows.schema, test, deliver, f"file://{tmp_path}/cp", 1000, processingTime="200 milliseconds")
+    in_files(rows.where("id between 301 and 600"), src, 3)
+    q.processAllAvailable()
+    q.stop()
+    in_files(rows.where("id > 600"), src, 2)
+    again = pipeline.feed(spark, src, rows.schema, test, deliver, f"file://{tmp_path}/cp", 1000, availableNow=True)
+    assert again.awaitTermination(120)
+    want = sorted(r.id for r in rows.where(test).collect())
+    assert sorted(i for _, ids in seen for i in ids) == want
+    assert seen[0][0] == -1 and seen[0][1] == [i for i in want if i <= 300] and len([n for n, _ in seen if n == -1]) == 1
+
+
+def test_retention_job(spark, tmp_path):
+    from cairnlog.operators import maintenance
+
+    path = f"file://{tmp_path}/weeks"
+    maintenance.write_weeks(tables.log_events(spark, SF), path)
+    weeks = lambda: sorted(x for x in os.listdir(tmp_path / "weeks") if x.startswith("week_start="))
+    before = weeks()
+    q = maintenance.start_retention(spark, path, 60, "1 second", lambda: datetime.datetime(2024, 4, 20))
+    for _ in range(120):
+        if weeks() != before:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert weeks() == [w for w in before if datetime.date.fromisoformat(w[11:]) + datetime.timedelta(7) > datetime.date(2024, 2, 20)] != before
+
+
+def test_written_weeks_are_pruned(spark, tmp_path):
+    """A search in a time range opens the files of its weeks only, and finds the same rows."""
+    from cairnlog.operators import maintenance
+    from cairnlog.plans import queries
+
+    path = f"file://{tmp_path}/weeks"
+    events = tables.log_events(spark, SF)
+    maintenance.write_weeks(events, path)
+    search = lambda rows, **more: queries.search_logs(rows, source="host-07", limit=2000, **more)
+    span = {"since": "2024-01-10T00:00:00Z", "until": "2024-01-20T12:00:00Z"}
+
+    def files(df):
+        """Files of the weeks that the plan's partition filters leave."""
+        filters = re.search(r"PartitionFilters: \[(.*?)\], P", df._jdf.queryExecution().executedPlan().toString())[1]
+        bounds = [datetime.date.fromisoformat(x) for x in re.findall(r"week_start#\d+ [<>]= (\d{4}-\d\d-\d\d)", filters)]
+        low, high = (min(bounds), max(bounds)) if bounds else (datetime.date.min, datetime.date.max)
+        return sum(low <= datetime.date.fromisoformat(f.parent.name[11:]) <= high for f in (tmp_path / "weeks").rglob("*.parquet"))
+
+    table = spark.read.parquet(path)
+    some, every = search(table, **span), search(table)
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(some) == ids(search(events, **span)) and ids(every) == ids(search(events))
+    assert 0 < files(some) < files(every)
