@@ -247,7 +247,7 @@ class Vocabulary:
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for each row of docs (doc_id, text); null text is
-    empty, repeated rows are counted each, whole texts are read. `vocabulary` is the path of a
+    empty, repeated rows are counted each, whole texts are read, an empty table gives no rows. `vocabulary` is the path of a
     byte-level BPE file of the tokenizers library, readable on the executors."""
     path = vocabulary or vocabulary_path()
 

@@ -106,7 +106,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     document and are treated alike; rows without doc_id come first in the order; of one doc_id with
     several texts the order is that of a hash. Text that no repeated run touches stays as it is.
     Columns other than text pass through whatever their names; earlier n_lines and n_removed are
-    replaced. A text's lines are one window's partition, sorted on disk if they are very many."""
+    replaced. An empty table gives no rows. A text's lines are one window's partition, sorted on disk if
+    they are very many."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # the row is one column here, so that none of its names can clash
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))

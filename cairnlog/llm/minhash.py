@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     id, linked only as their texts are; a repeated row shares its twin's result. A row without doc_id
     links with nothing. Of a pair at just the similarity 0.75 in a crowd of about as similar
     documents some are missed (the README gives the recall); ties need no rule, as every link counts.
-    Texts of any length are read whole; other columns are ignored.
+    Texts of any length are read whole; an empty table gives no rows; other columns are ignored.
 
     First every node links its documents to its smallest one. After that only documents that no
     confirmed link connects yet need comparing, so a large group of near copies costs a few

@@ -103,7 +103,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars:
     other sources begin again until then, so every document is used and the weights hold to the end.
     A source without a weight is an error; null sources are the source ''. Null and empty texts take
     no room and stand in the block they fall into; a text longer than a block is in the block where it
-    begins; repeated rows are rows of their own; rows that tie in the hash order stand by doc_id. Other
+    begins; repeated rows are rows of their own; rows that tie in the hash order stand by doc_id; an
+    empty table gives an empty mixture. Other
     columns pass through whatever their names; earlier mix_* columns of the same names are replaced.
     Sources are few (the weights are a parameter); their names and sizes are all that reaches the
     driver."""

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import _BYTE, _power, drop_saved, mix, read_table, saved, slices, span_hashes, utf8
@@ -306,12 +307,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER)
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes for each row of docs
     (doc_id, text): every byte that lies in a string of `length` bytes which also starts elsewhere,
     in the same text or another, goes. Null text is empty; a repeated row is a second place, and so
-    are texts that repeat under one id or without one; texts shorter than a string keep all bytes;
-    texts may be as long as a string of Spark's can; other columns are ignored; ties need no rule, as
-    all places of a string are alike."""
+    are texts that repeat under one id or without one; texts shorter than a string keep all bytes; an
+    empty table gives no rows; a text is one task's work, whose arrays take about 64 bytes for each of
+    its bytes; other columns are ignored; ties need no rule, as all places of a string are alike."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # spans of one row come together at last, joined before they leave their partition
-    spans = repeated_spans(keyed, length, width).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    # spans that touch are joined before those of a row are gathered: a text of one letter has one for every byte
+    own = W.partitionBy("doc_id", "text_key").orderBy("a", "b")
+    found = repeated_spans(keyed, length, width).withColumn("reach", F.max("b").over(own.rowsBetween(W.unboundedPreceding, -1)))
+    begins = F.when(F.col("reach") >= F.col("a"), 0).otherwise(1)
+    found = found.withColumn("run", F.sum(begins).over(own.rowsBetween(W.unboundedPreceding, 0))).groupBy("doc_id", "text_key", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    spans = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     met = keyed.join(spans, same_row(keyed, spans), "left").select(keyed.doc_id, "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

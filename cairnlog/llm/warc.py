@@ -27,10 +27,23 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_BYTES = 64 << 20  # of archives that one task reads
 
 
+#: Names that Hadoop's file systems go by, and those of the same stores in Arrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "viewfs": None}
+
+
+def _arrow_uri(uri: str) -> str:
+    """The folder's address as Arrow names it. Folders that only Hadoop can open are refused by name."""
+    scheme, sep, rest = uri.partition("://")
+    named = SCHEMES.get(scheme, scheme) if sep else scheme
+    if named is None:
+        raise ValueError(f"archives cannot be written to {scheme}://: name the store itself in spark.checkpoint.dir")
+    return named + sep + rest
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(_arrow_uri(uri))
 
 
 def _digest(payload: bytes) -> str:
@@ -199,7 +212,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null html is an empty payload; null URLs are written empty; of equal payloads (0 bytes and up)
     the largest page_id is the response. A row with a null page_id is written and read like any
     other and is never a revisit. Repeated page_ids each keep their record: which of them revisit is
-    decided by page_id and payload together. Payloads of any length are one record."""
+    decided by page_id and payload together. Payloads of any length are one record. An empty table
+    writes no archive and gives no rows."""
     pages = with_digests(read_table(spark, sf_dir, "pages"))
     links = saved(revisits(pages), "warc-revisits")
     folder = new_path(spark, "warc-archives")

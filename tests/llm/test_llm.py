@@ -277,6 +277,16 @@ def test_suffix(spark, docs, monkeypatch, small, step):
     assert suffix.remove_repeats(empty(spark, docs)).count() == 0
 
 
+def test_suffix_long_run(spark):
+    """A text of one letter, every byte of which begins a string that starts elsewhere too."""
+    import time
+
+    rows = spark.createDataFrame([(1, "a" * 300_000), (2, "b" * 199), (3, "c" * 201)], DOC)
+    began = time.time()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove_repeats(rows).collect()}
+    assert got == {1: (300_000, 300_000, 1), 2: (199, 0, 0), 3: (201, 201, 1)} and time.time() - began < 120
+
+
 def test_string_ranks():
     """Ranks against the sorted strings; groups of triggers that end anywhere in a batch."""
     rng = np.random.default_rng(2)
@@ -438,6 +448,16 @@ def test_warc_round_trip(spark, tmp_path, members):
     assert not warc.revisits(found, min_bytes=1).where("page_id = 3").count()
 
 
+def test_warc_of_no_pages(spark, tmp_path):
+    """No page, no archive, no row; folders go by the names their stores have in Arrow."""
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    none.write.parquet(f"file://{tmp_path}/pages.parquet")
+    assert warc.op6_warc(spark, f"file://{tmp_path}").count() == 0
+    assert warc._arrow_uri("s3a://bucket/x") == "s3://bucket/x" and warc._arrow_uri("file:///x") == "file:///x" and warc._arrow_uri("/x") == "/x"
+    with pytest.raises(ValueError, match="viewfs"):
+        warc._arrow_uri("viewfs://store/x")
+
+
 def test_warc_headers():
     """The headers that WARC/1.1 asks of each record, and ids of their own for repeated page_ids."""
     one = warc.record_bytes(7, "http://a", b"<p>", warc._digest(b"<p>"), None, date="2024-01-02T03:04:05Z").decode()
