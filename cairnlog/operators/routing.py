@@ -16,7 +16,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.patterns import facts, folded, required
 from ..functions.predicates import glob_regex, glob_route, severity_at_least
-from .incidents import small
 
 #: Above so many rules the compiled columns give way to the index of literals.
 COMPILED_RULES = 50
@@ -238,8 +237,10 @@ def unknown_globs(rules: DataFrame, sources: DataFrame, near: int = 3) -> DataFr
     active = sources.where("active").select("source")
     missing = plain.join(active, plain.source_glob == active.source, "left_anti").select("rule_id", "source_glob")
     ratio = 1 - F.levenshtein("source_glob", "source") / F.greatest(F.length("source_glob"), F.length("source"))
-    # the rules are the small side; sources of a very different length are no neighbours
-    close = active.join(small(missing), ratio >= 0.5).withColumn("k", F.row_number().over(W.partitionBy("rule_id").orderBy(ratio.desc(), "source")))
+    # a name half or twice as long has a ratio under a half, so names meet by their lengths
+    n = F.length("source_glob")
+    lengths = missing.withColumn("chars", F.explode(F.sequence(F.ceil(n / 2).cast("int"), 2 * n)))
+    close = active.withColumn("chars", F.length("source")).join(lengths, "chars").where(ratio >= 0.5).withColumn("k", F.row_number().over(W.partitionBy("rule_id").orderBy(ratio.desc(), "source")))
     names = close.where(F.col("k") <= near).groupBy("rule_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "source"))), lambda x: x["source"]), ",").alias("near"))
     return missing.join(names, "rule_id", "left").select("rule_id", "source_glob", F.coalesce("near", F.lit("")).alias("near"))
 

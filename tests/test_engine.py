@@ -444,3 +444,32 @@ def test_postings(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(part" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,link)" in plan
     postings.write_postings(texts.limit(0), f"{path}0")
     assert spark.read.schema("id long, term string, part int").parquet(f"{path}0").count() == 0
+
+
+def test_pruned_neighbours(spark, monkeypatch):
+    """Exactly the k nearest, ties by id, with most of the comparisons of clustered vectors skipped; vectors
+    without an angle are nobody's neighbours."""
+    import math
+
+    import numpy as np
+
+    from cairnlog.operators import neighbours
+
+    for name, value in (("BLOCK", 30), ("CHUNK", 4), ("PIVOTS", 16)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8))
+    rows = [(i, [float(x) for x in centres[i % 12] + 0.05 * rng.normal(size=8)]) for i in range(600)]
+    rows += [(600 + j, rows[j][1]) for j in range(20)] + [(700, None), (701, [0.0] * 8), (702, [float("nan")] * 8), (703, [None] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got, share = neighbours.nearest(df, df.where("vec_id % 10 = 0"), 7)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, round(r.cosine, 9))
+    good = [(i, np.array(e)) for i, e in rows if i < 700]
+    for i, q in good:
+        if i % 10 == 0:
+            cos = sorted((-float((q * e).sum() / (math.sqrt((q * q).sum()) * math.sqrt((e * e).sum()))), j) for j, e in good if j != i)[:7]
+            assert [(j, round(-c, 9)) for c, j in cos] == [found[i][k] for k in range(1, 8)]
+    assert len(found) == 62 and share < 0.35
+    assert neighbours.nearest(df.limit(0), df, 3)[0].count() == 0
