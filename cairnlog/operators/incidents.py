@@ -20,15 +20,6 @@ OPEN_CEILING = 120
 ARRAY_ROWS = 1_000
 #: Firings of a key beyond which it is folded in ranges of time.
 HOT_ROWS = 1_000_000
-#: Rows of a dimension (rules, targets) that may go to every task; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def small(dimension: DataFrame) -> DataFrame:
-    """The dimension, marked for broadcast if it is small enough: for joins without an equality, where
-    Spark's own choice by size has no shuffled join to fall back on."""
-    few = dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(dimension) if few else dimension
 
 
 def dedup_key(rule="rule_id", target="target_id", source="source"):
