@@ -198,8 +198,8 @@ def evaluations(rows: DataFrame, gated: DataFrame, judged: DataFrame) -> DataFra
 
 
 def evaluation_id() -> Column:
-    """One number of window and rule: rules below a thousand million keep apart."""
-    return F.col("window") * 1_000_000_000 + F.col("rule_id")
+    """One number of window and rule: rules below ten million keep apart, and there is room for targets."""
+    return F.col("window") * 10_000_000 + F.col("rule_id")
 
 
 def trace_columns(met: DataFrame) -> DataFrame:

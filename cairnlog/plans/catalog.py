@@ -675,7 +675,7 @@ JUDGE_SQL = f"""{DIGEST_SQL}, hs as (select dg.*, pattern as condition, list_fil
 TRACE_SQL = f"""{JUDGE_SQL}, bl as (select rule_id, max(id) as baseline from ev join tk using (rule_id, tick) where k = 1 group by rule_id),
   tp2 as (select rule_id, win, source, count(*) as n, min(id) as first_id from tev group by rule_id, win, source), tops as (select rule_id, win, arg_max(source, (n, -first_id)) as source from tp2 group by rule_id, win),
   sp as (select rule_id, win, max(id) as window_to_id, count(*) as event_count from tev group by rule_id, win),
-  se as (select sp.win * 1000000000 + sp.rule_id as id, sp.rule_id, tops.source, make_timestamp(sp.win * 1000000) as evaluated_at, g.trigger as trigger_kind,
+  se as (select sp.win * 10000000 + sp.rule_id as id, sp.rule_id, tops.source, make_timestamp(sp.win * 1000000) as evaluated_at, g.trigger as trigger_kind,
     coalesce(lag(window_to_id) over (partition by sp.rule_id order by sp.win), baseline) as window_from_id, window_to_id, event_count, cast(g.elapsed as double) as elapsed_s,
     jd.fire as fired, case when jd.fire then jd.verdict end as severity, jd.why, true as llm_ok, jd.digest as summary_sent
     from sp join tops using (rule_id, win) join bl using (rule_id) join gated g on g.rule_id = sp.rule_id and g.tick = sp.win join jd on jd.rule_id = sp.rule_id and jd."window" = sp.win)"""
