@@ -158,7 +158,7 @@ def start(
     deliver: Callable[[DataFrame, int], None] | None = None,
     **trigger,
 ) -> tuple[StreamingQuery, Callable[[], StreamingQuery]]:
-    """Run the pipeline on a stream of raw lines; returns the event query and a function that starts
+    """Run the pipeline on a stream of raw lines, or of events that are decoded already; returns the event query and a function that starts
     the incident query over the firings written so far.
 
     Under `out`: events by week, templates and sources as registries, firings, and after the second
@@ -166,9 +166,10 @@ def start(
     batch replaces its own files. `rules` gives (rules, bindings, targets), asked anew each batch."""
     spark = lines.sparkSession
     trigger = trigger or {"processingTime": "1 second"}
+    raw = "raw" in lines.columns
 
     def batch(df: DataFrame, n: int) -> None:
-        if "id" not in df.columns:  # lines of files, which are numbered within their batch
+        if raw and "id" not in df.columns:  # lines of files, which are numbered within their batch
             df = decode_stream(number_lines(df, n * BATCH_LINES))
         df = df.persist()
         try:
@@ -181,7 +182,7 @@ def start(
         finally:
             df.unpersist()
 
-    events = (decode_stream(lines) if "id" in lines.columns else lines).writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/_events").trigger(**trigger).start()
+    events = (decode_stream(lines) if raw and "id" in lines.columns else lines).writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/_events").trigger(**trigger).start()
 
     def incident_query() -> StreamingQuery:
         schema = spark.read.parquet(f"{out}/firings").drop("batch").schema
