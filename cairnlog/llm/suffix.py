@@ -12,7 +12,7 @@ its phrases by prefix doubling on their bytes, up to `length` of them, and equal
 strings. Phrases of one trigger stand in one range, and no string equals one of another trigger, so
 the ranges together are the order of the corpus as far as it decides. As each phrase reaches `length`
 bytes past its last string, what follows it in the parse never decides, and the parse needs no suffix
-array of its own. Phrases are told apart by their trigger's and their own 64-bit hash together."""
+array of its own. Where bytes do not decide themselves, 128-bit BLAKE2b digests of them do."""
 
 from __future__ import annotations
 
@@ -31,18 +31,25 @@ LENGTH = 200
 TRIGGER = 64
 SMALL = 512  # phrases of a trigger that one task compares; triggers with more are parsed again, finer
 FINE = 16  # strings of a phrase in that second parse
+MOST_ROWS = 1 << 16  # phrases in one batch of a parse
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The 128-bit BLAKE2b digest of each byte span data[start:end]."""
+    view = memoryview(np.ascontiguousarray(data))
+    return pa.array([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+
+
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int, width: int):
-    """The phrases of the rows of data: row, first start, number of starts, trigger hash, phrase hash,
-    and the place of the trigger after the first start.
+    """The phrases of the rows of data: row, first start, number of starts, trigger hash, and the place of
+    the trigger after the first start, which follows from the phrase's bytes.
 
     A phrase holds all strings data[s:s + length] whose leftmost smallest `width`-byte hash is at
     the same place; its text is data[start : start + count - 1 + length]."""
     n, span = len(data), length - width + 1  # a string holds so many places for a trigger
     if n < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power("up", n), out=sums[1:])
     rolling = mix((sums[width:] - sums[:-width]) * _power("down", n - width + 1))
@@ -67,15 +74,14 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, width: int):
     edge[1:] &= (anchor[1:] != anchor[:-1]) | ~inside[:-1]
     first = np.flatnonzero(edge)
     if not len(first):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     # a run of starts ends before the next edge or the first start that does not count
     stop = np.r_[first[1:], starts]
     outside = np.flatnonzero(np.r_[~inside, True])
     stop = np.minimum(stop, outside[np.searchsorted(outside, first)])
     at = anchor[first]
-    whole = span_hashes(data, first, stop - 1 + length) ^ mix((at - first).astype(np.uint64))
     row = np.searchsorted(offsets, first, side="right") - 1
-    return row, first - offsets[row], stop - first, rolling[at], whole, at - first
+    return row, first - offsets[row], stop - first, rolling[at], at - first
 
 
 def _sliced(column: pa.Array):
@@ -84,7 +90,7 @@ def _sliced(column: pa.Array):
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-PHRASES = "doc_id long, text_key long, start int, strings int, trigger long, phrase long, at int"
+PHRASES = "doc_id long, text_key long, start int, strings int, trigger long, phrase binary, at int"
 
 
 def corpus_phrases(docs: DataFrame, length: int, width: int) -> DataFrame:
@@ -94,26 +100,20 @@ def corpus_phrases(docs: DataFrame, length: int, width: int) -> DataFrame:
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
             for a, _, data, offsets in _sliced(batch.column(2)):
-                row, start, count, trigger, phrase, inside = phrases(data, offsets, length, width)
-                at = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(at), keys.take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(inside.astype(np.int32))],
-                    [x.split()[0] for x in PHRASES.split(", ")],
-                )
+                found = phrases(data, offsets, length, width)
+                for k in range(0, len(found[0]), MOST_ROWS):
+                    row, start, count, trigger, inside = (x[k : k + MOST_ROWS] for x in found)
+                    at, begin = pa.array(row + a), start + offsets[row]
+                    phrase = digests(data, begin, begin + count - 1 + length)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(at), keys.take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(trigger.view(np.int64)), phrase, pa.array(inside.astype(np.int32))],
+                        [x.split()[0] for x in PHRASES.split(", ")],
+                    )
 
     return docs.mapInArrow(parse, PHRASES)
 
 
-def string_hashes(text: np.ndarray, ends: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all strings of phrases that lie one after another in text (phrase i ends at ends[i]
-    and has counts[i] strings), and the phrase of each."""
-    owner = np.repeat(np.arange(len(counts)), counts)
-    begin = np.r_[0, ends[:-1]]
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + begin[owner]
-    return span_hashes(text, start, start + length), owner
-
-
-PIECES = "doc_id long, text_key long, start int, strings int, trigger long, phrase long, n long, hot boolean, text binary, at int"
+PIECES = "doc_id long, text_key long, start int, strings int, trigger long, phrase binary, n long, hot boolean, text binary, at int"
 SPANS = "doc_id long, text_key long, a int, b int"
 
 
@@ -145,14 +145,6 @@ def phrase_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return met.mapInArrow(cut, PIECES)
 
 
-def _strings(batch: pa.RecordBatch, length: int):
-    """Hashes of all strings of a batch of phrases, mixed with the trigger, and their phrases."""
-    text, offsets = utf8(batch.column(8))
-    text, offsets = text[offsets[0] : offsets[-1]], offsets - offsets[0]
-    hashes, owner = string_hashes(text, offsets[1:], batch.column(3).to_numpy().astype(np.int64), length)
-    return mix(hashes ^ mix(batch.column(4).to_numpy().view(np.uint64))[owner]), owner
-
-
 def string_ranks(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Ranks of the strings text[s:s + length] in the order of their bytes, equal only for equal ones:
     the suffixes of the text by prefix doubling, from 8 bytes on (length is at least 8)."""
@@ -218,22 +210,24 @@ def compared(pieces: DataFrame, length: int, step: int = 4_000) -> DataFrame:
 
 def compared_hot(pieces: DataFrame, length: int) -> DataFrame:
     """The same for triggers with more phrases than a task should hold: one row for each string,
-    counted by Spark."""
+    with its digest, counted by Spark."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                keys, owner = _strings(part, length)
+                text, offsets = utf8(part.column(8))
                 counts = part.column(3).to_numpy().astype(np.int64)
-                start = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts) + part.column(2).to_numpy()[owner]
-                at = pa.array(owner)
+                owner = np.repeat(np.arange(len(counts)), counts)
+                inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                begin = offsets[:-1][owner] + inside
+                start, at = inside + part.column(2).to_numpy()[owner], pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(part.column(6).to_numpy()[owner] == 1), pa.array(keys.view(np.int64))],
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(part.column(6).to_numpy()[owner] == 1), digests(text, begin, begin + length)],
                     ["doc_id", "text_key", "a", "single", "string"],
                 )
 
-    rows = saved(pieces.mapInArrow(explode, "doc_id long, text_key long, a int, single boolean, string long"), "pfp-strings")
+    rows = saved(pieces.mapInArrow(explode, "doc_id long, text_key long, a int, single boolean, string binary"), "pfp-strings")
     again = saved(rows.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"), "pfp-again")
     return rows.where("single").join(again, "string").select("doc_id", "text_key", "a", (F.col("a") + length).alias("b"))
 
@@ -264,12 +258,12 @@ def refined(pieces: DataFrame, length: int) -> DataFrame:
                 trigger = part.column(4).to_numpy().view(np.uint64)[own]
                 core = span_hashes(data, core_from - base, core_to - base)
                 key = mix(core ^ mix(trigger + group[head].astype(np.uint64)))
-                whole = span_hashes(data, lo - base, lo - base + size - 1 + length) ^ mix((anchor - lo).astype(np.uint64))
+                whole = digests(data, lo - base, lo - base + size - 1 + length)
                 rows = pa.array(own)
                 texts = [text[x : x + y - 1 + length].tobytes() for x, y in zip(lo, size, strict=True)]
                 start = part.column(2).to_numpy()[own] + first
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), part.column(6).take(rows), part.column(7).take(rows), pa.array(texts, pa.binary()), pa.array((anchor - lo).astype(np.int32))],
+                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key.view(np.int64)), whole, part.column(6).take(rows), part.column(7).take(rows), pa.array(texts, pa.binary()), pa.array((anchor - lo).astype(np.int32))],
                     names,
                 )
 
