@@ -93,6 +93,13 @@ def _sliced(column: pa.Array):
 PHRASES = "doc_id long, text_key long, start int, strings int, trigger long, phrase binary, at int"
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches of rows whose texts take about 2 MB together, so that work arrays stay small."""
+    for batch in batches:
+        for a, b in slices(utf8(batch.column(column))[1], 2 << 20):
+            yield batch.slice(a, b - a)
+
+
 def corpus_phrases(docs: DataFrame, length: int, width: int) -> DataFrame:
     """The phrases of every text: docs has doc_id, text_key and text."""
 
@@ -129,7 +136,7 @@ def phrase_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PIECES.split(", ")]
-        for batch in batches:
+        for batch in _parts(batches, 2):
             data, offsets = utf8(batch.column(2))
             listed = batch.column(3)
             inner, counts = listed.flatten(), np.diff(listed.offsets.to_numpy())
@@ -314,8 +321,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER)
     met = keyed.join(spans, same_row(keyed, spans), "left").select(keyed.doc_id, "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
+        for batch in _parts(batches, 1):
+            data, offsets = utf8(batch.column(1))  # the whole batch's bytes, of which the part has offsets
             listed = batch.column(2)
             inner = listed.flatten()
             counts = np.asarray(listed.value_lengths().fill_null(0))
