@@ -1,8 +1,10 @@
-"""Toxicity scores from a convolutional text classifier, trained in numpy.
+"""Toxicity scores from a convolutional text classifier, trained in numpy within Spark's tasks.
 
 Words are hashed into buckets; a bucket that occurs in enough training documents has an embedding,
 all others share the zero vector. Filters of several widths slide over the embedded words of the
 whole text, each keeps its largest response, and a logistic unit turns the responses into a score.
+All labelled documents teach: they are dealt into shards, each of which a task goes through, and the
+parameters of the shards are averaged after every round.
 Scoring needs the text alone; the language only chooses the threshold of the `flagged` column."""
 
 from __future__ import annotations
@@ -16,14 +18,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import _BYTE, read_table, saved, slices, span_hashes, utf8
+from .shared import _BYTE, drop_saved, read_table, saved, slices, span_hashes, utf8
 
 BUCKETS = 1 << 22
 WIDTHS = (1, 2, 3)
 FILTERS = 16
 DIM = 16
-MOST_DOCS = 2500  # labelled documents of each class that the model is fitted on
-MOST_WORDS = 20_000_000  # words of each class's documents together, at most
+SHARD_WORDS = 4_000_000  # words of a shard's documents, about; there is one shard where all have no more
+EPOCHS = 6  # over the documents where there is one shard, at least
+ROUNDS = 3  # in which several shards go through their documents, once in each, at least
+STEPS = 300  # of training within a shard, at least
+LEAST_DOCS = 3  # documents that a bucket with an embedding occurs in, at least
+VOCABULARY = 1 << 18  # and a share of all occurrences of one in so many, which bounds the embedding
+CHUNK = 100_000  # words whose responses are held at once
+BLOCK = 4096  # rows of the embedding that are averaged together
+CALIBRATE = 20  # documents of each class that a language's threshold is set from, at least
+BINS = 256  # of a unit of the logit, in which scores are counted for the thresholds
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -102,14 +112,20 @@ def loss_and_gradients(p: dict[str, np.ndarray], ids: list[np.ndarray], labels:
     ends = np.cumsum([len(x) + pad for x in ids])
     heads = np.r_[0, ends[:-1]]
     padded = np.r_[flat, np.zeros(pad, np.int64)]
-    x = p["e"][padded]
-    pooled, where = np.zeros((len(ids), total)), np.zeros((len(ids), total), np.int64)
-    for k, w in enumerate(WIDTHS):
-        y = sum(x[j : j + len(flat)] @ p[f"f{w}"][j] for j in range(w))
-        s = slice(k * FILTERS, (k + 1) * FILTERS)
-        for i, (a, b) in enumerate(zip(heads, ends, strict=True)):
-            where[i, s] = a + y[a:b].argmax(0)
-            pooled[i, s] = y[where[i, s], np.arange(FILTERS)]
+    pooled, where = np.full((len(ids), total), -np.inf), np.zeros((len(ids), total), np.int64)
+    for at in range(0, len(flat), CHUNK):
+        size = min(CHUNK, len(flat) - at)
+        x = p["e"][padded[at : at + size + pad]]
+        texts = range(int(np.searchsorted(ends, at, side="right")), int(np.searchsorted(heads, at + size)))
+        for k, w in enumerate(WIDTHS):
+            y = sum(x[j : j + size] @ p[f"f{w}"][j] for j in range(w))
+            s = slice(k * FILTERS, (k + 1) * FILTERS)
+            for i in texts:
+                a, b = max(heads[i] - at, 0), min(ends[i] - at, size)
+                place = a + y[a:b].argmax(0)
+                best = y[place, np.arange(FILTERS)]
+                more = best > pooled[i, s]
+                where[i, s], pooled[i, s] = np.where(more, at + place, where[i, s]), np.where(more, best, pooled[i, s])
     z = pooled + p["b"]
     active = z > 0
     h = np.where(active, z, 0) * keep
@@ -123,7 +139,7 @@ def loss_and_gradients(p: dict[str, np.ndarray], ids: list[np.ndarray], labels:
         s = slice(k * FILTERS, (k + 1) * FILTERS)
         d, place = dz[:, s], where[:, s]
         for j in range(w):
-            g[f"f{w}"][j] = np.einsum("bf,bfd->df", d, x[place + j])
+            g[f"f{w}"][j] = np.einsum("bf,bfd->df", d, p["e"][padded[place + j]])
             touched.append(padded[place + j].ravel())
             moved.append((d[:, :, None] * p[f"f{w}"][j].T[None]).reshape(-1, DIM))
     hit, back = np.unique(np.concatenate(touched), return_inverse=True)
@@ -132,32 +148,31 @@ def loss_and_gradients(p: dict[str, np.ndarray], ids: list[np.ndarray], labels:
     return loss, g, hit, ge
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, steps: int = 300, least_docs: int = 3, seed: int = 7, rate: float = 0.02) -> Model:
-    """Fit the network to texts (arrays of word buckets) by Adam on log loss, classes weighted
-    evenly; few texts are gone through more often and in smaller batches, so that there are at least
-    `steps` steps."""
+def first_parameters(buckets: int, seed: int = 7) -> dict[str, np.ndarray]:
+    """Parameters before any training, with embeddings for so many buckets and the zero vector."""
     rng = np.random.default_rng(seed)
-    seen = np.concatenate([np.unique(t) for t in texts]) if texts else np.zeros(0, np.int64)
-    buckets, docs = np.unique(seen, return_counts=True)
-    buckets = buckets[docs >= least_docs]
-    rows = np.zeros(BUCKETS, np.int32)
-    rows[buckets] = np.arange(1, len(buckets) + 1)
     total = FILTERS * len(WIDTHS)
     p = {
-        "e": rng.normal(0, 0.1, (len(buckets) + 1, DIM)),
+        "e": rng.normal(0, 0.1, (buckets + 1, DIM)),
         **{f"f{w}": rng.normal(0, 0.3, (w, DIM, FILTERS)) for w in WIDTHS},
         "b": np.zeros(total),
         "w": rng.normal(0, 0.1, total),
         "o": np.zeros(1),
     }
     p["e"][0] = 0
+    return p
+
+
+def train(p: dict[str, np.ndarray], ids: list[np.ndarray], labels: np.ndarray, positive: float, epochs: range, of: int, seed: tuple = (7,), rate: float = 0.02) -> np.ndarray:
+    """Fit the parameters p, in place, to texts (arrays of embedding rows) by Adam on log loss, classes
+    weighted evenly by the share `positive`: these epochs `of` all, over which the rate falls. Returns how
+    many steps moved each row of the embedding."""
+    rng = np.random.default_rng(seed)
+    total = FILTERS * len(WIDTHS)
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    positive = labels.mean() if len(labels) else 0.5
     cost = np.where(labels == 1, 0.5 / max(positive, 1e-9), 0.5 / max(1 - positive, 1e-9))
-    ids = [rows[x].astype(np.int64) for x in texts]
-    size_of_batch = 64 if len(ids) >= 2000 else 16
-    epochs = max(epochs, -(-steps * size_of_batch // max(1, len(ids))))
-    for epoch in range(epochs if 0 < positive < 1 else 0):
+    size_of_batch, moves = batch_size(len(ids)), np.zeros(len(p["e"]), np.int64)
+    for epoch in epochs:
         order, at = rng.permutation(len(ids)), 0
         while at < len(order):
             end, size = at, 0
@@ -166,17 +181,22 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, steps: i
                 end += 1
             batch, at = order[at:end], end
             keep = (rng.random((len(batch), total)) < 0.8) / 0.8  # dropout
-            _, g, hit, ge = loss_and_gradients(p, [ids[i] for i in batch], labels[batch], cost[batch], keep)
+            _, g, hit, ge = loss_and_gradients(p, [ids[i].astype(np.int64) for i in batch], labels[batch], cost[batch], keep)
             g["w"] += 1e-4 * p["w"]
             t += 1
+            moves[hit] += 1
             for k in [*g, "e"]:
                 at_rows = hit if k == "e" else slice(None)
                 grad = ge if k == "e" else g[k]
                 m[k][at_rows] = 0.9 * m[k][at_rows] + 0.1 * grad
                 v[k][at_rows] = 0.99 * v[k][at_rows] + 0.01 * grad**2
-                p[k][at_rows] -= rate * (1 - epoch / epochs) * (m[k][at_rows] / (1 - 0.9**t)) / (np.sqrt(v[k][at_rows] / (1 - 0.99**t)) + 1e-6)
+                p[k][at_rows] -= rate * (1 - epoch / of) * (m[k][at_rows] / (1 - 0.9**t)) / (np.sqrt(v[k][at_rows] / (1 - 0.99**t)) + 1e-6)
             p["e"][0] = 0
-    return Model(rows, p["e"], [p[f"f{w}"] for w in WIDTHS], p["b"].astype(np.float32), p["w"], float(p["o"][0]))
+    return moves
+
+
+def batch_size(texts: int) -> int:
+    return 64 if texts >= 2000 else 16
 
 
 def held_out(doc_id="doc_id"):
@@ -184,19 +204,15 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS, most_words: int = MOST_WORDS) -> list:
-    """Labelled documents of each class in the order of a hash of the id, whole, up to `most` and as
-    long as they have no more than `most_words` words together: rows of (toxic, lang, words as bytes
-    of int32 buckets). This is the bounded sample the model is fitted on. An id with two labels
-    counts as toxic; rows that repeat an id teach each."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def training_rows(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """All labelled documents that may teach, whole: (toxic, lang, words as bytes of int32 buckets, doc_id).
+    An id with two labels counts as toxic; rows that repeat an id teach each. With `most`, only so many
+    ids of each class, in the order of a hash, for trials of the method."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out())
-    chosen = None
-    for value in (0, 1):
-        part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    rows = rows.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")), "doc_id")
+    if most is not None:
+        known = known.where(F.col("toxic") == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).union(known.where(F.col("toxic") == 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where(~held_out())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,36 +223,177 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS, m
                 words += [ids[before[i] : before[i + 1]].astype(np.int32).tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(words, pa.binary()), batch.column(3)], ["toxic", "lang", "words", "doc_id"])
 
-    sample = rows.select("text", F.col("toxic").cast("int").alias("toxic"), "lang", "doc_id").mapInArrow(hashed, "toxic int, lang string, words binary, doc_id long")
-    sample = saved(sample, "toxicity-sample")
+    return rows.join(known, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "lang", "doc_id").mapInArrow(hashed, "toxic int, lang string, words binary, doc_id long")
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, most: int | None = None, most_words: int = 20_000_000) -> list:
+    """training_rows() of each class in the order of a hash of the id, as long as they have no more than
+    `most_words` words together. Only for looking at what teaches: no model is fitted on it."""
     upto = F.sum(F.octet_length("words") / 4).over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "words").rowsBetween(W.unboundedPreceding, 0))
-    return sample.withColumn("upto", upto).where(F.col("upto") <= most_words).drop("upto").collect()
-
-
-def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> tuple[Model, dict[str, float]]:
-    """The model and a threshold for each language. One training row in five is kept back to set
-    the thresholds: the middle of the widest gap in scores at which balanced accuracy is best. A
-    language with fewer than 20 such rows of either class keeps 0.5."""
-    rows = sorted(training_sample(docs, labels, most), key=lambda r: (r.doc_id, r.words))
-    texts = [np.frombuffer(r.words, np.int32).astype(np.int64) for r in rows]
-    y = np.array([r.toxic for r in rows], np.float64)
-    kept_back = np.arange(len(rows)) % 5 == 4
-    model = train([t for t, k in zip(texts, kept_back, strict=True) if not k], y[~kept_back])
-    thresholds: dict[str, float] = {}
-    back = np.flatnonzero(kept_back)
-    if len(back):
-        z = np.concatenate([model.pooled(texts[i], np.array([0, len(texts[i])])) for i in back]).astype(np.float64) @ model.weights + model.offset
-        score = 1 / (1 + np.exp(-z))
-        for lang in {rows[i].lang for i in back if rows[i].lang is not None}:
-            own = np.array([rows[i].lang == lang for i in back])
-            s, t = score[own], y[back][own]
-            if min(t.sum(), (1 - t).sum()) < 20:
-                continue
-            edges = np.unique(s)
-            cuts = (edges[1:] + edges[:-1]) / 2
-            good = np.array([(s[t == 1] >= c).mean() + (s[t == 0] < c).mean() for c in cuts])
-            best = np.flatnonzero(good >= good.max() - 1e-12)
-            thresholds[lang] = float(cuts[best[np.argmax(np.diff(edges)[best])]])
+    return training_rows(docs, labels, most).withColumn("upto", upto).where(F.col("upto") <= most_words).drop("upto").collect()
+
+
+def _integers(column: pa.Array) -> list[np.ndarray]:
+    """The int32 arrays that a binary column holds."""
+    data, offsets = utf8(column)
+    return [data[a:b].view(np.int32) if b > a else np.zeros(0, np.int32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def bucket_counts(rows: DataFrame) -> DataFrame:
+    """(bucket, n): in how many of the rows' texts each bucket occurs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = [np.unique(x) for x in _integers(batch.column(0))]
+            buckets, n = np.unique(np.concatenate(seen), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(n.astype(np.int64))], ["bucket", "n"])
+
+    return rows.select("words").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def sharded(rows: DataFrame, known: np.ndarray, shards: int) -> DataFrame:
+    """(shard, toxic, ids): rows' words as rows of the embedding (bytes of int32), each shard's together
+    and in order."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.zeros(BUCKETS, np.int32)
+        places[shared.value] = np.arange(1, len(shared.value) + 1)
+        for batch in batches:
+            ids = [places[x].tobytes() for x in _integers(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary()), batch.column(3)], ["shard", "toxic", "ids", "doc_id"])
+
+    # by the words too, so that rows that repeat an id do not meet in one shard
+    shard = F.pmod(F.xxhash64("doc_id", "words"), F.lit(shards)).cast("int")
+    numbered = rows.select(shard.alias("shard"), "toxic", "words", "doc_id").mapInArrow(number, "shard int, toxic int, ids binary, doc_id long")
+    return numbered.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids").select("shard", "toxic", "ids")
+
+
+MOVED = "block int, shard int, rows binary, weights binary, data binary"
+
+
+def trained(shards: DataFrame, p: dict[str, np.ndarray], positive: float, epochs: range, of: int) -> dict[str, np.ndarray]:
+    """The parameters after these epochs within each shard, averaged: a row of the embedding over the shards
+    that moved it, by their steps, all others over the shards by their texts. Averages are taken in
+    blocks by Spark, so that the driver gets parameters once, however many shards there are."""
+    names = [k for k in p if k != "e"]
+    shared = shards.sparkSession.sparkContext.broadcast(p)
+
+    def learn(shard: int, ids: list[np.ndarray], labels: list[int]) -> Iterator[pa.RecordBatch]:
+        own = {k: x.copy() for k, x in shared.value.items()}
+        moves = train(own, ids, np.array(labels, np.float64), positive, epochs, of, seed=(7, shard, epochs[0]))
+        dense = np.concatenate([own[k].ravel() for k in names])
+        out = [(-1, np.zeros(1, np.int64), np.array([len(ids)]), dense)]
+        hit = np.flatnonzero(moves)
+        for block in np.unique(hit // BLOCK):
+            rows = hit[hit // BLOCK == block]
+            out.append((int(block), rows, moves[rows], own["e"][rows]))
+        for block, rows, weights, data in out:
+            yield pa.RecordBatch.from_pylist([{"block": block, "shard": shard, "rows": rows.tobytes(), "weights": weights.astype(np.int64).tobytes(), "data": data.tobytes()}], arrow)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, labels = None, [], []
+        for batch in batches:
+            for shard, toxic, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _integers(batch.column(2)), strict=True):
+                if shard != now:
+                    if ids:
+                        yield from learn(now, ids, labels)
+                    now, ids, labels = shard, [], []
+                ids.append(x.copy())
+                labels.append(toxic)
+        if ids:
+            yield from learn(now, ids, labels)
+
+    def averaged(parts: pa.Table) -> pa.Table:
+        block, found = parts.column("block")[0].as_py(), sorted(parts.to_pylist(), key=lambda r: r["shard"])  # sums of floats depend on the order
+        base, total = max(block, 0) * BLOCK, None
+        weight = np.zeros(BLOCK if block >= 0 else 1)
+        for part in found:
+            rows, weights = (np.frombuffer(part[k], np.int64) for k in ("rows", "weights"))
+            data = np.frombuffer(part["data"]).reshape(len(rows), -1)
+            total = np.zeros((len(weight), data.shape[1])) if total is None else total
+            total[rows - base] += weights[:, None] * data
+            weight[rows - base] += weights
+        held = np.flatnonzero(weight)
+        rows, mean = held + base, total[held] / weight[held, None]
+        return pa.Table.from_pylist([{"block": block, "shard": 0, "rows": rows.tobytes(), "weights": b"", "data": mean.tobytes()}], arrow)
+
+    arrow = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("rows", pa.binary()), ("weights", pa.binary()), ("data", pa.binary())])
+    found = shards.mapInArrow(each, MOVED).groupBy("block").applyInArrow(averaged, MOVED).collect()
+    p = {k: x.copy() for k, x in p.items()}
+    for r in found:
+        data = np.frombuffer(r.data)
+        if r.block >= 0:
+            p["e"][np.frombuffer(r.rows, np.int64)] = data.reshape(-1, DIM)
+            continue
+        for k in names:
+            p[k], data = data[: p[k].size].reshape(p[k].shape).copy(), data[p[k].size :]
+    shared.destroy()
+    return p
+
+
+def language_thresholds(back: DataFrame, model: Model) -> dict[str, float]:
+    """For each language, from training rows that did not teach, the middle of the widest gap in scores at
+    which balanced accuracy is best. All rows count; scores are counted in narrow bins, and gaps lie
+    between these. A language with fewer than CALIBRATE such rows of either class keeps 0.5."""
+    shared = back.sparkSession.sparkContext.broadcast(model.__dict__)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model.of(shared.value)
+        for batch in batches:
+            z = [np.zeros(0)]
+            for x in _integers(batch.column(2)):
+                z.append(model.pooled(x.astype(np.int64), np.array([0, len(x)])).astype(np.float64) @ model.weights + model.offset)
+            z = np.concatenate(z)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.floor(z * BINS).astype(np.int64)), pa.array(1 / (1 + np.exp(-z)))], ["toxic", "lang", "bin", "score"])
+
+    bins = back.where("lang is not null").select("toxic", "lang", "words").mapInArrow(place, "toxic int, lang string, bin long, score double")
+    bins = bins.groupBy("lang", "bin").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), F.min("score").alias("low"), F.max("score").alias("high"))
+
+    def widest(pdf):
+        pdf = pdf.sort_values("bin")
+        bad, good = pdf.bad.to_numpy(np.float64), pdf.good.to_numpy(np.float64)
+        if len(pdf) < 2 or min(bad.sum(), good.sum()) < CALIBRATE:
+            return pdf[["lang"]].head(0).assign(threshold=np.zeros(0))
+        low, high = pdf.low.to_numpy(), pdf.high.to_numpy()
+        right = 1 - np.cumsum(bad)[:-1] / bad.sum() + np.cumsum(good)[:-1] / good.sum()
+        best = np.flatnonzero(right >= right.max() - 1e-12)
+        k = best[np.argmax((low[1:] - high[:-1])[best])]
+        return pdf[["lang"]].head(1).assign(threshold=(low[k + 1] + high[k]) / 2)
+
+    return {r.lang: r.threshold for r in bins.groupBy("lang").applyInPandas(widest, "lang string, threshold double").collect()}
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most: int | None = None) -> tuple[Model, dict[str, float]]:
+    """The model and a threshold for each language, from all labelled documents that may teach. One of five
+    of them is kept back to set the thresholds, all others train; where so few are of a class that a fifth
+    sets none, all train. The vocabulary, the model and the
+    thresholds come to the driver, no rows."""
+    rows = saved(training_rows(docs, labels, most), "toxicity-words")
+    sums = F.count("*").alias("n"), F.sum("toxic").alias("bad"), F.sum(F.octet_length("words") / 4).alias("words")
+    facts, kept_back = rows.agg(*sums).first(), F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4
+    teach, back = rows, rows.limit(0)
+    if facts.n and min(facts.bad, facts.n - facts.bad) >= 5 * CALIBRATE:
+        teach, back = rows.where(~kept_back), rows.where(kept_back)
+        facts = teach.agg(*sums).first()
+    if not facts.n or facts.bad in (0, facts.n):  # nothing to tell apart
+        p = first_parameters(0)
+        return Model(np.zeros(BUCKETS, np.int32), p["e"], [p[f"f{w}"] for w in WIDTHS], p["b"].astype(np.float32), p["w"], 0.0), {}
+    counts = saved(bucket_counts(teach), "toxicity-counts")
+    least = max(LEAST_DOCS, -(-counts.agg(F.sum("n")).first()[0] // VOCABULARY) if facts.words else 0)
+    known = np.sort(counts.where(F.col("n") >= least).select("bucket").toPandas().bucket.to_numpy(np.int64))  # at most VOCABULARY
+    number = max(1, int(-(-facts.words // SHARD_WORDS)))
+    shards, p = saved(sharded(teach, known, number), "toxicity-shards"), first_parameters(len(known))
+    # few texts are gone through more often, in smaller batches
+    own = -(-facts.n // number)
+    epochs = max(ROUNDS if number > 1 else EPOCHS, -(-STEPS * batch_size(own) // own))
+    for e in [range(k, k + 1) for k in range(epochs)] if number > 1 else [range(epochs)]:
+        p = trained(shards, p, facts.bad / facts.n, e, epochs)
+    places = np.zeros(BUCKETS, np.int32)
+    places[known] = np.arange(1, len(known) + 1)
+    model = Model(places, p["e"], [p[f"f{w}"] for w in WIDTHS], p["b"].astype(np.float32), p["w"], float(p["o"][0]))
+    thresholds = language_thresholds(back, model)
+    drop_saved(rows, counts, shards)
     return model, thresholds
 
 
@@ -269,7 +426,7 @@ def threshold_of(thresholds: dict[str, float], lang="lang"):
     return column
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.5), and flagged: the score reaches the
     threshold of the document's language. Null and empty texts get the score of no words; without
     usable labels of both classes the score is near 0.5 for all; repeated rows are scored each, and

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnlog.llm import bpe, embedding, lines, minhash, mixing, packing, shared, spotsigs, suffix, toxicity, warc
@@ -621,6 +622,39 @@ def test_toxicity_columns(spark, docs):
     assert few and all(n <= 500 for n in words.values())
 
 
+def test_toxicity_learns_from_all(spark, monkeypatch):
+    """What only documents late in the order of the ids' hash show is learned too, in one shard or in
+    many; each document that may teach stands in one shard."""
+    ids = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"), F.row_number().over(W.partitionBy(F.col("id") % 2).orderBy(F.xxhash64("id"))).alias("k"))
+    word = F.when(F.col("toxic") == 0, "calm").when(F.col("k") <= 3300, "blip").otherwise("zork")
+    d = shared.saved(ids.select("doc_id", "toxic", F.lit("en").alias("lang"), F.concat(F.lit("word "), (F.col("doc_id") % 50).cast("string"), F.lit(" is "), word).alias("text")), "test")
+    new = spark.createDataFrame([(1, "word 3 is zork"), (2, "word 3 is calm")], "doc_id long, text string")
+    rows = toxicity.training_rows(d, d.select("doc_id", "toxic"))
+    expected = d.where(~toxicity.held_out()).count()
+    for words in (toxicity.SHARD_WORDS, 6000):
+        monkeypatch.setattr(toxicity, "SHARD_WORDS", words)
+        model, thresholds = toxicity.fitted(d, d.select("doc_id", "toxic"))
+        score = {r.doc_id: r.score for r in toxicity.scored(new, model).collect()}
+        assert score[1] > 0.9 and score[2] < 0.1 and 0.1 < thresholds["en"] < 0.9
+    counts = {r.bucket: r.n for r in toxicity.bucket_counts(rows).collect()}
+    assert max(counts.values()) == rows.count() == expected
+    shards = toxicity.sharded(rows, np.sort(np.array(list(counts))), 5)
+    assert shards.count() == expected and shards.select("shard").distinct().count() == 5
+
+
+def test_long_texts_in_chunks(monkeypatch):
+    """Responses are held for so many words at once; the loss and its gradients do not depend on it."""
+    rng = np.random.default_rng(3)
+    p = toxicity.first_parameters(20)
+    texts = [rng.integers(0, 21, n) for n in (40, 0, 3, 17)]
+    args = p, texts, np.array([1.0, 0.0, 1.0, 0.0]), np.ones(4), np.ones((4, toxicity.FILTERS * len(toxicity.WIDTHS)))
+    whole = toxicity.loss_and_gradients(*args)
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    parts = toxicity.loss_and_gradients(*args)
+    assert abs(whole[0] - parts[0]) < 1e-12 and np.array_equal(whole[2], parts[2]) and np.allclose(whole[3], parts[3])
+    assert all(np.allclose(whole[1][k], parts[1][k]) for k in whole[1])
+
+
 def test_convolution_and_gradients():
     """The table look-ups against plain loops, and the gradients against differences of the loss."""
     rng = np.random.default_rng(5)
