@@ -473,3 +473,25 @@ def test_pruned_neighbours(spark, monkeypatch):
             assert [(j, round(-c, 9)) for c, j in cos] == [found[i][k] for k in range(1, 8)]
     assert len(found) == 62 and share < 0.35
     assert neighbours.nearest(df.limit(0), df, 3)[0].count() == 0
+
+
+def test_nearest_in_blocks(spark):
+    """Equal vectors rank by vec_id whichever blocks they fall in; nothing without an angle is a neighbour;
+    matrix products are taken in parts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cairnlog.functions import templates
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in (rng.normal(size=7) if i % 3 else np.arange(1, 8) / 3)]) for i in range(400)]
+    rows += [(400, None), (401, [0.0] * 7), (402, [float("nan")] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = {i: np.array(e) for i, e in rows[:400]}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+    want = {(q, r, i) for q in range(0, 400, 20) for r, (_, i) in enumerate(sorted((-round(cos(v[q], v[i]), 12), i) for i in v if i != q)[:5], 1)}
+    got = templates.nearest(df, df.where("vec_id % 20 = 0"), 5, block=64, asked=8).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == want
+    table = lambda ids, names: pa.table({names[0]: ids, names[1]: pa.array([v[i].tolist() for i in ids], pa.list_(pa.float64()))})
+    part = templates.best_cosines(table(list(range(0, 400, 20)), ("query_id", "q")), table(list(v), ("vec_id", "embedding")), 5, rows=3, columns=37)
+    assert {(r["query_id"], r["vec_id"]) for r in part.to_pylist()} == {(q, i) for q, _, i in want}
