@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import semantic
@@ -130,9 +131,14 @@ def clocked_gate(rows: DataFrame, until: int, every: int = EVERY, ceiling: int =
 
 def windows(rows: DataFrame, evaluated: DataFrame) -> DataFrame:
     """The rows that each evaluation takes, with window, its tick: those after the evaluation before (or
-    the first tick) and up to it. An evaluation's rows are found by rule and range of ticks."""
-    spans = evaluated.select("rule_id", F.col("tick").alias("window"), "since", "window_from_id", "window_to_id")
-    return rows.join(spans, "rule_id").where((F.col("tick") > F.col("since")) & (F.col("tick") <= F.col("window"))).drop("since", "window_from_id", "window_to_id")
+    the first tick) and up to it. A rule's evaluations follow each other, so each of its ticks has one
+    evaluation at most, the next; it is found once for a tick, and rows meet it by rule and tick."""
+    ends = evaluated.select("rule_id", "tick", "since").withColumn("end", F.col("tick"))
+    marks = rows.select("rule_id", "tick").distinct().select("rule_id", "tick", F.lit(None).cast("long").alias("since"), F.lit(None).cast("long").alias("end")).unionByName(ends)
+    following = W.partitionBy("rule_id").orderBy("tick").rangeBetween(0, W.unboundedFollowing)
+    met = marks.withColumn("next", F.min(F.when(F.col("end").isNotNull(), F.struct("end", "since"))).over(following))
+    taken = met.where(F.col("end").isNull() & (F.col("tick") > F.col("next.since"))).select("rule_id", "tick", F.col("next.end").alias("window"))
+    return rows.join(taken, ["rule_id", "tick"])
 
 
 def trace(taken: DataFrame, evaluated: DataFrame, rules: DataFrame, scorer=semantic.keyword_scorer) -> DataFrame:
