@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import STOP_WORDS, tokens
 from ..functions.stems import stems
+from ..sources.tables import written
 
 PARTS = 256
 
@@ -21,9 +22,12 @@ def _part(term):
 
 
 def postings(texts: DataFrame, key: str = "id", text: str = "body") -> DataFrame:
-    """(id, term) of every text's stems. A word is stemmed once for each text that has it; null and empty
-    texts have none."""
-    return texts.select(F.col(key).alias("id"), F.explode(F.array_distinct(stems(tokens(F.col(text))))).alias("term"))
+    """(id, term) of every text's stems. Each distinct word of all texts is stemmed once, and the texts'
+    words meet their stems in a join; null and empty texts have none."""
+    words = written(texts.select(F.col(key).alias("id"), F.explode(tokens(F.col(text))).alias("word")), "posting-words")
+    known = words.select("word").distinct().repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "word")
+    known = written(known.select("word", F.element_at(stems(F.array("word")), 1).alias("term")), "posting-stems")
+    return words.join(known, "word").select("id", "term").distinct()
 
 
 def write_postings(texts: DataFrame, path: str, key: str = "id", text: str = "body") -> None:

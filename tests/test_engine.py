@@ -495,3 +495,25 @@ def test_nearest_in_blocks(spark):
     table = lambda ids, names: pa.table({names[0]: ids, names[1]: pa.array([v[i].tolist() for i in ids], pa.list_(pa.float64()))})
     part = templates.best_cosines(table(list(range(0, 400, 20)), ("query_id", "q")), table(list(v), ("vec_id", "embedding")), 5, rows=3, columns=37)
     assert {(r["query_id"], r["vec_id"]) for r in part.to_pylist()} == {(q, i) for q, _, i in want}
+
+
+def test_clock_windows_meet_by_tick(spark):
+    """Rows meet their evaluation by rule and tick, not every evaluation of their rule."""
+    from cairnlog.operators import clock
+
+    rows = spark.createDataFrame([(r, t, 100 * r + t) for r in (1, 2) for t in range(0, 70, 10)], "rule_id long, tick long, id long")
+    spans = spark.createDataFrame([(1, 20, 0, 0, 0), (1, 50, 20, 0, 0), (2, 35, 10, 0, 0)], "rule_id long, tick long, since long, window_from_id long, window_to_id long")
+    found = clock.windows(rows, spans)
+    assert {(r.id, r.window) for r in found.collect()} == {(110, 20), (120, 20), (130, 50), (140, 50), (150, 50), (220, 35), (230, 35)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "(tick" in [x for x in plan.splitlines() if "Join Inner" in x][0]
+
+
+def test_words_are_stemmed_once(spark):
+    """The table of stems has each word once, however many texts have it."""
+    from cairnlog.operators import postings
+
+    texts = spark.createDataFrame([(i, f"links failing again number{i % 2} failed") for i in range(40)], "id long, body string")
+    found = postings.postings(texts)
+    assert found.count() == 40 * 4 and {r.term for r in found.where("id = 1").collect()} == {"link", "fail", "again", "number1"}
+    assert "stems" in str(found.inputFiles()) and not found.where("id is null").count()
