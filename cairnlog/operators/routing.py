@@ -90,12 +90,24 @@ def literal_index(patterns: list[str]) -> tuple[dict[str, list[int]], list[int]]
 class Gates:
     """The rules of each distinct pattern whose severity and source gates are open, in rule order."""
 
-    def __init__(self, compiled: list[dict]):
+    def __init__(self, compiled: list[dict], firsts: bool = False):
+        """With `firsts` only rules that can fire are kept: rules of one pattern with the same gates match
+        together, so of these a target's first rule counts, and none behind a stop rule."""
         self.patterns = list(dict.fromkeys(r["pattern"] for r in compiled))
         at = {p: k for k, p in enumerate(self.patterns)}
-        self.rules: list[list[dict]] = [[] for _ in self.patterns]
+        groups: dict[tuple, list] = {}
+        seen: dict[tuple, set] = {}
         for r in compiled:
-            self.rules[at[r["pattern"]]].append(r)
+            key = at[r["pattern"]], r["min_severity"] or 0, r["source_glob"] or ""
+            group, known = groups.setdefault(key, []), seen.setdefault(key, set())
+            targets = tuple(t for _, t in r["targets"] if not firsts or t not in known)
+            if firsts and (None in known or not (targets or r["stop"])):
+                continue
+            group.append((r["rank"], r["rule_id"], r["stop"], targets))
+            known.update(targets, [None] if r["stop"] else [])
+        self.rules: list[list[tuple]] = [[] for _ in self.patterns]
+        for (k, severity, glob), group in groups.items():
+            self.rules[k].append((severity, glob, tuple(group)))
         self.tests: dict = {}  # of a task's own
         self.open = lru_cache(1 << 17)(self._open)
 
@@ -115,19 +127,20 @@ class Gates:
 
     def _open(self, pattern: int, source: str | None, severity: int | None) -> tuple:
         return tuple(
-            (r["rank"], r["rule_id"], r["stop"], tuple(t for _, t in r["targets"]))
-            for r in self.rules[pattern]
-            if (not r["min_severity"] or (severity is not None and severity >= r["min_severity"])) and (not r["source_glob"] or self._fits(r["source_glob"], source))
+            r
+            for least, glob, rules in self.rules[pattern]
+            if (not least or (severity is not None and severity >= least)) and (not glob or self._fits(glob, source))
+            for r in rules
         )
 
 
-def indexed(events: DataFrame, compiled: list[dict], made: str, make: Callable) -> DataFrame:
+def indexed(events: DataFrame, compiled: list[dict], made: str, make: Callable, firsts: bool = False) -> DataFrame:
     """events with an array `made` of what make(matching rules of a row, in rule order) returns.
 
     One automaton of the literals that patterns need runs over a line once and names the few patterns
     that may match; each distinct pattern with an open gate is then tested once, by the same regular
     expressions as anywhere else. Everything is done within the row, so there is no shuffle."""
-    shared = events.sparkSession.sparkContext.broadcast(Gates(compiled))
+    shared = events.sparkSession.sparkContext.broadcast(Gates(compiled, firsts))
     names, n = events.columns, len(events.columns)
     severity_at, source_at = names.index("severity"), names.index("source")
 
@@ -187,7 +200,7 @@ def first_firings(rules: list[tuple]) -> list[dict]:
 
 def indexed_route(events: DataFrame, compiled: list[dict]) -> DataFrame:
     """route() for large rulesets, through the literal index; rows that repeat an id fire each."""
-    rows = indexed(events, compiled, "struct<target_id:bigint,rule_id:bigint,rank:int>", first_firings)
+    rows = indexed(events, compiled, "struct<target_id:bigint,rule_id:bigint,rank:int>", first_firings, firsts=True)
     return rows.select(*events.columns, F.inline("_made"))
 
 

@@ -517,3 +517,12 @@ def test_words_are_stemmed_once(spark):
     found = postings.postings(texts)
     assert found.count() == 40 * 4 and {r.term for r in found.where("id = 1").collect()} == {"link", "fail", "again", "number1"}
     assert "stems" in str(found.inputFiles()) and not found.where("id is null").count()
+
+
+def test_gates_keep_what_can_fire():
+    """Tasks hold a few rules for each pattern, gates and target, however many rules there are."""
+    from cairnlog.operators import routing
+
+    rules = [{"rank": k, "rule_id": k, "stop": k == 900, "pattern": "x", "min_severity": 0, "source_glob": "", "targets": [(1, k % 5)]} for k in range(1000)]
+    whole, firsts = (routing.Gates(rules, f).open(0, "host", 1) for f in (False, True))
+    assert len(whole) == 1000 and len(firsts) == 6 and routing.first_firings(list(whole)) == routing.first_firings(list(firsts))
