@@ -48,7 +48,7 @@ def compile_rules(rules: DataFrame, bindings: DataFrame) -> list[dict]:
     for b in bindings.orderBy("rule_id", "target_order", "target_id").collect():
         targets.setdefault(b.rule_id, []).append((b.target_order, b.target_id))
     spark = rules.sparkSession
-    for r in ordered:
+    for r in {r.pattern: r for r in reversed(ordered)}.values():  # each distinct pattern once
         try:
             spark._jvm.java.util.regex.Pattern.compile(java_pattern(r.pattern))
         except Exception as error:
