@@ -6,7 +6,9 @@ in it, none twice on a path, and a child holds those that agree there. Nodes tha
 compared exhaustively; larger ones are linked through a pivot and branch on while they hold documents
 that no link connects yet: over the cluster while a node is too large for a task, within the task from
 then on. A path that has used up its coordinates ends in an exhaustive comparison, in pairs of blocks
-over many tasks. Independent trees raise the recall; every link is confirmed on the full sets."""
+over many tasks. Of the pairs that a task finds, spanning forests of the components they join are confirmed
+first; the rest is looked at again only where these links leave its ends apart. Independent trees raise
+the recall; every link is confirmed on the full sets."""
 
 from __future__ import annotations
 
@@ -30,6 +32,8 @@ LEVELS = 2  # levels that nodes larger than TASK branch at once
 DEEPEST = 40  # depth at which nodes still larger than TASK are compared exhaustively, in pairs of blocks
 BOTTOM = 256  # least shingle hashes kept of a set: a set of no more is kept whole
 LIKELY = 34  # agreeing tokens below which a pair is not looked up: 4 deviations under 0.75 * TOKENS
+FORESTS = 4  # times as many spanning forests of likely pairs are confirmed in each further look at a node
+ALL = 256  # forests from which on all pairs are
 BROADCAST_ROWS = 100_000  # documents (two longs each) that may go to every task
 SKETCH = "doc_id long, row_key long, n_shingles long, set_a long, set_b long, tokens binary, bottom binary"
 
@@ -86,7 +90,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            for a, b in slices(offsets, 2 << 20):
+            for a, b in slices(offsets):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 with np.errstate(over="ignore"):
                     one = np.array([mix(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
@@ -181,7 +185,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, 2 << 20):
+            for a, b in slices(offsets):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
@@ -204,11 +208,9 @@ def least_hashes(column: pa.Array) -> np.ndarray:
     return out
 
 
-def may_link(x: np.ndarray, y: np.ndarray, similarity: int) -> np.ndarray:
-    """Whether pairs of sets can reach the similarity, from their least hashes: exactly, up to the hashes'
-    32 bits, where both sets are kept whole, else unless the estimate lies 4 deviations below."""
-    goal = similarity / 100
-    out = [np.zeros(0, bool)]
+def resemblance(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The similarity of pairs of sets as their least hashes show it, and whether both sets are kept whole."""
+    likeness, kept = [np.zeros(0)], [np.zeros(0, bool)]
     for k in range(0, len(x), 2048):
         a, b = x[k : k + 2048], y[k : k + 2048]
         whole = (a[:, -1] == _PAD) & (b[:, -1] == _PAD)
@@ -218,9 +220,51 @@ def may_link(x: np.ndarray, y: np.ndarray, similarity: int) -> np.ndarray:
         limit = np.where(whole, 2 * BOTTOM, BOTTOM)
         common = (equal & (place < limit[:, None])).sum(axis=1)
         union = np.minimum((both != _PAD).sum(axis=1) - equal.sum(axis=1), limit)
-        slack = np.where(whole, 0.01, 4 * (goal * (1 - goal) / BOTTOM) ** 0.5)
-        out.append(common >= (goal - slack) * union)
-    return np.concatenate(out)
+        likeness.append(np.where(union > 0, common / np.maximum(union, 1), 1))
+        kept.append(whole)
+    return np.concatenate(likeness), np.concatenate(kept)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether pairs of sets can reach the similarity, from their least hashes: exactly, up to the hashes'
+    32 bits, where both sets are kept whole, else unless the estimate lies 4 deviations below."""
+    return _reaches(*resemblance(x, y), similarity)
+
+
+def _reaches(likeness: np.ndarray, whole: np.ndarray, similarity: int) -> np.ndarray:
+    goal = similarity / 100
+    return likeness >= goal - np.where(whole, 0.01, 4 * (goal * (1 - goal) / BOTTOM) ** 0.5)
+
+
+def forests(ends: np.ndarray, most: int) -> np.ndarray:
+    """Which of the pairs of components, the columns of ends in the order of preference, lie in one of so many
+    spanning forests: a pair goes into the first forest that does not connect its ends yet. What one
+    forest connects all before it do, so that one is found by halving."""
+    if most >= ALL:
+        return np.ones(ends.shape[1], bool)
+    _, number = np.unique(ends, return_inverse=True)
+    number, keep, ups = number.reshape(2, -1), np.zeros(ends.shape[1], bool), []
+
+    def root(up: list[int], v: int) -> int:
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    for k, (a, b) in enumerate(zip(*number.tolist(), strict=True)):
+        low, high = 0, len(ups)
+        while low < high:
+            middle = (low + high) // 2
+            if root(ups[middle], a) == root(ups[middle], b):
+                low = middle + 1
+            else:
+                high = middle
+        if low == len(ups) < most:
+            ups.append(list(range(number.max() + 1)))
+        if low < len(ups):
+            ups[low][root(ups[low], a)] = root(ups[low], b)
+            keep[k] = True
+    return keep
 
 
 def likely(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
@@ -267,9 +311,12 @@ def node_pairs(node: int, used: int, reps: np.ndarray, c: np.ndarray, tokens: np
     return both[:, first]
 
 
-def compared(nodes: DataFrame, similarity: int, small: int) -> DataFrame:
+def compared(nodes: DataFrame, similarity: int, small: int, most: int) -> DataFrame:
     """Likely pairs (a < b) within nodes that fit a task: nodes has node, used, rep, c, tokens and
-    bottom; the rows of a node stand together in their partition. Pairs of one component are left out."""
+    bottom; the rows of a node stand together in their partition. Pairs of one component are left out, and
+    so are those outside the first `most` spanning forests of a batch's, the most alike first: a large group
+    in several components gives a few pairs for each, not all between them. Rows with `more` name the
+    nodes of which pairs were left out that way."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -285,8 +332,16 @@ def compared(nodes: DataFrame, similarity: int, small: int) -> DataFrame:
             _, first = np.unique(number[met[0]] * len(reps) + number[met[1]], return_index=True)
             met = met[:, first]
             bottoms = least_hashes(batch.column(5)) if met.shape[1] else None
-            good = np.concatenate([np.zeros(0, bool), *(may_link(bottoms[met[0, k : k + 4096]], bottoms[met[1, k : k + 4096]], similarity) for k in range(0, met.shape[1], 4096))])
-            return pa.RecordBatch.from_arrays([pa.array(reps[side[good]]) for side in met], ["a", "b"])
+            looks = [(np.zeros(0), np.zeros(0, bool)), *(resemblance(bottoms[met[0, k : k + 4096]], bottoms[met[1, k : k + 4096]]) for k in range(0, met.shape[1], 4096))]
+            likeness, whole = (np.concatenate(x) for x in zip(*looks, strict=True))
+            good = _reaches(likeness, whole, similarity)
+            met = met[:, good][:, np.argsort(-likeness[good], kind="stable")]
+            keep = forests(c[met], most)
+            left = np.unique(node[met[0, ~keep]]).view(np.int64)
+            met = met[:, keep]
+            pair = np.arange(met.shape[1] + len(left)) < met.shape[1]
+            columns = [np.r_[reps[side], np.zeros(len(left), np.int64)] for side in met], np.r_[np.zeros(met.shape[1], np.int64), left]
+            return pa.RecordBatch.from_arrays([*(pa.array(x, mask=~pair) for x in columns[0]), pa.array(columns[1], mask=pair)], ["a", "b", "more"])
 
         for batch in batches:
             if held is not None:
@@ -300,7 +355,7 @@ def compared(nodes: DataFrame, similarity: int, small: int) -> DataFrame:
             yield pairs(held)
 
     rows = nodes.select("node", "used", "rep", "c", "tokens", "bottom")
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(walk, "a long, b long").distinct()
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(walk, "a long, b long, more long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -337,7 +392,9 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     First every node links its documents to its smallest one. After that only documents that no
     confirmed link connects yet need comparing, so a large group of near copies costs a few
     comparisons for each document, not all pairs: nodes within one component are done, mixed nodes
-    branch and are compared, those too large for a task also meet a pivot."""
+    branch and are compared, those too large for a task also meet a pivot. Where a task left pairs out and
+    what it handed on turns out to leave their ends apart, its nodes are looked at again, with more pairs
+    each time, until nothing is left out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sketch = saved(sketches(rows), "minhash-sketch")
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
@@ -354,7 +411,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     sets = spark.createDataFrame([], "rep long, shingles binary")
     stars = saved(live.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
     close = saved(likely(stars, reps, similarity), "minhash-close")
-    live, depth, links, groups, tried = live.select("node", "used", "rep"), len(BRANCHES) + 1, None, None, close
+    live, depth, links, groups, tried, most = live.select("node", "used", "rep"), len(BRANCHES) + 1, None, None, close, 1
     while True:
         ends = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct()
         missing = saved(ends.join(sets.select("rep"), "rep", "left_anti").join(reps.select("rep", "first_id", "first_key"), "rep"), "minhash-missing")
@@ -378,16 +435,17 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
             else:
                 star = large.where("c != pc").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
                 star = likely(star, reps, similarity)
-        close = compared(ready, similarity, SMALL)
+        found = saved(compared(ready, similarity, SMALL, most), "minhash-found")
+        close, more = found.where("more is null").select("a", "b").distinct(), found.where("more is not null").select(F.col("more").alias("node")).distinct()
+        live = ready.join(more, "node", "left_semi").select("node", "used", "rep")
         if has_large:
             close = close.union(star).distinct()
-            live = saved(deeper_nodes(large), "minhash-live")
+            live = live.union(deeper_nodes(large))
             depth += LEVELS
-        else:
-            live = live.limit(0)
+        live, most = saved(live, "minhash-live"), most * FORESTS
         close = saved(close.join(tried, ["a", "b"], "left_anti"), "minhash-close")
         tried = tried.union(close)
-        if close.isEmpty() and not has_large:
+        if close.isEmpty() and live.isEmpty():
             break
     # a component has the least doc_id of its classes
     linked = reps.select("rep", "set_a", "set_b", F.col("n_shingles").alias("n"), "first_id", "first_key").join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component_id", "rep")).drop("component_id")

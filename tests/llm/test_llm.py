@@ -132,6 +132,38 @@ def test_minhash_crowd(spark, monkeypatch):
     assert recall >= 0.9
 
 
+def test_minhash_group_in_parts(spark):
+    """A large group of near copies in several components gives a link or so for each of them, not all pairs
+    between them, and names its node as long as pairs are left out."""
+    words = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(100)]
+    reps = minhash.sketches(spark.createDataFrame(rows, DOC).select("doc_id", F.lit(0).cast("long").alias("row_key"), "text"))
+    for parts, most, expected in ((2, 1, 1), (10, 1, 9), (10, 4, 36), (2, minhash.ALL, 2500)):
+        nodes = reps.select(F.lit(1).cast("long").alias("node"), F.lit(0).cast("long").alias("used"), F.col("doc_id").alias("rep"), (F.col("doc_id") % parts).alias("c"), "tokens", "bottom")
+        got = minhash.compared(nodes, 75, minhash.SMALL, most).collect()
+        pairs = [(r.a, r.b) for r in got if r.more is None]
+        assert all(a < b and a % parts != b % parts for a, b in pairs)
+        if most < minhash.ALL:
+            assert len(pairs) <= expected and [r.more for r in got if r.a is None] == [1]
+        else:
+            assert len(pairs) > expected / 2 and len(pairs) == len(got)
+
+
+def test_forests():
+    """Every pair left out joins what the forests' pairs connect."""
+    rng = np.random.default_rng(8)
+    ends = rng.integers(0, 60, (2, 900)) * 1_000_003
+    for most in (1, 4):
+        keep = minhash.forests(ends, most)
+        assert 0 < keep.sum() <= most * 59
+        up = {int(v): int(v) for v in ends.ravel()}
+        for a, b in ends[:, keep].T.tolist():
+            old, new = up[a], up[b]
+            up = {v: new if r == old else r for v, r in up.items()}
+        assert all(up[a] == up[b] for a, b in ends.T.tolist())
+    assert minhash.forests(ends, minhash.ALL).all() and not minhash.forests(ends[:, :0], 1).size
+
+
 def test_may_link():
     rng = random.Random(3)
     sets = [np.array(sorted(rng.sample(range(600), rng.choice([3, 100, 255, 256, 400]))), np.uint32) for _ in range(40)]
