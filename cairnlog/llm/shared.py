@@ -68,7 +68,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 512 << 10) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes each, so that numpy work arrays stay small; one longer row
     is a range of its own."""
     a, n = 0, len(offsets) - 1

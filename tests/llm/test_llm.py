@@ -149,6 +149,31 @@ def test_minhash_group_in_parts(spark):
             assert len(pairs) > expected / 2 and len(pairs) == len(got)
 
 
+def test_slices_bound_the_work_arrays():
+    """Encoding, sketching and bucketing a batch of 6 MB hold work arrays for a small part of it at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    column = pa.array([prose(rng, 800, 20_000) for _ in range(1500)], pa.string())
+    data, offsets = shared.utf8(column)
+    vocab = bpe.Vocabulary(bpe.vocabulary_path())
+    work = [
+        lambda a, b: vocab.encode_texts(column.slice(a, b - a).to_pylist()),
+        lambda a, b: minhash.minwise(minhash.shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])),
+        lambda a, b: toxicity.bucketed(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]),
+    ]
+    for step in work:
+        tracemalloc.start()
+        for a, b in shared.slices(offsets):
+            step(a, b)
+        peak = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+        print("MB of work arrays:", peak)
+        assert peak < 64
+
+
 def test_forests():
     """Every pair left out joins what the forests' pairs connect."""
     rng = np.random.default_rng(8)
