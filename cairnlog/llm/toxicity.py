@@ -32,6 +32,7 @@ LEAST_DOCS = 3  # documents that a bucket with an embedding occurs in, at least
 VOCABULARY = 1 << 18  # and a share of all occurrences of one in so many, which bounds the embedding
 CHUNK = 100_000  # words whose responses are held at once
 BLOCK = 4096  # rows of the embedding that are averaged together
+PLACES = 1 << 25  # bits at most of the map of ids that may teach
 CALIBRATE = 20  # documents of each class that a language's threshold is set from, at least
 BINS = 256  # of a unit of the logit, in which scores are counted for the thresholds
 
@@ -204,6 +205,19 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def mapped(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows with an id in known (doc_id) and a few of the others: those whose hash has its bit set in a map of
+    the ids known, which is bounded and goes to every task, so that other texts need not be shuffled."""
+    n = known.count()
+    bits = min(PLACES, max(64, 1 << (8 * n).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+    own = known.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    marks = own.groupBy("word").agg(F.bit_or("bit").alias("marks"))
+    met = rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(marks), "word")
+    return met.where(F.call_function("shiftrightunsigned", F.col("marks"), F.col("bit")).bitwiseAND(F.lit(1).cast("long")) == 1).select(*rows.columns)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
     """All labelled documents that may teach, whole: (toxic, lang, words as bytes of int32 buckets, doc_id).
     An id with two labels counts as toxic; rows that repeat an id teach each. With `most`, only so many
@@ -223,7 +237,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int | None = None) -
                 words += [ids[before[i] : before[i + 1]].astype(np.int32).tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(words, pa.binary()), batch.column(3)], ["toxic", "lang", "words", "doc_id"])
 
-    return rows.join(known, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "lang", "doc_id").mapInArrow(hashed, "toxic int, lang string, words binary, doc_id long")
+    # the same join at every size
+    return mapped(rows, known).join(known.hint("merge"), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "lang", "doc_id").mapInArrow(hashed, "toxic int, lang string, words binary, doc_id long")
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int | None = None, most_words: int = 20_000_000) -> list:
@@ -266,7 +281,7 @@ def sharded(rows: DataFrame, known: np.ndarray, shards: int) -> DataFrame:
     # by the words too, so that rows that repeat an id do not meet in one shard
     shard = F.pmod(F.xxhash64("doc_id", "words"), F.lit(shards)).cast("int")
     numbered = rows.select(shard.alias("shard"), "toxic", "words", "doc_id").mapInArrow(number, "shard int, toxic int, ids binary, doc_id long")
-    return numbered.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids").select("shard", "toxic", "ids")
+    return numbered.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids").select("shard", "toxic", "ids")
 
 
 MOVED = "block int, shard int, rows binary, weights binary, data binary"
@@ -275,9 +290,11 @@ MOVED = "block int, shard int, rows binary, weights binary, data binary"
 def trained(shards: DataFrame, p: dict[str, np.ndarray], positive: float, epochs: range, of: int) -> dict[str, np.ndarray]:
     """The parameters after these epochs within each shard, averaged: a row of the embedding over the shards
     that moved it, by their steps, all others over the shards by their texts. Averages are taken in
-    blocks by Spark, so that the driver gets parameters once, however many shards there are."""
+    blocks by Spark, so that the driver gets parameters once, however many shards there are; rows of the
+    embedding travel as 32-bit floats."""
     names = [k for k in p if k != "e"]
     shared = shards.sparkSession.sparkContext.broadcast(p)
+    kind = lambda block: np.float32 if block >= 0 else np.float64
 
     def learn(shard: int, ids: list[np.ndarray], labels: list[int]) -> Iterator[pa.RecordBatch]:
         own = {k: x.copy() for k, x in shared.value.items()}
@@ -289,7 +306,7 @@ def trained(shards: DataFrame, p: dict[str, np.ndarray], positive: float, epochs
             rows = hit[hit // BLOCK == block]
             out.append((int(block), rows, moves[rows], own["e"][rows]))
         for block, rows, weights, data in out:
-            yield pa.RecordBatch.from_pylist([{"block": block, "shard": shard, "rows": rows.tobytes(), "weights": weights.astype(np.int64).tobytes(), "data": data.tobytes()}], arrow)
+            yield pa.RecordBatch.from_pylist([{"block": block, "shard": shard, "rows": rows.astype(np.int32).tobytes(), "weights": weights.astype(np.int32).tobytes(), "data": data.astype(kind(block)).tobytes()}], arrow)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, labels = None, [], []
@@ -309,22 +326,22 @@ def trained(shards: DataFrame, p: dict[str, np.ndarray], positive: float, epochs
         base, total = max(block, 0) * BLOCK, None
         weight = np.zeros(BLOCK if block >= 0 else 1)
         for part in found:
-            rows, weights = (np.frombuffer(part[k], np.int64) for k in ("rows", "weights"))
-            data = np.frombuffer(part["data"]).reshape(len(rows), -1)
+            rows, weights = (np.frombuffer(part[k], np.int32) for k in ("rows", "weights"))
+            data = np.frombuffer(part["data"], kind(block)).reshape(len(rows), -1)
             total = np.zeros((len(weight), data.shape[1])) if total is None else total
             total[rows - base] += weights[:, None] * data
             weight[rows - base] += weights
         held = np.flatnonzero(weight)
         rows, mean = held + base, total[held] / weight[held, None]
-        return pa.Table.from_pylist([{"block": block, "shard": 0, "rows": rows.tobytes(), "weights": b"", "data": mean.tobytes()}], arrow)
+        return pa.Table.from_pylist([{"block": block, "shard": 0, "rows": rows.astype(np.int32).tobytes(), "weights": b"", "data": mean.astype(kind(block)).tobytes()}], arrow)
 
     arrow = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("rows", pa.binary()), ("weights", pa.binary()), ("data", pa.binary())])
     found = shards.mapInArrow(each, MOVED).groupBy("block").applyInArrow(averaged, MOVED).collect()
     p = {k: x.copy() for k, x in p.items()}
     for r in found:
-        data = np.frombuffer(r.data)
+        data = np.frombuffer(r.data, kind(r.block))
         if r.block >= 0:
-            p["e"][np.frombuffer(r.rows, np.int64)] = data.reshape(-1, DIM)
+            p["e"][np.frombuffer(r.rows, np.int32)] = data.reshape(-1, DIM)
             continue
         for k in names:
             p[k], data = data[: p[k].size].reshape(p[k].shape).copy(), data[p[k].size :]

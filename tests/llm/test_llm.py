@@ -699,6 +699,20 @@ def test_toxicity_learns_from_all(spark, monkeypatch):
     assert shards.count() == expected and shards.select("shard").distinct().count() == 5
 
 
+def test_toxicity_shuffles_what_may_teach(spark, monkeypatch):
+    """Texts without a label stay out of the shuffled join but for a few, and none with one is lost, also
+    where the map of ids is full."""
+    rows = spark.range(-20_000, 20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    known = rows.where("doc_id % 40 = 0").select("doc_id")
+    got = toxicity.mapped(rows, known)
+    assert got.columns == rows.columns and got.join(known, "doc_id").count() == 1000 and got.count() < 8000
+    assert toxicity.mapped(rows, known.limit(0)).count() == 0
+    monkeypatch.setattr(toxicity, "PLACES", 64)
+    assert toxicity.mapped(rows, known).join(known, "doc_id").count() == 1000
+    shards = toxicity.sharded(spark.range(700).selectExpr("1 as toxic", "'en' as lang", "cast('' as binary) as words", "id as doc_id"), np.zeros(0, np.int64), 7)
+    assert shards.select("shard", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().where("count > 1").isEmpty()
+
+
 def test_long_texts_in_chunks(monkeypatch):
     """Responses are held for so many words at once; the loss and its gradients do not depend on it."""
     rng = np.random.default_rng(3)
