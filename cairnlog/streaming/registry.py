@@ -47,14 +47,18 @@ def merge_batch(spark: SparkSession, path: str, delta: DataFrame, key: str, merg
     """Merge a batch's rows into the registry. merge(old rows, new rows) is given the rows of the batch's
     buckets; it must keep one row a key."""
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    touched = [r.bucket for r in delta.select(bucket.alias("bucket")).distinct().collect()]  # at most `buckets`
-    if not touched:
-        return
-    known = versions(spark, path)
-    below = {k: [v for v in known.get(k, []) if v < batch] for k in touched}
-    chosen = {k: v[-1] for k, v in below.items() if v}
-    rows = merge(_read(spark, path, chosen), delta) if chosen else delta
-    rows.withColumn("bucket", bucket).repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch}")
+    delta = delta.persist()  # read twice: what it is made from is gone through once
+    try:
+        touched = [r.bucket for r in delta.select(bucket.alias("bucket")).distinct().collect()]  # at most `buckets`
+        if not touched:
+            return
+        known = versions(spark, path)
+        below = {k: [v for v in known.get(k, []) if v < batch] for k in touched}
+        chosen = {k: v[-1] for k, v in below.items() if v}
+        rows = merge(_read(spark, path, chosen), delta) if chosen else delta
+        rows.withColumn("bucket", bucket).repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch}")
+    finally:
+        delta.unpersist()
     store, at = _store(spark, path)
     for k, older in below.items():
         for v in older[:-1]:

@@ -326,3 +326,20 @@ def test_written_weeks_are_pruned(spark, tmp_path):
     ids = lambda df: sorted(r.id for r in df.collect())
     assert ids(some) == ids(search(events, **span)) and ids(every) == ids(search(events))
     assert 0 < files(some) < files(every)
+
+
+def test_registry_merge_reads_its_batch_once(spark, tmp_path):
+    """What a batch's rows are made from is gone through once, though they are merged and their buckets named."""
+    gone = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            gone.add(batch.num_rows)
+            yield batch
+
+    merge = lambda old, new: old.unionByName(new).groupBy("k").agg(F.sum("n").alias("n"))
+    for batch in range(2):
+        delta = spark.range(0, 300, 1, 3).selectExpr("id % 30 as k").mapInArrow(seen, "k long").groupBy("k").agg(F.count("*").alias("n"))
+        registry.merge_batch(spark, f"file://{tmp_path}/r", delta, "k", merge, batch)
+    assert gone.value == 600
+    assert {(r.k, r.n) for r in registry.registry(spark, f"file://{tmp_path}/r").collect()} == {(k, 20) for k in range(30)}
