@@ -197,8 +197,8 @@ def start(
                 incidents.audit(df).write.mode("overwrite").parquet(f"{out}/audit/batch={n}")
                 messages = outbox.outbox(df, r, t)
                 messages.write.mode("overwrite").parquet(f"{out}/outbox/batch={n}")
-                if deliver:
-                    deliver(messages, n)
+                if deliver:  # what was written, so that messages are rendered once
+                    deliver(spark.read.schema(messages.schema).parquet(f"{out}/outbox/batch={n}"), n)
             finally:
                 df.unpersist()
 
