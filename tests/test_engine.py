@@ -526,3 +526,49 @@ def test_gates_keep_what_can_fire():
     rules = [{"rank": k, "rule_id": k, "stop": k == 900, "pattern": "x", "min_severity": 0, "source_glob": "", "targets": [(1, k % 5)]} for k in range(1000)]
     whole, firsts = (routing.Gates(rules, f).open(0, "host", 1) for f in (False, True))
     assert len(whole) == 1000 and len(firsts) == 6 and routing.first_firings(list(whole)) == routing.first_firings(list(firsts))
+
+
+def test_every_vector_is_asked(spark):
+    """Each row of the table has its three nearest, not only those of some ids; rows without an id have none."""
+    import numpy as np
+
+    from cairnlog.plans import catalog
+
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()
+    ids, v = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], np.float64)
+    unit = v / np.sqrt((v * v).sum(axis=1))[:, None]
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, -np.inf)
+    best = np.argsort(-cos, axis=1, kind="stable")[:, :3]
+    got = catalog.QUERIES["m09_template_similarity"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(ids[q], k, ids[i]) for q, near in enumerate(best) for k, i in enumerate(near, 1)} and len(got) == 3 * len(ids)
+    assert max(abs(r.cosine - cos[np.searchsorted(ids, r.query_id), np.searchsorted(ids, r.vec_id)]) for r in got) < 1e-6
+
+
+def test_vectors_without_an_id(spark, tmp_path):
+    from cairnlog.plans import catalog
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.5]), (None, [1.0, 0.1]), (3, [0.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalog.QUERIES["m09_template_similarity"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 2), (3, 2, 1)}
+
+
+@pytest.mark.parametrize("k, repeats", [(1, 1), (3, 1), (3, 4)])
+def test_copies_of_vectors(k, repeats):
+    """Many copies of a vector, vectors that differ by less than single precision tells, and ids that repeat."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cairnlog.functions import templates
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3, 9)).astype(np.float32).astype(np.float64)[rng.integers(0, 3, 900)]
+    v[::3] += 1e-9 * rng.normal(size=(300, 9))
+    ids = rng.permutation(900) // repeats
+    table = lambda at, names: pa.table({names[0]: ids[at], names[1]: pa.array(v[at].tolist(), pa.list_(pa.float64()))})
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+    for q in range(0, 900, 90):
+        got = templates.best_cosines(table([q], ("query_id", "q")), table(np.arange(900), ("vec_id", "embedding")), k, rows=7, columns=101).to_pylist()
+        want = sorted((-cos(v[q], v[i]), ids[i]) for i in range(900) if ids[i] != ids[q])[:k]
+        assert [r["vec_id"] for r in got] == [i for _, i in want]
